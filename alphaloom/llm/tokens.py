@@ -1,20 +1,21 @@
 """Token counts by the whole-token shortcut.
 
-Offline, every vocabulary string is shown to encode alone as one token: it must
-be valid text, form a single pre-token, and merge back to its own id. A text's
-pre-tokens in that proven set count one token each; only the others are merged,
-and each distinct one once per task, in bounded memory.
+Offline (once, on the driver) every vocabulary string is shown to encode alone
+as one token: it must be valid text, form a single pre-token, and merge back to
+its own id. A text's pre-tokens in that proven set count one token each; only
+the others are merged, and what they merge to is remembered in bounded memory.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ from alphaloom.llm._spark import text_column
 
 #: Fixed value: the byte-level pre-token pattern of this vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 MAX_TOKENS = 1024
+_IRREGULAR = None
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -33,114 +35,112 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class MergeTable:
-    """Vocabulary and merge ranks of a byte-level BPE file, over byte strings."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        alphabet = byte_alphabet()
-        to_bytes = lambda s: bytes(alphabet[c] for c in s)
-        self.added = [t["content"] for t in spec["added_tokens"]]
-        self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items() if s not in self.added}
-        self.ranks = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[to_bytes(left), to_bytes(right)] = rank
-
-    def merge(self, word: bytes) -> list[bytes]:
-        """Apply the lowest-ranked merge, leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        if len(parts) > 256:
-            return self._merge_long(parts)
-        while len(parts) > 1:
-            ranked = [self.ranks.get(pair, 1 << 30) for pair in zip(parts, parts[1:], strict=False)]
-            best = min(ranked)
-            if best == 1 << 30:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i < len(ranked) and ranked[i] == best:
-                    # a merge may use up the next pair's left half
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return parts
-
-    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
-        """The same merges with a heap over a linked list, for pre-tokens of any length."""
-        import heapq
-
-        n = len(parts)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i] if live[i] else n
-            if j >= n or parts[i] != left or parts[j] != right:
-                continue
-            parts[i], live[j], after[i] = left + right, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.ranks.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return [p for p, alive in zip(parts, live, strict=True) if alive]
-
-
-def prove_whole_tokens(table: MergeTable) -> frozenset[str]:
+@dataclass(frozen=True)
+class Vocabulary:
+    """A byte-level BPE vocabulary: ids by byte string, special tokens, and the strings proven to be whole tokens."""
+
+    ids: dict[bytes, int]
+    special: dict[str, int]
+    whole: dict[str, int]
+
+
+def _merger(ids: dict[bytes, int]) -> tiktoken.Encoding:
+    return tiktoken.Encoding("merges", pat_str=PRE_TOKEN, mergeable_ranks=ids, special_tokens={})
+
+
+def load_vocabulary(path: str) -> Vocabulary:
+    """Read a tokenizer file and prove its whole tokens.
+
+    Merging by ids needs ids in merge order; the file's merge list is checked for that.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    alphabet = byte_alphabet()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ids = {bytes(alphabet[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
+    last = 255
+    for pair in spec["model"]["merges"]:
+        left, right = pair.split(" ") if isinstance(pair, str) else pair
+        made = ids[bytes(alphabet[c] for c in left + right)]
+        if made <= last:
+            raise ValueError("the vocabulary's ids are not in merge order")
+        last = made
+    return Vocabulary(ids, special, prove_whole_tokens(ids))
+
+
+def prove_whole_tokens(ids: dict[bytes, int]) -> dict[str, int]:
     """Vocabulary strings that are text, one pre-token, and merge to exactly their own id."""
-    pattern, proven = regex.compile(PRE_TOKEN), set()
-    for raw in table.ids:
+    pattern, merger, proven = regex.compile(PRE_TOKEN), _merger(ids), {}
+    for raw, i in ids.items():
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if pattern.findall(text) == [text] and table.merge(raw) == [raw]:
-            proven.add(text)
-    return frozenset(proven)
+        if pattern.findall(text) == [text] and merger._encode_single_piece(raw) == [i]:
+            proven[text] = i
+    return proven
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[MergeTable, frozenset[str]]:
-    table = MergeTable(path)
-    return table, prove_whole_tokens(table)
+class Encoder(dict):
+    """Ids of whole texts, as little-endian unsigned 32-bit integers in a byte string.
 
+    Between two single spaces a text's pre-tokens do not depend on what
+    surrounds them, so this dict remembers the ids of each such stretch (with its
+    leading space). A stretch that starts or ends in white space could join a
+    longer run; a text that holds one is split by the full pattern instead.
+    """
 
-class Counted:
-    """Counts a text's tokens: proven pre-tokens directly, the rest by merging, remembered in a bounded memo."""
-
-    def __init__(self, path: str) -> None:
-        self.table, self.whole = _loaded(path)
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.merger = _merger(vocabulary.ids)
         self.pattern = regex.compile(PRE_TOKEN)
-        self.added = regex.compile("|".join(map(regex.escape, sorted(self.table.added, key=len, reverse=True)))) if self.table.added else None
-        self.memo: dict[str, int] = {}
-
-    def _merged(self, word: str) -> int:
-        n = self.memo.get(word)
-        if n is None:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            n = self.memo[word] = len(self.table.merge(word.encode("utf-8")))
-        return n
-
-    def count(self, text: str) -> int:
-        special = 0
-        parts = [text]
-        if self.added is not None and any(a in text for a in self.table.added):
-            special = len(self.added.findall(text))
-            parts = self.added.split(text)
-        total = special
-        for part in parts:
-            pieces = self.pattern.findall(part)
-            rest = [p for p in pieces if p not in self.whole]
-            total += len(pieces) - len(rest)
-            total += sum(self._merged(word) * n for word, n in Counter(rest).items())
-        return total
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+
+    def _pre_token(self, word: str) -> bytes:
+        i = self.vocabulary.whole.get(word)
+        if i is not None:
+            return i.to_bytes(4, "little")
+        return np.array(self.merger._encode_single_piece(word.encode("utf-8")), dtype="<u4").tobytes()
+
+    def _by_pattern(self, text: str) -> bytes:
+        return b"".join(map(self._pre_token, self.pattern.findall(text)))
+
+    def __missing__(self, stretch: str) -> bytes | None:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+            found = _IRREGULAR
+        else:
+            found = self._by_pattern(" " + stretch)
+        if len(stretch) <= 100:
+            self[stretch] = found
+        return found
+
+    def _ordinary(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if not first or first[-1].isspace():
+            return self._by_pattern(text)
+        parts = [self[x] for x in rest]
+        if _IRREGULAR in parts:
+            return self._by_pattern(text)
+        return self._by_pattern(first) + b"".join(parts)
+
+    def encode(self, text: str) -> bytes:
+        if self.special is not None and any(s in text for s in self.vocabulary.special):
+            pieces = self.special.split(text)
+            return b"".join(self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self._ordinary(p) for i, p in enumerate(pieces) if p)
+        return self._ordinary(text)
+
+
+_ENCODER: list[Encoder] = []
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """The worker's encoder for a broadcast vocabulary, with what it remembers from earlier tasks."""
+    if not _ENCODER or _ENCODER[0].vocabulary.ids != vocabulary.ids:
+        _ENCODER[:] = [Encoder(vocabulary)]
+    return _ENCODER[0]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -148,14 +148,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
 
     Null and empty texts have zero bytes and tokens; repeated rows are counted
     row by row; an empty table gives an empty result; other columns are ignored.
-    A narrow map: no shuffle, one batch in memory at a time.
+    A narrow map: no shuffle, one batch in memory at a time. The vocabulary that
+    is broadcast has a fixed size.
     """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = Counted(tokenizer_path)
+        encoder = encoder_of(vocabulary.value)
         for batch in batches:
-            texts = batch.column("text")
-            n = pa.array([counted.count(t.as_py()) for t in texts], pa.int64())
+            n = pa.array([len(encoder.encode(t.as_py())) // 4 for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     sized = text_column(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
