@@ -18,6 +18,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -28,7 +34,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op10_chat_formatting)}
+    return {f.__name__: f for f in (op4_token_counts, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
