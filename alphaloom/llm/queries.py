@@ -12,12 +12,26 @@ from alphaloom.llm._spark import read
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.tokens import token_counts
 
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alphaloom.llm.decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.neardup import near_duplicates
 
@@ -34,7 +48,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
