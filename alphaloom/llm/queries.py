@@ -12,6 +12,12 @@ from alphaloom.llm._spark import read
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), BYTE_BPE, eos_id=2, max_len=1024, keep_ids=False)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.licenses import scan_licenses
 
@@ -48,7 +54,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_license_scan, op4_token_counts, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
