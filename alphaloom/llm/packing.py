@@ -3,8 +3,8 @@
 Packing is decided on the histogram of piece lengths, which has at most
 ``max_len`` entries however large the corpus is. Patterns of one to three
 lengths that fill a sequence exactly are enumerated, their repeat counts are
-fitted to the histogram by non-negative least squares and rounded, and what is
-left over is packed best-fit decreasing. Pieces then find their place by their
+fitted to the histogram by non-negative least squares and rounded down, and what
+is left over is packed best-fit decreasing. Pieces then find their place by their
 running number among the pieces of their length.
 """
 
@@ -109,9 +109,8 @@ def plan_packing(histogram: np.ndarray, max_len: int = MAX_LEN) -> Counter:
     used = np.flatnonzero(fitted > 1e-6)
     columns = {p: Counter(int(v) for v in patterns[p] if v) for p in used.tolist()}
     room = lambda p: min(int(left[v]) // c for v, c in columns[p].items())
-    rounds = [(p, int(fitted[p])) for p in used.tolist()] + [(p, 1) for p in used[np.argsort(-(fitted[used] % 1), kind="stable")].tolist()]
-    for p, wish in rounds:
-        n = min(wish, room(p))
+    for p in used.tolist():
+        n = min(int(fitted[p]), room(p))
         if n > 0:
             for v, c in columns[p].items():
                 left[v] -= n * c
