@@ -30,6 +30,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alphaloom.llm.quality import THRESHOLD, held_out, score_quality, train_ranker
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ranker = train_ranker(docs, labels.where(~held_out()))
+    scored = score_quality(docs, ranker)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -54,7 +65,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_license_scan, op4_token_counts, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
