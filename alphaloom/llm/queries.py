@@ -41,6 +41,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.pii import find_personal_data, train_redactor
+
+    return find_personal_data(read(spark, sf_dir, "documents"), train_redactor())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -65,7 +71,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
