@@ -12,6 +12,16 @@ from alphaloom.llm._spark import read
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from alphaloom.llm.toxicity import score_toxicity, train_chain
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train_chain(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.array_join(F.transform(F.map_values("categories"), lambda p: F.round(p, 4).cast("string")), ",").alias("chain"), "score", "toxic")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.packing import pack
 
@@ -71,7 +81,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
