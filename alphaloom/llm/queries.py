@@ -51,6 +51,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.audio import align, fingerprints, synthesise
+
+    return align(fingerprints(synthesise(read(spark, sf_dir, "embeddings"))), every=20)
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.pii import find_personal_data, train_redactor
 
@@ -81,7 +87,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
 
 
 SQL = {
