@@ -8,8 +8,10 @@ every pair within that distance meets under some key. Whoever meets and passes
 the distance bound on a one-bit sketch is confirmed on the full shingle sets.
 
 Keys are not expanded into all pairs. First every document under a key is tied
-to the key's best-connected document; what then shares a component needs no
-further look, so only pairs of different components that meet are confirmed.
+to the key's best-connected document, its hub, and compared with it on the full
+sets. What then shares a component needs no further look. Two members of one hub
+in different components are compared by their differences from the hub, and
+only what is not near the hub of its key is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -128,16 +130,47 @@ def _near(a: str, b: str, percent: int):
     return (distance <= MAX_DISTANCE) & sizes
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) with both full sets."""
+    return pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+
+
+def _similar(size_a, size_b, apart, percent: int):
+    """Whether sets that differ in ``apart`` elements reach the similarity: 100 inter >= percent union, doubled."""
+    return (size_a + size_b - apart) * 100 >= (size_a + size_b + apart) * percent
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose full sets reach the similarity."""
-    inter = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - inter
-    return (
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .where(inter * 100 >= union * percent)
-        .select("a", "b")
-    )
+    size_a, size_b = F.size("set_a"), F.size("set_b")
+    apart = size_a + size_b - 2 * F.size(F.array_intersect("set_a", "set_b"))
+    return _with_sets(pairs, sets).where(_similar(size_a, size_b, apart, percent)).select("a", "b")
+
+
+def _ties(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, size, delta, linked`` of pairs of a hub ``a`` and a member ``b``: b's set size, its difference from the hub's set, and whether they are similar."""
+    both = _with_sets(stars, sets)
+    delta = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+    sized = both.select("a", "b", F.size("set_a").alias("hub_size"), F.size("set_b").alias("size"), delta.alias("delta"))
+    return sized.select("a", "b", "size", "delta", _similar(F.col("hub_size"), F.col("size"), F.size("delta"), percent).alias("linked"))
+
+
+def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs of two members of one hub that are in different components, at least one of them outside the hub's.
+
+    With both members' differences from the hub at hand, the difference of the
+    members is exact: what only one of the two has. So the full sets, which are
+    mostly the hub's, need not meet; no pair that is not a link leaves the join.
+    """
+    hubs = ties.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("left")).where("n > 1 and left > 0").select("a")
+    rows = ties.join(hubs, "a", "left_semi").join(named.toDF("b", "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
+    u = rows.where("not linked").select("a", F.col("b").alias("u"), F.col("size").alias("su"), F.col("delta").alias("du"), F.col("c").alias("cu"))
+    v = rows.select("a", F.col("b").alias("v"), F.col("size").alias("sv"), F.col("delta").alias("dv"), F.col("c").alias("cv"))
+    least = F.abs(F.size("du") - F.size("dv"))
+    apart = F.size("du") + F.size("dv") - 2 * F.size(F.array_intersect("du", "dv"))
+    su, sv = F.col("su"), F.col("sv")
+    meets = (u["a"] == v["a"]) & (F.col("cu") != F.col("cv")) & _similar(su, sv, least, percent) & _similar(su, sv, apart, percent)
+    return u.join(v, meets).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,29 +236,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = checkpoint(placed.where("me.doc_id <> hub.doc_id").where(_near("me", "hub", percent)).select(F.col("hub.doc_id").alias("a"), F.col("me.doc_id").alias("b")).distinct())
 
     sets = checkpoint(_full_sets(docs, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), width).dropDuplicates(["doc_id"]))
-    first = components(_confirmed(stars, sets, percent))
+    ties = checkpoint(_ties(stars, sets, percent))
+    named = components(ties.where("linked").select("a", "b"))
+    by_delta = checkpoint(_links_by_delta(ties, named, percent))
 
+    member = stars.select(F.col("a").alias("h"), F.col("b").alias("m"), F.lit(True).alias("tied"))
     split = checkpoint(
-        placed.join(first.select(F.col("node").alias("n1"), F.col("component").alias("c1")), F.col("me.doc_id") == F.col("n1"), "left")
+        placed.join(named.toDF("n1", "c1"), F.col("me.doc_id") == F.col("n1"), "left")
         .select("key", "me", F.col("hub.doc_id").alias("hub"), F.coalesce("c1", "me.doc_id").alias("component"))
         .withColumn("hub_component", F.max(F.when(F.col("hub") == F.col("me.doc_id"), F.col("component"))).over(by_key))
         .withColumn("parts", F.min("component").over(by_key) != F.max("component").over(by_key))
         .where("parts")
+        .join(member, (F.col("hub") == F.col("h")) & (F.col("me.doc_id") == F.col("m")), "left")
+        .select("key", "me", "component", "hub_component", (F.col("tied").isNotNull() | (F.col("me.doc_id") == F.col("hub"))).alias("tied"))
+        .withColumn("loose", F.count_if(~F.col("tied")).over(by_key))
+        .where("loose > 0")
     )
-    left = split.where("component <> hub_component").select("key", F.col("me").alias("x"), F.col("component").alias("cx"))
-    right = split.select("key", F.col("me").alias("y"), F.col("component").alias("cy"))
+    left = split.where("component <> hub_component").select("key", F.col("me").alias("x"), F.col("component").alias("cx"), F.col("tied").alias("tx"))
+    right = split.select("key", F.col("me").alias("y"), F.col("component").alias("cy"), F.col("tied").alias("ty"))
     across = checkpoint(
-        left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & _near("x", "y", percent))
+        left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ~(F.col("tx") & F.col("ty")) & _near("x", "y", percent))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         .distinct()
     )
     missing = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
     more = _full_sets(docs, missing, width).dropDuplicates(["doc_id"])
-    named = first.select(F.col("node"), "component")
-    links = _confirmed(across, sets.union(more), percent)
-    lifted = (
-        links.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
+    links = _confirmed(across, sets.union(more), percent).union(by_delta)
+    lifted = links.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = components(lifted)
     final = (
         reps.select("k1", "k2", "n_shingles", "doc_id")
