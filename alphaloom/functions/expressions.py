@@ -16,7 +16,7 @@ def normal_date(value: Column | str) -> Column:
     """
     text = F.trim(F.col(value).cast("string") if isinstance(value, str) else value.cast("string"))
     bare = F.regexp_replace(F.regexp_replace(text, r"^([0-9]+)\.0$", "$1"), "[-/]", "")
-    digits = F.when(bare.rlike("^[0-9]{8}"), F.substring(bare, 1, 8))
+    digits = F.when(bare.rlike("^[0-9]{8}"), bare.substr(1, 8))
     parsed = F.date_format(F.try_to_timestamp(text), "yyyyMMdd")
     candidate = F.coalesce(digits, parsed)
     return F.when(F.try_to_date(candidate, F.lit("yyyyMMdd")).isNotNull(), candidate)
@@ -76,10 +76,13 @@ _TAIL = (
 
 
 def _ratio(pair: tuple, x: str) -> str:
+    def number(c: float) -> str:
+        return repr(c).upper() if "e" in repr(c) else f"{c!r}E0"
+
     def horner(coefficients: tuple) -> str:
-        text = f"{coefficients[-1]!r}E0" if "e" not in repr(coefficients[-1]) else repr(coefficients[-1]).upper()
+        text = number(coefficients[-1])
         for c in reversed(coefficients[:-1]):
-            text = f"(({text}) * ({x}) + {c!r}E0)"
+            text = f"(({text}) * ({x}) + {number(c)})"
         return text
 
     return f"({horner(pair[0])} / {horner(pair[1])})"

@@ -238,7 +238,7 @@ def floor_eigenvalues(covariance: DataFrame, floor: float) -> DataFrame:
         out.index.names = ["factor_a", "factor_b"]
         return out.reset_index()
 
-    return covariance.groupBy(F.lit(1)).applyInPandas(repair, "factor_a string, factor_b string, covariance double")
+    return covariance.groupBy(F.lit("all").alias("matrix")).applyInPandas(repair, "factor_a string, factor_b string, covariance double")
 
 
 def specific_variance(residual: DataFrame, settings: RiskSettings) -> DataFrame:

@@ -104,7 +104,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT x.ticker, coalesce(s.specific_var, i.im, (SELECT median(specific_var) FROM spec)) AS d FROM lastx x JOIN members USING (ticker) LEFT JOIN spec s USING (ticker) "
         "LEFT JOIN (SELECT industry, median(specific_var) AS im FROM spec JOIN members USING (ticker) GROUP BY industry) i USING (industry)",
     ),
-    "grid": (("panel",), "SELECT date, ticker, coalesce(ret, 0.0) AS r FROM (SELECT DISTINCT date FROM panel), (SELECT DISTINCT ticker FROM panel) LEFT JOIN panel USING (date, ticker)"),
+    "grid": (("panel",), "SELECT date, ticker, coalesce(ret, 0.0) AS r FROM (SELECT * FROM (SELECT DISTINCT date FROM panel), (SELECT DISTINCT ticker FROM panel)) LEFT JOIN panel USING (date, ticker)"),
     "rebal": (("bench", "panel"), "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)) WHERE ix % 3 = 0 AND date < (SELECT max(date) FROM panel)"),
     "scored": (("uniform", "bench", "rebal"), "SELECT * FROM uniform JOIN bench USING (date, ticker) JOIN rebal USING (date)"),
     "targets": (
