@@ -213,14 +213,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shingles and link with nothing; shorter texts than ``width`` words have one
     shingle. Rows with equal sets are one class with one representative, so a
     copy held a million times is searched once. Repeated ids come back as often
-    as they stand in ``docs``; an empty table gives an empty result.
+    as they stand in ``docs``; a row without an id links with nothing, has a null
+    component and is kept; an empty table gives an empty result.
 
     Nothing is capped: two sets at the similarity bound miss each other only if
     their signatures differ in more than ``MAX_DISTANCE`` of ``SYMBOLS`` symbols
     (below 3 in 100,000 at 0.8, and falling fast above it).
     """
     signed = checkpoint(signatures(docs, width))
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "s1", "s2", "symbols")).alias("r"))
     reps = checkpoint(classes.select("k1", "k2", "n_shingles", "r.*"))
 
@@ -272,5 +273,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select("k1", "k2", "n_shingles", F.coalesce("c2", "c1").alias("component_id"))
     )
     linked = full.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

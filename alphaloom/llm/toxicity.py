@@ -33,6 +33,8 @@ CATEGORIES = 5
 FOLDS = 4
 RIDGE = 3e-4
 THRESHOLD = 0.5
+#: Log-odds of a target that no training row has.
+NEVER = -10.0
 
 
 def term_ids(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +75,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
     """Ridge logistic regression with a constant, by accelerated gradient steps (their length by power iteration)."""
+    if not np.any(y):
+        return np.append(np.zeros(x.shape[1]), NEVER)
     design = np.column_stack([x, np.ones(len(x))])
     top = np.ones(design.shape[1])
     for _ in range(12):
