@@ -19,7 +19,7 @@ def normal_date(value: Column | str) -> Column:
     digits = F.when(bare.rlike("^[0-9]{8}"), bare.substr(1, 8))
     parsed = F.date_format(F.try_to_timestamp(text), "yyyyMMdd")
     candidate = F.coalesce(digits, parsed)
-    return F.when(F.try_to_date(candidate, F.lit("yyyyMMdd")).isNotNull(), candidate)
+    return F.when(F.try_to_date(candidate, "yyyyMMdd").isNotNull(), candidate)
 
 
 def normal_ticker(value: Column | str) -> Column:
