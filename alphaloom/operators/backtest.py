@@ -66,7 +66,7 @@ def backtest(targets: DataFrame, returns: DataFrame, cost_bps: float, initial: D
     drawdown is measured from a peak that starts at 1.
     """
     days = calendar(returns)
-    held = holdings(targets, returns)
+    held = holdings(targets, returns).persist()
     gross = held.groupBy("portfolio", "start", "date").agg((F.sum("value") / F.sum("weight") - 1).alias("gross_return"))
     moved = turnover(targets, held, days, initial)
     daily = gross.join(moved, ["portfolio", "date"], "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0))).withColumn("transaction_cost", F.col("turnover") * (cost_bps / 10000))
@@ -78,9 +78,10 @@ def backtest(targets: DataFrame, returns: DataFrame, cost_bps: float, initial: D
 
 def relative_to_benchmark(daily: DataFrame, benchmark: str = "benchmark") -> DataFrame:
     """``daily`` with ``benchmark_net_return, active_return, active_nav, active_drawdown`` (null where the benchmark has no row)."""
-    base = daily.where(F.col("portfolio") == benchmark).select("date", F.col("net_return").alias("benchmark_net_return"), F.col("nav").alias("_nav"))
+    day = Window.partitionBy("date")
+    of_benchmark = lambda c: F.max(F.when(F.col("portfolio") == benchmark, F.col(c))).over(day)
     run = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = daily.join(base, "date", "left").withColumn("active_return", F.col("net_return") - F.col("benchmark_net_return")).withColumn("active_nav", F.col("nav") / F.col("_nav"))
+    joined = daily.withColumn("benchmark_net_return", of_benchmark("net_return")).withColumn("_nav", of_benchmark("nav")).withColumn("active_return", F.col("net_return") - F.col("benchmark_net_return")).withColumn("active_nav", F.col("nav") / F.col("_nav"))
     return joined.withColumn("active_drawdown", F.col("active_nav") / F.max("active_nav").over(run) - 1).drop("_nav")
 
 

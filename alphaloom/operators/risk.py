@@ -143,10 +143,10 @@ def exposures(sections: DataFrame, returns: DataFrame, settings: RiskSettings) -
     out = size_exposure(sections, settings)
     if "NLSIZE" in settings.styles:
         out = nlsize_exposure(out, settings)
-    raw = {"BETA": "beta", "RESVOL": "resvol", "MOMENTUM": "momentum"}
+    raw = {"BETA": "_raw_beta", "RESVOL": "_raw_resvol", "MOMENTUM": "_raw_momentum"}
     asked = [s for s in settings.styles if s in raw]
     if asked:
-        history = return_styles(sections, returns, settings)
+        history = return_styles(sections, returns, settings).toDF("date", "ticker", "_raw_beta", "_raw_resvol", "_raw_momentum").persist()
         out = out.join(history, ["date", "ticker"], "left").join(history.select("date").distinct(), "date", "left_semi")
         for style in asked:
             out = standardize_style(out, raw[style], style, settings.return_mad)

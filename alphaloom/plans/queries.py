@@ -153,7 +153,7 @@ def standardized_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(p: DataFrame) -> DataFrame:
-    return risk.response(risk.exposures(_sections(p), source.returns_of(p), SIZE_ONLY), SIZE_ONLY)
+    return risk.response(risk.exposures(_sections(p), source.returns_of(p), SIZE_ONLY), SIZE_ONLY).persist()
 
 
 def factor_returns_market_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _last_model(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _responses(p)
     returns = risk.factor_returns_closed(rows)
     last = rows.join(F.broadcast(rows.agg(F.max("date").alias("date"))), "date")
-    specific = risk.specific_variance(risk.residuals(rows, returns, ("SIZE",)), SIZE_ONLY)
+    specific = risk.specific_variance(risk.residuals(rows, returns.persist(), ("SIZE",)), SIZE_ONLY)
     filled = risk.impute_specific(last.select("ticker"), specific, p.select("ticker", "industry"))
     return risk.long_exposures(last, ("SIZE",)), risk.ewma_covariance(returns, SIZE_ONLY), filled
 
@@ -239,7 +239,7 @@ def targets_of(p: DataFrame) -> DataFrame:
     positive = scored.where("signal_score > 0")
     tilt = positive.select("date", "ticker", F.lit("tilt").alias("portfolio"), (F.col("signal_score") / F.sum("signal_score").over(signal.DAY)).alias("target_weight"))
     bench = b.join(dates, "date").select("date", "ticker", F.lit("benchmark").alias("portfolio"), F.col("benchmark_weight").alias("target_weight"))
-    return equal.union(tilt).union(bench)
+    return equal.union(tilt).union(bench).persist()
 
 
 def _daily(p: DataFrame) -> DataFrame:

@@ -18,7 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``date, ticker, price, ret, cap, prev_cap, industry, prediction, tradable``, one row per month in which a ticker trades."""
+    """``date, ticker, price, ret, cap, prev_cap, industry, prediction, tradable``, one row per month in which a ticker trades.
+
+    The panel is a small fraction of the lines it sums up and every query reads
+    it several times, so it is kept (in memory and on disk) after its first use.
+    """
     lines = read_table(spark, sf_dir, "lineitem")
     supplier, nation = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation")
     cells = (
@@ -36,6 +40,7 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("ret", F.col("price") / F.lag("price").over(by_ticker) - 1)
         .withColumn("prev_cap", F.lag("cap").over(by_ticker))
         .select("date", "ticker", "price", "ret", "cap", "prev_cap", "industry", (-F.col("off") / F.col("n")).alias("prediction"), (F.col("units") >= MIN_UNITS).alias("tradable"))
+        .persist()
     )
 
 
@@ -56,7 +61,7 @@ def benchmark_of(panel: DataFrame) -> DataFrame:
 def dense_returns(panel: DataFrame) -> DataFrame:
     """Returns on the full grid of dates and tickers, zero where a ticker did not trade (for the backtest only)."""
     grid = panel.select("date").distinct().crossJoin(panel.select("ticker").distinct())
-    return grid.join(panel.select("date", "ticker", "ret"), ["date", "ticker"], "left").select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("return"))
+    return grid.join(panel.select("date", "ticker", "ret"), ["date", "ticker"], "left").select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("return")).persist()
 
 
 def industry_history(panel: DataFrame) -> DataFrame:
