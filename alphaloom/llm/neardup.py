@@ -5,7 +5,8 @@ chunks, two signatures that differ in at most ``2 * CHUNKS - 1`` symbols have,
 by pigeonhole, a chunk with at most one differing symbol. Each chunk is
 therefore indexed once for every symbol left out (the allowed chunk error), so
 every pair within that distance meets under some key. Whoever meets and passes
-the distance bound on a one-bit sketch is confirmed on the full shingle sets.
+the distance bound on the symbols' lowest four bits is confirmed on the full
+shingle sets.
 
 Keys are not expanded into all pairs. First every document under a key is tied
 to the key's best-connected document, its hub, and compared with it on the full
@@ -31,6 +32,7 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 _FACTORS = np.random.default_rng(977).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = np.array_split(np.arange(SYMBOLS), CHUNKS)
 _BLOCK = 1024
+_SKETCH = tuple(f"s{i + 1}" for i in range(SYMBOLS // 16))
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -66,13 +68,14 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def _sketch(symbols: np.ndarray) -> list[int]:
-    """The symbols' lowest bits, as two signed longs."""
-    bits = np.packbits((symbols & 1).astype(np.uint8), bitorder="little")
-    return np.concatenate([bits, np.zeros(16 - len(bits), dtype=np.uint8)]).view("<i8").tolist()
+    """The symbols' lowest four bits, as signed longs of sixteen symbols each."""
+    low = (symbols & 15).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).view("<i8").tolist()
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, s1, s2, symbols``: set size, 128-bit set key, sketch and signature of every text."""
+    """``doc_id, n_shingles, k1, k2, s1 to s6, symbols``: set size, 128-bit set key, sketch and signature of every text."""
+    width_of_row = 3 + len(_SKETCH)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,12 +87,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         key = np.array([np.add.reduce(mix(own)), np.bitwise_xor.reduce(mix(own + np.uint64(77)))], dtype=np.uint64).view(np.int64)
                         rows.append((len(own), *key.tolist(), *_sketch(symbols), symbols.tobytes()))
                     else:
-                        rows.append((0, 0, 0, 0, 0, None))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_shingles", "k1", "k2", "s1", "s2", "symbols"])
+                        rows.append((*[0] * width_of_row, None))
+            columns = list(zip(*rows, strict=True)) or [()] * (width_of_row + 1)
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * width_of_row + [pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_shingles", "k1", "k2", *_SKETCH, "symbols"])
 
-    return text_column(docs).mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, s1 long, s2 long, symbols binary")
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "k1", "k2", *_SKETCH))
+    return text_column(docs).mapInArrow(sign, f"{longs}, symbols binary")
 
 
 def _index(reps: DataFrame) -> DataFrame:
@@ -124,8 +128,15 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _near(a: str, b: str, percent: int):
-    """What any true pair passes: sketches differ in no more bits than symbols may, and sizes allow the similarity."""
-    distance = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+    """What any true pair passes: sketches differ in no more places than symbols may, and sizes allow the similarity."""
+
+    def differing(s: str):
+        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    distance = sum((differing(s) for s in _SKETCH[1:]), differing(_SKETCH[0]))
     sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * percent
     return (distance <= MAX_DISTANCE) & sizes
 
@@ -222,19 +233,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     signed = checkpoint(signatures(docs, width))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "s1", "s2", "symbols")).alias("r"))
+    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", *_SKETCH, "symbols")).alias("r"))
     reps = checkpoint(classes.select("k1", "k2", "n_shingles", "r.*"))
 
     by_key, by_doc = Window.partitionBy("key"), Window.partitionBy("doc_id")
     met = checkpoint(_index(reps).withColumn("size", F.count("*").over(by_key)).where("size > 1"))
-    traits = reps.select("doc_id", "s1", "s2", "n_shingles")
+    traits = reps.select("doc_id", *_SKETCH, "n_shingles")
     placed = checkpoint(
         met.withColumn("degree", F.sum("size").over(by_doc))
         .join(traits, "doc_id")
-        .select("key", F.struct("degree", F.negative("doc_id").alias("order"), "doc_id", "s1", "s2", "n_shingles").alias("me"))
+        .select("key", F.struct("degree", F.negative("doc_id").alias("order"), "doc_id", *_SKETCH, "n_shingles").alias("me"))
         .withColumn("hub", F.max("me").over(by_key))
+        .select("key", F.struct(*(F.col(f"me.{c}") for c in ("doc_id", *_SKETCH, "n_shingles"))).alias("me"), F.col("hub.doc_id").alias("hub"), _near("me", "hub", percent).alias("near"))
     )
-    stars = checkpoint(placed.where("me.doc_id <> hub.doc_id").where(_near("me", "hub", percent)).select(F.col("hub.doc_id").alias("a"), F.col("me.doc_id").alias("b")).distinct())
+    stars = checkpoint(placed.where("me.doc_id <> hub and near").select(F.col("hub").alias("a"), F.col("me.doc_id").alias("b")).distinct())
 
     sets = checkpoint(_full_sets(docs, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), width).dropDuplicates(["doc_id"]))
     ties = checkpoint(_ties(stars, sets, percent))
@@ -244,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     member = stars.select(F.col("a").alias("h"), F.col("b").alias("m"), F.lit(True).alias("tied"))
     split = checkpoint(
         placed.join(named.toDF("n1", "c1"), F.col("me.doc_id") == F.col("n1"), "left")
-        .select("key", "me", F.col("hub.doc_id").alias("hub"), F.coalesce("c1", "me.doc_id").alias("component"))
+        .select("key", "me", "hub", F.coalesce("c1", "me.doc_id").alias("component"))
         .withColumn("hub_component", F.max(F.when(F.col("hub") == F.col("me.doc_id"), F.col("component"))).over(by_key))
         .withColumn("parts", F.min("component").over(by_key) != F.max("component").over(by_key))
         .where("parts")
