@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from alphaloom.errors import RiskError
 from alphaloom.functions.expressions import clipped
 from alphaloom.operators.calendar import calendar
-from alphaloom.operators.signal import with_mad
-
-DAY = Window.partitionBy("date")
+from alphaloom.operators.signal import day, with_mad
 
 
 @dataclass(frozen=True)
@@ -70,12 +68,12 @@ def cross_sections(returns: DataFrame, caps: DataFrame, settings: RiskSettings,
     rows = returns.join(days, "date").join(caps.where("cap > 0").select(F.col("date").alias("exposure_date"), "ticker", "cap"), ["exposure_date", "ticker"])
     if industries is not None:
         rows = rows.join(industries.select(F.col("date").alias("exposure_date"), "ticker", "industry"), ["exposure_date", "ticker"])
-    return rows.withColumn("_n", F.count("*").over(DAY)).where(F.col("_n") >= settings.minimum_assets).drop("_n")
+    return rows.withColumn("_n", F.count("*").over(day())).where(F.col("_n") >= settings.minimum_assets).drop("_n")
 
 
 def _standardized(value: str, weight: str) -> Column:
-    mean = F.sum(F.col(value) * F.col(weight)).over(DAY) / F.sum(weight).over(DAY)
-    variance = F.sum(F.col(weight) * F.pow(F.col(value), 2)).over(DAY) / F.sum(weight).over(DAY) - mean * mean
+    mean = F.sum(F.col(value) * F.col(weight)).over(day()) / F.sum(weight).over(day())
+    variance = F.sum(F.col(weight) * F.pow(F.col(value), 2)).over(day()) / F.sum(weight).over(day()) - mean * mean
     return F.when(variance > 1e-18, (F.col(value) - mean) / F.sqrt(variance))
 
 
@@ -88,7 +86,7 @@ def size_exposure(sections: DataFrame, settings: RiskSettings) -> DataFrame:
 
 def standardize_style(rows: DataFrame, value: str, name: str, multiple: float) -> DataFrame:
     """``rows`` with ``name``: missing values take the date's median, then MAD clip and weighted standard score; null on a date with fewer than two values."""
-    filled = rows.withColumn("_n", F.count(value).over(DAY)).withColumn("_fill", F.coalesce(F.col(value), F.median(value).over(DAY)))
+    filled = rows.withColumn("_n", F.count(value).over(day())).withColumn("_fill", F.coalesce(F.col(value), F.median(value).over(day())))
     cut = with_mad(filled, "_fill", "_median", "_mad").withColumn("_cut", clipped("_fill", "_median", "_mad", multiple))
     return cut.withColumn(name, F.when(F.col("_n") >= 2, _standardized("_cut", "weight"))).drop("_n", "_fill", "_median", "_mad", "_cut")
 
@@ -96,10 +94,10 @@ def standardize_style(rows: DataFrame, value: str, name: str, multiple: float) -
 def nlsize_exposure(sized: DataFrame, settings: RiskSettings) -> DataFrame:
     """``sized`` with ``NLSIZE``: the residual of SIZE cubed on a constant and SIZE (closed form), clipped and standardised."""
     w, x = F.col("weight"), F.col("SIZE")
-    total, mean_x, mean_y = F.sum(w).over(DAY), F.sum(w * x).over(DAY) / F.sum(w).over(DAY), F.sum(w * F.pow(x, 3)).over(DAY) / F.sum(w).over(DAY)
+    total, mean_x, mean_y = F.sum(w).over(day()), F.sum(w * x).over(day()) / F.sum(w).over(day()), F.sum(w * F.pow(x, 3)).over(day()) / F.sum(w).over(day())
     moments = sized.withColumn("_mx", mean_x).withColumn("_my", mean_y)
     dx, dy = F.col("SIZE") - F.col("_mx"), F.pow("SIZE", 3) - F.col("_my")
-    slope = F.sum(w * dx * dy).over(DAY) / F.sum(w * dx * dx).over(DAY)
+    slope = F.sum(w * dx * dy).over(day()) / F.sum(w * dx * dx).over(day())
     return standardize_style(moments.withColumn("_res", dy - slope * dx), "_res", "NLSIZE", settings.size_mad).drop("_mx", "_my", "_res")
 
 
@@ -118,7 +116,7 @@ def return_styles(sections: DataFrame, returns: DataFrame, settings: RiskSetting
     back = F.sequence(F.greatest(F.col("k") - (settings.style_lookback - 1), F.lit(0)), F.col("k"))
     numbered = returns.join(F.broadcast(days), "date").select("ticker", "ix", F.col("return").alias("r"))
     history = keyed.withColumn("ix", F.explode(back)).join(numbered, ["ticker", "ix"])
-    market = history.groupBy("date", "ix").agg(F.avg("r").alias("m")).withColumn("c", F.col("m") - F.avg("m").over(DAY))
+    market = history.groupBy("date", "ix").agg(F.avg("r").alias("m")).withColumn("c", F.col("m") - F.avg("m").over(day()))
     rows = history.join(market, ["date", "ix"])
     recent = (F.col("ix") <= F.col("k") - settings.momentum_skip) & (F.col("r") > -1)
     sums = rows.groupBy("date", "ticker").agg(

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import average_rank, clipped, inverse_normal_sql
 
-DAY = Window.partitionBy("date")
+
+def day() -> WindowSpec:
+    """All rows of a date; made when asked for, as a window needs a running session."""
+    return Window.partitionBy("date")
 
 
 def with_mad(table: DataFrame, value: str, median: str = "median", mad: str = "mad") -> DataFrame:
     """``table`` with the date's median of ``value`` and the median absolute deviation from it."""
-    return table.withColumn(median, F.median(value).over(DAY)).withColumn(mad, F.median(F.abs(F.col(value) - F.col(median))).over(DAY))
+    return table.withColumn(median, F.median(value).over(day())).withColumn(mad, F.median(F.abs(F.col(value) - F.col(median))).over(day()))
 
 
 def winsorize(signal: DataFrame, multiple: float, higher_is_better: bool = True) -> DataFrame:
@@ -30,7 +33,7 @@ def calibrate(signal: DataFrame, transform: str = "uniform", power: float = 1.0,
     is centred by date and, with ``zscore``, divided by its population deviation.
     A date without variation has null scores.
     """
-    ranked = winsorize(signal, multiple, higher_is_better).withColumn("rank", average_rank("winsorized", ["date"])).withColumn("n", F.count("*").over(DAY))
+    ranked = winsorize(signal, multiple, higher_is_better).withColumn("rank", average_rank("winsorized", ["date"])).withColumn("n", F.count("*").over(day()))
     position = (F.col("rank") - 0.5) / F.col("n")
     if transform == "uniform":
         raw = F.col("rank") / F.col("n")
@@ -41,8 +44,8 @@ def calibrate(signal: DataFrame, transform: str = "uniform", power: float = 1.0,
         raw = F.signum(position - 0.5) * F.pow(F.abs(position - 0.5), F.lit(power))
     else:
         raise ValueError(f"unknown rank transform {transform!r}")
-    scored = ranked.withColumn("raw", raw).withColumn("centred", F.col("raw") - F.avg("raw").over(DAY))
-    deviation = F.stddev_pop("centred").over(DAY)
+    scored = ranked.withColumn("raw", raw).withColumn("centred", F.col("raw") - F.avg("raw").over(day()))
+    deviation = F.stddev_pop("centred").over(day())
     score = F.when(deviation > 1e-12, F.col("centred") / deviation if zscore else F.col("centred"))
     return scored.withColumn("signal_score", score).select("date", "ticker", F.col("prediction").alias("raw_prediction"), "signal_score", (F.col("signal_score") * scale).alias("expected_return"))
 
@@ -59,13 +62,13 @@ def top_candidates(signal: DataFrame, count: int, eligible: DataFrame | None = N
     if eligible is not None:
         signal = signal.join(eligible.where("tradable").select("date", "ticker"), ["date", "ticker"], "left_semi")
     best = F.col("prediction").desc() if higher_is_better else F.col("prediction").asc()
-    return signal.withColumn("place", F.row_number().over(DAY.orderBy(best, F.col("ticker").asc()))).where(F.col("place") <= count).select("date", "ticker", "prediction", "place")
+    return signal.withColumn("place", F.row_number().over(day().orderBy(best, F.col("ticker").asc()))).where(F.col("place") <= count).select("date", "ticker", "prediction", "place")
 
 
 def equal_weight_baseline(scores: DataFrame, top_n: int) -> DataFrame:
     """``date, ticker, target_weight``: the ``top_n`` best scores (or all, if fewer) in equal parts, ties by ticker."""
-    order = DAY.orderBy(F.col("signal_score").desc(), F.col("ticker").asc())
-    placed = scores.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(DAY)).where(F.col("place") <= top_n)
+    order = day().orderBy(F.col("signal_score").desc(), F.col("ticker").asc())
+    placed = scores.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(day())).where(F.col("place") <= top_n)
     return placed.select("date", "ticker", (1.0 / F.least(F.lit(top_n), F.col("n"))).alias("target_weight"))
 
 

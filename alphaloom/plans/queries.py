@@ -237,7 +237,7 @@ def targets_of(p: DataFrame) -> DataFrame:
     scored = signal.calibrate(_signal(p)).join(b, ["date", "ticker"]).join(dates, "date")
     equal = signal.equal_weight_baseline(scored, TOP_N).select("date", "ticker", F.lit("equal_weight_signal").alias("portfolio"), "target_weight")
     positive = scored.where("signal_score > 0")
-    tilt = positive.select("date", "ticker", F.lit("tilt").alias("portfolio"), (F.col("signal_score") / F.sum("signal_score").over(signal.DAY)).alias("target_weight"))
+    tilt = positive.select("date", "ticker", F.lit("tilt").alias("portfolio"), (F.col("signal_score") / F.sum("signal_score").over(signal.day())).alias("target_weight"))
     bench = b.join(dates, "date").select("date", "ticker", F.lit("benchmark").alias("portfolio"), F.col("benchmark_weight").alias("target_weight"))
     return equal.union(tilt).union(bench).persist()
 
