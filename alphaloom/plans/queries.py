@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import normal_date, normal_ticker, truth
-from alphaloom.operators import adapters, backtest, calendar, constraints, industry, risk, signal
+from alphaloom.operators import adapters, backtest, calendar, constraints, industry, optimize, risk, signal
 from alphaloom.sources import panel as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,6 +286,32 @@ def industry_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, "portfolio_exposure", "benchmark_exposure", "active_exposure", "lower_slack", "upper_slack").drop("binding")
 
 
+def _problems(p: DataFrame) -> DataFrame:
+    """The optimiser's names on rebalance dates: a market loading of 1, specific variance of the last two years' returns, SIZE as the ranged exposure."""
+    b = source.benchmark_of(p)
+    scored = signal.calibrate(_signal(p)).select("date", "ticker", F.col("signal_score").alias("score"))
+    past = Window.partitionBy("ticker").orderBy("date").rowsBetween(-24, Window.currentRow)
+    own = p.select("date", "ticker", "tradable", F.coalesce(F.var_samp("ret").over(past), F.lit(0.04)).alias("specific_var"), F.ln("cap").alias("size"))
+    candidates = _candidates(p).select("date", "ticker", F.lit(True).alias("is_candidate"))
+    sized = (F.col("size") - F.avg("size").over(signal.day())) / F.stddev_samp("size").over(signal.day())
+    return (
+        b.join(F.broadcast(calendar.rebalance_dates(b, EVERY)), "date").join(scored, ["date", "ticker"]).join(own, ["date", "ticker"]).join(candidates, ["date", "ticker"], "left")
+        .select(
+            "date", F.lit("optimized").alias("variant"), "ticker", F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("benchmark_weight") / F.sum("benchmark_weight").over(signal.day())).alias("benchmark_weight"),
+            F.lit(None).cast("double").alias("current_weight"), "tradable", F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"), F.greatest("specific_var", F.lit(1e-4)).alias("specific_var"),
+            F.array(F.lit(1.0)).alias("loadings"), F.array(F.lit(0.002)).alias("half_loadings"), F.array(F.coalesce(sized, F.lit(0.0))).alias("exposures"),
+        )
+    )
+
+
+LIMITS = optimize.Limits(max_weight=1.0, max_active=0.12, tracking_error=0.05, ranges=((-0.2, 0.2),))
+
+
+def optimized_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score-maximising weights under tracking-error, stock and SIZE limits on every third month."""
+    return _round(optimize.optimize(_problems(source.market_panel(spark, sf_dir)), LIMITS), "target_weight")
+
+
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = source.read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"), F.concat(F.lit(" "), (F.col("l_suppkey") * 1.0).cast("string"), F.lit(" ")).alias("t"), F.upper("l_linestatus").alias("s")
@@ -298,7 +324,7 @@ QUERIES: tuple[Query, ...] = (
     calibrate_uniform, calibrate_power, calibrate_normal, mad_winsorize, signal_summary, top_candidates, rebalance_calendar, signal_quality, benchmark_renormalize, benchmark_excluded,
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
-    equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, normalize_keys,
+    equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
 )
 
 
