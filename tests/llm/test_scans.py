@@ -49,6 +49,61 @@ def test_license_cases(spark):
     assert got[6].labels == "" and 0 < got[6].score < 0.5
 
 
+def test_long_templates_survive_words_put_in_or_left_out(spark):
+    cases = []
+    for number, (label, text) in enumerate(licenses.TEMPLATES):
+        held = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(text))
+        if len(held) > licenses.SHORT_WORDS:
+            for i in range(len(held) + 1):
+                changes = [held[:i] + held[i + 1 :]] + [held[:i] + [f"x{j}" for j in range(n)] + held[i:] for n in (1, 5, 20)]
+                cases += [(len(cases) + k, label, number, len(held) - 2, "head " + " ".join(c) + " tail") for k, c in enumerate(changes)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(c[0], c[4]) for c in cases], "doc_id long, text string")).collect()}
+    assert len(got) == len(cases) > 1000
+    missed = [(label, text) for i, label, _, _, text in cases if label not in got[i].labels.split(",")]
+    assert not missed, (len(missed), missed[:2])
+    # one word left out loses three k-grams, words put in lose two
+    assert all(got[i].score >= (n - 3) / n - 1e-9 for i, _, _, n, _ in cases)
+
+
+def _longest_in_order(held, words):
+    """Most 3-grams of ``held`` that stand in ``words`` in order, by the textbook table."""
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    a, b = grams(held), grams(words)
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, g in enumerate(a):
+        for j, h in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if g == h else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_license_chains_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    label, text = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    held = re.findall(r"[a-z0-9]+", text.lower())
+    cases = []
+    for i in range(120):
+        words = list(held)
+        for _ in range(rng.integers(1, 7)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 4))] = ["of", "the", "software", "x", "y"][: rng.integers(0, 6)]
+        cases.append((i, words))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, " ".join(w)) for i, w in cases], "doc_id long, text string")).collect()}
+    n = len(held) - 2
+    for i, words in cases:
+        most = _longest_in_order(held, words)
+        assert got[i].score >= most / n - 1e-9 and (label in got[i].labels.split(",")) == (most >= licenses.MIN_COVERAGE * n)
+
+
+def test_license_copies_in_a_row_are_told_apart(spark):
+    label, text = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    held = re.findall(r"[a-z0-9]+", text.lower())
+    words = held + ["between"] + held[:40] + ["x"] * 30 + held[40:] + held[:-12]
+    r = licenses.scan_licenses(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).collect()[0]
+    spans = [(s.first, s.end) for s in r.spans if s.label == label]
+    n = len(held)
+    assert spans[:2] == [(0, n), (n + 1, 2 * n + 31)] and len(spans) == 3 and spans[2] == (2 * n + 31, len(words)) and r.score == 1
+
+
 def test_license_scan_of_awkward_rows(spark):
     got = licenses.scan_licenses(awkward(spark)).collect()
     assert len(got) == 10 and sum(r.doc_id == 4 for r in got) == 2
