@@ -3,26 +3,30 @@
 A recording's frames are reduced to the energy of the twelve pitch classes.
 Rectangle filters over an integral image of frames and pitch classes, each
 quantised to two bits in Gray code, pack into one 32-bit integer per frame.
-Recordings are aligned by joining integers, taking the offset at which most
-agree, and counting the differing bits of the overlap there.
+Recordings are aligned by integers that differ in two bits at most: each offset at
+which enough of them meet is judged by the differing bits of the overlap there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm._spark import checkpoint
 
 RATE, FRAME, HOP = 4096, 1024, 512
 LOWEST_HZ, HIGHEST_HZ = 110.0, 1760.0
-#: A match holds so many agreeing integers, overlap and share of differing bits.
+#: A match holds so many agreeing integers (up to ``NEAR_BITS`` differing bits), overlap and share of differing bits.
 MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERROR = 3, 12, 0.2
+NEAR_BITS = 2
 SPAN = 8
+#: Queries and recordings that meet in one task, and pairs of frames that it holds at once.
+QUERY_BLOCK, RECORDING_BLOCK, HELD = 1024, 16384, 4_000_000
 
 #: The sixteen filters by rule: widths 2, 4, 8 frames and two pitch bands each way; kind 0 compares
 #: halves in pitch, 1 halves in time, 2 the quadrants crosswise, 3 the inner with the outer thirds.
@@ -130,6 +134,113 @@ def synthesise(embeddings: DataFrame) -> DataFrame:
     return ids.mapInArrow(play, "media_id long, pcm binary")
 
 
+#: All masks of up to ``NEAR_BITS`` bits.
+_MASKS = np.array([sum(1 << b for b in bits) for n in range(NEAR_BITS + 1) for bits in combinations(range(32), n)], dtype=np.uint32)
+
+
+class _Prints:
+    """Recordings end to end: ids, prints, bounds of each, and the audible frames in order of recording."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.ids = table.column("class_id").to_numpy()
+        self.members = table.column("members").to_numpy()
+        parts = [np.frombuffer(b, dtype="<u4") for b in table.column("prints").to_pylist()]
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        self.prints = np.concatenate([np.zeros(0, dtype="<u4"), *parts])
+        self.heard = np.flatnonzero(np.frombuffer(b"".join(table.column("sounds").to_pylist()), dtype=np.uint8))
+        self.starts = np.searchsorted(self.heard, self.bounds)
+
+
+def _slot(prints: np.ndarray) -> np.ndarray:
+    return (prints * np.uint32(2654435761)) >> np.uint32(9)
+
+
+def _met(q: _Prints, q0: int, q1: int, r: _Prints, r0: int, r1: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, recording and offset wherever at least ``MIN_VOTES`` frames of ``q[q0:q1]`` and ``r[r0:r1]`` are near."""
+    own, at, n = np.unique(q.prints[q.heard[q.starts[q0] : q.starts[q1]]], return_inverse=True, return_counts=True)
+    theirs, at_theirs, n_theirs = np.unique(r.prints[r.heard[r.starts[r0] : r.starts[r1]]], return_inverse=True, return_counts=True)
+    if not len(own) or not len(theirs):
+        return
+    filled = np.zeros(1 << 23, dtype=bool)
+    filled[_slot(theirs)] = True
+    left, right = [], []
+    for mask in _MASKS:
+        flipped = own ^ mask
+        maybe = np.flatnonzero(filled[_slot(flipped)])
+        place = np.minimum(np.searchsorted(theirs, flipped[maybe]), len(theirs) - 1)
+        hit = theirs[place] == flipped[maybe]
+        left.append(maybe[hit])
+        right.append(place[hit])
+    u, v = np.concatenate(left), np.concatenate(right)
+    many = n[u] * n_theirs[v]
+    if many.sum() > HELD and (q1 - q0 > 1 or r1 - r0 > 1):
+        if q1 - q0 > 1:
+            middle = (q0 + q1) // 2
+            yield from _met(q, q0, middle, r, r0, r1)
+            yield from _met(q, middle, q1, r, r0, r1)
+        else:
+            middle = (r0 + r1) // 2
+            yield from _met(q, q0, q1, r, r0, middle)
+            yield from _met(q, q0, q1, r, middle, r1)
+        return
+    # every frame that holds the one print against every frame that holds the other
+    pair = np.repeat(np.arange(len(u)), many)
+    k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+    held, held_theirs = np.argsort(at, kind="stable"), np.argsort(at_theirs, kind="stable")
+    width = n_theirs[v][pair]
+    fq = q.heard[q.starts[q0] + held[(np.cumsum(n) - n)[u][pair] + k // width]]
+    fr = r.heard[r.starts[r0] + held_theirs[(np.cumsum(n_theirs) - n_theirs)[v][pair] + k % width]]
+    i, j = np.searchsorted(q.bounds, fq, "right") - 1, np.searchsorted(r.bounds, fr, "right") - 1
+    offset = (fr - r.bounds[j]) - (fq - q.bounds[i])
+    low = offset.min(initial=0)
+    reach = int(offset.max(initial=0) - low) + 1
+    code, votes = np.unique(((i - q0) * (r1 - r0) + (j - r0)) * reach + (offset - low), return_counts=True)
+    code = code[votes >= MIN_VOTES]
+    both = code // reach
+    yield q0 + both // (r1 - r0), r0 + both % (r1 - r0), code % reach + low
+
+
+def _compared(queries: pa.Table, recordings: pa.Table) -> pa.Table:
+    """``q, r, offset, members, error`` of the pairs that match, each at its offset of least bit error."""
+    q, r = _Prints(queries), _Prints(recordings)
+    out = []
+    for first in range(0, len(q.ids), 64):
+        for i, j, offset in _met(q, first, min(first + 64, len(q.ids)), r, 0, len(r.ids)):
+            start = np.maximum(0, -offset)
+            overlap = np.minimum(np.diff(q.bounds)[i], np.diff(r.bounds)[j] - offset) - start
+            ok = (overlap >= MIN_OVERLAP) & (q.ids[i] != r.ids[j])
+            i, j, offset, start, overlap = i[ok], j[ok], offset[ok], start[ok], overlap[ok]
+            error = np.zeros(len(i))
+            for cut in range(0, len(i), 1 << 16):
+                part = slice(cut, cut + (1 << 16))
+                ends = np.cumsum(overlap[part])
+                k = np.arange(ends[-1]) - np.repeat(ends - overlap[part], overlap[part])
+                bits = np.bitwise_count(
+                    q.prints[np.repeat(q.bounds[i[part]] + start[part], overlap[part]) + k] ^ r.prints[np.repeat(r.bounds[j[part]] + start[part] + offset[part], overlap[part]) + k]
+                )
+                error[part] = np.add.reduceat(bits.astype(np.int64), ends - overlap[part]) / (32.0 * overlap[part])
+            order = np.lexsort((offset, np.abs(offset), error, j, i))
+            order = order[error[order] <= MAX_BIT_ERROR]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+            best = order[new]
+            out.append(pa.table({"q": q.ids[i[best]], "r": r.ids[j[best]], "offset": offset[best].astype(np.int32), "members": r.members[j[best]], "error": error[best]}))
+    none = pa.table({c: pa.array([], t) for c, t in (("q", pa.int64()), ("r", pa.int64()), ("offset", pa.int32()), ("members", pa.int64()), ("error", pa.float64()))})
+    return pa.concat_tables([none, *out])
+
+
+def _packed(reps: DataFrame) -> DataFrame:
+    """``prints`` as four bytes and ``sounds`` as one byte a frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [np.array(x, dtype="<u4").tobytes() for x in batch.column("prints").to_pylist()]
+            sounds = [np.array(x, dtype=np.uint8).tobytes() for x in batch.column("sounds").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("members"), batch.column("asked"), pa.array(prints, pa.binary()), pa.array(sounds, pa.binary())], ["class_id", "members", "asked", "prints", "sounds"])
+
+    return reps.select("class_id", "members", "asked", "prints", "sounds").mapInArrow(run, "class_id long, members long, asked boolean, prints binary, sounds binary")
+
+
 def align(media_prints: DataFrame, every: int = 20) -> DataFrame:
     """``media_id, class_id, n_prints, is_query, n_links, best_id, best_offset, best_bit_error``, one row per recording.
 
@@ -138,30 +249,26 @@ def align(media_prints: DataFrame, every: int = 20) -> DataFrame:
     an id divisible by ``every``; ``n_links`` counts the other recordings that
     match (class members included; null for others than queries) and ``best``
     is the closest other class: its id, how many frames later the query's music
-    stands in it, and the share of bits that differ there. Silent frames are
-    not indexed. Empty or too short recordings match nothing.
+    stands in it, and the share of bits that differ there. Silent frames do not
+    vote. Empty or too short recordings match nothing.
+
+    Blocks of queries meet blocks of recordings, each pair of blocks in one
+    task, so votes are counted where they arise and only matches leave it.
     """
     prints = checkpoint(media_prints)
     key = F.md5(F.array_join("prints", ",").cast("binary"))
     keyed = prints.select("media_id", key.alias("key"), F.size("prints").alias("n_prints"))
     classes = checkpoint(keyed.groupBy("key").agg(F.min("media_id").alias("class_id"), F.count("*").alias("members"), F.max(F.col("media_id") % every == 0).alias("asked")))
     reps = prints.join(classes.select(F.col("class_id").alias("media_id"), "members", "asked"), "media_id").dropDuplicates(["media_id"])
-    reps = checkpoint(reps.select(F.col("media_id").alias("class_id"), "members", "asked", "prints", "sounds"))
-
-    framed = reps.select("class_id", "asked", "sounds", F.posexplode("prints").alias("frame", "print")).where(F.get("sounds", F.col("frame"))).select("class_id", "asked", "frame", "print")
-    # a print and the next one, so that chance agreement is rare
-    order = Window.partitionBy("class_id").orderBy("frame")
-    seeds = framed.withColumn("next", F.lead("print").over(order)).where("next is not null").withColumn("seed", F.xxhash64("print", "next"))
-    queries = seeds.where("asked").select(F.col("class_id").alias("q"), F.col("frame").alias("fq"), "seed")
-    others = seeds.select(F.col("class_id").alias("r"), F.col("frame").alias("fr"), "seed")
-    voted = queries.join(others, "seed").where("q <> r").groupBy("q", "r", (F.col("fr") - F.col("fq")).alias("offset")).agg(F.count("*").alias("votes"))
-    peaks = voted.groupBy("q", "r").agg(F.max(F.struct("votes", F.negative("offset").alias("near"), "offset")).alias("top")).where(F.col("top.votes") >= MIN_VOTES)
-    sides = peaks.select("q", "r", "top.offset").join(reps.select(F.col("class_id").alias("q"), F.col("prints").alias("pq")), "q").join(reps.select(F.col("class_id").alias("r"), F.col("prints").alias("pr"), "members"), "r")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    overlap = F.least(F.size("pq"), F.size("pr") - F.col("offset")) - start
-    cut = lambda c, at: F.slice(c, at + 1, F.greatest(overlap, F.lit(0)))
-    bits = F.aggregate(F.zip_with(cut("pq", start), cut("pr", start + F.col("offset")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
-    matched = sides.where(overlap >= MIN_OVERLAP).select("q", "r", "offset", "members", (bits / (32.0 * overlap)).alias("error")).where(F.col("error") <= MAX_BIT_ERROR)
+    reps = checkpoint(_packed(reps.withColumnRenamed("media_id", "class_id")))
+
+    sizes = reps.agg(F.count_if("asked").alias("queries"), F.count("*").alias("recordings")).first()
+    n_q, n_r = -(-sizes["queries"] // QUERY_BLOCK), -(-sizes["recordings"] // RECORDING_BLOCK)
+    block = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(max(n, 1)))
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<long>"))
+    queries = reps.where("asked").select(block(n_q).alias("qb"), every_block(n_r).alias("rb"), "class_id", "members", "prints", "sounds")
+    others = reps.select(every_block(n_q).alias("qb"), block(n_r).alias("rb"), "class_id", "members", "prints", "sounds")
+    matched = queries.groupBy("qb", "rb").cogroup(others.groupBy("qb", "rb")).applyInArrow(_compared, "q long, r long, offset int, members long, error double")
     best = matched.groupBy("q").agg(F.sum("members").alias("links"), F.min(F.struct("error", "r", "offset")).alias("best"))
     joined = keyed.join(classes, "key").join(best, F.col("class_id") == F.col("q"), "left")
     return joined.select(

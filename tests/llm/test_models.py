@@ -160,6 +160,43 @@ def test_audio_query_links_equal_brute_force(spark, small):
         assert {r.n_links for r in got if r.class_id == q} == {links}
 
 
+def test_audio_recall_of_true_bit_error(spark):
+    """Noisy copies, and copies that start part of a hop later, against the bit error at every offset."""
+    rng = np.random.default_rng(12)
+    sets = [("noise", x) for x in (0.3, 0.45, 0.6)] + [("late", x) for x in (1 / 8, 1 / 4, 3 / 8)]
+    media, prints = [], {}
+    for n in range(25 * len(sets)):
+        kind, by = sets[n % len(sets)]
+        tune = _melody(rng, 64)
+        copy = tune + by * rng.standard_normal(len(tune)) if kind == "noise" else np.concatenate([np.zeros(int(audio.HOP * (4 + by))), tune])
+        for media_id, x in ((20 * n, tune), (20 * n + 1, copy)):
+            raw = (np.clip(x, -1, 1) * 12000).astype("<i2")
+            media.append((media_id, raw.tobytes()))
+            prints[media_id] = audio.fingerprint(audio.chroma(raw / 32768))[0]
+    got = {r.media_id: r for r in audio.align(audio.fingerprints(spark.createDataFrame(media, "media_id long, pcm binary"))).collect()}
+    true, found = Counter(), Counter()
+    for n in range(25 * len(sets)):
+        a, b = prints[20 * n], prints[20 * n + 1]
+        errors = []
+        for o in range(audio.MIN_OVERLAP - len(a), len(b) - audio.MIN_OVERLAP + 1):
+            x, y = max(0, -o), min(len(a), len(b) - o)
+            if y - x >= audio.MIN_OVERLAP:
+                errors.append((int(np.bitwise_count(a[x:y] ^ b[x + o : y + o]).sum()) / 32 / (y - x), o))
+        if min(errors)[0] <= audio.MAX_BIT_ERROR:
+            true[sets[n % len(sets)]] += 1
+            r = got[20 * n]
+            found[sets[n % len(sets)]] += (r.best_id, r.best_offset, r.best_bit_error) == (20 * n + 1, min(errors)[1], round(min(errors)[0], 6))
+    assert true.total() > 120 and all(found[k] >= 0.9 * true[k] for k in true), (true, found)
+
+
+def test_audio_blocks_change_nothing(spark, small, monkeypatch):
+    prints = audio.fingerprints(audio.synthesise(spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 200")))
+    whole = sorted(map(tuple, audio.align(prints, every=2).collect()), key=str)
+    monkeypatch.setattr(audio, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(audio, "RECORDING_BLOCK", 70)
+    assert sorted(map(tuple, audio.align(prints, every=2).collect()), key=str) == whole
+
+
 def test_pipeline_stages_hold_what_they_promise(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
