@@ -87,12 +87,12 @@ def _candidates(p: DataFrame) -> DataFrame:
 
 def optimizer_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source.market_panel(spark, sf_dir)
-    return signal.optimizer_universe(_candidates(p), source.benchmark_of(p).where("benchmark_weight > 0.02"))
+    return signal.optimizer_universe(_candidates(p), source.benchmark_of(p))
 
 
 def coverage_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source.market_panel(spark, sf_dir)
-    b = source.benchmark_of(p).where("benchmark_weight > 0.02")
+    b = source.benchmark_of(p).where("benchmark_weight > 0")
     return adapters.coverage_by_date(_signal(p), _candidates(p), b, signal.optimizer_universe(_candidates(p), b))
 
 
