@@ -249,13 +249,20 @@ def specific_variance(residual: DataFrame, settings: RiskSettings) -> DataFrame:
     return kept.crossJoin(middle).select("ticker", F.greatest((1 - s) * F.col("v") + s * F.col("middle"), F.lit(settings.specific_floor)).alias("specific_var"), "observations")
 
 
-def impute_specific(targets: DataFrame, specific: DataFrame, members: DataFrame) -> DataFrame:
-    """``ticker, specific_var, imputed`` for ``targets``: own value, else the industry's median, else the global median."""
+def impute_specific(targets: DataFrame, specific: DataFrame, members: DataFrame, settings: RiskSettings) -> DataFrame:
+    """``ticker, specific_var, imputed`` for ``targets``: own value, else the industry's median, else the global median.
+
+    The imputed share is worked out at once; beyond ``max_imputed`` it is an error.
+    """
     rated = members.select("ticker", "industry").distinct().join(specific, "ticker")
     by_industry = F.broadcast(rated.groupBy("industry").agg(F.median("specific_var").alias("im")))
     overall = F.broadcast(specific.agg(F.median("specific_var").alias("gm")))
     own = targets.select("ticker").distinct().join(members.select("ticker", "industry").distinct(), "ticker", "left").join(specific.select("ticker", "specific_var"), "ticker", "left")
-    return own.join(by_industry, "industry", "left").crossJoin(overall).select("ticker", F.coalesce("specific_var", "im", "gm").alias("specific_var"), F.col("specific_var").isNull().alias("imputed"))
+    filled = own.join(by_industry, "industry", "left").crossJoin(overall).select("ticker", F.coalesce("specific_var", "im", "gm").alias("specific_var"), F.col("specific_var").isNull().alias("imputed")).persist()
+    share = filled.agg(F.avg(F.col("imputed").cast("int"))).first()[0] or 0.0
+    if share > settings.max_imputed:
+        raise RiskError(f"specific variance is imputed for {share:.2%} of the names; the limit is {settings.max_imputed:.2%}")
+    return filled
 
 
 def asset_covariance(exposure: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> DataFrame:

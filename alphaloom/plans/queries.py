@@ -195,7 +195,7 @@ def specific_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def specific_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source.market_panel(spark, sf_dir)
     known = _specific(p).where(F.substring("ticker", -1, 1) != "7")
-    return _round(risk.impute_specific(p.select("ticker"), known, p.select("ticker", "industry")), "specific_var")
+    return _round(risk.impute_specific(p.select("ticker"), known, p.select("ticker", "industry"), SIZE_ONLY), "specific_var")
 
 
 def _last_model(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,7 +204,7 @@ def _last_model(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     returns = risk.factor_returns_closed(rows)
     last = rows.join(F.broadcast(rows.agg(F.max("date").alias("date"))), "date")
     specific = risk.specific_variance(risk.residuals(rows, returns.persist(), ("SIZE",)), SIZE_ONLY)
-    filled = risk.impute_specific(last.select("ticker"), specific, p.select("ticker", "industry"))
+    filled = risk.impute_specific(last.select("ticker"), specific, p.select("ticker", "industry"), SIZE_ONLY)
     return risk.long_exposures(last, ("SIZE",)), risk.ewma_covariance(returns, SIZE_ONLY), filled
 
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from alphaloom.errors import InputError
+from alphaloom.errors import InputError, RiskError
 from alphaloom.functions.expressions import normal_date, normal_ticker
 from alphaloom.operators import adapters, backtest, guards, risk, signal
 from alphaloom.plans import oracle, queries
@@ -95,3 +95,18 @@ def test_universe_holds_every_positive_benchmark_name(spark, name):
         wanted = connection.execute(oracle.oracle_sql()[name].replace("benchmark_weight > 0.02", "benchmark_weight > 0"))
         columns = [c[0] for c in wanted.description]
         assert _plain(found.collect(), found.columns) == _plain(wanted.fetchall(), columns)
+
+
+def test_too_many_imputed_names_are_an_error(spark):
+    names = spark.createDataFrame([(f"T{i}", "A") for i in range(10)], "ticker string, industry string")
+    known = lambda n: spark.createDataFrame([(f"T{i}", 0.01 * (i + 1)) for i in range(n)], "ticker string, specific_var double")
+    filled = {r.ticker: r for r in risk.impute_specific(names, known(8), names, risk.RiskSettings()).collect()}
+    assert filled["T9"].imputed and filled["T9"].specific_var == pytest.approx(0.045) and sum(r.imputed for r in filled.values()) == 2
+    with pytest.raises(RiskError, match="30.00%"):
+        risk.impute_specific(names, known(7), names, risk.RiskSettings())
+    assert risk.impute_specific(names, known(7), names, risk.RiskSettings(max_imputed=0.3)).count() == 10
+
+
+@pytest.mark.parametrize("name", ["specific_impute", "portfolio_risk"])
+def test_imputing_queries_equal_their_sql(spark, small, name):
+    test_query_equals_its_sql(spark, small, name)
