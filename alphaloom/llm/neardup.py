@@ -4,15 +4,13 @@ A signature has ``SYMBOLS`` MinHash values of 16 bits. Cut into ``CHUNKS``
 chunks, two signatures that differ in at most ``2 * CHUNKS - 1`` symbols have,
 by pigeonhole, a chunk with at most one differing symbol. Each chunk is
 therefore indexed once for every symbol left out (the allowed chunk error), so
-every pair within that distance meets under some key. Whoever meets and passes
-the distance bound on the symbols' lowest four bits is confirmed on the full
-shingle sets.
-
-Keys are not expanded into all pairs. First every document under a key is tied
-to the key's best-connected document, its hub, and compared with it on the full
-sets. What then shares a component needs no further look. Two members of one hub
-in different components are compared by their differences from the hub, and
-only what is not near the hub of its key is compared pair by pair.
+every pair within that distance meets under some key.
+
+Keys are not expanded into all pairs. Every document under a key is tied to the
+key's best-connected document, its hub, and compared with it on the full sets.
+What then shares a component needs no further look. Two other members of one hub
+are similar or not by how far their differences from the hub differ; these pairs
+come from an exact prefix filter on the differences (``_links_by_delta``).
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm._spark import checkpoint, text_column
@@ -32,7 +30,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 _FACTORS = np.random.default_rng(977).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = np.array_split(np.arange(SYMBOLS), CHUNKS)
 _BLOCK = 1024
-_SKETCH = tuple(f"s{i + 1}" for i in range(SYMBOLS // 16))
+#: Candidate documents up to which their ids are broadcast to the texts (8 MB of ids); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -67,37 +66,29 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def _sketch(symbols: np.ndarray) -> list[int]:
-    """The symbols' lowest four bits, as signed longs of sixteen symbols each."""
-    low = (symbols & 15).astype(np.uint8)
-    return (low[0::2] | low[1::2] << 4).view("<i8").tolist()
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit key of a non-empty set."""
+    return tuple(np.array([np.add.reduce(mix(shingles)), np.bitwise_xor.reduce(mix(shingles + np.uint64(77)))], dtype=np.uint64).view(np.int64).tolist())
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, s1 to s6, symbols``: set size, 128-bit set key, sketch and signature of every text."""
-    width_of_row = 3 + len(_SKETCH)
+    """``doc_id, n_shingles, k1, k2, symbols``: set size, set key and signature of every text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for chunk in chunks(batch.column("text")):
                 for own in shingle_sets(split_words(chunk, SPACES), width):
-                    if len(own):
-                        symbols = signature(own)
-                        key = np.array([np.add.reduce(mix(own)), np.bitwise_xor.reduce(mix(own + np.uint64(77)))], dtype=np.uint64).view(np.int64)
-                        rows.append((len(own), *key.tolist(), *_sketch(symbols), symbols.tobytes()))
-                    else:
-                        rows.append((*[0] * width_of_row, None))
-            columns = list(zip(*rows, strict=True)) or [()] * (width_of_row + 1)
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * width_of_row + [pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_shingles", "k1", "k2", *_SKETCH, "symbols"])
+                    rows.append((len(own), *set_key(own), signature(own).tobytes()) if len(own) else (0, 0, 0, None))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_shingles", "k1", "k2", "symbols"])
 
-    longs = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "k1", "k2", *_SKETCH))
-    return text_column(docs).mapInArrow(sign, f"{longs}, symbols binary")
+    return text_column(docs).mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long, symbols binary")
 
 
 def _index(reps: DataFrame) -> DataFrame:
-    """``key, doc_id`` of every representative."""
+    """``key, node`` of every representative."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,45 +96,41 @@ def _index(reps: DataFrame) -> DataFrame:
                 part = batch.slice(i, 2048)
                 symbols = np.frombuffer(b"".join(part.column("symbols").to_pylist()), dtype="<u2").reshape(-1, SYMBOLS)
                 keys = chunk_keys(symbols).view(np.int64)
-                ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+                nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes, pa.int64())], ["key", "node"])
+
+    return reps.select("node", "symbols").mapInArrow(expand, "key long, node long")
+
 
-    return reps.select("doc_id", "symbols").mapInArrow(expand, "key long, doc_id long")
+def _stars(reps: DataFrame) -> DataFrame:
+    """``a, b``: every node ``b`` that shares a key with others, tied to the hub ``a`` of that key.
+
+    Counts, degrees and hubs are combined before they are shuffled; no key's
+    rows meet in one task other than as a skewed join's, which is split.
+    """
+    sizes = _index(reps).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = checkpoint(_index(reps).join(sizes, "key"))
+    degrees = met.groupBy("node").agg(F.sum("size").alias("degree"))
+    hubs = met.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", F.negative("node").alias("order"), "node")).alias("hub"))
+    return met.join(hubs.select("key", F.col("hub.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles`` of the documents in ``ids``, computed anew from their texts."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of the classes ``wanted`` (``node, doc_id, k1, k2``), computed anew from their representatives' texts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
+            at, (nodes, first, second) = 0, (batch.column(c).to_pylist() for c in ("node", "k1", "k2"))
             for chunk in chunks(batch.column("text")):
-                sets = list(shingle_sets(split_words(chunk, SPACES), width))
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sets)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "shingles"])
+                sets = list(enumerate(shingle_sets(split_words(chunk, SPACES), width), at))
+                own = [(i, s) for i, s in sets if len(s) and set_key(s) == (first[i], second[i])]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in own])]).astype(np.int32)
+                flat = np.concatenate([s for _, s in own]).view(np.int64) if own else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in own], pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["node", "shingles"])
                 at += len(sets)
 
-    return text_column(docs).join(ids, "doc_id", "left_semi").mapInArrow(build, "doc_id long, shingles array<long>")
-
-
-def _near(a: str, b: str, percent: int):
-    """What any true pair passes: sketches differ in no more places than symbols may, and sizes allow the similarity."""
-
-    def differing(s: str):
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    distance = sum((differing(s) for s in _SKETCH[1:]), differing(_SKETCH[0]))
-    sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * percent
-    return (distance <= MAX_DISTANCE) & sizes
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) with both full sets."""
-    return pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    few = wanted.count() <= BROADCAST_IDS
+    return text_column(docs).join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "k1", "k2", "text").mapInArrow(build, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _similar(size_a, size_b, apart, percent: int):
@@ -151,37 +138,95 @@ def _similar(size_a, size_b, apart, percent: int):
     return (size_a + size_b - apart) * 100 >= (size_a + size_b + apart) * percent
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets reach the similarity."""
-    size_a, size_b = F.size("set_a"), F.size("set_b")
-    apart = size_a + size_b - 2 * F.size(F.array_intersect("set_a", "set_b"))
-    return _with_sets(pairs, sets).where(_similar(size_a, size_b, apart, percent)).select("a", "b")
-
-
 def _ties(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, size, delta, linked`` of pairs of a hub ``a`` and a member ``b``: b's set size, its difference from the hub's set, and whether they are similar."""
-    both = _with_sets(stars, sets)
+    """``a, b, hub_size, size, delta, linked`` of pairs of a hub ``a`` and a member ``b``: set sizes, what only one of the two has, and whether they are similar."""
+    both = stars.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     delta = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
     sized = both.select("a", "b", F.size("set_a").alias("hub_size"), F.size("set_b").alias("size"), delta.alias("delta"))
-    return sized.select("a", "b", "size", "delta", _similar(F.col("hub_size"), F.col("size"), F.size("delta"), percent).alias("linked"))
+    return sized.withColumn("linked", _similar(F.col("hub_size"), F.col("size"), F.size("delta"), percent))
 
 
-def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Similar pairs of two members of one hub that are in different components, at least one of them outside the hub's.
+def _weight_class(weight: Column, step: Column) -> Column:
+    """Classes of a weight: linear up to 32 steps, beyond that sixteen to every doubling."""
+    x = weight / step
+    return F.when(x <= 32, F.floor(x)).otherwise(32 + F.floor(16 * F.log2(x / 32))).cast("long")
+
 
-    With both members' differences from the hub at hand, the difference of the
-    members is exact: what only one of the two has. So the full sets, which are
-    mostly the hub's, need not meet; no pair that is not a link leaves the join.
+def _least_weight(of_class: Column, step: Column) -> Column:
+    """A lower bound of the weights in a class."""
+    return F.when(of_class <= 32, of_class * step).otherwise(F.floor(32 * F.pow(F.lit(2.0), (of_class - 32) / 16) * step * (1 - 1e-9)) - 1)
+
+
+def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between members of one hub that join up components which the hub's own links leave apart.
+
+    Sets u, v are similar when what only one of them has, |u xor v|, is at most
+    ``(100 - percent) / (100 + percent)`` of their sizes' sum. With du, dv their
+    differences from any common centre, |u xor v| = |du| + |dv| - 2 |du & dv|. A
+    weight w(u) = (100 + percent) |du| - (100 - percent) size(u) for each set
+    then says it all: u and v are similar exactly when they share at least
+    (w(u) + w(v)) / (2 (100 + percent)) elements of their differences.
+
+    * If w(u) + w(v) <= 0 they are similar whatever they share. Both are then
+      similar to the hub's member of least weight, and are linked to that.
+    * Otherwise both hold one element among the rarest |du| - shared + 1 and
+      |dv| - shared + 1 of their differences (prefix filter). As the count
+      to share depends on the partner, each set is entered once for each class of
+      partners' weights, with as many elements as that class asks for.
+
+    Tables of one row a hub are written before they meet a hub's members, so
+    that joins on a large hub can be split or broadcast at run time. Elements of one set only meet nothing and are left out, but take their place
+    in the prefix. The centre is the hub with the elements that most of its
+    members differ in turned over, so a template's members differ from it by
+    their own edits, which are rare, and few pairs meet that are no links.
     """
-    hubs = ties.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("left")).where("n > 1 and left > 0").select("a")
-    rows = ties.join(hubs, "a", "left_semi").join(named.toDF("b", "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
-    u = rows.where("not linked").select("a", F.col("b").alias("u"), F.col("size").alias("su"), F.col("delta").alias("du"), F.col("c").alias("cu"))
-    v = rows.select("a", F.col("b").alias("v"), F.col("size").alias("sv"), F.col("delta").alias("dv"), F.col("c").alias("cv"))
-    least = F.abs(F.size("du") - F.size("dv"))
-    apart = F.size("du") + F.size("dv") - 2 * F.size(F.array_intersect("du", "dv"))
-    su, sv = F.col("su"), F.col("sv")
-    meets = (u["a"] == v["a"]) & (F.col("cu") != F.col("cv")) & _similar(su, sv, least, percent) & _similar(su, sv, apart, percent)
-    return u.join(v, meets).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    total, gap = 100 + percent, 100 - percent
+    members = ties.select("a", "b", "hub_size", "size", "delta")
+    hubs = ties.groupBy("a").agg(F.first("hub_size").alias("hub_size"))
+    members = members.union(hubs.select("a", F.col("a").alias("b"), "hub_size", F.col("hub_size").alias("size"), F.array().cast("array<bigint>").alias("delta")))
+    members = members.join(named.toDF("b", "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
+    torn = members.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a", "n")
+    members = checkpoint(members.join(checkpoint(torn), "a"))
+
+    often = members.select("a", "n", F.explode("delta").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+    turned = often.where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("turned"))
+    none = F.array().cast("array<bigint>")
+    apart = members.join(checkpoint(turned), "a", "left").withColumn("turned", F.coalesce("turned", none))
+    apart = apart.withColumn("delta", F.concat(F.array_except("delta", "turned"), F.array_except("turned", "delta")))
+    apart = apart.withColumn("weight", F.size("delta") * total - F.col("size") * gap).withColumn("step", F.greatest(F.lit(2), F.col("hub_size") / 32).cast("long") * total)
+    apart = checkpoint(apart.select("a", "b", "c", "size", "delta", "weight", "step", _weight_class(F.col("weight"), F.col("step")).alias("of")))
+
+    least = checkpoint(apart.groupBy("a").agg(F.min(F.struct("weight", "b", "c")).alias("least"), F.collect_set("of").alias("classes")))
+    certain = apart.join(least, "a").where("weight + least.weight <= 0 and c <> least.c").select(F.col("least.b").alias("a"), "b")
+
+    elements = apart.select("a", "b", F.explode("delta").alias("e"))
+    shared = elements.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1")
+    ordered = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
+
+    def asked(other: Column) -> Column:
+        share = F.greatest(F.lit(1), F.ceil((F.col("weight") + _least_weight(other, F.col("step"))) / (2 * total)))
+        return F.struct(other.alias("class"), (F.size("shared") - share + 1).cast("int").alias("take"))
+
+    entered = (
+        apart.join(least.select("a", "classes"), "a")
+        .select("a", "b", "c", "weight", "step", "of", "classes")
+        .join(ordered, ["a", "b"])
+        .select("a", "b", "c", "of", "shared", F.explode(F.filter(F.transform("classes", asked), lambda x: x["take"] > 0)).alias("x"))
+        .select("a", F.least("of", "x.class").alias("lower"), F.greatest("of", "x.class").alias("upper"), "of", "b", "c", F.explode(F.slice("shared", F.lit(1), F.col("x.take"))).alias("e"))
+        .withColumn("e", F.col("e.e"))
+    )
+    entered = checkpoint(entered)
+    by = ["a", "lower", "upper", "e"]
+    live = entered.groupBy(by).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("of").alias("o1"), F.max("of").alias("o2"))
+    entered = entered.join(live.where("c1 <> c2 and (lower = upper or o1 <> o2)").select(by), by)
+    u = entered.where("of = lower").withColumnsRenamed({"b": "u", "c": "cu"}).drop("of")
+    v = entered.where("of = upper").withColumnsRenamed({"b": "v", "c": "cv"}).drop("of")
+    met = u.join(v, by).where("cu <> cv and (lower <> upper or u < v)").select("a", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    met = met.groupBy("u", "v").agg(F.min("a").alias("a"))
+    own = apart.select("a", "b", "size", "delta")
+    sized = met.join(own.toDF("a", "u", "su", "du"), ["a", "u"]).join(own.toDF("a", "v", "sv", "dv"), ["a", "v"])
+    differ = F.size("du") + F.size("dv") - 2 * F.size(F.array_intersect("du", "dv"))
+    return sized.where(_similar(F.col("su"), F.col("sv"), differ, percent)).select(F.col("u").alias("a"), F.col("v").alias("b")).union(certain)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,63 +272,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     as they stand in ``docs``; a row without an id links with nothing, has a null
     component and is kept; an empty table gives an empty result.
 
+    An id that stands for different texts stands for each of them: its rows
+    keep their own sets and components, named by the smallest id reached. Very
+    long texts are hashed whole, chunk by chunk; only sets of candidates are
+    shuffled.
+
     Nothing is capped: two sets at the similarity bound miss each other only if
     their signatures differ in more than ``MAX_DISTANCE`` of ``SYMBOLS`` symbols
-    (below 3 in 100,000 at 0.8, and falling fast above it).
+    (below 3 in 100,000 at 0.8, and falling fast above it) and no third set links them.
     """
     signed = checkpoint(signatures(docs, width))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", *_SKETCH, "symbols")).alias("r"))
-    reps = checkpoint(classes.select("k1", "k2", "n_shingles", "r.*"))
-
-    by_key, by_doc = Window.partitionBy("key"), Window.partitionBy("doc_id")
-    met = checkpoint(_index(reps).withColumn("size", F.count("*").over(by_key)).where("size > 1"))
-    traits = reps.select("doc_id", *_SKETCH, "n_shingles")
-    placed = checkpoint(
-        met.withColumn("degree", F.sum("size").over(by_doc))
-        .join(traits, "doc_id")
-        .select("key", F.struct("degree", F.negative("doc_id").alias("order"), "doc_id", *_SKETCH, "n_shingles").alias("me"))
-        .withColumn("hub", F.max("me").over(by_key))
-        .select("key", F.struct(*(F.col(f"me.{c}") for c in ("doc_id", *_SKETCH, "n_shingles"))).alias("me"), F.col("hub.doc_id").alias("hub"), _near("me", "hub", percent).alias("near"))
-    )
-    stars = checkpoint(placed.where("me.doc_id <> hub and near").select(F.col("hub").alias("a"), F.col("me.doc_id").alias("b")).distinct())
+    same = ["k1", "k2", "n_shingles"]
+    classes = checkpoint(full.groupBy(same).agg(F.min(F.struct("doc_id", "symbols")).alias("r")).select(*same, "r.*"))
+    reps = classes.withColumn("node", F.monotonically_increasing_id())
 
-    sets = checkpoint(_full_sets(docs, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), width).dropDuplicates(["doc_id"]))
+    stars = checkpoint(_stars(reps))
+    needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sets = checkpoint(_full_sets(docs, checkpoint(reps.join(needed, "node").select("node", "doc_id", "k1", "k2")), width))
     ties = checkpoint(_ties(stars, sets, percent))
     named = components(ties.where("linked").select("a", "b"))
-    by_delta = checkpoint(_links_by_delta(ties, named, percent))
-
-    member = stars.select(F.col("a").alias("h"), F.col("b").alias("m"), F.lit(True).alias("tied"))
-    split = checkpoint(
-        placed.join(named.toDF("n1", "c1"), F.col("me.doc_id") == F.col("n1"), "left")
-        .select("key", "me", "hub", F.coalesce("c1", "me.doc_id").alias("component"))
-        .withColumn("hub_component", F.max(F.when(F.col("hub") == F.col("me.doc_id"), F.col("component"))).over(by_key))
-        .withColumn("parts", F.min("component").over(by_key) != F.max("component").over(by_key))
-        .where("parts")
-        .join(member, (F.col("hub") == F.col("h")) & (F.col("me.doc_id") == F.col("m")), "left")
-        .select("key", "me", "component", "hub_component", (F.col("tied").isNotNull() | (F.col("me.doc_id") == F.col("hub"))).alias("tied"))
-        .withColumn("loose", F.count_if(~F.col("tied")).over(by_key))
-        .where("loose > 0")
-    )
-    left = split.where("component <> hub_component").select("key", F.col("me").alias("x"), F.col("component").alias("cx"), F.col("tied").alias("tx"))
-    right = split.select("key", F.col("me").alias("y"), F.col("component").alias("cy"), F.col("tied").alias("ty"))
-    across = checkpoint(
-        left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ~(F.col("tx") & F.col("ty")) & _near("x", "y", percent))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .distinct()
-    )
-    missing = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
-    more = _full_sets(docs, missing, width).dropDuplicates(["doc_id"])
-    links = _confirmed(across, sets.union(more), percent).union(by_delta)
-    lifted = links.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(lifted)
-    final = (
-        reps.select("k1", "k2", "n_shingles", "doc_id")
-        .join(named.toDF("doc_id", "c1"), "doc_id", "left")
-        .withColumn("c1", F.coalesce("c1", "doc_id"))
-        .join(second.toDF("c1", "c2"), "c1", "left")
-        .select("k1", "k2", "n_shingles", F.coalesce("c2", "c1").alias("component_id"))
-    )
-    linked = full.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    more = _links_by_delta(ties, named, percent)
+    lifted = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    final = named.toDF("node", "c").join(components(lifted).toDF("c", "c2"), "c", "full").select(F.coalesce("node", "c").alias("node"), F.coalesce("c2", "c").alias("c"))
+    found = reps.select(*same, "node", "doc_id").join(final, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    least = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    linked = full.select("doc_id", *same).join(found.join(least, "c").select(*same, "component_id"), same).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

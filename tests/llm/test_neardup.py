@@ -74,6 +74,61 @@ def test_hard_groups_equal_brute_force(spark, seed):
     assert _check(pdf, neardup.near_duplicates(docs, 2), 2)
 
 
+@pytest.mark.parametrize(("seed", "vocabulary", "edits"), [(5, 5000, 16), (6, 60, 12), (7, 5000, 9)])
+def test_large_group_of_near_copies_equals_brute_force(spark, seed, vocabulary, edits):
+    """Copies of two templates with up to so many edits: most pairs meet in the index, many of them just under the bound."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for template in rng.integers(0, 5000, (2, 120)):
+        for _ in range(170):
+            words = [f"t{w}" for w in template]
+            for at in rng.integers(0, len(words), int(rng.integers(0, edits + 1))):
+                words[at] = f"e{rng.integers(vocabulary)}"
+            rows.append((len(rows) * 11 % 3571, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pdf = __import__("pandas").DataFrame(rows, columns=["doc_id", "text"])
+    assert _check(pdf, neardup.near_duplicates(docs, 2), 2)
+
+
+def test_links_by_delta_equal_all_pairs(spark):
+    """Without a single link of the hub's own, the differences alone find every pair of members at the bound or above."""
+    rng = np.random.default_rng(11)
+    base = np.arange(90)
+    sets = {0: set(base.tolist())}
+    for i in range(1, 220):
+        own = rng.choice(base, int(rng.integers(50, 90)), replace=False).tolist() if i % 3 else sorted(sets[i - 1])[: int(rng.integers(40, 90))]
+        sets[i] = set(own) | set(rng.integers(1000, 1400, int(rng.integers(0, 25))).tolist())
+    ties = spark.createDataFrame([(0, i, 90, len(s), sorted(s ^ sets[0])) for i, s in sets.items() if i], "a long, b long, hub_size int, size int, delta array<long>")
+    links = {(min(r), max(r)) for r in map(tuple, neardup._links_by_delta(ties, spark.createDataFrame([], "node long, component long"), 80).collect())}
+    similar = {(i, j) for i, j in combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links <= similar and len(similar) > 20
+    assert _roots(links, sets) == _roots(similar, sets)
+
+
+def _roots(links, nodes):
+    name = {i: i for i in nodes}
+    for _ in nodes:
+        before = dict(name)
+        for a, b in links:
+            name[a] = name[b] = min(name[a], name[b])
+        if name == before:
+            break
+    return name
+
+
+def test_two_texts_of_one_id_keep_their_own_sets(spark):
+    docs = spark.createDataFrame([(5, "a b c d"), (5, "p q r s t"), (3, "p q r s t"), (9, "a b c d"), (5, "a b c d")], "doc_id long, text string")
+    got = sorted(map(tuple, neardup.near_duplicates(docs, 2).collect()))
+    assert got == [(3, 4, 3, True), (5, 3, 5, True), (5, 3, 5, True), (5, 4, 3, False), (9, 3, 5, False)]
+
+
+def test_ids_by_shuffle_or_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    rows = [(i, f"w{i // 3} " + " ".join(f"x{i // 3}y{j}" for j in range(40)) + (" z" if i % 3 else "")) for i in range(30)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 3 for i in range(30)}
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(2)
     pairs = {tuple(sorted(map(int, rng.integers(0, 400, 2)))) for _ in range(260)} | {(i, i + 1) for i in range(500, 560)}
