@@ -1,10 +1,17 @@
 """Personal data by candidate gradient boosting.
 
-High-recall generators propose overlapping spans of each kind: what the exact
-rules of the kind find, and looser forms of it. Boosted trees judge a candidate
-by its format and its surroundings, and a span is redacted if its probability
-reaches the threshold calibrated for its kind. Spans that the exact rules accept
-always stay.
+High-recall generators propose spans of each kind that may overlap each other
+and what the exact rules of the kinds find: obfuscated and spaced addresses,
+dotted quads in brackets, digit groups under other separators, long mixed
+strings and assigned values. Boosted trees judge every proposal by its format
+and its surroundings, and it is redacted if its probability reaches the
+threshold calibrated for its kind on documents held out from the fit. Spans that
+the exact rules accept always stay.
+
+The trees learn from a bounded sample of the corpus (``TRAINING_DOCS``
+documents): exact spans where they stand, the same places with the span written
+in an obfuscated form, invented data and look-alikes set into its prose, and the
+corpus's own look-alikes that break a rule no true span breaks.
 """
 
 from __future__ import annotations
@@ -22,10 +29,14 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm._boost import Boosted, fit_boosted
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the exact rules, and those with the method's own.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Calibration: least precision on held-out examples, and the threshold's lower bound.
 PRECISION, LEAST_THRESHOLD = 0.995, 0.6
-EXAMPLES = 6000
+#: Bounds of the sample that the trees learn from: documents, places taken from one document, and examples made.
+TRAINING_DOCS, PLACES, EXAMPLES = 2000, 6, 9000
+BEFORE, AFTER = 48, 24
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,20 +45,25 @@ _NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Looser generators, by kind.
+#: Looser generators, by kind; an e-mail address is found from its at sign, see ``_loose_emails``.
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:\[at\]|\(at\)|\{at\}|\s[Aa][Tt]\s|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\s[Dd][Oo][Tt]\s)\s?[A-Za-z]{2,24}){1,3}"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\s?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9]{4}(?:[./_  ‐-―][0-9]{4}){3}"),
+    "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\s?[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9]{4}(?:[./_  ‐-― -]{1,2}[0-9]{4}){3}|[0-9]{4}[./_ -][0-9]{6}[./_ -][0-9]{5}|[0-9]{13,19}"),
     "phone": re.compile(r"(?:\([0-9]{2,5}\)[\x20.-]?[0-9]{2,4}|00[0-9]{1,3}[\x20.-][0-9]{2,4}|0?[0-9]{2,4}[\x20./-][0-9]{3,4})(?:[\x20./-][0-9]{2,5}){1,3}"),
+    "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,200}"),
 }
+_AT = re.compile(r"\s?(?:\[at\]|\(at\)|\{at\}|\s[Aa][Tt]\s|@)\s?")
+_BEFORE_AT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
+_AFTER_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\s[Dd][Oo][Tt]\s)\s?[A-Za-z]{2,24}){1,3}")
+_ASSIGNED = re.compile(r"(?:pass(?:word|wd)?|pwd|secret|token|key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?([^\s\"']{6,64})", re.IGNORECASE)
 _HINTS = {
     "email": ("mail", "contact", "write", "reach", "kontakt", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "adresse", "login"),
     "card": ("card", "visa", "pay", "kart", "carte", "tarjeta", "account"),
+    "secret": ("token", "secret", "key", "password", "passwd", "bearer", "auth", "credential"),
     "phone": ("phone", "tel", "call", "fax", "mobil", "whatsapp", "llam", "appel", "ruf"),
 }
-_AGAINST = ("version", "isbn", "order", "page", "article", "section", "part", "ref", "id", "build", "no.", "date", "figure")
+_AGAINST = ("version", "isbn", "order", "page", "article", "section", "part", "ref", "id", "build", "no.", "date", "figure", "sha", "md5", "commit", "hash", "uuid", "checksum", "etag", "digest")
 
 
 def luhn(digits: str) -> bool:
@@ -119,21 +135,29 @@ def _ordered(spans) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _loose_emails(text: str) -> Iterator[tuple[str, int, int]]:
+    for at in _AT.finditer(text):
+        user = _BEFORE_AT.search(text[max(0, at.start() - 64) : at.start()])
+        domain = _AFTER_AT.match(text, at.end()) if user else None
+        if domain:
+            yield "email", at.start() - len(user.group()), domain.end()
+
+
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
-    """Candidates of the looser generators; they may overlap each other and the exact spans."""
-    found = []
-    digits = _has_digit(text)
-    for kind, pattern in _LOOSE.items():
-        if digits if kind != "email" else _maybe_email(text):
-            found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    return found
+    """Distinct candidates of the looser generators; they may overlap each other and the exact spans."""
+    found = list(_loose_emails(text))
+    if _has_digit(text):
+        for kind, pattern in _LOOSE.items():
+            found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if kind != "secret" or _mixed(m.group())]
+    found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
+    return _ordered(set(found))
 
 
-_AT_FORM = re.compile(r"@|[\[({]at[\])}]|\s[Dd][Oo][Tt]\s|[\[({]dot[\])}]")
+def _mixed(span: str) -> bool:
+    return _has_digit(span) and any(c.isalpha() for c in span)
 
 
-def _maybe_email(text: str) -> bool:
-    return _AT_FORM.search(text) is not None
+_SPACED_DOT = re.compile(r"\.\s|\s\.")
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -145,6 +169,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     parts = [p for p in re.split(r"[^0-9A-Za-z]+", span) if p]
     groups = [len(p) for p in parts]
     letters = sum(c.isalpha() for c in span)
+    last = before.rstrip(" \"'")[-1:]
     return [
         KINDS.index(kind),
         len(span),
@@ -171,6 +196,14 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(h in after for h in _HINTS[kind])),
         float(bool(re.search(r"\b(at|dot)\b", span.lower()))),
         sum(p.lower() in ("at", "dot") for p in parts),
+        float(last == "="),
+        float(last == ":"),
+        float(prev in ("'", '"') and prev != ""),
+        len(set(span)) / max(1, len(span)),
+        float(all(c in "0123456789abcdef" for c in span.lower())),
+        sum(c.isupper() for c in span),
+        sum(span[i].isdigit() != span[i - 1].isdigit() for i in range(1, len(span))),
+        len(_SPACED_DOT.findall(span)),
     ]
 
 
@@ -182,19 +215,23 @@ class Redactor:
     thresholds: tuple[float, ...]
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-        """Exact spans, and all accepted spans: exact ones, then by falling probability what overlaps none accepted before."""
+        """Exact spans, and all accepted spans.
+
+        Every proposal that no exact span covers is judged, those that overlap
+        one too. Accepted ones are taken by falling probability (ties: from the
+        left), each unless it overlaps one taken before; exact spans stay.
+        """
         base = base_spans(text)
         loose = loose_spans(text)
-        if not loose:
-            return base, base
-        marked = bytearray(len(text))
-        for _, start, end in base:
-            marked[start:end] = b"\x01" * (end - start)
-        loose = [c for c in loose if marked.find(1, c[1], c[2]) < 0]
+        if base and loose:
+            reach = np.maximum.accumulate([e for _, _, e in base])
+            starts = [s for _, s, _ in base]
+            loose = [c for c in loose if (i := int(np.searchsorted(starts, c[1], "right"))) == 0 or reach[i - 1] < c[2]]
         if not loose:
             return base, base
         p = self.trees.probability(np.array([describe(text, *c) for c in loose], dtype=float))
         kept: list[tuple[str, int, int]] = []
+        marked = bytearray(len(text))
         for i in np.argsort(-p, kind="stable"):
             kind, start, end = loose[i]
             if p[i] >= self.thresholds[KINDS.index(kind)] and marked.find(1, start, end) < 0:
@@ -203,68 +240,157 @@ class Redactor:
         return base, _ordered(base + kept)
 
 
-def _example(rng: np.random.Generator) -> tuple[str, str, int, int, int]:
-    """A made-up candidate in context: text, kind, start, end, label."""
-    pick = lambda options: options[int(rng.integers(len(options)))]
-    number = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
-    word = lambda a=2, b=9: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(a, b))))
-    kind = pick(KINDS)
-    good = int(rng.random() < 0.5)
-    if kind == "email":
-        at, dot = pick(("[at]", " at ", "(at)", " @ ", " [at] ")), pick((".", " dot ", "[dot]", " (dot) "))
-        if good:
-            user = pick((word(), f"{word()}.{word()}", f"{word()}{number(2)}"))
-            if " at " in at and dot == ".":
-                dot = " dot "
-            span = f"{user}{at}{word(3)}{dot}{pick(('com', 'org', 'net', 'de', 'fr', 'es', 'io'))}"
-        else:
-            span = f"{word()}{pick((' at ', ' @ '))}{word()}.{pick((' ', ''))}{word()}"
-    elif kind == "ip":
-        sep = pick(("[.]", "(.)", "[dot]"))
-        span = sep.join(str(int(v)) for v in rng.integers(0, 256 if good else 1000, 4))
-        good = int(all(int(p) <= 255 for p in re.findall("[0-9]+", span)))
-    elif kind == "card":
-        body = pick("3456" if good else "0127898") + number(14)
-        body += next((str(d) for d in range(10) if luhn(body + str(d)) == bool(good)), "0")
-        sep = pick("./_–")
-        span = sep.join(body[i : i + 4] for i in range(0, 16, 4))
-    else:
-        if good:
-            span = pick((f"({number(3)}) {number(3)}-{number(4)}", f"00{pick('123456789')}{number(1)} {number(3)} {number(6)[:5]} {number(3)}", f"0{number(3)} {number(3)} {number(4)}", f"{number(3)}-{number(3)}-{number(4)}"))
-        else:
-            span = pick((f"20{number(2)}-{number(3)}-{number(2)}", f"{number(2)}/{number(4)}/{number(2)}", f"{number(3)} {number(3)} {number(3)} {number(3)}", f"{number(4)}.{number(4)}.{number(2)}"))
-    hints = _HINTS[kind] if good else _AGAINST
-    lead = pick((pick(hints) + ": ", pick(hints) + " ", word() + " ", word() + ", ")) if good or rng.random() < 0.5 else pick(("", "#", word() + "-", number(2) + "-"))
-    if kind == "phone" and good and not span.startswith(("(", "00")) and rng.random() < 0.8:
-        lead = pick(hints) + " "
-    text = f"{word()} {lead}{span} {word()} {word()}."
-    start = len(text) - len(text.split(lead + span, 1)[1]) - len(span)
-    return text, kind, start, start + len(span), good
-
-
-@lru_cache(maxsize=1)
-def train_redactor(examples: int = EXAMPLES, seed: int = 11) -> Redactor:
-    """Fit on made-up examples of each kind, positive and negative, and calibrate on a third of them.
-
-    A kind's threshold is the smallest at which held-out precision reaches
-    ``PRECISION``, and ``LEAST_THRESHOLD`` at least. No text of the corpus is
-    used, so a corpus cannot shift what counts as personal data.
+def breaks_rule(kind: str, span: str) -> bool:
+    """Whether a candidate breaks a rule that no true span of its kind breaks."""
+    digits = _digits(span)
+    if kind == "card":
+        return not (12 <= len(digits) <= 19 and luhn(digits))
+    if kind == "ip":
+        return any(int(p) > 255 for p in re.findall("[0-9]+", span))
+    return kind == "email" and _SPACED_DOT.search(span) is not None
+
+
+def _places(docs: DataFrame, rows: int) -> list[tuple[bool, str, str, str, str]]:
+    """``held, before, span, after, kind`` of places in at most ``rows`` documents, those with the smallest hash of their id.
+
+    Kind ``""`` is a place between two words without a span, ``!kind`` a
+    look-alike that breaks a rule. At most ``PLACES`` of each sort are taken from one document.
     """
-    rng = np.random.default_rng(seed)
-    made = [_example(rng) for _ in range(examples)]
-    x = np.array([describe(t, k, a, b) for t, k, a, b, _ in made], dtype=float)
-    y = np.array([m[4] for m in made], dtype=float)
-    cut = 2 * examples // 3
-    trees = fit_boosted(x[:cut], y[:cut])
-    p, kind = trees.probability(x[cut:]), x[cut:, 0]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                base = base_spans(text)
+                found = base[:PLACES]
+                found += [("!" + k, a, b) for k, a, b in loose_spans(text) if breaks_rule(k, text[a:b])][:PLACES]
+                blanks = [m.start() for m in re.finditer(" ", text)]
+                found += [("", at, at) for at in blanks[:: len(blanks) // PLACES + 1]]
+                out += [(held, text[max(0, a - BEFORE) : a], text[a:b], text[b : b + AFTER], k) for k, a, b in found]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.bool_()] + [pa.string()] * 4, strict=True)], ["held", "before", "span", "after", "kind"])
+
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
+    chosen = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("order")).distinct().orderBy("order", "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "order").agg(F.min("text").alias("text"))
+    found = one.select("text", (F.col("order") % 3 == 0).alias("held")).mapInArrow(cut, "held boolean, before string, span string, after string, kind string")
+    return sorted((r.held, r.before, r.span, r.after, r.kind) for r in found.toLocalIterator())
+
+
+class _Maker:
+    """Invented data of every kind, look-alikes of it, and the words that lead up to either."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        self.rng = rng
+
+    def pick(self, options):
+        return options[int(self.rng.integers(len(options)))]
+
+    def number(self, n: int) -> str:
+        return "".join(str(d) for d in self.rng.integers(0, 10, n))
+
+    def word(self, a: int = 2, b: int = 9) -> str:
+        return "".join(chr(97 + int(c)) for c in self.rng.integers(0, 26, int(self.rng.integers(a, b))))
+
+    def mixed(self, n: int, letters: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") -> str:
+        return "".join(letters[int(i)] for i in self.rng.integers(0, len(letters), n))
+
+    def address(self, span: str = "") -> str:
+        """An address in an obfuscated form."""
+        user, domain = span.split("@") if span else (self.pick((self.word(), f"{self.word()}.{self.word()}", f"{self.word()}{self.number(2)}")), f"{self.word(3)}.{self.pick(('com', 'org', 'net', 'de', 'fr', 'es', 'io'))}")
+        at, dot = self.pick(("[at]", " at ", "(at)", " @ ", " [at] ", " (at) ")), self.pick((".", " dot ", "[dot]", " (dot) "))
+        return user + at + domain.replace(".", dot)
+
+    def good(self, kind: str, span: str = "") -> str:
+        if kind == "email":
+            return self.address(span)
+        if kind == "ip":
+            parts = span.split(".") if span else [str(int(v)) for v in self.rng.integers(0, 256, 4)]
+            return self.pick(("[.]", "(.)", "[dot]", " . ")).join(parts)
+        if kind == "card":
+            digits = _digits(span)
+            if len(digits) != 16:
+                body = self.pick("3456") + self.number(14)
+                digits = body + next(str(d) for d in range(10) if luhn(body + str(d)))
+            return self.pick("./_–").join(digits[i : i + 4] for i in range(0, 16, 4))
+        if kind == "phone":
+            n = self.number
+            return self.pick((f"({n(3)}) {n(3)}-{n(4)}", f"00{self.pick('123456789')}{n(1)} {n(3)} {n(5)} {n(3)}", f"0{n(3)} {n(3)} {n(4)}", f"{n(3)}-{n(3)}-{n(4)}"))
+        return self.pick((self.mixed(40, "0123456789abcdef"), self.mixed(32, "0123456789abcdef"), self.mixed(36), "AKIA" + self.mixed(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "sk-" + self.mixed(32), "ghp_" + self.mixed(36), self.mixed(9) + self.number(1)))
+
+    def bad(self, kind: str) -> str:
+        n = self.number
+        if kind == "email":
+            return self.word() + self.pick((" at ", " @ ")) + self.word() + self.pick((". ", " . ", ". ")) + self.word(3)
+        if kind == "ip":
+            return self.pick((".", "[.]", " . ")).join(str(int(v)) for v in self.rng.integers(256, 1000, 4))
+        if kind == "card":
+            body = n(15)
+            return self.pick(("", ".", " ", "_", "-")).join((body + next(str(d) for d in range(10) if not luhn(body + str(d))))[i : i + 4] for i in range(0, 16, 4))
+        if kind == "phone":
+            return self.pick((f"20{n(2)}-{n(3)}-{n(2)}", f"{n(2)}/{n(4)}/{n(2)}", f"{n(3)} {n(3)} {n(3)} {n(3)}", f"{n(4)}.{n(4)}.{n(2)}", f"{n(3)}.{n(3)}.{n(3)}"))
+        return self.pick((self.mixed(40, "0123456789abcdef"), self.mixed(32, "0123456789abcdef"), f"{self.mixed(8, '0123456789abcdef')}-{n(4)}-4{n(3)}-{n(4)}-{n(12)}", "/".join(self.word(4) for _ in range(4)) + n(2), "_".join(self.word(4) for _ in range(4)) + n(1), "=" * 20 + self.word(2) + n(1)))
+
+    def lead(self, kind: str, good: bool) -> str:
+        hint = self.pick(_HINTS[kind] if good else _AGAINST)
+        if kind == "secret" and good:
+            return hint + self.pick((" = ", "=", ": ", ' = "', "='", ":", " "))
+        bare = {"email": 0.6, "ip": 0.7, "card": 0.5, "phone": 0.1}.get(kind, 0)
+        if self.rng.random() < (bare if good else 0.5):
+            return "" if good else self.pick(("", "#", self.word() + "-", n + "-" if (n := self.number(2)) else "", self.word() + ", "))
+        return hint + self.pick((": ", " ", " is ", " no "))
+
+    def cased(self, text: str) -> str:
+        return text.upper() if self.rng.random() < 0.1 else text
+
+
+@lru_cache(maxsize=4)
+def _fit(places: tuple[tuple[bool, str, str, str, str], ...], examples: int, seed: int) -> Redactor:
+    make = _Maker(np.random.default_rng(seed))
+    blanks = [p for p in places if not p[4]] or [(i % 3 == 0, make.word() + " " + make.word(), "", " " + make.word() + " " + make.word() + ".", "") for i in range(600)]
+    rows: list[tuple[bool, str, int, str, int, int]] = []
+
+    def add(held: bool, before: str, lead: str, span: str, after: str, kind: str, good: int) -> None:
+        text = f"{before}{lead}{span}{after}"
+        start = len(before) + len(lead)
+        rows.append((held, kind, good, text, start, start + len(span)))
+
+    real = [p for p in places if p[4]][: examples // 2]
+    for held, before, span, after, kind in real:
+        add(held, before, "", span, after, kind.lstrip("!"), int(not kind.startswith("!")))
+        if kind in ("email", "ip", "card"):
+            add(held, before, "", make.good(kind, span), after, kind, 1)
+    while len(rows) < examples:
+        held, before, _, after, _ = make.pick(blanks)
+        kind, good = make.pick(KINDS), bool(make.rng.random() < 0.5)
+        span = make.good(kind) if good else make.bad(kind)
+        before = before + " " if not before.endswith(" ") else before
+        add(held, before, make.cased(make.lead(kind, good)), make.cased(span) if kind != "card" else span, after if not after[:1].isalnum() else " " + after, kind, int(good))
+    x = np.array([describe(text, kind, a, b) for _, kind, _, text, a, b in rows], dtype=float)
+    y = np.array([r[2] for r in rows], dtype=float)
+    held = np.array([r[0] for r in rows], dtype=bool)
+    trees = fit_boosted(x[~held], y[~held], trees=60, depth=4)
+    p, kind = trees.probability(x[held]), x[held][:, 0]
     thresholds = []
     for k in range(len(KINDS)):
-        own, truth = p[kind == k], y[cut:][kind == k]
+        own, truth = p[kind == k], y[held][kind == k]
         levels = [t for t in np.unique(own) if truth[own >= t].mean() >= PRECISION]
         thresholds.append(float(max(LEAST_THRESHOLD, min(levels, default=1.1))))
     return Redactor(trees, tuple(thresholds))
 
 
+def train_redactor(docs: DataFrame | None = None, rows: int = TRAINING_DOCS, examples: int = EXAMPLES, seed: int = 11) -> Redactor:
+    """Fit on a sample of at most ``rows`` documents of ``docs`` and calibrate on a third of them, by hash of the id.
+
+    A kind's threshold is the smallest at which precision on the held-out
+    documents' examples reaches ``PRECISION``, and ``LEAST_THRESHOLD`` at least.
+    Of an id that stands for several texts the smallest text counts; null ids and texts are left
+    out. Without ``docs``, or if these are empty, invented words surround the examples.
+    """
+    return _fit(tuple(_places(docs, rows)) if docs is not None else (), examples, seed)
+
+
 def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -286,9 +412,9 @@ def find_personal_data(docs: DataFrame, redactor: Redactor) -> DataFrame:
     ones as ``kind:start:end``. Null texts are empty and, like texts without
     personal data, have zero counts and no spans. A narrow map over whole texts:
     repeated rows are scanned one by one, an empty table gives an empty result,
-    other columns are ignored.
+    other columns are ignored. Very long texts are scanned whole, in time linear in their length.
     """
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +422,7 @@ def find_personal_data(docs: DataFrame, redactor: Redactor) -> DataFrame:
             for text in batch.column("text"):
                 base, spans = redactor.spans(text.as_py())
                 kinds = [k for k, _, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)))
+                rows.append((*(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)

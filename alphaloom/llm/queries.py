@@ -60,7 +60,8 @@ def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.pii import find_personal_data, train_redactor
 
-    return find_personal_data(read(spark, sf_dir, "documents"), train_redactor())
+    docs = read(spark, sf_dir, "documents")
+    return find_personal_data(docs, train_redactor(docs))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
