@@ -148,7 +148,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -
     """Fit on at most ``rows / 2`` labelled rows of either label, those with the smallest hash of their id.
 
     Labels that are null or no flag are left out; an id labelled twice counts
-    once, as toxic if any label says so. Without toxic rows every probability is low.
+    once, as toxic if any label says so. Of an id that stands for several texts the
+    one with the smallest terms counts, so ``rows`` bounds what the driver gets. Without toxic rows every probability is low.
     """
     clean = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda y: clean.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
@@ -161,10 +162,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -
                 row, bucket = term_ids(chunk)
                 offsets = np.searchsorted(row, np.arange(chunk.rows + 1)).astype(np.int32)
                 terms = pa.ListArray.from_arrays(offsets, bucket.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, chunk.rows), terms], ["toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, chunk.rows), batch.column("toxic").slice(at, chunk.rows), terms], ["doc_id", "toxic", "terms"])
                 at += chunk.rows
 
-    found = sample.mapInArrow(gather, "toxic int, terms array<int>").limit(2 * rows).toArrow()
+    gathered = sample.select("doc_id", "text", "toxic").mapInArrow(gather, "doc_id long, toxic int, terms array<int>")
+    found = gathered.groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms")).orderBy("doc_id").toArrow()
     toxic = found.column("toxic").to_numpy().astype(float)
     own = [t.values.to_numpy(zero_copy_only=False) for t in found.column("terms")]
     chosen = choose_terms(own, toxic) if len(own) else np.zeros(0, dtype=np.int64)
