@@ -20,6 +20,18 @@ def schedule(targets: DataFrame, days: DataFrame) -> DataFrame:
     return effective.join(F.broadcast(ends), ["portfolio", "start"])
 
 
+def _each_day(spans: DataFrame, days: DataFrame) -> DataFrame:
+    """``spans`` once for each ``date`` from ``start`` to before ``stop`` (or the calendar's end), by an equality join on a date's ordinal."""
+    order = F.broadcast(days.select("date", "ix"))
+    ends = days.agg(F.max("ix").alias("_end"))
+    numbered = (
+        spans.join(F.broadcast(days.select(F.col("date").alias("start"), F.col("ix").alias("_from"))), "start")
+        .join(F.broadcast(days.select(F.col("date").alias("stop"), (F.col("ix") - 1).alias("_to"))), "stop", "left")
+        .crossJoin(F.broadcast(ends))
+    )
+    return numbered.withColumn("ix", F.explode(F.sequence("_from", F.coalesce("_to", "_end")))).join(order, "ix").drop("ix", "_from", "_to", "_end")
+
+
 def holdings(targets: DataFrame, returns: DataFrame) -> DataFrame:
     """``portfolio, start, date, ticker, weight, return, value``: weight before and value after each day's return, per unit at ``start``.
 
@@ -27,7 +39,7 @@ def holdings(targets: DataFrame, returns: DataFrame) -> DataFrame:
     """
     days = calendar(returns)
     spans = schedule(targets, days).where("target_weight <> 0")
-    dated = spans.join(F.broadcast(days.select("date")), (F.col("date") >= F.col("start")) & (F.col("stop").isNull() | (F.col("date") < F.col("stop"))))
+    dated = _each_day(spans, days)
     held = dated.join(returns, ["date", "ticker"], "left")
     run = Window.partitionBy("portfolio", "start", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     checked = F.coalesce("return", F.when(F.lit(True), F.raise_error(F.concat(F.lit("no return for "), "ticker", F.lit(" on "), "date"))))
@@ -67,7 +79,9 @@ def backtest(targets: DataFrame, returns: DataFrame, cost_bps: float, initial: D
     """
     days = calendar(returns)
     held = holdings(targets, returns).persist()
-    gross = held.groupBy("portfolio", "start", "date").agg((F.sum("value") / F.sum("weight") - 1).alias("gross_return"))
+    total = F.sum("value")
+    lost = F.raise_error(F.concat(F.lit("nothing is left of "), "portfolio", F.lit(" on "), "date")).cast("double")
+    gross = held.groupBy("portfolio", "start", "date").agg(F.when(total > 0, total / F.sum("weight") - 1).otherwise(F.when(F.lit(True), lost)).alias("gross_return"))
     moved = turnover(targets, held, days, initial)
     daily = gross.join(moved, ["portfolio", "date"], "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0))).withColumn("transaction_cost", F.col("turnover") * (cost_bps / 10000))
     run = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -24,6 +24,14 @@ def require_unique(table: DataFrame, keys: list[str], label: str) -> DataFrame:
     return table
 
 
+def require_keys(table: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """No key is null (which is what malformed dates and tickers turn into)."""
+    counts = table.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in keys]).first().asDict()
+    if bad := {k: n for k, n in counts.items() if n}:
+        raise InputError(f"{label}: keys that are missing or malformed: {bad}")
+    return table
+
+
 def require_finite(table: DataFrame, columns: list[str], label: str, minimum: float | None = None) -> DataFrame:
     tests = [F.count_if(finite(c).isNull() | (F.lit(False) if minimum is None else finite(c) < minimum)).alias(c) for c in columns]
     counts = table.agg(*tests).first().asDict()

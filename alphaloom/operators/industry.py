@@ -21,6 +21,12 @@ def overlaps(history: DataFrame) -> DataFrame:
 
 
 def industry_asof(keys: DataFrame, history: DataFrame) -> DataFrame:
-    """``keys`` (``date, ticker``) with the industry valid on the date, both ends inclusive; others are dropped."""
-    h = clean_history(history).select(F.col("ticker").alias("_t"), "industry", "in_date", "out_date")
-    return keys.join(h, (F.col("ticker") == F.col("_t")) & F.col("date").between(F.col("in_date"), F.col("out_date"))).select(*keys.columns, "industry")
+    """``keys`` (distinct ``date, ticker``) with the industry valid on the date, both ends inclusive; others are dropped.
+
+    Two intervals that are valid on one date stop the job, naming ticker and date.
+    """
+    h = clean_history(history).select(F.col("ticker").alias("_t"), F.col("industry").alias("_industry"), "in_date", "out_date")
+    met = keys.join(h, (F.col("ticker") == F.col("_t")) & F.col("date").between(F.col("in_date"), F.col("out_date"))).select(*keys.columns, "_industry")
+    one = met.groupBy(*keys.columns).agg(F.count("*").alias("_n"), F.min("_industry").alias("industry"))
+    twice = F.raise_error(F.concat(F.lit("two industries are valid for "), "ticker", F.lit(" on "), "date")).cast("string")
+    return one.select(*keys.columns, F.when(F.col("_n") == 1, F.col("industry")).otherwise(twice).alias("industry"))

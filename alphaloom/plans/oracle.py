@@ -44,7 +44,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"SELECT date, ticker, raw_prediction, CASE WHEN stddev_pop(c) {_DAY} > 1e-12 THEN c / stddev_pop(c) {_DAY} END AS signal_score FROM (SELECT date, ticker, prediction AS raw_prediction, rk / n - avg(rk / n) {_DAY} AS c FROM ranks)",
     ),
     "candidates": (("panel",), "SELECT * FROM (SELECT date, ticker, prediction, row_number() OVER (PARTITION BY date ORDER BY prediction DESC, ticker) AS place FROM panel WHERE tradable) WHERE place <= 10"),
-    "universe": (("candidates", "bench"), "SELECT date, ticker FROM candidates UNION SELECT date, ticker FROM bench WHERE benchmark_weight > 0.02"),
+    "universe": (("candidates", "bench"), "SELECT date, ticker FROM candidates UNION SELECT date, ticker FROM bench WHERE benchmark_weight > 0"),
     "days": (("panel",), "SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix, lag(date) OVER (ORDER BY date) AS prev_date, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM panel)"),
     "common": (("panel", "rets"), "SELECT date, lag(date) OVER (ORDER BY date) AS exposure_date FROM (SELECT date FROM rets INTERSECT SELECT date FROM panel)"),
     "sections": (
@@ -181,7 +181,7 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     "coverage_by_date": (
         ("panel", "candidates", "bench", "universe"),
         "SELECT date, count(*) AS n_signal, coalesce(any_value(c.n), 0) AS n_candidates, coalesce(any_value(b.n), 0) AS n_benchmark, coalesce(any_value(u.n), 0) AS n_universe FROM panel LEFT JOIN (SELECT date, count(*) AS n FROM candidates GROUP BY date) c USING (date) "
-        "LEFT JOIN (SELECT date, count(*) AS n FROM bench WHERE benchmark_weight > 0.02 GROUP BY date) b USING (date) LEFT JOIN (SELECT date, count(*) AS n FROM universe GROUP BY date) u USING (date) GROUP BY date",
+        "LEFT JOIN (SELECT date, count(*) AS n FROM bench WHERE benchmark_weight > 0 GROUP BY date) b USING (date) LEFT JOIN (SELECT date, count(*) AS n FROM universe GROUP BY date) u USING (date) GROUP BY date",
     ),
     "store_returns": (("panel",), f"SELECT date, ticker, {_r('ret', name='return')}, cap, tradable FROM panel"),
     "terminal_returns": (

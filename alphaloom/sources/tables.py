@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.errors import InputError
 from alphaloom.functions.expressions import finite, normal_date, normal_ticker, truth
-from alphaloom.operators.guards import require_columns, require_covered, require_finite, require_rows, require_unique
+from alphaloom.operators.guards import require_columns, require_covered, require_finite, require_keys, require_rows, require_unique
 
 _KEYS = {"ticker", "symbol", "stock_symbol", "date", "l1_code", "industry", "sector"}
 
@@ -22,11 +22,29 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hive_layout(spark: SparkSession, root: str, start: str, end: str, date: str = "date") -> DataFrame:
-    """A ``year=/month=`` layout; bounds on partitions and date let the scan skip files and row groups."""
+    """A ``year=/month=`` layout; bounds on partitions and date let the scan skip files and row groups.
+
+    ``start`` and ``end`` are ``yyyyMMdd`` and inclusive. The date column may be
+    a date, a timestamp, an integer or text in that form; it is compared in its
+    own type, so that the bounds reach the scan.
+    """
     table = spark.read.option("basePath", root).parquet(root)
     months = F.col("year").cast("int") * 100 + F.col("month").cast("int")
-    day = F.col(date).cast("string")
-    return table.where(months.between(int(start[:6]), int(end[:6]))).where(day.between(start, end)).drop("year", "month")
+    return table.where(months.between(int(start[:6]), int(end[:6]))).where(_between_days(table, date, start, end)).drop("year", "month")
+
+
+def _between_days(table: DataFrame, date: str, start: str, end: str) -> Column:
+    kind, day = dict(table.dtypes)[date], F.col(date)
+    as_date = lambda text: F.to_date(F.lit(text), "yyyyMMdd")
+    if kind == "date":
+        return day.between(as_date(start), as_date(end))
+    if kind.startswith("timestamp"):
+        return (day >= as_date(start)) & (day < F.date_add(as_date(end), 1))
+    if kind in ("int", "bigint"):
+        return day.between(int(start), int(end))
+    if kind == "string":
+        return day.between(start, end)
+    raise InputError(f"{date}: a column of type {kind} is no date")
 
 
 def unpivot_panel(wide: DataFrame, value: str, date: str = "date") -> DataFrame:
@@ -34,16 +52,17 @@ def unpivot_panel(wide: DataFrame, value: str, date: str = "date") -> DataFrame:
     names = [c for c in wide.columns if c not in (date, "__index_level_0__")]
     index = date if date in wide.columns else "__index_level_0__"
     typed = wide.select(normal_date(F.col(f"`{index}`")).alias("date"), *[finite(F.col(f"`{c}`")).alias(c) for c in names])
-    long = typed.unpivot("date", [F.col(f"`{c}`") for c in names], "ticker", value)
+    long = typed.unpivot("date", [F.col(f"`{c}`") for c in names], "ticker", value).withColumn("ticker", normal_ticker("ticker"))
     return require_unique(long.where(F.col(value).isNotNull()), ["date", "ticker"], "wide panel")
 
 
 def unpivot_matrix(wide: DataFrame, key: str = "ticker") -> DataFrame:
     """``row_ticker, col_ticker, covariance`` of a square matrix; row and column names must agree."""
     names = [c for c in wide.columns if c != key]
-    rows = {r[0] for r in wide.select(F.col(key).cast("string")).limit(len(names) + 1).collect()}
-    if rows != set(names):
-        raise InputError("covariance: row and column names differ")
+    own = wide.select(F.col(key).cast("string").alias("name"))
+    counts = own.agg(F.count("*"), F.count_distinct("name"), F.count_if(F.col("name").isin(names))).first()
+    if tuple(counts) != (len(names),) * 3:
+        raise InputError(f"covariance: {counts[0]} rows with {counts[1]} names, {counts[2]} of them among the {len(names)} columns")
     typed = wide.select(normal_ticker(key).alias("row_ticker"), *[finite(F.col(f"`{c}`")).alias(c) for c in names])
     return typed.unpivot("row_ticker", [F.col(f"`{c}`") for c in names], "col_ticker", "covariance")
 
@@ -54,15 +73,18 @@ def select_date(table: DataFrame, date: str, label: str, optional: bool = False)
         if optional:
             return table
         raise InputError(f"{label}: missing columns ['date']")
-    return require_rows(table.where(normal_date("date") == date), f"{label} on {date}")
+    kind = dict(table.dtypes)["date"]
+    own = _between_days(table, "date", date, date) if kind in ("date", "int", "bigint") or kind.startswith("timestamp") else normal_date("date") == date
+    return require_rows(table.where(own), f"{label} on {date}")
 
 
 def load_signal(table: DataFrame) -> DataFrame:
     """``date, ticker, prediction``: exactly these columns, unique keys, finite values."""
     require_columns(table, ["date", "ticker", "prediction"], "signal", exactly=True)
     clean = table.select(normal_date("date").alias("date"), normal_ticker("ticker").alias("ticker"), finite("prediction").alias("prediction"))
+    require_keys(clean, ["date", "ticker"], "signal")
     require_finite(clean, ["prediction"], "signal")
-    return require_unique(clean.where("date is not null and ticker is not null"), ["date", "ticker"], "signal")
+    return require_unique(clean, ["date", "ticker"], "signal")
 
 
 def load_weights(table: DataFrame, value: str, universe: DataFrame | None = None) -> DataFrame:
