@@ -161,9 +161,27 @@ def solve(score: np.ndarray, benchmark: np.ndarray, current: np.ndarray | None,
         q = limits.risk_aversion * sigma
         c = c + limits.risk_aversion * (cross / 2 - sigma @ centre)
     w[free] = _minimize(x, c, q, a, b, quad, e)[:n]
+    recheck(w, benchmark, current, low, high, candidate, covariance, exposures, limits)
     return w
 
 
+def recheck(w: np.ndarray, benchmark: np.ndarray, current: np.ndarray | None, low: np.ndarray, high: np.ndarray, candidate: np.ndarray, covariance: np.ndarray, exposures: np.ndarray, limits: Limits, tolerance: float = 1e-6) -> None:
+    """``SolverError`` naming the limits that weights break, worked out from the weights alone."""
+    active = w - benchmark
+    excess = {"fully invested": abs(w.sum() - 1), "bounds": max((low - w).max(), (w - high).max())}
+    if limits.tracking_error is not None:
+        excess["tracking error"] = float(np.sqrt(max(active @ covariance @ active, 0.0))) - limits.tracking_error
+    for j, (least, most) in enumerate(limits.ranges):
+        at = exposures[:, j] @ active
+        excess[f"range {j}"] = max(least - at, at - most)
+    if limits.candidate_floor is not None:
+        excess["candidate floor"] = limits.candidate_floor - w[candidate].sum()
+    if limits.turnover is not None and current is not None:
+        excess["turnover"] = np.abs(w - current).sum() / 2 - limits.turnover
+    if broken := [f"{name} by {x:.2g}" for name, x in excess.items() if not x <= tolerance]:
+        raise SolverError(f"the solution fails the recheck: {', '.join(broken)}")
+
+
 def optimize(names: DataFrame, limits: Limits) -> DataFrame:
     """``date, variant, ticker, target_weight`` of every name.
 

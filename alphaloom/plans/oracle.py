@@ -24,6 +24,29 @@ def _standard(value: str, weight: str = "weight") -> str:
     return f"(({value} - {mean}) / sqrt(sum({weight} * {value} * {value}) {_DAY} / sum({weight}) {_DAY} - {mean} * {mean}))"
 
 
+def _style(table: str, value: str) -> str:
+    """A raw style of ``table``: median fill, clip and standard score by date, null where fewer than two names have it."""
+    filled = f"(SELECT s.date, s.ticker, s.weight, count(b.{value}) OVER (PARTITION BY s.date) AS have, coalesce(b.{value}, median(b.{value}) OVER (PARTITION BY s.date)) AS v FROM sized s LEFT JOIN {table} b ON b.date = s.date AND b.ticker = s.ticker WHERE s.date IN (SELECT date FROM betas))"
+    return f"SELECT date, ticker, CASE WHEN have >= 2 THEN {_standard('cut')} END AS x FROM (SELECT date, ticker, weight, have, {_clip('v', 'med', 'mad', 8.0)} AS cut FROM {_mad(filled, 'v')})"
+
+
+def _least_squares(source: str, columns: tuple[str, ...]) -> str:
+    """``date`` and a coefficient ``b_<column>`` each, weighted, by orthogonalising the columns in turn and solving backwards."""
+    table, done = source, []
+    for name in columns:
+        minus = "".join(f" - z_{d} * (sum(weight * {name} * z_{d}) {_DAY} / sum(weight * z_{d} * z_{d}) {_DAY})" for d in done)
+        table = f"(SELECT *, {name}{minus} AS z_{name} FROM {table})"
+        done.append(name)
+    parts = [f"sum(weight * y * z_{c}) / sum(weight * z_{c} * z_{c}) AS c_{c}" for c in columns]
+    parts += [f"sum(weight * {b} * z_{a}) / sum(weight * z_{a} * z_{a}) AS r_{a}_{b}" for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    full = " AND ".join(f"sum(weight * z_{c} * z_{c}) > 1e-12 * sum(weight * {c} * {c})" for c in columns)
+    table = f"(SELECT date, {', '.join(parts)} FROM {table} GROUP BY date HAVING {full})"
+    for i in reversed(range(len(columns))):
+        a, later = columns[i], columns[i + 1 :]
+        table = f"(SELECT *, c_{a}{''.join(f' - r_{a}_{b} * b_{b}' for b in later)} AS b_{a} FROM {table})"
+    return table
+
+
 #: name: (needs, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "cells": (
@@ -80,6 +103,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("history", "market", "betas"),
         "SELECT b.date, b.ticker, CASE WHEN any_value(b.n) >= 12 THEN stddev_samp(r - b.beta * m.m) END AS resvol FROM history h JOIN market m ON h.date = m.date AND h.ix = m.ix JOIN betas b ON b.date = h.date AND b.ticker = h.ticker GROUP BY b.date, b.ticker",
     ),
+    "styled": (
+        ("sized", "nl", "betas", "vols"),
+        f"SELECT s.date, s.ticker, s.weight, s.ret, 1.0 AS market, s.size, b.x AS beta, m.x AS momentum, v.x AS resvol, n.nlsize FROM sized s JOIN nl n USING (date, ticker) JOIN ({_style('betas', 'beta')}) b USING (date, ticker) JOIN ({_style('betas', 'momentum')}) m USING (date, ticker) JOIN ({_style('vols', 'resvol')}) v USING (date, ticker) "
+        "WHERE b.x IS NOT NULL AND m.x IS NOT NULL AND v.x IS NOT NULL AND n.nlsize IS NOT NULL AND s.size IS NOT NULL",
+    ),
+    "styledy": (("styled",), f"SELECT * EXCLUDE (med, mad), {_clip('ret', 'med', 'mad', 8.0)} AS y FROM {_mad('styled', 'ret')}"),
     "resp": (("sized",), f"SELECT date, ticker, weight, size, {_clip('ret', 'med', 'mad', 8.0)} AS y FROM {_mad('sized', 'ret')}"),
     "fr": (
         ("resp",),
@@ -104,6 +133,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT x.ticker, coalesce(s.specific_var, i.im, (SELECT median(specific_var) FROM spec)) AS d FROM lastx x JOIN members USING (ticker) LEFT JOIN spec s USING (ticker) "
         "LEFT JOIN (SELECT industry, median(specific_var) AS im FROM spec JOIN members USING (ticker) GROUP BY industry) i USING (industry)",
     ),
+    "asdates": (("days",), "SELECT date AS as_of FROM days WHERE ix >= 24 AND ix % 20 = 0"),
+    "cdays": (("common",), "SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM common"),
+    "alast": (("asdates", "cdays"), "SELECT as_of, max(date) AS last, max(k) AS k FROM asdates JOIN cdays ON date <= as_of GROUP BY as_of"),
+    "awin": (("alast", "cdays", "fr"), "SELECT as_of, c.date, row_number() OVER (PARTITION BY as_of ORDER BY c.date DESC) - 1 AS age FROM alast a JOIN cdays c ON c.k <= a.k AND c.k > a.k - 24 WHERE c.date IN (SELECT date FROM fr)"),
+    "atarget": (("asdates", "alast", "panel"), "SELECT as_of, t.ticker, q.cap FROM asdates JOIN panel t ON t.date = as_of AND t.tradable JOIN alast USING (as_of) JOIN panel q ON q.date = last AND q.ticker = t.ticker"),
+    "aspec": (
+        ("awin", "resp", "fr"),
+        "SELECT as_of, ticker, greatest(0.9 * v + 0.1 * median(v) OVER (PARTITION BY as_of), 1e-6) AS v FROM (SELECT as_of, r.ticker, greatest(sum(0.5 ** (age / 12.0) * (r.y - m.f - r.size * s.f) ** 2) / sum(0.5 ** (age / 12.0)) * 12, 1e-6) AS v "
+        "FROM awin JOIN resp r USING (date) JOIN fr m ON m.date = r.date AND m.factor = 'MARKET' JOIN fr s ON s.date = r.date AND s.factor = 'SIZE' GROUP BY as_of, r.ticker HAVING count(*) >= 12)",
+    ),
     "grid": (("panel",), "SELECT date, ticker, coalesce(ret, 0.0) AS r FROM (SELECT * FROM (SELECT DISTINCT date FROM panel), (SELECT DISTINCT ticker FROM panel)) LEFT JOIN panel USING (date, ticker)"),
     "rebal": (("bench", "panel"), "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)) WHERE ix % 3 = 0 AND date < (SELECT max(date) FROM panel)"),
     "scored": (("uniform", "bench", "rebal"), "SELECT * FROM uniform JOIN bench USING (date, ticker) JOIN rebal USING (date)"),
@@ -207,6 +246,17 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         + ")",
     ),
     "factor_returns_market_size": (("fr",), f"SELECT date, factor, {_r('f', name='factor_return')} FROM fr"),
+    "factor_returns_wls": (
+        ("styledy",),
+        "SELECT date, unnest(['MARKET', 'SIZE', 'BETA', 'MOMENTUM', 'RESVOL', 'NLSIZE']) AS factor, round(unnest([b_market, b_size, b_beta, b_momentum, b_resvol, b_nlsize]), 6) + 0.0 AS factor_return FROM "
+        + _least_squares("styledy", ("market", "size", "beta", "momentum", "resvol", "nlsize")),
+    ),
+    "factor_returns_industry": (
+        ("resp", "sections", "members"),
+        "SELECT date, unnest(['SIZE', 'INDUSTRY:R0', 'INDUSTRY:R1', 'INDUSTRY:R2', 'INDUSTRY:R3', 'INDUSTRY:R4']) AS factor, round(unnest([b, r0, r1, r2, r3, r4]), 6) + 0.0 AS factor_return FROM (SELECT date, any_value(b) AS b, "
+        + ", ".join(f"max(my - b * mx) FILTER (industry = 'R{i}') AS r{i}" for i in range(5))
+        + ", count(DISTINCT industry) AS n FROM (SELECT *, sum(weight * (size - mx) * (y - my)) OVER (PARTITION BY date) / sum(weight * (size - mx) * (size - mx)) OVER (PARTITION BY date) AS b FROM (SELECT *, sum(weight * size) OVER g / sum(weight) OVER g AS mx, sum(weight * y) OVER g / sum(weight) OVER g AS my FROM resp JOIN members USING (ticker) WINDOW g AS (PARTITION BY date, industry))) GROUP BY date) WHERE n = 5",
+    ),
     "ewma_factor_covariance": (("fcov",), f"SELECT factor_a, factor_b, {_r('covariance')} FROM fcov"),
     "covariance_repair": (("fcov",), f"SELECT factor_a, factor_b, {_r('covariance')} FROM fcov"),
     "specific_variance": (("spec",), f"SELECT ticker, {_r('specific_var')}, observations FROM spec"),
@@ -224,6 +274,20 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT 'equal' AS portfolio, ticker, size, 1.0 / count(*) OVER () AS w FROM lastx UNION ALL SELECT 'large', ticker, size, greatest(size, 0) / sum(greatest(size, 0)) OVER () FROM lastx) JOIN lastd USING (ticker), "
         "(SELECT sum(covariance) FILTER (factor_a = 'MARKET' AND factor_b = 'MARKET') AS mm, sum(covariance) FILTER (factor_a = 'MARKET' AND factor_b = 'SIZE') AS ms, sum(covariance) FILTER (factor_a = 'SIZE' AND factor_b = 'SIZE') AS ss FROM fcov) GROUP BY portfolio)",
     ),
+    "risk_asof_exposures": (
+        ("atarget",),
+        f"SELECT as_of, ticker, unnest(['MARKET', 'SIZE']) AS factor, round(unnest([1.0, {_standard('cut').replace('date', 'as_of')}]), 6) + 0.0 AS exposure FROM (SELECT *, {_clip('l', 'med', 'mad', 5.0)} AS cut FROM {_mad('(SELECT *, sqrt(cap) AS weight, ln(cap) AS l FROM atarget)', 'l').replace('date', 'as_of')})",
+    ),
+    "risk_asof_covariance": (
+        ("awin", "fr"),
+        f"SELECT as_of, a.factor AS factor_a, b.factor AS factor_b, {_r('(sum(w * a.f * b.f) / sum(w) - sum(w * a.f) * sum(w * b.f) / sum(w) ** 2) / (1 - sum(w * w) / sum(w) ** 2) * 12 * CASE WHEN a.factor = b.factor THEN 1.0 ELSE 0.9 END', name='covariance')} FROM (SELECT *, 0.5 ** (age / 12.0) AS w FROM awin) JOIN fr a USING (date) JOIN fr b USING (date) GROUP BY as_of, a.factor, b.factor",
+    ),
+    "risk_asof_specific": (
+        ("atarget", "aspec", "members"),
+        f"SELECT as_of, ticker, {_r('greatest(coalesce(s.v, i.im, g.gm), 1e-6)', name='specific_var')}, s.v IS NULL AS imputed FROM atarget JOIN members USING (ticker) LEFT JOIN aspec s USING (as_of, ticker) "
+        "LEFT JOIN (SELECT as_of, industry, median(v) AS im FROM aspec JOIN members USING (ticker) GROUP BY as_of, industry) i USING (as_of, industry) LEFT JOIN (SELECT as_of, median(v) AS gm FROM aspec GROUP BY as_of) g USING (as_of)",
+    ),
+    "risk_asof_periods": (("awin",), "SELECT as_of, count(*) AS periods, min(date) AS first, max(date) AS last FROM awin GROUP BY as_of"),
     "equal_weight_baseline": (("uniform",), f"SELECT date, ticker, {_r('1.0 / least(10, n)', 8, 'target_weight')} FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY signal_score DESC, ticker) AS place, count(*) {_DAY} AS n FROM uniform) WHERE place <= 10"),
     "backtest_daily": (("daily",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('gross_return', 'transaction_cost', 'net_return', 'turnover', 'nav', 'drawdown'))} FROM daily"),
     "benchmark_relative": (("relative",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('benchmark_net_return', 'active_return', 'active_nav', 'active_drawdown'))} FROM relative"),
@@ -252,6 +316,20 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         ("book",),
         f"SELECT date, portfolio, factor, {_r('p', name='portfolio_exposure')}, {_r('b', name='benchmark_exposure')}, {_r('p - b', name='active_exposure')}, {_r('p - b + 0.2', name='lower_slack')}, {_r('0.2 - (p - b)', name='upper_slack')}, p - b + 0.2 >= -1e-6 AND 0.2 - (p - b) >= -1e-6 AS passed FROM (SELECT date, portfolio, 'INDUSTRY:' || industry AS factor, sum(tw) AS p, sum(bw) AS b FROM book GROUP BY ALL)",
     ),
+    "rolling_checks": (("bench",), "SELECT date, portfolio, 5 AS n_limits, 0 AS n_violated FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)), (SELECT unnest(['reversed', 'signal']) AS portfolio) WHERE ix % 3 = 0"),
+    "constraint_report": (
+        ("book",),
+        f"SELECT date, portfolio, name AS \"constraint\", {_r('value')}, {_r('bound')}, {_r('excess')}, CASE WHEN excess > 1e-6 THEN 'violated' WHEN abs(excess) <= 1e-6 THEN 'binding' ELSE 'slack' END AS status FROM (SELECT *, CASE WHEN name IN ('long_only', 'candidate_weight_range:lower') THEN bound - value ELSE value - bound END AS excess FROM (SELECT date, portfolio, "
+        "unnest(['fully_invested', 'long_only', 'max_weight', 'max_active_weight', 'tradability_freeze', 'max_turnover', 'candidate_weight_range:lower']) AS name, "
+        "unnest([abs(sum(tw) - 1), min(tw), coalesce(max(tw) FILTER (tradable), 0), coalesce(max(abs(tw - bw)) FILTER (tradable), 0), max(abs(tw - bw)) FILTER (NOT tradable), sum(abs(tw - bw)) / 2, sum(CASE WHEN cand THEN tw ELSE 0 END)]) AS value, "
+        "unnest([1e-8, 0.0, 0.15, 0.12, 0.0, 0.8, 0.5]) AS bound FROM book GROUP BY date, portfolio)) WHERE value IS NOT NULL",
+    ),
+    "single_date_problem": (
+        ("universe", "panel", "bench", "candidates"),
+        f"SELECT u.date, u.ticker, {_r('coalesce(s.score, 0)', name='score')}, {_r('coalesce(s.score, 0) * 0.05', name='expected_return')}, {_r('coalesce(b.benchmark_weight, 0)', name='benchmark_weight')}, CAST(NULL AS DOUBLE) AS current_weight, true AS tradable, c.ticker IS NOT NULL AS is_candidate, s.score IS NULL AS was_missing FROM universe u "
+        f"LEFT JOIN (SELECT date, ticker, CASE WHEN stddev_pop(c) {_DAY} > 1e-12 THEN c / stddev_pop(c) {_DAY} END AS score FROM (SELECT date, ticker, rk / n - avg(rk / n) {_DAY} AS c FROM (SELECT date, ticker, rank() OVER (PARTITION BY date ORDER BY w) + (count(*) OVER (PARTITION BY date, w) - 1) / 2.0 AS rk, count(*) {_DAY} AS n "
+        f"FROM (SELECT date, ticker, {_clip('prediction', 'med', 'mad', 5.0)} AS w FROM {_mad('(SELECT * FROM panel WHERE tradable)', 'prediction', 'date, ticker, prediction')})))) s ON s.date = u.date AND s.ticker = u.ticker LEFT JOIN bench b ON b.date = u.date AND b.ticker = u.ticker LEFT JOIN candidates c ON c.date = u.date AND c.ticker = u.ticker",
+    ),
     "normalize_keys": ((), "SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d') AS date, CAST(l_suppkey AS VARCHAR) AS ticker, l_linestatus <> 'F' AS open_line FROM lineitem"),
 }
 _LOCAL = {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import normal_date, normal_ticker, truth
-from alphaloom.operators import adapters, backtest, calendar, constraints, industry, optimize, risk, signal
+from alphaloom.operators import adapters, asof, backtest, calendar, constraints, industry, optimize, risk, rolling, signal
 from alphaloom.sources import panel as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +225,35 @@ def portfolio_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(risk.portfolio_variance(equal.union(large), x, f, d), "factor_variance", "specific_variance", "variance", "volatility")
 
 
+#: As-of dates: every twentieth month after the first twenty-four; tradable names of the month are the targets.
+AS_OF_FIRST, AS_OF_EVERY = 24, 20
+AS_OF = risk.RiskSettings(**{**SIZE_ONLY.__dict__, "lookback": 24, "max_imputed": 1.0})
+
+
+def _as_of_model(p: DataFrame) -> asof.AsOfModel:
+    days = calendar.calendar(p).where((F.col("ix") >= AS_OF_FIRST) & (F.col("ix") % AS_OF_EVERY == 0)).select(F.col("date").alias("as_of"))
+    targets = p.where("tradable").select(F.col("date").alias("as_of"), "ticker").join(F.broadcast(days), "as_of")
+    members = days.crossJoin(p.select("ticker", "industry").distinct())
+    return asof.estimate(source.returns_of(p), source.caps_of(p), targets, AS_OF, members)
+
+
+def risk_asof_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MARKET and SIZE of each as-of date's own targets."""
+    return _round(_as_of_model(source.market_panel(spark, sf_dir)).exposures, "exposure")
+
+
+def risk_asof_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_as_of_model(source.market_panel(spark, sf_dir)).factor_cov, "covariance")
+
+
+def risk_asof_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_as_of_model(source.market_panel(spark, sf_dir)).specific, "specific_var")
+
+
+def risk_asof_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_of_model(source.market_panel(spark, sf_dir)).periods
+
+
 def equal_weight_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(signal.equal_weight_baseline(signal.calibrate(_signal(source.market_panel(spark, sf_dir))), TOP_N), "target_weight", digits=8)
 
@@ -312,6 +341,60 @@ def optimized_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(optimize.optimize(_problems(source.market_panel(spark, sf_dir)), LIMITS), "target_weight")
 
 
+def _path(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All names on every rebalance date for two variants (the signal and its reverse), and what both hold at first: the benchmark.
+
+    A ticker without lines in a month scores 0 in it. Every name can trade, so that holding the benchmark satisfies the limits.
+    """
+    b, own = source.benchmark_of(p), _problems(p).drop("variant", "current_weight")
+    dates = calendar.rebalance_dates(b, EVERY)
+    grid = F.broadcast(dates).crossJoin(p.select("ticker").distinct())
+    empty = lambda x: F.array(F.lit(x))
+    growth = rolling.growth_between(source.dense_returns(p), dates)
+    rows = grid.join(own, ["date", "ticker"], "left").join(growth, ["date", "ticker"]).select(
+        "date", "ticker", F.coalesce("benchmark_weight", F.lit(0.0)).alias("benchmark_weight"), F.lit(True).alias("tradable"), F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"),
+        F.coalesce("specific_var", F.lit(0.04)).alias("specific_var"), F.coalesce("loadings", empty(1.0)).alias("loadings"), F.coalesce("half_loadings", empty(0.002)).alias("half_loadings"), F.coalesce("exposures", empty(0.0)).alias("exposures"),
+        "growth", F.coalesce("score", F.lit(0.0)).alias("_score"),
+    )
+    both = rows.select("*", F.explode(F.create_map(F.lit("reversed"), F.lit(-1.0), F.lit("signal"), F.lit(1.0))).alias("variant", "sign")).withColumn("score", F.col("_score") * F.col("sign"))
+    first = dates.agg(F.min("date").alias("date"))
+    start = b.join(F.broadcast(first), "date").select("ticker", (F.col("benchmark_weight") / F.sum("benchmark_weight").over(signal.day())).alias("weight"), "date").drop("date")
+    return both.drop("_score", "sign"), start.select(F.explode(F.array(F.lit("reversed"), F.lit("signal"))).alias("variant"), "ticker", "weight")
+
+
+PATH_LIMITS = optimize.Limits(max_weight=1.0, max_active=0.3, tracking_error=0.1, ranges=((-1.0, 1.0),))
+
+
+def rolling_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimised weights along every third month, each from what the last has drifted to."""
+    names, start = _path(source.market_panel(spark, sf_dir))
+    return _round(rolling.rolling_targets(names, PATH_LIMITS, start), "current_weight", "target_weight")
+
+
+def rolling_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of ``rolling_targets`` recomputed from its weights: one row a date and variant."""
+    names, start = _path(source.market_panel(spark, sf_dir))
+    found = rolling.rolling_targets(names, PATH_LIMITS, start).withColumnRenamed("variant", "portfolio")
+    known = names.where("variant = 'signal'")
+    book = found.join(known.select("date", "ticker", "benchmark_weight", "tradable", "is_candidate"), ["date", "ticker"]).persist()
+    report = rolling.constraint_report(book, PATH_LIMITS, rolling.tracking_error(book, known))
+    return report.groupBy("date", "portfolio").agg(F.count("*").alias("n_limits"), F.count_if(F.col("status") == "violated").alias("n_violated"))
+
+
+def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every limit of the baselines, line by line, as if the benchmark were held before."""
+    limits = optimize.Limits(max_weight=0.15, max_active=0.12, tracking_error=1.0, turnover=0.8, candidate_floor=0.5)
+    book = _weights(source.market_panel(spark, sf_dir)).withColumn("current_weight", F.col("benchmark_weight"))
+    return _round(rolling.constraint_report(book, limits), "value", "bound", "excess")
+
+
+def single_date_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimiser's names of every month, neutral where a benchmark name has no prediction."""
+    p = source.market_panel(spark, sf_dir)
+    scored = signal.calibrate(_signal(p.where("tradable")))
+    return _round(rolling.problem(scored, _candidates(p), source.benchmark_of(p), policy="neutral_score"), "score", "expected_return", "benchmark_weight")
+
+
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = source.read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"), F.concat(F.lit(" "), (F.col("l_suppkey") * 1.0).cast("string"), F.lit(" ")).alias("t"), F.upper("l_linestatus").alias("s")
@@ -324,7 +407,9 @@ QUERIES: tuple[Query, ...] = (
     calibrate_uniform, calibrate_power, calibrate_normal, mad_winsorize, signal_summary, top_candidates, rebalance_calendar, signal_quality, benchmark_renormalize, benchmark_excluded,
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
+    risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
+    rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )
 
 
