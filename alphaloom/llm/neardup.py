@@ -172,7 +172,7 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     * Otherwise both hold one element among the rarest |du| - shared + 1 and
       |dv| - shared + 1 of their differences (prefix filter). As the count
       to share depends on the partner, each set is entered once for each class of
-      partners' weights, with as many elements as that class asks for.
+      partners' weights that holds another component, with as many elements as that class asks for.
 
     Tables of one row a hub are written before they meet a hub's members, so
     that joins on a large hub can be split or broadcast at run time. Elements of one set only meet nothing and are left out, but take their place
@@ -196,14 +196,19 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     apart = apart.withColumn("weight", F.size("delta") * total - F.col("size") * gap).withColumn("step", F.greatest(F.lit(2), F.col("hub_size") / 32).cast("long") * total)
     apart = checkpoint(apart.select("a", "b", "c", "size", "delta", "weight", "step", _weight_class(F.col("weight"), F.col("step")).alias("of")))
 
-    least = checkpoint(apart.groupBy("a").agg(F.min(F.struct("weight", "b", "c")).alias("least"), F.collect_set("of").alias("classes")))
+    by_class = apart.groupBy("a", "of").agg(F.min(F.struct("weight", "b", "c")).alias("least"), F.min("c").alias("low"), F.max("c").alias("high"))
+    least = checkpoint(by_class.groupBy("a").agg(F.min("least").alias("least"), F.collect_list(F.struct("of", "low", "high")).alias("classes")))
     certain = apart.join(least, "a").where("weight + least.weight <= 0 and c <> least.c").select(F.col("least.b").alias("a"), "b")
 
     elements = apart.select("a", "b", F.explode("delta").alias("e"))
     shared = elements.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1")
     ordered = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
 
+    def joins_up(other: Column) -> Column:
+        return (other["low"] != other["high"]) | (other["low"] != F.col("c"))
+
     def asked(other: Column) -> Column:
+        other = other["of"]
         share = F.greatest(F.lit(1), F.ceil((F.col("weight") + _least_weight(other, F.col("step"))) / (2 * total)))
         return F.struct(other.alias("class"), (F.size("shared") - share + 1).cast("int").alias("take"))
 
@@ -211,7 +216,7 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
         apart.join(least.select("a", "classes"), "a")
         .select("a", "b", "c", "weight", "step", "of", "classes")
         .join(ordered, ["a", "b"])
-        .select("a", "b", "c", "of", "shared", F.explode(F.filter(F.transform("classes", asked), lambda x: x["take"] > 0)).alias("x"))
+        .select("a", "b", "c", "of", "shared", F.explode(F.filter(F.transform(F.filter("classes", joins_up), asked), lambda x: x["take"] > 0)).alias("x"))
         .select("a", F.least("of", "x.class").alias("lower"), F.greatest("of", "x.class").alias("upper"), "of", "b", "c", F.explode(F.slice("shared", F.lit(1), F.col("x.take"))).alias("e"))
         .withColumn("e", F.col("e.e"))
     )
