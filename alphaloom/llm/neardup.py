@@ -188,7 +188,7 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     torn = members.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a", "n")
     members = checkpoint(members.join(checkpoint(torn), "a"))
 
-    often = members.select("a", "n", F.explode("delta").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+    often = checkpoint(members.select("a", "n", F.explode("delta").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"), F.first("n").alias("n")).where("times > 1"))
     turned = often.where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("turned"))
     none = F.array().cast("array<bigint>")
     apart = members.join(checkpoint(turned), "a", "left").withColumn("turned", F.coalesce("turned", none))
@@ -201,7 +201,7 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     certain = apart.join(least, "a").where("weight + least.weight <= 0 and c <> least.c").select(F.col("least.b").alias("a"), "b")
 
     elements = apart.select("a", "b", F.explode("delta").alias("e"))
-    shared = elements.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1")
+    shared = often.select("a", "e", F.when(F.expr("2 * times > n"), F.col("n") - F.col("times")).otherwise(F.col("times")).alias("times")).where("times > 1")
     ordered = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
 
     def joins_up(other: Column) -> Column:
