@@ -112,7 +112,7 @@ def _stars(reps: DataFrame) -> DataFrame:
     met = checkpoint(_index(reps).join(sizes, "key"))
     degrees = met.groupBy("node").agg(F.sum("size").alias("degree"))
     hubs = met.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", F.negative("node").alias("order"), "node")).alias("hub"))
-    return met.join(hubs.select("key", F.col("hub.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return checkpoint(met.join(hubs.select("key", F.col("hub.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), met)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -186,15 +186,17 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     members = members.union(hubs.select("a", F.col("a").alias("b"), "hub_size", F.col("hub_size").alias("size"), F.array().cast("array<bigint>").alias("delta")))
     members = members.join(named.toDF("b", "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
     torn = members.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a", "n")
-    members = checkpoint(members.join(checkpoint(torn), "a"))
+    torn = checkpoint(torn)
+    members = checkpoint(members.join(torn, "a"), torn)
 
     often = checkpoint(members.select("a", "n", F.explode("delta").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"), F.first("n").alias("n")).where("times > 1"))
     turned = often.where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("turned"))
     none = F.array().cast("array<bigint>")
-    apart = members.join(checkpoint(turned), "a", "left").withColumn("turned", F.coalesce("turned", none))
+    turned = checkpoint(turned)
+    apart = members.join(turned, "a", "left").withColumn("turned", F.coalesce("turned", none))
     apart = apart.withColumn("delta", F.concat(F.array_except("delta", "turned"), F.array_except("turned", "delta")))
     apart = apart.withColumn("weight", F.size("delta") * total - F.col("size") * gap).withColumn("step", F.greatest(F.lit(2), F.col("hub_size") / 32).cast("long") * total)
-    apart = checkpoint(apart.select("a", "b", "c", "size", "delta", "weight", "step", _weight_class(F.col("weight"), F.col("step")).alias("of")))
+    apart = checkpoint(apart.select("a", "b", "c", "size", "delta", "weight", "step", _weight_class(F.col("weight"), F.col("step")).alias("of")), members, turned)
 
     by_class = apart.groupBy("a", "of").agg(F.min(F.struct("weight", "b", "c")).alias("least"), F.min("c").alias("low"), F.max("c").alias("high"))
     least = checkpoint(by_class.groupBy("a").agg(F.min("least").alias("least"), F.collect_list(F.struct("of", "low", "high")).alias("classes")))
@@ -220,7 +222,7 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
         .select("a", F.least("of", "x.class").alias("lower"), F.greatest("of", "x.class").alias("upper"), "of", "b", "c", F.explode(F.slice("shared", F.lit(1), F.col("x.take"))).alias("e"))
         .withColumn("e", F.col("e.e"))
     )
-    entered = checkpoint(entered)
+    entered = entered_all = checkpoint(entered)
     by = ["a", "lower", "upper", "e"]
     live = entered.groupBy(by).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("of").alias("o1"), F.max("of").alias("o2"))
     entered = entered.join(live.where("c1 <> c2 and (lower = upper or o1 <> o2)").select(by), by)
@@ -231,7 +233,8 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     own = apart.select("a", "b", "size", "delta")
     sized = met.join(own.toDF("a", "u", "su", "du"), ["a", "u"]).join(own.toDF("a", "v", "sv", "dv"), ["a", "v"])
     differ = F.size("du") + F.size("dv") - 2 * F.size(F.array_intersect("du", "dv"))
-    return sized.where(_similar(F.col("su"), F.col("sv"), differ, percent)).select(F.col("u").alias("a"), F.col("v").alias("b")).union(certain)
+    links = sized.where(_similar(F.col("su"), F.col("sv"), differ, percent)).select(F.col("u").alias("a"), F.col("v").alias("b")).union(certain)
+    return checkpoint(links, apart, often, least, entered_all)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
         if print_of == seen:
             break
         seen = print_of
-        edges = checkpoint(star(star(edges, True), False))
+        edges = checkpoint(star(star(edges, True), False), edges)
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select("low", "low").distinct())
 
 
@@ -289,13 +292,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = checkpoint(signatures(docs, width))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["k1", "k2", "n_shingles"]
-    classes = checkpoint(full.groupBy(same).agg(F.min(F.struct("doc_id", "symbols")).alias("r")).select(*same, "r.*"))
-    reps = classes.withColumn("node", F.monotonically_increasing_id())
+    reps = checkpoint(full.groupBy(same).agg(F.min(F.struct("doc_id", "symbols")).alias("r")).select(*same, "r.*", F.monotonically_increasing_id().alias("node")))
 
-    stars = checkpoint(_stars(reps))
+    stars = _stars(reps)
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    sets = checkpoint(_full_sets(docs, checkpoint(reps.join(needed, "node").select("node", "doc_id", "k1", "k2")), width))
-    ties = checkpoint(_ties(stars, sets, percent))
+    wanted = checkpoint(reps.join(needed, "node").select("node", "doc_id", "k1", "k2"))
+    sets = checkpoint(_full_sets(docs, wanted, width), wanted)
+    ties = checkpoint(_ties(stars, sets, percent), stars, sets)
     named = components(ties.where("linked").select("a", "b"))
     more = _links_by_delta(ties, named, percent)
     lifted = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
