@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,23 @@ WIDTH = 5
 MIN_COVERAGE = 0.6
 #: Benchmarks of up to so many bytes of text are broadcast as seeds; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Size of the bitmap (8 MB at any size of the benchmark) that keeps a document's other words from the shuffle.
+BITMAP_BITS = 26
+_PAIRS_AT_ONCE = 1 << 20
 
 
-def _seeds(texts: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
-    """``row, id, at, seed, n_words``: rolling hashes of every text, or of those in ``wanted`` (sorted)."""
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Bits of the leading ``BITMAP_BITS`` of every ``seed``, combined by Spark and gathered as 4 KB pieces."""
+    slot = F.shiftrightunsigned("seed", 64 - BITMAP_BITS) + 1
+    pieces = seeds.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
+    for piece, own in pieces.toLocalIterator():
+        bits[(piece - 1) * len(own) : piece * len(own)] = np.frombuffer(own, dtype=np.uint8)
+    return bits
+
+
+def _seeds(texts: DataFrame, width: int, wanted: np.ndarray | None, bitmap: Broadcast | None = None) -> DataFrame:
+    """``row, id, at, seed, n_words``: rolling hashes of every text, or of those in ``wanted`` (sorted) or with their bit in ``bitmap``."""
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if wanted is not None:
@@ -42,6 +56,10 @@ def _seeds(texts: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame
                     near = np.flatnonzero(likely[seeds >> np.uint64(44)])
                     near = near[wanted[np.minimum(np.searchsorted(wanted, seeds[near]), len(wanted) - 1)] == seeds[near]] if len(wanted) else near[:0]
                     seeds, at = seeds[near], at[near]
+                if bitmap is not None:
+                    slot = (seeds >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                    near = np.flatnonzero(bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    seeds, at = seeds[near], at[near]
                 row = np.searchsorted(words.bounds, at, "right") - 1
                 columns = [row_ids[chunk.first + row], ids[chunk.first + row], at - words.bounds[row], seeds.view(np.int64), np.diff(words.bounds)[row]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "id", "at", "seed", "n_words"])
@@ -49,6 +67,34 @@ def _seeds(texts: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame
     return texts.mapInArrow(roll, "row long, id long, at long, seed long, n_words long")
 
 
+def _runs(doc_at: np.ndarray, doc_seed: np.ndarray, item_seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start in document, start in item and number of seeds of every longest run of equal seeds along a diagonal.
+
+    Equal pairs are looked at in blocks, and only those kept that no pair goes
+    before or none follows, so memory goes by runs and not by pairs.
+    """
+    order = np.argsort(item_seeds, kind="stable")
+    by_seed, last = item_seeds[order], len(item_seeds) - 1
+    low, high = np.searchsorted(by_seed, doc_seed, "left"), np.searchsorted(by_seed, doc_seed, "right")
+    n = high - low
+    held, seed_at = np.zeros(int(doc_at.max(initial=0)) + 3, dtype=bool), np.zeros(int(doc_at.max(initial=0)) + 3, dtype=doc_seed.dtype)
+    held[doc_at + 1], seed_at[doc_at + 1] = True, doc_seed  # shifted by one, so that every place has a neighbour
+    starts, ends = [np.zeros((2, 0), dtype=np.int64)], [np.zeros((2, 0), dtype=np.int64)]
+    total = np.cumsum(n)
+    bounds = [0, *np.unique(np.searchsorted(total, np.arange(_PAIRS_AT_ONCE, n.sum(), _PAIRS_AT_ONCE)) + 1).tolist(), len(n)]
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        own = n[i:j]
+        p = np.repeat(doc_at[i:j], own)
+        t = order[np.repeat(low[i:j], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+        first = ~(held[p] & (t > 0) & (seed_at[p] == item_seeds[np.maximum(t - 1, 0)]))
+        final = ~(held[p + 2] & (t < last) & (seed_at[p + 2] == item_seeds[np.minimum(t + 1, last)]))
+        starts.append(np.stack([p[first], t[first]]))
+        ends.append(np.stack([p[final], t[final]]))
+    (p, t), (q, u) = np.concatenate(starts, axis=1), np.concatenate(ends, axis=1)
+    by_place, by_end = np.lexsort((t, p - t)), np.lexsort((u, q - u))
+    return p[by_place], t[by_place], u[by_end] - t[by_place] + 1
+
+
 def tile(doc_at: np.ndarray, doc_seed: np.ndarray, item_seeds: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """Tiles (start in document, start in item, words) by greedy string tiling.
 
@@ -56,43 +102,25 @@ def tile(doc_at: np.ndarray, doc_seed: np.ndarray, item_seeds: np.ndarray, width
     are taken longest first (ties: earliest in item, then document); one that
     meets marked words is cut to what is free and put back if long enough.
     """
-    order = np.argsort(item_seeds, kind="stable")
-    by_seed = item_seeds[order]
-    low, high = np.searchsorted(by_seed, doc_seed, "left"), np.searchsorted(by_seed, doc_seed, "right")
-    n = high - low
-    p = np.repeat(doc_at, n)
-    t = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    if not len(p):
-        return []
-    diagonal = p - t
-    order = np.lexsort((t, diagonal))
-    p, t, diagonal = p[order], t[order], diagonal[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(t) != 1)]))
-    lengths = np.diff(np.append(starts, len(p))) + width - 1
-    queue = [(-int(length), int(t[s]), int(p[s])) for s, length in zip(starts, lengths, strict=True)]
+    p, t, n = _runs(doc_at, doc_seed, item_seeds)
+    queue = list(zip((-(n + width - 1)).tolist(), t.tolist(), p.tolist(), strict=True))
     heapq.heapify(queue)
     in_item = np.zeros(len(item_seeds) + width - 1, dtype=bool)
-    in_doc: set[int] = set()
-    tiles = []
-    while queue:
+    in_doc = np.zeros(int(doc_at.max(initial=0)) + width, dtype=bool)
+    tiles, left = [], len(in_item)
+    while queue and left >= width:
         length, a, b = heapq.heappop(queue)
         length = -length
-        free = [not in_item[a + j] and b + j not in in_doc for j in range(length)]
-        if all(free):
+        marked = np.flatnonzero(in_item[a : a + length] | in_doc[b : b + length])
+        if not len(marked):
             tiles.append((b, a, length))
-            in_item[a : a + length] = True
-            in_doc.update(range(b, b + length))
+            in_item[a : a + length] = in_doc[b : b + length] = True
+            left -= length
             continue
-        j = 0
-        while j < length:
-            if free[j]:
-                end = j
-                while end < length and free[end]:
-                    end += 1
-                if end - j >= width:
-                    heapq.heappush(queue, (-(end - j), a + j, b + j))
-                j = end
-            j += 1
+        edges = np.concatenate([[-1], marked, [length]])
+        for j in np.flatnonzero(np.diff(edges) > width).tolist():
+            at = int(edges[j]) + 1
+            heapq.heappush(queue, (at - int(edges[j + 1]), a + at, b + at))
     return sorted(tiles)
 
 
@@ -103,7 +131,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataF
     lowered. Null and empty texts, and items of fewer than ``width`` words, match
     nothing. Repeated rows are compared one by one; empty tables give an empty
     result; other columns are ignored. Rows with null ids are left out of
-    ``benchmark``.
+    ``benchmark``. Very long texts are hashed whole, chunk by chunk. A document
+    and an item are tiled in one task, whose memory goes by their runs of
+    equal words; ties in length go to the earliest place in the item.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     items = benchmark.where("item_id is not null").select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -111,12 +141,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataF
     item_seeds = checkpoint(_seeds(items, width, None))
     by_seed = item_seeds.select("seed", F.col("row").alias("item")).distinct()
     by_item = item_seeds.groupBy(F.col("row").alias("item"), F.col("id").alias("item_id"), "n_words").agg(F.array_sort(F.collect_list(F.struct("at", "seed"))).alias("own")).select("item", "item_id", F.col("n_words").alias("item_words"), F.col("own.seed").alias("item_seeds"))
-    wanted = None
-    if size <= BROADCAST_BYTES:
+    wanted = bitmap = None
+    if size > BROADCAST_BYTES:
+        bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(item_seeds))
+    else:
         wanted = np.unique(np.array([r[0] for r in by_seed.select("seed").distinct().collect()], dtype=np.int64).view(np.uint64))
         by_seed, by_item = F.broadcast(by_seed), F.broadcast(by_item)
     shared = (
-        _seeds(rows, width, wanted)
+        _seeds(rows, width, wanted, bitmap)
         .select("row", F.col("id").alias("doc_id"), "at", "seed")
         .join(by_seed, "seed")
         .groupBy("row", "doc_id", "item")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from alphaloom.llm import decontaminate as dec
 from alphaloom.llm import licenses, pii
 from alphaloom.llm.queries import op3_license_scan, op7_personal_data, op8_decontamination
-from tests.llm.common import awkward, empty, texts_of
+from tests.llm.common import awkward, empty, rows, texts_of
 
 PHRASES = {"mit": "under the mit license".split(), "apache-2": "apache license version 2".split(), "cc-by-nc": "cc by nc".split()}
 
@@ -207,6 +208,35 @@ def test_tiling_equals_definition(spark, seed):
         assert got.get(k, 0) == _greedy_tiles(_tokens(text), item, 3)
 
 
+def test_repetitive_texts_tile_in_bounded_memory():
+    """One word over and over: every place of the text equals every place of the item."""
+    text, item = np.zeros(6000, dtype=np.int64), np.zeros(4000, dtype=np.int64)
+    tracemalloc.start()
+    tiles = dec.tile(np.arange(6000), text, item, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, 4004)]
+    assert most < 24_000_000 * 8
+
+
+def test_pairs_in_small_blocks_give_the_same_tiles(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        at = np.flatnonzero(rng.random(80) < 0.8)
+        seeds, item = rng.integers(0, 3, len(at)), rng.integers(0, 3, 30)
+        whole = dec.tile(at, seeds, item, 2)
+        with monkeypatch.context() as m:
+            m.setattr(dec, "_PAIRS_AT_ONCE", 7)
+            assert dec.tile(at, seeds, item, 2) == whole
+
+
+def test_shuffled_seeds_find_the_same(spark, small, monkeypatch):
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    broadcast = rows(dec.overlaps(docs, items), "doc_id", "item_id")
+    monkeypatch.setattr(dec, "BROADCAST_BYTES", 0)
+    assert rows(dec.overlaps(docs, items), "doc_id", "item_id") == broadcast and broadcast
+
+
 def test_contaminated_equals_brute_force(spark, small):
     docs, items = texts_of(f"{small}/documents.parquet"), texts_of(f"{small}/benchmark.parquet")
     want = set()
