@@ -34,6 +34,66 @@ def test_quality_of_held_out_labels(spark):
     assert (joined.predicted == joined.quality).mean() > 0.9
 
 
+def test_ranker_minimises_the_pairwise_loss():
+    """Bradley-Terry written out pair by pair: the fitted weights are its minimum, and the threshold cuts off as many rows as are bad."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] - x[:, 2] + rng.normal(size=60) > 0.3).astype(int)
+    got = quality.fit_bradley_terry(x, y, pairs=400)
+    z = []
+    for row in (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6):
+        clipped = [min(max(v, -6.0), 6.0) for v in row]
+        z.append(np.array([*clipped, *(v * v / 3 for v in clipped)]))
+    draw = np.random.default_rng(5)
+    pairs = list(zip(draw.choice(np.flatnonzero(y == 1), 400), draw.choice(np.flatnonzero(y == 0), 400), strict=True))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(z[i] @ w - z[j] @ w))) for i, j in pairs) / len(pairs) + quality.RIDGE * (w @ w) / 2
+
+    least = loss(got.weights)
+    for k in range(6):
+        for step in (-1e-2, 1e-2):
+            moved = got.weights.copy()
+            moved[k] += step
+            assert loss(moved) > least
+    assert abs(int((got.raw(x) < got.threshold).sum()) - int((y == 0).sum())) <= 1
+    assert ((got.score(x) >= quality.THRESHOLD) == (got.raw(x) >= got.threshold)).all()
+
+
+def _plain_logistic(x, y):
+    """Newton's method, row by row."""
+    w = np.zeros(x.shape[1] + 1)
+    for _ in range(40):
+        gradient, curvature = toxicity.RIDGE * w, toxicity.RIDGE * np.eye(len(w))
+        for row, label in zip(x, y, strict=True):
+            full = np.append(row, 1.0)
+            p = 1 / (1 + np.exp(-(full @ w)))
+            gradient = gradient + full * (p - label) / len(x)
+            curvature = curvature + np.outer(full, full) * p * (1 - p) / len(x)
+        w = w - np.linalg.solve(curvature, gradient)
+    return w
+
+
+def test_chain_equals_plain_fit():
+    """Each link against a plain fit on the features and the earlier links' out-of-fold probabilities."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((90, 4)) < 0.4).astype(float)
+    targets = np.column_stack([x[:, 0] * (rng.random(90) < 0.8), x[:, 1] * (rng.random(90) < 0.7), np.maximum(x[:, 0], x[:, 1]) * (rng.random(90) < 0.9)])
+    chain = toxicity.fit_chain(x, targets, ("a", "b", "toxic"), np.arange(4), folds=3)
+    earlier = []
+    for i in range(3):
+        design = [np.array([*row, *(e[n] for e in earlier)]) for n, row in enumerate(x)]
+        w = _plain_logistic(np.array(design), targets[:, i])
+        assert np.abs(1 / (1 + np.exp(-(np.column_stack([design, np.ones(90)]) @ w))) - 1 / (1 + np.exp(-(np.column_stack([design, np.ones(90)]) @ chain.weights[i])))).max() < 0.02
+        own = np.zeros(90)
+        for fold in range(3):
+            inside = [n for n in range(90) if n % 3 != fold]
+            held = _plain_logistic(np.array([design[n] for n in inside]), targets[inside, i])
+            for n in range(fold, 90, 3):
+                own[n] = 1 / (1 + np.exp(-(np.append(design[n], 1.0) @ held)))
+        earlier.append(own)
+
+
 def test_quality_without_usable_labels(spark):
     docs = awkward(spark)
     none = quality.train_ranker(docs, spark.createDataFrame([(4, None), (None, 1), (5, 1), (5, 1)], "doc_id long, quality int"))
