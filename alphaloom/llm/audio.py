@@ -142,6 +142,7 @@ class _Prints:
     """Recordings end to end: ids, prints, bounds of each, and the audible frames in order of recording."""
 
     def __init__(self, table: pa.Table) -> None:
+        self.nodes = table.column("node").to_numpy()
         self.ids = table.column("class_id").to_numpy()
         self.members = table.column("members").to_numpy()
         parts = [np.frombuffer(b, dtype="<u4") for b in table.column("prints").to_pylist()]
@@ -201,14 +202,14 @@ def _met(q: _Prints, q0: int, q1: int, r: _Prints, r0: int, r1: int) -> Iterator
 
 
 def _compared(queries: pa.Table, recordings: pa.Table) -> pa.Table:
-    """``q, r, offset, members, error`` of the pairs that match, each at its offset of least bit error."""
+    """``q, r, offset, members, error`` of the pairs that match (node of the query, class id of the recording), each at its offset of least bit error."""
     q, r = _Prints(queries), _Prints(recordings)
     out = []
     for first in range(0, len(q.ids), 64):
         for i, j, offset in _met(q, first, min(first + 64, len(q.ids)), r, 0, len(r.ids)):
             start = np.maximum(0, -offset)
             overlap = np.minimum(np.diff(q.bounds)[i], np.diff(r.bounds)[j] - offset) - start
-            ok = (overlap >= MIN_OVERLAP) & (q.ids[i] != r.ids[j])
+            ok = (overlap >= MIN_OVERLAP) & (q.nodes[i] != r.nodes[j])
             i, j, offset, start, overlap = i[ok], j[ok], offset[ok], start[ok], overlap[ok]
             error = np.zeros(len(i))
             for cut in range(0, len(i), 1 << 16):
@@ -224,7 +225,7 @@ def _compared(queries: pa.Table, recordings: pa.Table) -> pa.Table:
             new = np.ones(len(order), dtype=bool)
             new[1:] = (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
             best = order[new]
-            out.append(pa.table({"q": q.ids[i[best]], "r": r.ids[j[best]], "offset": offset[best].astype(np.int32), "members": r.members[j[best]], "error": error[best]}))
+            out.append(pa.table({"q": q.nodes[i[best]], "r": r.ids[j[best]], "offset": offset[best].astype(np.int32), "members": r.members[j[best]], "error": error[best]}))
     none = pa.table({c: pa.array([], t) for c, t in (("q", pa.int64()), ("r", pa.int64()), ("offset", pa.int32()), ("members", pa.int64()), ("error", pa.float64()))})
     return pa.concat_tables([none, *out])
 
@@ -236,9 +237,10 @@ def _packed(reps: DataFrame) -> DataFrame:
         for batch in batches:
             prints = [np.array(x, dtype="<u4").tobytes() for x in batch.column("prints").to_pylist()]
             sounds = [np.array(x, dtype=np.uint8).tobytes() for x in batch.column("sounds").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("members"), batch.column("asked"), pa.array(prints, pa.binary()), pa.array(sounds, pa.binary())], ["class_id", "members", "asked", "prints", "sounds"])
+            names = ["node", "class_id", "members", "asked"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(prints, pa.binary()), pa.array(sounds, pa.binary())], [*names, "prints", "sounds"])
 
-    return reps.select("class_id", "members", "asked", "prints", "sounds").mapInArrow(run, "class_id long, members long, asked boolean, prints binary, sounds binary")
+    return reps.select("node", "class_id", "members", "asked", "prints", "sounds").mapInArrow(run, "node long, class_id long, members long, asked boolean, prints binary, sounds binary")
 
 
 def align(media_prints: DataFrame, every: int = 20) -> DataFrame:
@@ -250,27 +252,32 @@ def align(media_prints: DataFrame, every: int = 20) -> DataFrame:
     match (class members included; null for others than queries) and ``best``
     is the closest other class: its id, how many frames later the query's music
     stands in it, and the share of bits that differ there. Silent frames do not
-    vote. Empty or too short recordings match nothing.
+    vote. Empty or too short recordings match nothing. Repeated rows come back
+    one by one and count as members of their class; an id that stands for two
+    recordings belongs to the classes of both, whose rows are told apart by
+    ``n_prints`` and links. Other columns are ignored; an empty table gives an empty result.
+    A recording's prints are one row, so its length is bounded by a task's memory.
 
     Blocks of queries meet blocks of recordings, each pair of blocks in one
     task, so votes are counted where they arise and only matches leave it.
     """
-    prints = checkpoint(media_prints)
     key = F.md5(F.array_join("prints", ",").cast("binary"))
-    keyed = prints.select("media_id", key.alias("key"), F.size("prints").alias("n_prints"))
-    classes = checkpoint(keyed.groupBy("key").agg(F.min("media_id").alias("class_id"), F.count("*").alias("members"), F.max(F.col("media_id") % every == 0).alias("asked")))
-    reps = prints.join(classes.select(F.col("class_id").alias("media_id"), "members", "asked"), "media_id").dropDuplicates(["media_id"])
-    reps = checkpoint(_packed(reps.withColumnRenamed("media_id", "class_id")))
+    prints = checkpoint(media_prints.select("media_id", "prints", "sounds", key.alias("key")))
+    keyed = prints.select("media_id", "key", F.size("prints").alias("n_prints"))
+    classes = keyed.groupBy("key").agg(F.min("media_id").alias("class_id"), F.count("*").alias("members"), F.max(F.col("media_id") % every == 0).alias("asked"))
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    named = classes.withColumn("media_id", F.col("class_id"))
+    reps = checkpoint(_packed(prints.join(named, ["media_id", "key"]).dropDuplicates(["node"])))
 
     sizes = reps.agg(F.count_if("asked").alias("queries"), F.count("*").alias("recordings")).first()
     n_q, n_r = -(-sizes["queries"] // QUERY_BLOCK), -(-sizes["recordings"] // RECORDING_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(max(n, 1)))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.lit(max(n, 1)))
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<long>"))
-    queries = reps.where("asked").select(block(n_q).alias("qb"), every_block(n_r).alias("rb"), "class_id", "members", "prints", "sounds")
-    others = reps.select(every_block(n_q).alias("qb"), block(n_r).alias("rb"), "class_id", "members", "prints", "sounds")
+    queries = reps.where("asked").select(block(n_q).alias("qb"), every_block(n_r).alias("rb"), "node", "class_id", "members", "prints", "sounds")
+    others = reps.select(every_block(n_q).alias("qb"), block(n_r).alias("rb"), "node", "class_id", "members", "prints", "sounds")
     matched = queries.groupBy("qb", "rb").cogroup(others.groupBy("qb", "rb")).applyInArrow(_compared, "q long, r long, offset int, members long, error double")
     best = matched.groupBy("q").agg(F.sum("members").alias("links"), F.min(F.struct("error", "r", "offset")).alias("best"))
-    joined = keyed.join(classes, "key").join(best, F.col("class_id") == F.col("q"), "left")
+    joined = keyed.join(classes, "key").join(best, F.col("node") == F.col("q"), "left")
     return joined.select(
         "media_id", "class_id", "n_prints", F.col("asked").alias("is_query"),
         F.when(F.col("asked"), F.coalesce("links", F.lit(0)) + F.when(F.col("n_prints") > 0, F.col("members") - 1).otherwise(0)).alias("n_links"),

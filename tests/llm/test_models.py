@@ -249,6 +249,27 @@ def test_audio_recall_of_true_bit_error(spark):
     assert true.total() > 120 and all(found[k] >= 0.9 * true[k] for k in true), (true, found)
 
 
+def test_recordings_that_repeat_or_share_an_id(spark):
+    rng = np.random.default_rng(21)
+    pcm = lambda x: (x * 12000).astype("<i2").tobytes()
+    one, two = _melody(rng, 60), _melody(rng, 60)
+    late = lambda x: pcm(np.concatenate([np.zeros(audio.HOP * 3), x]))
+    media = [(20, pcm(one)), (20, pcm(one)), (20, pcm(two)), (31, late(one)), (32, late(two)), (40, None)]
+    table = spark.createDataFrame([(*m, "clash", "clash") for m in media], "media_id long, pcm binary, key string, node string")
+    got = audio.align(audio.fingerprints(table)).collect()
+    assert sorted((r.media_id, r.class_id, r.n_links, r.best_id, r.best_offset) for r in got if r.media_id == 20) == [(20, 20, 1, 32, 3), (20, 20, 2, 31, 3), (20, 20, 2, 31, 3)]
+    assert sorted(r.media_id for r in got) == [20, 20, 20, 31, 32, 40]
+
+
+def test_chats_with_ties_nulls_and_long_turns(spark):
+    """Turns that tie go by role, then text; repeated rows are turns of their own; null roles and texts are not empty ones."""
+    long = "word " * 40_000
+    turns = [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "b"), (3, 0, None, None), (4, 0, "", ""), (5, 0, None, None), (5, 1, "user", long), (6, 0, "user", "a"), (6, 0, "user", "a"), (7, None, "user", "a")]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()}
+    assert {i: (r.n_turns, r.n_copies) for i, r in got.items()} == {1: (2, 2), 4: (1, 1), 5: (2, 1), 6: (2, 1)}
+    assert got[1].rendered == "<|user|>\na\n<|end|>\n<|user|>\nb\n<|end|>\n" and got[5].rendered == f"<|unknown|>\n\n<|end|>\n<|user|>\n{long}\n<|end|>\n"
+
+
 def test_audio_blocks_change_nothing(spark, small, monkeypatch):
     prints = audio.fingerprints(audio.synthesise(spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 200")))
     whole = sorted(map(tuple, audio.align(prints, every=2).collect()), key=str)
