@@ -181,6 +181,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """``docs`` without the documents that hold benchmark items; rows without a ``doc_id`` stay."""
+    """``docs``, all columns, without the documents that hold benchmark items.
+
+    Rows without a ``doc_id`` stay, as do null and empty texts; an id that stands
+    for several rows goes with all of them if one of its texts holds an item. A
+    coverage equal to ``min_coverage`` goes. Empty tables change nothing.
+    """
     found = contaminated(docs, benchmark, width, min_coverage).select(F.col("doc_id").alias("_leaked")).distinct()
     return docs.join(found, docs["doc_id"].cast("long") == F.col("_leaked"), "left_anti")
