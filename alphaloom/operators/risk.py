@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,35 +107,61 @@ def return_styles(sections: DataFrame, returns: DataFrame, settings: RiskSetting
     """``date, ticker, beta, resvol, momentum`` (raw, null where a name has too few days) over trailing return-panel dates.
 
     The market is the equal-weight mean of the names selected on the date, so
-    the history is joined for each date's names: an equi-join on the ordinal of
-    each trailing date. Dates without the minimum of earlier rows are left out.
-    Residual volatility follows from the moments of return and market without a
-    second pass.
+    dates are taken in blocks as long as the lookback, so that a return is copied
+    twice at most. A block is one task: a matrix of two lookbacks of days by the
+    names, and all moments as products with it. Dates without the minimum of
+    earlier rows are left out. Residual volatility follows from the moments of
+    return and market without a second pass.
     """
+    span = settings.style_lookback
     days = calendar(returns).select("date", "ix")
-    keyed = sections.join(F.broadcast(days.select(F.col("date").alias("exposure_date"), F.col("ix").alias("k"))), "exposure_date")
-    keyed = keyed.where(F.col("k") + 1 >= settings.style_minimum).select("date", "ticker", "k")
-    back = F.sequence(F.greatest(F.col("k") - (settings.style_lookback - 1), F.lit(0)), F.col("k"))
-    numbered = returns.join(F.broadcast(days), "date").select("ticker", "ix", F.col("return").alias("r"))
-    history = keyed.withColumn("ix", F.explode(back)).join(numbered, ["ticker", "ix"])
-    market = history.groupBy("date", "ix").agg(F.avg("r").alias("m")).withColumn("c", F.col("m") - F.avg("m").over(day()))
-    rows = history.join(market, ["date", "ix"])
-    recent = (F.col("ix") <= F.col("k") - settings.momentum_skip) & (F.col("r") > -1)
-    sums = rows.groupBy("date", "ticker").agg(
-        F.count("*").alias("n"),
-        (F.sum(F.col("r") * F.col("c")) - F.avg("r") * F.sum("c")).alias("cov"),
-        F.sum(F.col("c") * F.col("c")).alias("ss"),
-        F.var_samp("r").alias("vr"), F.var_samp("m").alias("vm"), F.covar_samp("r", "m").alias("crm"),
-        F.count_if(recent).alias("nm"), F.sum(F.when(recent, F.log1p("r"))).alias("mom"),
-    )
-    enough = F.col("n") >= settings.style_minimum
-    rated = sums.withColumn("beta", F.when(enough & (F.col("ss") > 0), F.try_divide("cov", "ss")))
-    spread = F.col("vr") + F.pow("beta", 2) * F.col("vm") - 2 * F.col("beta") * F.col("crm")
-    return rated.select(
-        "date", "ticker", "beta",
-        F.when(enough, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("resvol"),
-        F.when(F.col("nm") >= settings.style_minimum, F.col("mom")).alias("momentum"),
-    )
+    keyed = sections.join(F.broadcast(days.select(F.col("date").alias("exposure_date"), F.col("ix").cast("long").alias("k"))), "exposure_date")
+    keyed = keyed.where(F.col("k") + 1 >= settings.style_minimum).select("date", "ticker", "k", F.expr(f"k div {span}").alias("block"))
+    numbered = returns.join(F.broadcast(days), "date").select(F.col("ticker").alias("name"), F.col("ix").cast("long").alias("ix"), F.col("return").cast("double").alias("r"))
+    spread = numbered.withColumn("block", F.explode(F.sequence(F.expr(f"ix div {span}"), F.expr(f"(ix + {span - 1}) div {span}"))))
+
+    def styles(key: tuple[pa.Scalar], members: pa.Table, history: pa.Table) -> pa.Table:
+        return _block_styles(key[0].as_py() * span - (span - 1), members, history, settings)
+
+    return keyed.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(styles, "date string, ticker string, beta double, resvol double, momentum double")
+
+
+def _block_styles(start: int, members: pa.Table, history: pa.Table, settings: RiskSettings) -> pa.Table:
+    """``return_styles`` of one block of dates whose history begins at ordinal ``start``; the market of a date is the mean of its own members."""
+    names = np.intersect1d(members.column("ticker").to_numpy(), history.column("name").to_numpy())
+    history = history.filter(pc.is_in(history.column("name"), pa.array(names, pa.string())))
+    members = members.filter(pc.is_in(members.column("ticker"), pa.array(names, pa.string())))
+    dates, first, day = np.unique(members.column("date").to_numpy(), return_index=True, return_inverse=True)
+    last = members.column("k").to_numpy()[first] - start
+    name, at = np.searchsorted(names, members.column("ticker").to_numpy()), np.searchsorted(names, history.column("name").to_numpy())
+    when = history.column("ix").to_numpy() - start
+    raw, seen = np.zeros((2 * settings.style_lookback - 1, len(names))), np.zeros((2 * settings.style_lookback - 1, len(names)))
+    raw[when, at], seen[when, at] = history.column("r").to_numpy(), 1.0
+    r = (raw - raw.sum(axis=0) / seen.sum(axis=0)) * seen
+    inside = np.zeros((len(dates), len(names)))
+    inside[day, name] = 1.0
+    time = np.arange(len(raw))
+    window = ((time <= last[:, None]) & (time > last[:, None] - settings.style_lookback)).astype(float)
+
+    count = (inside @ seen.T) * window
+    market = np.divide((inside @ raw.T) * window, count, out=np.zeros_like(count), where=count > 0)
+    c = (market - market.sum(axis=1, keepdims=True) / np.maximum((count > 0).sum(axis=1, keepdims=True), 1)) * (count > 0)
+    usable = seen * (raw > -1)
+    recent = window * (time <= last[:, None] - settings.momentum_skip)
+    pick = lambda product: product[day, name]
+    n, sr, srr = pick(window @ seen), pick(window @ r), pick(window @ (r * r))
+    sc, scc, src = pick(c @ seen), pick((c * c) @ seen), pick(c @ r)
+    nm, mom = pick(recent @ usable), pick(recent @ np.log1p(np.where(usable > 0, raw, 0.0)))
+
+    enough = n >= settings.style_minimum
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = src - sr * sc / n
+        beta = np.where(enough & (scc > 0), cov / scc, np.nan)
+        spread = (srr - sr * sr / n + beta**2 * (scc - sc * sc / n) - 2 * beta * cov) / (n - 1)
+    resvol = np.where(enough, np.sqrt(np.fmax(spread, 0.0)), np.nan)
+    values = [pa.array(x, mask=np.isnan(x)) for x in (beta, resvol, np.where(nm >= settings.style_minimum, mom, np.nan))]
+    out = pa.table([members.column("date"), members.column("ticker"), *values], ["date", "ticker", "beta", "resvol", "momentum"])
+    return out.filter(pa.array(n > 0))
 
 
 def exposures(sections: DataFrame, returns: DataFrame, settings: RiskSettings) -> DataFrame:
