@@ -87,8 +87,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "n_turns", "n_copies", F.length("rendered").cast("long").alias("n_chars"), F.md5("rendered").alias("rendered_md5"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.whiten import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting, op11_embedding_whitening)}
 
 
 SQL = {
