@@ -93,8 +93,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.webtext import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting, op11_embedding_whitening)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting, op11_embedding_whitening, op13_html_extraction)}
 
 
 SQL = {
