@@ -93,6 +93,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alphaloom.llm.trie import prefix_trie
+
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alphaloom.llm.webtext import extract_text
 
@@ -100,7 +106,7 @@ def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting, op11_embedding_whitening, op13_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_license_scan, op4_token_counts, op5_quality_classifier, op6_audio_fingerprints, op7_personal_data, op8_decontamination, op9_near_duplicates, op10_chat_formatting, op11_embedding_whitening, op12_conversation_trie, op13_html_extraction)}
 
 
 SQL = {
