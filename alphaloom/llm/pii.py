@@ -50,12 +50,13 @@ _LOOSE = {
     "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\s?[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9]{4}(?:[./_  ‐-― -]{1,2}[0-9]{4}){3}|[0-9]{4}[./_ -][0-9]{6}[./_ -][0-9]{5}|[0-9]{13,19}"),
     "phone": re.compile(r"(?:\([0-9]{2,5}\)[\x20.-]?[0-9]{2,4}|00[0-9]{1,3}[\x20.-][0-9]{2,4}|0?[0-9]{2,4}[\x20./-][0-9]{3,4})(?:[\x20./-][0-9]{2,5}){1,3}"),
-    "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,200}"),
+    "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,}"),
 }
 _AT = re.compile(r"\s?(?:\[at\]|\(at\)|\{at\}|\s[Aa][Tt]\s|@)\s?")
-_BEFORE_AT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z")
-_AFTER_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\s[Dd][Oo][Tt]\s)\s?[A-Za-z]{2,24}){1,3}")
-_ASSIGNED = re.compile(r"(?:pass(?:word|wd)?|pwd|secret|token|key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?([^\s\"']{6,64})", re.IGNORECASE)
+_NO_START = "._%+-"
+_AFTER_AT = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\s[Dd][Oo][Tt]\s)\s?[A-Za-z]{2,})+")
+_SPACED_DOT = re.compile(r"\.\s|\s\.")
+_ASSIGNED = re.compile(r"(?:pass(?:word|wd)?|pwd|secret|token|key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?([^\s\"']{6,})", re.IGNORECASE)
 _HINTS = {
     "email": ("mail", "contact", "write", "reach", "kontakt", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "adresse", "login"),
@@ -136,11 +137,23 @@ def _ordered(spans) -> list[tuple[str, int, int]]:
 
 
 def _loose_emails(text: str) -> Iterator[tuple[str, int, int]]:
+    """Addresses from their at sign: the whole run of name characters before it, and all labels after it.
+
+    A full stop with white space ends a sentence more often than it joins
+    labels, so the stretch before the first of those is proposed too.
+    """
     for at in _AT.finditer(text):
-        user = _BEFORE_AT.search(text[max(0, at.start() - 64) : at.start()])
-        domain = _AFTER_AT.match(text, at.end()) if user else None
+        start = at.start()
+        while start and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        while start < at.start() and text[start] in _NO_START:
+            start += 1
+        domain = _AFTER_AT.match(text, at.end()) if start < at.start() else None
         if domain:
-            yield "email", at.start() - len(user.group()), domain.end()
+            yield "email", start, domain.end()
+            spaced = _SPACED_DOT.search(text, at.end(), domain.end())
+            if spaced and (short := _AFTER_AT.match(text, at.end(), spaced.start())):
+                yield "email", start, short.end()
 
 
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
@@ -157,9 +170,6 @@ def _mixed(span: str) -> bool:
     return _has_digit(span) and any(c.isalpha() for c in span)
 
 
-_SPACED_DOT = re.compile(r"\.\s|\s\.")
-
-
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context features of a candidate."""
     span = text[start:end]
@@ -218,8 +228,10 @@ class Redactor:
         """Exact spans, and all accepted spans.
 
         Every proposal that no exact span covers is judged, those that overlap
-        one too. Accepted ones are taken by falling probability (ties: from the
-        left), each unless it overlaps one taken before; exact spans stay.
+        one too. Of the accepted, one that another covers goes, however probable:
+        the longer span is redacted whole. The rest are taken by falling
+        probability (ties: from the left), each unless it overlaps one taken
+        before; exact spans stay.
         """
         base = base_spans(text)
         loose = loose_spans(text)
@@ -230,11 +242,17 @@ class Redactor:
         if not loose:
             return base, base
         p = self.trees.probability(np.array([describe(text, *c) for c in loose], dtype=float))
+        accepted = [i for i, (kind, _, _) in enumerate(loose) if p[i] >= self.thresholds[KINDS.index(kind)]]
+        widest, reach = [], -1
+        for i in sorted(accepted, key=lambda i: (loose[i][1], -loose[i][2], -p[i])):
+            if loose[i][2] > reach:
+                widest.append(i)
+                reach = loose[i][2]
         kept: list[tuple[str, int, int]] = []
         marked = bytearray(len(text))
-        for i in np.argsort(-p, kind="stable"):
-            kind, start, end = loose[i]
-            if p[i] >= self.thresholds[KINDS.index(kind)] and marked.find(1, start, end) < 0:
+        for i in sorted(widest, key=lambda i: -p[i]):
+            _, start, end = loose[i]
+            if marked.find(1, start, end) < 0:
                 kept.append(loose[i])
                 marked[start:end] = b"\x01" * (end - start)
         return base, _ordered(base + kept)
@@ -296,6 +314,10 @@ class _Maker:
     def mixed(self, n: int, letters: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") -> str:
         return "".join(letters[int(i)] for i in self.rng.integers(0, len(letters), n))
 
+    def long(self) -> int:
+        """Lengths well beyond those of usual secrets, small ones oftener."""
+        return int(2 ** self.rng.uniform(6, 12))
+
     def address(self, span: str = "") -> str:
         """An address in an obfuscated form."""
         user, domain = span.split("@") if span else (self.pick((self.word(), f"{self.word()}.{self.word()}", f"{self.word()}{self.number(2)}")), f"{self.word(3)}.{self.pick(('com', 'org', 'net', 'de', 'fr', 'es', 'io'))}")
@@ -317,7 +339,7 @@ class _Maker:
         if kind == "phone":
             n = self.number
             return self.pick((f"({n(3)}) {n(3)}-{n(4)}", f"00{self.pick('123456789')}{n(1)} {n(3)} {n(5)} {n(3)}", f"0{n(3)} {n(3)} {n(4)}", f"{n(3)}-{n(3)}-{n(4)}"))
-        return self.pick((self.mixed(40, "0123456789abcdef"), self.mixed(32, "0123456789abcdef"), self.mixed(36), "AKIA" + self.mixed(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "sk-" + self.mixed(32), "ghp_" + self.mixed(36), self.mixed(9) + self.number(1)))
+        return self.pick((self.mixed(40, "0123456789abcdef"), self.mixed(32, "0123456789abcdef"), self.mixed(36), "AKIA" + self.mixed(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "sk-" + self.mixed(32), "ghp_" + self.mixed(36), self.mixed(9) + self.number(1), self.mixed(self.long()), self.mixed(self.long(), "0123456789abcdef")))
 
     def bad(self, kind: str) -> str:
         n = self.number
@@ -330,7 +352,7 @@ class _Maker:
             return self.pick(("", ".", " ", "_", "-")).join((body + next(str(d) for d in range(10) if not luhn(body + str(d))))[i : i + 4] for i in range(0, 16, 4))
         if kind == "phone":
             return self.pick((f"20{n(2)}-{n(3)}-{n(2)}", f"{n(2)}/{n(4)}/{n(2)}", f"{n(3)} {n(3)} {n(3)} {n(3)}", f"{n(4)}.{n(4)}.{n(2)}", f"{n(3)}.{n(3)}.{n(3)}"))
-        return self.pick((self.mixed(40, "0123456789abcdef"), self.mixed(32, "0123456789abcdef"), f"{self.mixed(8, '0123456789abcdef')}-{n(4)}-4{n(3)}-{n(4)}-{n(12)}", "/".join(self.word(4) for _ in range(4)) + n(2), "_".join(self.word(4) for _ in range(4)) + n(1), "=" * 20 + self.word(2) + n(1)))
+        return self.pick((self.mixed(40, "0123456789abcdef"), self.mixed(32, "0123456789abcdef"), f"{self.mixed(8, '0123456789abcdef')}-{n(4)}-4{n(3)}-{n(4)}-{n(12)}", "/".join(self.word(4) for _ in range(4)) + n(2), "_".join(self.word(4) for _ in range(4)) + n(1), "=" * 20 + self.word(2) + n(1), "/".join(self.word(4) for _ in range(self.long() // 6)) + n(2), "-" * self.long() + n(1) + "a"))
 
     def lead(self, kind: str, good: bool) -> str:
         hint = self.pick(_HINTS[kind] if good else _AGAINST)

@@ -312,3 +312,33 @@ def test_trees_judge_proposals_that_touch_exact_spans():
     text = "cards 4111111111111111 5500000000000004 on file, card"
     base, spans = redactor.spans(text)
     assert base == [] and {text[a:b] for _, a, b in spans} == {"4111111111111111", "5500000000000004"}
+
+
+def test_spans_have_no_length_at_which_they_are_cut(spark, small):
+    """Secrets and addresses of 40 to 5,000 characters are covered whole, so redaction leaves no piece of them."""
+    redactor = pii.train_redactor(spark.read.parquet(f"{small}/documents.parquet"))
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: "".join(letters[int(i)] for i in rng.integers(0, len(letters), n))
+    hexes, mixed, word = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"
+    for n in (40, 64, 65, 80, 150, 200, 201, 300, 1000, 5000):
+        for letters in (hexes, mixed):
+            for lead, tail in (('The config held token = "', '" all along'), ("password: ", " and more"), ("secret=", "\nnext line")):
+                secret = draw(letters, n)
+                text = f"lorem vine stone {lead}{secret}{tail}"
+                base, spans = redactor.spans(text)
+                assert base == pii.base_spans(text)
+                left = pii.redact(text, spans)
+                assert not any(secret[i : i + 12] in left for i in range(len(secret) - 11)), (n, lead, spans)
+                assert left.startswith("lorem vine stone") and left.endswith(tail)
+        user = draw(word, n)
+        text = f"You may contact {user}[at]{draw(word, 9)}[dot]{draw(word, 6)}[dot]{draw(word, 6)}[dot]{draw(word, 6)}[dot]com today"
+        start = len("You may contact ")
+        assert [("email", start, text.index(" today"))] == [s for s in pii.loose_spans(text) if s[0] == "email"]
+    assert ("email", 5, 28) in pii.loose_spans("mail jane.doe at example.com. Then we left")
+
+
+def test_a_covering_span_beats_one_that_it_covers():
+    redactor = pii.Redactor(None, (0.5,) * len(pii.KINDS))
+    object.__setattr__(redactor, "trees", type("Sure", (), {"probability": staticmethod(lambda x: 1 - x[:, 1] / 1e6)}))
+    text = 'password = "aB3$' + "c4" * 40 + '"'
+    assert [text[a:b] for k, a, b in redactor.spans(text)[1] if k == "secret"] == ["aB3$" + "c4" * 40]
