@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from alphaloom.errors import RiskError
 from alphaloom.operators import risk
 from alphaloom.operators.calendar import calendar
+from alphaloom.operators.industry import industry_asof
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,20 @@ def windows(as_of: DataFrame, days: DataFrame, regressed: DataFrame, settings: r
     return found.select("as_of", "date", (F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("date").desc())) - 1).alias("age"))
 
 
+def complete_windows(window: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``window`` without the dates that lack one of its industries, ages counted anew; and ``as_of, code`` of all that it holds.
+
+    ``codes`` has ``date, code`` of every regression date. The factor list of an
+    as-of date is what its window has seen, and a date without one of those
+    cannot tell its return.
+    """
+    seen = window.select("as_of", "date").join(codes, "date")
+    listed = seen.select("as_of", "code").distinct()
+    wanted = listed.groupBy("as_of").agg(F.count("*").alias("wanted"))
+    full = seen.groupBy("as_of", "date").agg(F.count("*").alias("n")).join(wanted, "as_of").where("n = wanted")
+    return full.select("as_of", "date", (F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("date").desc())) - 1).alias("age")), listed
+
+
 def factor_covariance(factor_returns: DataFrame, window: DataFrame, settings: risk.RiskSettings) -> DataFrame:
     """``as_of, factor_a, factor_b, covariance``: exponentially weighted, annualised, shrunk, eigenvalues floored; one task a matrix."""
     weighted = window.select("as_of", "date", F.pow(F.lit(0.5), F.col("age") / settings.factor_halflife).alias("w"))
@@ -91,35 +106,58 @@ def impute(targets: DataFrame, specific: DataFrame, members: DataFrame | None, s
     return own.select("as_of", "ticker", value.alias("specific_var"), F.col("specific_var").isNull().alias("imputed"))
 
 
-def estimate(returns: DataFrame, caps: DataFrame, targets: DataFrame, settings: risk.RiskSettings, members: DataFrame | None = None) -> AsOfModel:
-    """The MARKET and styles model as of each ``as_of`` of ``targets`` (``as_of, ticker``).
+def estimate(returns: DataFrame, caps: DataFrame, targets: DataFrame, settings: risk.RiskSettings, members: DataFrame | None = None, history: DataFrame | None = None) -> AsOfModel:
+    """The model as of each ``as_of`` of ``targets`` (``as_of, ticker``): MARKET and styles, or with ``history`` industries and styles.
 
     Windows end on the last date on or before the as-of date on which both
     panels have rows; the targets' exposures are standardised over the targets on
-    that date. Refused, naming the dates: too few regressed dates in a window, a
-    target without capitalisation or without usable styles, and more imputed
-    specific variances than ``max_imputed``. An as-of date before all history is
-    a date without regressions. ``targets`` may repeat rows; an empty table gives an empty model.
+    that date. With ``history`` (``ticker, industry, in_date, out_date``) a
+    regression uses the industries of its exposure date, a target that of the
+    as-of date, and the factor list of an as-of date is what its window has seen.
+    Imputation takes the industry's median (of ``members`` without ``history``).
+
+    Refused, naming the dates: too few regressed dates in a window, a target
+    without capitalisation, without usable styles, without industry or of one
+    that the window has not seen, and more imputed specific variances than
+    ``max_imputed``. An as-of date before all history is a date without
+    regressions. ``targets`` may repeat rows; an empty table gives an empty model.
     """
     targets = targets.select("as_of", "ticker").distinct()
     as_of = targets.select("as_of").distinct()
     days = calendar(returns.select("date").intersect(caps.select("date"))).select("date", F.col("ix").cast("int").alias("k")).persist()
-    sections = risk.cross_sections(returns, caps, settings)
+    dated = None if history is None else industry_asof(caps.select("date", "ticker").distinct(), history)
+    sections = risk.cross_sections(returns, caps, settings, dated)
     rows = risk.response(risk.exposures(sections, returns, settings), settings).persist()
-    size_only = settings.styles == ("SIZE",)
-    factor_returns = (risk.factor_returns_closed(rows) if size_only else risk.factor_returns_wls(rows, settings.styles)).persist()
-    window = windows(as_of, days, factor_returns, settings).persist()
+    market, listed = history is None, None
+    if market:
+        size_only = settings.styles == ("SIZE",)
+        factor_returns = (risk.factor_returns_closed(rows) if size_only else risk.factor_returns_wls(rows, settings.styles)).persist()
+        window = windows(as_of, days, factor_returns, settings).persist()
+    else:
+        sums = risk.regression_sums(rows, settings.styles, "industry").persist()
+        factor_returns = risk.factor_returns_normal(sums, settings.styles).drop("n_codes").persist()
+        window, listed = complete_windows(windows(as_of, days, sums, settings), sums.select("date", "code"))
+        window = window.join(factor_returns.select("date").distinct(), "date", "left_semi")
+        window = window.withColumn("age", F.row_number().over(Window.partitionBy("as_of").orderBy("age")) - 1).persist()
     periods = as_of.join(window.groupBy("as_of").agg(F.count("*").alias("periods"), F.min("date").alias("first"), F.max("date").alias("last")), "as_of", "left").na.fill(0, ["periods"])
     _refuse(periods.where(F.col("periods") < settings.minimum_periods).select("as_of", "periods"), f"fewer than {settings.minimum_periods} regressed dates")
 
     last = last_dates(as_of, days).select("as_of", F.col("date").alias("exposure_date"))
     valued = targets.join(F.broadcast(last), "as_of").join(caps.select(F.col("date").alias("exposure_date"), "ticker", "cap"), ["exposure_date", "ticker"], "left")
     _refuse(valued.where("cap is null or not cap > 0 or cap = double('Infinity')").select("as_of", "ticker"), "targets without capitalisation")
-    styled = risk.exposures(valued.select(F.col("as_of").alias("date"), "exposure_date", "ticker", "cap"), returns, settings).persist()
+    if not market:
+        placed = industry_asof(targets.select(F.col("as_of").alias("date"), "ticker"), history).withColumnRenamed("date", "as_of").persist()
+        _refuse(targets.join(placed, ["as_of", "ticker"], "left_anti"), "targets without industry")
+        unseen = placed.select("as_of", F.concat(F.lit("INDUSTRY:"), "industry").alias("code")).distinct().join(listed, ["as_of", "code"], "left_anti")
+        _refuse(unseen, "industries of targets that the window has not seen")
+        valued = valued.join(placed, ["as_of", "ticker"])
+    styled = risk.exposures(valued.drop("date").withColumnRenamed("as_of", "date"), returns, settings).persist()
     _refuse(targets.join(styled.select(F.col("date").alias("as_of"), "ticker"), ["as_of", "ticker"], "left_anti"), "targets without usable styles")
-    x = risk.long_exposures(styled, settings.styles).withColumnRenamed("date", "as_of")
+    x = risk.long_exposures(styled, settings.styles, market, not market).withColumnRenamed("date", "as_of")
 
-    own = specific_variance(risk.residuals(rows, factor_returns, settings.styles), window, settings)
+    own = specific_variance(risk.residuals(rows, factor_returns, settings.styles, market, not market), window, settings)
+    if not market:
+        members = industry_asof(own.select(F.col("as_of").alias("date"), "ticker").union(targets).distinct(), history).withColumnRenamed("date", "as_of")
     filled = impute(targets, own, members, settings).persist()
     share = filled.groupBy("as_of").agg(F.avg(F.col("imputed").cast("int")).alias("share")).where(F.col("share") > settings.max_imputed)
     _refuse(share, f"more than {settings.max_imputed:.2%} of specific variances are imputed")

@@ -218,6 +218,49 @@ def factor_returns_wls(rows: DataFrame, styles: tuple[str, ...], industries: tup
     return rows.select(used).groupBy("date").applyInPandas(solve, "date string, factor string, factor_return double")
 
 
+def regression_sums(rows: DataFrame, styles: tuple[str, ...], group: str | None = None) -> DataFrame:
+    """``date, code, w, y, x_<i>, xy_<i>, xx_<i>_<j>``: weighted sums by date and industry (``group``; none: one code, MARKET).
+
+    These are all entries of a date's normal equations that are not zero, since a
+    name has one industry. They are combined before the shuffle, so what a date
+    sends does not grow with its names.
+    """
+    w, y = F.col("weight"), F.col("y")
+    sums = {"w": w, "y": w * y} | {f"x_{i}": w * F.col(a) for i, a in enumerate(styles)} | {f"xy_{i}": w * F.col(a) * y for i, a in enumerate(styles)}
+    sums |= {f"xx_{i}_{j}": w * F.col(a) * F.col(b) for i, a in enumerate(styles) for j, b in enumerate(styles) if i <= j}
+    code = F.lit("MARKET") if group is None else F.concat(F.lit("INDUSTRY:"), F.col(group))
+    return rows.withColumn("code", code).groupBy("date", "code").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+
+
+def factor_returns_normal(sums: DataFrame, styles: tuple[str, ...]) -> DataFrame:
+    """``date, factor, factor_return, n_codes`` from ``regression_sums``: weighted least squares on the date's own codes and the styles.
+
+    One row a code goes to a date's group. The codes' dummies are eliminated
+    first, which leaves a system in the styles alone; a date on which it lacks
+    full rank (styles that are equal to each other or constant within every
+    industry) is left out.
+    """
+    k = len(styles)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("code")
+        w, y = frame["w"].to_numpy(), frame["y"].to_numpy()
+        x = frame[[f"x_{i}" for i in range(k)]].to_numpy().reshape(len(frame), k)
+        xx, xy = np.zeros((k, k)), frame[[f"xy_{i}" for i in range(k)]].sum().to_numpy()
+        for i in range(k):
+            for j in range(i, k):
+                xx[i, j] = xx[j, i] = frame[f"xx_{i}_{j}"].sum()
+        within = xx - (x / w[:, None]).T @ x
+        scale = np.sqrt(np.diag(xx))
+        if k and (not (scale > 0).all() or np.linalg.eigvalsh(within / np.outer(scale, scale))[0] <= 1e-10):
+            return pd.DataFrame({"date": [], "factor": [], "factor_return": [], "n_codes": []}).astype({"date": str, "factor": str, "factor_return": float, "n_codes": int})
+        slopes = np.linalg.solve(within, xy - (x / w[:, None]).T @ y) if k else np.zeros(0)
+        levels = (y - x @ slopes) / w
+        return pd.DataFrame({"date": frame["date"].iloc[0], "factor": [*styles, *frame["code"]], "factor_return": [*slopes, *levels], "n_codes": len(frame)})
+
+    return sums.groupBy("date").applyInPandas(solve, "date string, factor string, factor_return double, n_codes long")
+
+
 def long_exposures(rows: DataFrame, styles: tuple[str, ...], market: bool = True, industry: bool = False) -> DataFrame:
     """``date, ticker, factor, exposure``: MARKET (or industry indicators) and styles."""
     pieces = [F.struct(F.lit(s).alias("factor"), F.col(s).alias("exposure")) for s in styles]

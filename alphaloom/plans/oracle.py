@@ -143,6 +143,27 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT as_of, ticker, greatest(0.9 * v + 0.1 * median(v) OVER (PARTITION BY as_of), 1e-6) AS v FROM (SELECT as_of, r.ticker, greatest(sum(0.5 ** (age / 12.0) * (r.y - m.f - r.size * s.f) ** 2) / sum(0.5 ** (age / 12.0)) * 12, 1e-6) AS v "
         "FROM awin JOIN resp r USING (date) JOIN fr m ON m.date = r.date AND m.factor = 'MARKET' JOIN fr s ON s.date = r.date AND s.factor = 'SIZE' GROUP BY as_of, r.ticker HAVING count(*) >= 12)",
     ),
+    "moving": (("panel",), "SELECT date, ticker, CASE WHEN ticker LIKE '%7' AND date >= '19960101' THEN 'R9' ELSE industry END AS code FROM panel"),
+    "ireg": (
+        ("resp", "common", "moving"),
+        "SELECT *, sum(weight * (size - mx) * (y - my)) OVER (PARTITION BY date) / sum(weight * (size - mx) * (size - mx)) OVER (PARTITION BY date) AS b FROM (SELECT r.*, m.code, sum(weight * size) OVER g / sum(weight) OVER g AS mx, sum(weight * y) OVER g / sum(weight) OVER g AS my "
+        "FROM resp r JOIN common c ON c.date = r.date JOIN moving m ON m.date = c.exposure_date AND m.ticker = r.ticker WINDOW g AS (PARTITION BY r.date, m.code))",
+    ),
+    "ifr": (("ireg",), "SELECT date, 'SIZE' AS factor, any_value(b) AS f FROM ireg GROUP BY date UNION ALL SELECT date, 'INDUSTRY:' || code, any_value(my - b * mx) FROM ireg GROUP BY date, code"),
+    "iseen": (("alast", "cdays", "ireg"), "SELECT as_of, c.date, i.code FROM alast a JOIN cdays c ON c.k <= a.k AND c.k > a.k - 24 JOIN (SELECT DISTINCT date, code FROM ireg) i ON i.date = c.date"),
+    "iwin": (
+        ("iseen",),
+        "SELECT as_of, date, row_number() OVER (PARTITION BY as_of ORDER BY date DESC) - 1 AS age FROM (SELECT as_of, date, count(*) AS n FROM iseen GROUP BY ALL) JOIN (SELECT as_of, count(DISTINCT code) AS wanted FROM iseen GROUP BY as_of) USING (as_of) WHERE n = wanted",
+    ),
+    "ispec": (
+        ("iwin", "ireg"),
+        "SELECT as_of, ticker, greatest(0.9 * v + 0.1 * median(v) OVER (PARTITION BY as_of), 1e-6) AS v FROM (SELECT as_of, ticker, greatest(sum(0.5 ** (age / 12.0) * (y - (my - b * mx) - size * b) ** 2) / sum(0.5 ** (age / 12.0)) * 12, 1e-6) AS v "
+        "FROM iwin JOIN ireg USING (date) GROUP BY as_of, ticker HAVING count(*) >= 12)",
+    ),
+    "iplaced": (
+        ("asdates", "panel"),
+        "SELECT as_of, ticker, CASE WHEN ticker LIKE '%7' AND as_of >= '19960101' THEN 'R9' ELSE industry END AS code FROM asdates, (SELECT ticker, industry, min(date) AS since FROM panel GROUP BY ALL) WHERE since <= as_of",
+    ),
     "grid": (("panel",), "SELECT date, ticker, coalesce(ret, 0.0) AS r FROM (SELECT * FROM (SELECT DISTINCT date FROM panel), (SELECT DISTINCT ticker FROM panel)) LEFT JOIN panel USING (date, ticker)"),
     "rebal": (("bench", "panel"), "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)) WHERE ix % 3 = 0 AND date < (SELECT max(date) FROM panel)"),
     "scored": (("uniform", "bench", "rebal"), "SELECT * FROM uniform JOIN bench USING (date, ticker) JOIN rebal USING (date)"),
@@ -288,6 +309,19 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         "LEFT JOIN (SELECT as_of, industry, median(v) AS im FROM aspec JOIN members USING (ticker) GROUP BY as_of, industry) i USING (as_of, industry) LEFT JOIN (SELECT as_of, median(v) AS gm FROM aspec GROUP BY as_of) g USING (as_of)",
     ),
     "risk_asof_periods": (("awin",), "SELECT as_of, count(*) AS periods, min(date) AS first, max(date) AS last FROM awin GROUP BY as_of"),
+    "risk_asof_industry_exposures": (
+        ("atarget", "iplaced"),
+        f"SELECT as_of, ticker, unnest(['SIZE', 'INDUSTRY:' || code]) AS factor, round(unnest([size, 1.0]), 6) + 0.0 AS exposure FROM (SELECT as_of, ticker, {_standard('cut').replace('date', 'as_of')} AS size FROM (SELECT *, {_clip('l', 'med', 'mad', 5.0)} AS cut FROM {_mad('(SELECT *, sqrt(cap) AS weight, ln(cap) AS l FROM atarget)', 'l').replace('date', 'as_of')})) JOIN iplaced USING (as_of, ticker)",
+    ),
+    "risk_asof_industry_covariance": (
+        ("iwin", "ifr"),
+        f"SELECT as_of, a.factor AS factor_a, b.factor AS factor_b, {_r('(sum(w * a.f * b.f) / sum(w) - sum(w * a.f) * sum(w * b.f) / sum(w) ** 2) / (1 - sum(w * w) / sum(w) ** 2) * 12 * CASE WHEN a.factor = b.factor THEN 1.0 ELSE 0.9 END', name='covariance')} FROM (SELECT *, 0.5 ** (age / 12.0) AS w FROM iwin) JOIN ifr a USING (date) JOIN ifr b USING (date) GROUP BY as_of, a.factor, b.factor",
+    ),
+    "risk_asof_industry_specific": (
+        ("atarget", "ispec", "iplaced"),
+        f"SELECT as_of, ticker, {_r('greatest(coalesce(s.v, i.im, g.gm), 1e-6)', name='specific_var')}, s.v IS NULL AS imputed FROM atarget JOIN iplaced USING (as_of, ticker) LEFT JOIN ispec s USING (as_of, ticker) "
+        "LEFT JOIN (SELECT as_of, code, median(v) AS im FROM ispec JOIN iplaced USING (as_of, ticker) GROUP BY as_of, code) i USING (as_of, code) LEFT JOIN (SELECT as_of, median(v) AS gm FROM ispec GROUP BY as_of) g USING (as_of)",
+    ),
     "equal_weight_baseline": (("uniform",), f"SELECT date, ticker, {_r('1.0 / least(10, n)', 8, 'target_weight')} FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY signal_score DESC, ticker) AS place, count(*) {_DAY} AS n FROM uniform) WHERE place <= 10"),
     "backtest_daily": (("daily",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('gross_return', 'transaction_cost', 'net_return', 'turnover', 'nav', 'drawdown'))} FROM daily"),
     "benchmark_relative": (("relative",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('benchmark_net_return', 'active_return', 'active_nav', 'active_drawdown'))} FROM relative"),

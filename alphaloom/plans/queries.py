@@ -254,6 +254,37 @@ def risk_asof_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of_model(source.market_panel(spark, sf_dir)).periods
 
 
+#: A fifth of the specific variances may be imputed; names that end in 7 move to an industry of their own in 1996.
+AS_OF_INDUSTRY = risk.RiskSettings(**{**AS_OF.__dict__, "max_imputed": 0.2})
+MOVED_FROM = "19960101"
+
+
+def _moving_history(p: DataFrame) -> DataFrame:
+    known, moves = source.industry_history(p), F.substring("ticker", -1, 1) == "7"
+    ended = known.withColumn("out_date", F.when(moves, F.lit("19951231")).otherwise(F.col("out_date")))
+    moved = known.where(moves).select("ticker", F.lit("R9").alias("industry"), F.lit(MOVED_FROM).alias("in_date"), F.lit(None).cast("string").alias("out_date"))
+    return ended.union(moved)
+
+
+def _industry_model(p: DataFrame) -> asof.AsOfModel:
+    days = calendar.calendar(p).where((F.col("ix") >= AS_OF_FIRST) & (F.col("ix") % AS_OF_EVERY == 0)).select(F.col("date").alias("as_of"))
+    targets = p.where("tradable").select(F.col("date").alias("as_of"), "ticker").join(F.broadcast(days), "as_of")
+    return asof.estimate(source.returns_of(p), source.caps_of(p), targets, AS_OF_INDUSTRY, history=_moving_history(p))
+
+
+def risk_asof_industry_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIZE and the industry of each as-of date's own targets."""
+    return _round(_industry_model(source.market_panel(spark, sf_dir)).exposures, "exposure")
+
+
+def risk_asof_industry_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_industry_model(source.market_panel(spark, sf_dir)).factor_cov, "covariance")
+
+
+def risk_asof_industry_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_industry_model(source.market_panel(spark, sf_dir)).specific, "specific_var")
+
+
 def equal_weight_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(signal.equal_weight_baseline(signal.calibrate(_signal(source.market_panel(spark, sf_dir))), TOP_N), "target_weight", digits=8)
 
@@ -408,6 +439,7 @@ QUERIES: tuple[Query, ...] = (
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
+    risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )
