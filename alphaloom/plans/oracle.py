@@ -143,7 +143,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT as_of, ticker, greatest(0.9 * v + 0.1 * median(v) OVER (PARTITION BY as_of), 1e-6) AS v FROM (SELECT as_of, r.ticker, greatest(sum(0.5 ** (age / 12.0) * (r.y - m.f - r.size * s.f) ** 2) / sum(0.5 ** (age / 12.0)) * 12, 1e-6) AS v "
         "FROM awin JOIN resp r USING (date) JOIN fr m ON m.date = r.date AND m.factor = 'MARKET' JOIN fr s ON s.date = r.date AND s.factor = 'SIZE' GROUP BY as_of, r.ticker HAVING count(*) >= 12)",
     ),
-    "moving": (("panel",), "SELECT date, ticker, CASE WHEN ticker LIKE '%7' AND date >= '19960101' THEN 'R9' ELSE industry END AS code FROM panel"),
+    "moving": (("panel",), "SELECT date, ticker, CASE WHEN ticker LIKE '%3' AND date >= '19970301' THEN 'R9' ELSE industry END AS code FROM panel"),
     "ireg": (
         ("resp", "common", "moving"),
         "SELECT *, sum(weight * (size - mx) * (y - my)) OVER (PARTITION BY date) / sum(weight * (size - mx) * (size - mx)) OVER (PARTITION BY date) AS b FROM (SELECT r.*, m.code, sum(weight * size) OVER g / sum(weight) OVER g AS mx, sum(weight * y) OVER g / sum(weight) OVER g AS my "
@@ -162,8 +162,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "iplaced": (
         ("asdates", "panel"),
-        "SELECT as_of, ticker, CASE WHEN ticker LIKE '%7' AND as_of >= '19960101' THEN 'R9' ELSE industry END AS code FROM asdates, (SELECT ticker, industry, min(date) AS since FROM panel GROUP BY ALL) WHERE since <= as_of",
+        "SELECT as_of, ticker, CASE WHEN ticker LIKE '%3' AND as_of >= '19970301' THEN 'R9' ELSE industry END AS code FROM asdates, (SELECT ticker, industry, min(date) AS since FROM panel GROUP BY ALL) WHERE since <= as_of",
     ),
+    "lines": (
+        (),
+        "SELECT date, len(o) || ':' || o AS o, len(n) || ':' || n AS n, len(u) || ':' || u AS u, len(c) || ':' || c AS c, len(f) || ':' || f AS f, u::BIGINT AS units, f::BIGINT AS off, n::INT AS number FROM (SELECT strftime(date_trunc('month', l_shipdate), '%Y%m%d') AS date, "
+        "l_orderkey::VARCHAR AS o, l_linenumber::VARCHAR AS n, round(l_quantity * 100)::BIGINT::VARCHAR AS u, round(l_extendedprice * 100)::BIGINT::VARCHAR AS c, round(l_discount * 100)::BIGINT::VARCHAR AS f FROM lineitem)",
+    ),
+    "keyed": (("lines",), "SELECT *, md5(c || '8:' || date || n || o || f || u) AS h FROM lines"),
+    "wide_dates": (("days",), "SELECT date AS as_of, ix FROM days WHERE ix >= 24 AND ix % 10 = 4"),
+    "wide_targets": (("wide_dates", "panel"), "SELECT as_of, ix, ticker FROM wide_dates JOIN panel ON date = as_of AND tradable"),
     "grid": (("panel",), "SELECT date, ticker, coalesce(ret, 0.0) AS r FROM (SELECT * FROM (SELECT DISTINCT date FROM panel), (SELECT DISTINCT ticker FROM panel)) LEFT JOIN panel USING (date, ticker)"),
     "rebal": (("bench", "panel"), "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)) WHERE ix % 3 = 0 AND date < (SELECT max(date) FROM panel)"),
     "scored": (("uniform", "bench", "rebal"), "SELECT * FROM uniform JOIN bench USING (date, ticker) JOIN rebal USING (date)"),
@@ -322,6 +330,20 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         f"SELECT as_of, ticker, {_r('greatest(coalesce(s.v, i.im, g.gm), 1e-6)', name='specific_var')}, s.v IS NULL AS imputed FROM atarget JOIN iplaced USING (as_of, ticker) LEFT JOIN ispec s USING (as_of, ticker) "
         "LEFT JOIN (SELECT as_of, code, median(v) AS im FROM ispec JOIN iplaced USING (as_of, ticker) GROUP BY as_of, code) i USING (as_of, code) LEFT JOIN (SELECT as_of, median(v) AS gm FROM ispec GROUP BY as_of) g USING (as_of)",
     ),
+    "changed_dates": (
+        ("keyed",),
+        "SELECT date, CASE WHEN b.date IS NULL THEN 'added' WHEN a.date IS NULL THEN 'removed' WHEN (b.n, b.x, b.s) <> (a.n, a.x, a.s) THEN 'changed' ELSE 'same' END AS state, coalesce(b.n, 0) AS rows_before, coalesce(a.n, 0) AS rows_after FROM "
+        + " FULL JOIN ".join(
+            f"(SELECT date, count(*) AS n, bit_xor(('0x' || h[1:15])::BIGINT) AS x, sum(('0x' || h[16:30])::BIGINT) AS s FROM keyed WHERE {where} GROUP BY date) {name}"
+            for where, name in (("date < '19980601' AND NOT (number = 7 AND units >= 4900 AND off >= 10)", "b"), ("date >= '19960701'", "a"))
+        )
+        + " USING (date)",
+    ),
+    "risk_cache_states": (
+        ("wide_targets",),
+        "SELECT as_of, count(*) AS names, CASE WHEN count(*) FILTER (ticker NOT IN (SELECT ticker FROM wide_targets WHERE ix = 34)) = 0 THEN 'static_reused' WHEN any_value(ix) % 20 = 4 AND any_value(ix) <> 44 THEN 'dynamic_reused' ELSE 'dynamic_built' END AS source "
+        "FROM wide_targets WHERE (ix, ticker) NOT IN (SELECT 44, min(ticker) FROM wide_targets WHERE ix = 44) GROUP BY as_of",
+    ),
     "equal_weight_baseline": (("uniform",), f"SELECT date, ticker, {_r('1.0 / least(10, n)', 8, 'target_weight')} FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY signal_score DESC, ticker) AS place, count(*) {_DAY} AS n FROM uniform) WHERE place <= 10"),
     "backtest_daily": (("daily",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('gross_return', 'transaction_cost', 'net_return', 'turnover', 'nav', 'drawdown'))} FROM daily"),
     "benchmark_relative": (("relative",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('benchmark_net_return', 'active_return', 'active_nav', 'active_drawdown'))} FROM relative"),

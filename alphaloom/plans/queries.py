@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import normal_date, normal_ticker, truth
-from alphaloom.operators import adapters, asof, backtest, calendar, constraints, industry, optimize, risk, rolling, signal
+from alphaloom.operators import adapters, asof, backtest, calendar, constraints, digest, industry, optimize, risk, risk_cache, rolling, signal
 from alphaloom.sources import panel as source
+from alphaloom.sources import publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -254,14 +256,14 @@ def risk_asof_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of_model(source.market_panel(spark, sf_dir)).periods
 
 
-#: A fifth of the specific variances may be imputed; names that end in 7 move to an industry of their own in 1996.
+#: A fifth of the specific variances may be imputed; names that end in 3 move to an industry of their own in March 1997, so that windows hold dates that cannot tell its return.
 AS_OF_INDUSTRY = risk.RiskSettings(**{**AS_OF.__dict__, "max_imputed": 0.2})
-MOVED_FROM = "19960101"
+MOVED_FROM = "19970301"
 
 
 def _moving_history(p: DataFrame) -> DataFrame:
-    known, moves = source.industry_history(p), F.substring("ticker", -1, 1) == "7"
-    ended = known.withColumn("out_date", F.when(moves, F.lit("19951231")).otherwise(F.col("out_date")))
+    known, moves = source.industry_history(p), F.substring("ticker", -1, 1) == "3"
+    ended = known.withColumn("out_date", F.when(moves, F.lit("19970228")).otherwise(F.col("out_date")))
     moved = known.where(moves).select("ticker", F.lit("R9").alias("industry"), F.lit(MOVED_FROM).alias("in_date"), F.lit(None).cast("string").alias("out_date"))
     return ended.union(moved)
 
@@ -285,6 +287,38 @@ def risk_asof_industry_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_industry_model(source.market_panel(spark, sf_dir)).specific, "specific_var")
 
 
+def changed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months whose lines differ between two states of the order book.
+
+    A fixture that differs on purpose: the first state lacks the months from
+    mid-1998 on and the largest fully discounted seventh lines, the second those before July 1996.
+    """
+    lines = source.read_table(spark, sf_dir, "lineitem").select(
+        F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("date"), "l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 100).cast("long").alias("units"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.round(F.col("l_discount") * 100).cast("long").alias("off")
+    )
+    before = lines.where("date < '19980601' and not (l_linenumber = 7 and units >= 4900 and off >= 10)")
+    return digest.changed_partitions(before, lines.where("date >= '19960701'"))
+
+
+def risk_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each as-of date's risk model comes from in the second of two runs over one cache.
+
+    The first run asks for every twentieth month. The second asks for every
+    tenth, with one name less in month 44, and has a static model of the names of month 34.
+    """
+    p = source.market_panel(spark, sf_dir)
+    days = calendar.calendar(p).where((F.col("ix") >= AS_OF_FIRST) & (F.col("ix") % (AS_OF_EVERY // 2) == AS_OF_FIRST % (AS_OF_EVERY // 2))).select(F.col("date").alias("as_of"), "ix")
+    targets = p.where("tradable").select(F.col("date").alias("as_of"), "ticker").join(F.broadcast(days), "as_of")
+    cache = risk_cache.RiskCache(spark, f"{publish.shared_folder(spark)}/risk-{uuid.uuid4().hex}")
+    returns, caps = source.returns_of(p), source.caps_of(p)
+    cache.resolve(targets.where(F.col("ix") % AS_OF_EVERY == AS_OF_FIRST % AS_OF_EVERY), returns, caps, AS_OF)
+    known = targets.where(f"ix = {AS_OF_FIRST + AS_OF_EVERY // 2}").select("ticker")
+    static = risk_cache.StaticModel(known.select("ticker", F.lit("MARKET").alias("factor"), F.lit(1.0).alias("exposure")), known.limit(0), known.select("ticker", F.lit(0.04).alias("specific_var")))
+    gone = targets.where(f"ix = {AS_OF_FIRST + AS_OF_EVERY}").groupBy("as_of").agg(F.min("ticker").alias("ticker"))
+    second = targets.join(F.broadcast(gone), ["as_of", "ticker"], "left_anti")
+    return cache.resolve(second, returns, caps, AS_OF, static=static).states.drop("fingerprint")
+
+
 def equal_weight_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(signal.equal_weight_baseline(signal.calibrate(_signal(source.market_panel(spark, sf_dir))), TOP_N), "target_weight", digits=8)
 
@@ -439,7 +473,7 @@ QUERIES: tuple[Query, ...] = (
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
-    risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
+    changed_dates, risk_cache_states, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )
