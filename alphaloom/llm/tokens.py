@@ -1,23 +1,27 @@
 """Token counts by the whole-token shortcut.
 
 Offline (once, on the driver) every vocabulary string is shown to encode alone
-as one token: it must be valid text, form a single pre-token, and merge back to
-its own id. A text's pre-tokens in that proven set count one token each; only
-the others are merged, and what they merge to is remembered in bounded memory.
+as one token: it must be valid text, form a single pre-token, and replaying the
+file's merge list on its bytes must end at its own id. A text's pre-tokens in
+that proven set count one token each; only the others are merged, by the same
+list, and what they merge to is remembered in bounded memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.models import BPE
 
 from alphaloom.llm._spark import text_column
 
@@ -37,46 +41,58 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level BPE vocabulary: ids by byte string, special tokens, and the strings proven to be whole tokens."""
+    """A byte-level BPE vocabulary: ids by string of the byte alphabet, merges in order, special tokens, the file's digest, and the strings proven to be whole tokens."""
 
-    ids: dict[bytes, int]
+    ids: dict[str, int]
+    merges: list[tuple[str, str]]
     special: dict[str, int]
+    digest: str
     whole: dict[str, int]
 
 
-def _merger(ids: dict[bytes, int]) -> tiktoken.Encoding:
-    return tiktoken.Encoding("merges", pat_str=PRE_TOKEN, mergeable_ranks=ids, special_tokens={})
+class Merger:
+    """Ids of a pre-token by the merge list alone: a piece that is in the vocabulary is merged like any other."""
+
+    def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]]) -> None:
+        alphabet = byte_alphabet()
+        if missing := set(alphabet) - set(ids):
+            raise ValueError(f"the vocabulary lacks {len(missing)} bytes")
+        self.model = BPE(vocab=ids, merges=merges)
+        self.letters = {b: c for c, b in alphabet.items()}
+
+    def ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
 
 
 def load_vocabulary(path: str) -> Vocabulary:
-    """Read a tokenizer file and prove its whole tokens.
+    """Read a tokenizer file and prove its whole tokens; a file is read again only if it has changed."""
+    state = os.stat(path)
+    return _loaded(path, state.st_size, state.st_mtime_ns)
 
-    Merging by ids needs ids in merge order; the file's merge list is checked for that.
-    """
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    alphabet = byte_alphabet()
+
+@lru_cache(maxsize=2)
+def _loaded(path: str, size: int, changed: int) -> Vocabulary:
+    with open(path, "rb") as file:
+        raw = file.read()
+    spec = json.loads(raw)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ids = {bytes(alphabet[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
-    last = 255
-    for pair in spec["model"]["merges"]:
-        left, right = pair.split(" ") if isinstance(pair, str) else pair
-        made = ids[bytes(alphabet[c] for c in left + right)]
-        if made <= last:
-            raise ValueError("the vocabulary's ids are not in merge order")
-        last = made
-    return Vocabulary(ids, special, prove_whole_tokens(ids))
-
-
-def prove_whole_tokens(ids: dict[bytes, int]) -> dict[str, int]:
-    """Vocabulary strings that are text, one pre-token, and merge to exactly their own id."""
-    pattern, merger, proven = regex.compile(PRE_TOKEN), _merger(ids), {}
-    for raw, i in ids.items():
+    ids = {s: i for s, i in spec["model"]["vocab"].items() if s not in special}
+    merges = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in spec["model"]["merges"]]
+    return Vocabulary(ids, merges, special, hashlib.sha256(raw).hexdigest(), prove_whole_tokens(ids, merges))
+
+
+def prove_whole_tokens(ids: dict[str, int], merges: list[tuple[str, str]]) -> dict[str, int]:
+    """Vocabulary strings that are text, one pre-token, and merge to exactly their own id.
+
+    An entry that the merges cannot reach, or whose merges end elsewhere, is not among them.
+    """
+    pattern, merger, alphabet, proven = regex.compile(PRE_TOKEN), Merger(ids, merges), byte_alphabet(), {}
+    for entry, i in ids.items():
         try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
+            text = bytes(alphabet[c] for c in entry).decode("utf-8")
+        except (UnicodeDecodeError, KeyError):
             continue
-        if pattern.findall(text) == [text] and merger._encode_single_piece(raw) == [i]:
+        if pattern.findall(text) == [text] and merger.ids(text) == [i]:
             proven[text] = i
     return proven
 
@@ -93,7 +109,7 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
-        self.merger = _merger(vocabulary.ids)
+        self.merger = Merger(vocabulary.ids, vocabulary.merges)
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
@@ -101,7 +117,7 @@ class Encoder(dict):
         i = self.vocabulary.whole.get(word)
         if i is not None:
             return i.to_bytes(4, "little")
-        return np.array(self.merger._encode_single_piece(word.encode("utf-8")), dtype="<u4").tobytes()
+        return np.array(self.merger.ids(word), dtype="<u4").tobytes()
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self._pre_token, self.pattern.findall(text)))
@@ -138,7 +154,7 @@ _ENCODER: list[Encoder] = []
 
 def encoder_of(vocabulary: Vocabulary) -> Encoder:
     """The worker's encoder for a broadcast vocabulary, with what it remembers from earlier tasks."""
-    if not _ENCODER or _ENCODER[0].vocabulary.ids != vocabulary.ids:
+    if not _ENCODER or _ENCODER[0].vocabulary.digest != vocabulary.digest:
         _ENCODER[:] = [Encoder(vocabulary)]
     return _ENCODER[0]
 
@@ -146,8 +162,9 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
 def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text.
 
-    Null and empty texts have zero bytes and tokens; repeated rows are counted
-    row by row; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have zero bytes and tokens; very long texts are counted
+    whole; repeated rows are counted row by row; an empty table gives an empty
+    result; other columns are ignored; ties cannot arise.
     A narrow map: no shuffle, one batch in memory at a time. The vocabulary that
     is broadcast has a fixed size.
     """

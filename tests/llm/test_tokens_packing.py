@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from alphaloom.llm import packing
 from alphaloom.llm.queries import BYTE_BPE, op2_best_fit_packing, op4_token_counts
-from alphaloom.llm.tokens import Encoder, load_vocabulary, token_counts
+from alphaloom.llm.tokens import Encoder, byte_alphabet, load_vocabulary, prove_whole_tokens, token_counts
 from tests.llm.common import awkward, empty, texts_of
 
 TRICKY = [
@@ -30,6 +30,18 @@ def test_encoder_equals_library(library):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+def test_only_what_the_merges_reach_is_proven():
+    ids = {c: i for i, c in enumerate(byte_alphabet())}
+    for entry in ("ab", "cd", "abcd", "bc", "xyz", "yz", "xy"):
+        ids[entry] = len(ids)
+    # No merge makes abcd. The first merge of xyz is xy, after which xy + z is no merge: it ends at two tokens.
+    proven = prove_whole_tokens(ids, [("a", "b"), ("c", "d"), ("b", "c"), ("x", "y"), ("y", "z"), ("x", "yz")])
+    assert {"ab", "cd", "bc", "xy", "yz", "a"} <= set(proven) and not {"abcd", "xyz"} & set(proven)
+    assert {"abcd": ids["abcd"]}.items() <= prove_whole_tokens(ids, [("a", "b"), ("c", "d"), ("ab", "cd")]).items()
+    with pytest.raises(ValueError, match="lacks 1 bytes"):
+        prove_whole_tokens({c: i for c, i in ids.items() if c != "a"}, [])
+
+
 def test_counts_equal_library(spark, small, library):
     docs = texts_of(f"{small}/documents.parquet")
     found = op4_token_counts(spark, small).toPandas().set_index("doc_id")
