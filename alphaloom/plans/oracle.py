@@ -339,6 +339,16 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         )
         + " USING (date)",
     ),
+    "frozen_signal_gate": (
+        ("panel", "bench"),
+        "SELECT name, round(value, 6) + 0.0 AS value, must_be_zero FROM (SELECT unnest(['invalid_tickers', 'invalid_predictions', 'duplicate_keys', 'signal_rows', 'eligibility_duplicates', 'eligibility_invalid', 'eligible_rows', 'no_dates', 'short_dates', 'benchmark_missing_dates', "
+        "'benchmark_duplicates', 'benchmark_invalid', 'benchmark_sum_dates', 'benchmark_excluded_dates', 'dates', 'raw_sum_min', 'raw_sum_max', 'raw_deviation_max', 'excluded_count', 'excluded_weight_max', 'universe_min', 'universe_max']) AS name, "
+        "unnest([(SELECT count(*) FROM full_signal WHERE ticker IS NULL OR trim(ticker) = ''), (SELECT count(*) FROM full_signal WHERE prediction IS NULL OR NOT isfinite(prediction)), (SELECT count(*) - count(DISTINCT (date, ticker)) FROM full_signal), (SELECT count(*) FROM full_signal), "
+        "(SELECT count(*) - count(DISTINCT (date, ticker)) FROM able), (SELECT count(*) FROM able WHERE tradable IS NULL), (SELECT count(*) FROM able WHERE tradable), (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM chosen), (SELECT count(*) FROM per WHERE n_best < 5), "
+        "(SELECT count(*) FROM per WHERE total IS NULL), (SELECT count(*) - count(DISTINCT (date, ticker)) FROM raw), (SELECT count(*) FROM raw WHERE w IS NULL OR NOT isfinite(w) OR w < 0), (SELECT count(*) FROM per WHERE abs(total - 1) > 1e-3), (SELECT count(*) FROM per WHERE lost > 0.5), "
+        "(SELECT count(*) FROM per), (SELECT min(total) FROM per), (SELECT max(total) FROM per), (SELECT max(abs(total - 1)) FROM per), (SELECT count(*) FROM pos WHERE NOT known), (SELECT max(lost) FROM per), (SELECT min(n_all) FROM per), (SELECT max(n_all) FROM per)]::DOUBLE[]) AS value, "
+        "unnest([true, true, true, false, true, true, false, true, true, true, true, true, true, true, false, false, false, false, false, false, false, false]) AS must_be_zero)",
+    ),
     "risk_cache_states": (
         ("wide_targets",),
         "SELECT as_of, count(*) AS names, CASE WHEN count(*) FILTER (ticker NOT IN (SELECT ticker FROM wide_targets WHERE ix = 34)) = 0 THEN 'static_reused' WHEN any_value(ix) % 20 = 4 AND any_value(ix) <> 44 THEN 'dynamic_reused' ELSE 'dynamic_built' END AS source "
@@ -389,6 +399,14 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     "normalize_keys": ((), "SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d') AS date, CAST(l_suppkey AS VARCHAR) AS ticker, l_linestatus <> 'F' AS open_line FROM lineitem"),
 }
 _LOCAL = {
+    "frozen_signal_gate": (
+        "chosen AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM panel WHERE date BETWEEN '19960101' AND '20011231')) WHERE ix % 3 = 0), "
+        "full_signal AS (SELECT p.* FROM panel p JOIN chosen USING (date)), able AS (SELECT * FROM full_signal WHERE cap >= 100000), "
+        "best AS (SELECT date, ticker FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY prediction DESC, ticker) AS place FROM able WHERE tradable) WHERE place <= 5), "
+        "raw AS (SELECT date, ticker, benchmark_weight * 1.0002 AS w FROM bench JOIN chosen USING (date)), pos AS (SELECT raw.*, able.ticker IS NOT NULL AS known FROM raw LEFT JOIN able USING (date, ticker) WHERE w > 1e-8), "
+        "per AS (SELECT date, (SELECT count(*) FROM best b WHERE b.date = c.date) AS n_best, (SELECT sum(w) FROM raw r WHERE r.date = c.date) AS total, (SELECT coalesce(sum(w), 0) FROM pos r WHERE r.date = c.date AND NOT known) AS lost, "
+        "(SELECT count(*) FROM (SELECT ticker FROM best b WHERE b.date = c.date UNION SELECT ticker FROM pos q WHERE q.date = c.date AND known)) AS n_all FROM chosen c)"
+    ),
     "terminal_returns": "rr AS (SELECT * FROM rets WHERE date <= '20030101' OR ticker NOT LIKE '%3')",
     "specific_impute": "k AS (SELECT * FROM spec WHERE ticker NOT LIKE '%7')",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import normal_date, normal_ticker, truth
-from alphaloom.operators import adapters, asof, backtest, calendar, constraints, digest, industry, optimize, risk, risk_cache, rolling, signal
+from alphaloom.operators import adapters, asof, backtest, calendar, constraints, digest, gate, industry, optimize, risk, risk_cache, rolling, signal
 from alphaloom.sources import panel as source
 from alphaloom.sources import publish
 
@@ -319,6 +319,15 @@ def risk_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.resolve(second, returns, caps, AS_OF, static=static).states.drop("fingerprint")
 
 
+def frozen_signal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that the frozen-signal adapter gathers while it writes, over every third month: names of less than 100,000 in revenue have no market record."""
+    p = source.market_panel(spark, sf_dir)
+    drifted = source.benchmark_of(p).withColumn("benchmark_weight", F.col("benchmark_weight") * 1.0002)
+    rules = gate.SignalRules("19960101", "20011231", EVERY, TOP_N // 2, exclusion_tolerance=0.5)
+    found = gate.gate_report(gate.frozen_signal(_signal(p), drifted, p.where("cap >= 100000").select("date", "ticker", "tradable"), rules))
+    return _round(found, "value")
+
+
 def equal_weight_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(signal.equal_weight_baseline(signal.calibrate(_signal(source.market_panel(spark, sf_dir))), TOP_N), "target_weight", digits=8)
 
@@ -473,7 +482,7 @@ QUERIES: tuple[Query, ...] = (
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
-    changed_dates, risk_cache_states, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
+    changed_dates, risk_cache_states, frozen_signal_gate, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
@@ -132,18 +132,19 @@ def write_output(table: DataFrame, folder: str, kind: str = "parquet") -> dict:
     return entry | table_digest(_read(table.sparkSession, folder, entry))
 
 
-def publish(target: str, tables: dict[str, DataFrame], inputs: dict[str, dict], kinds: dict[str, str] | None = None, notes: dict | None = None) -> dict:
+def publish(target: str, tables: dict[str, DataFrame], inputs: dict[str, dict], kinds: dict[str, str] | None = None, notes: dict | None = None, passes: Callable[[], dict] | None = None) -> dict:
     """Write all ``tables`` and their manifest to ``target`` at once; returns the manifest.
 
     ``inputs`` are digests of what the tables were made from (``table_digest``).
-    A failure, of the last table too, leaves nothing at ``target``.
+    ``passes`` is called when all tables are written; what it returns joins the
+    manifest, and an error from it, like any failure, leaves nothing at ``target``.
     """
     if not tables:
         raise InputError(f"{target}: nothing to publish")
     spark = next(iter(tables.values())).sparkSession
     with staged(spark, target) as aside:
         outputs = {name: write_output(t, f"{aside}/{name}", (kinds or {}).get(name, "parquet")) for name, t in tables.items()}
-        manifest = {"schema_version": 1, "status": "success", "created_at": datetime.now(UTC).isoformat(), "inputs": inputs, "outputs": outputs} | (notes or {})
+        manifest = {"schema_version": 1, "status": "success", "created_at": datetime.now(UTC).isoformat(), "inputs": inputs, "outputs": outputs} | (notes or {}) | (passes() if passes else {})
         write_json(spark, f"{aside}/{MANIFEST}", manifest)
     return manifest
 
