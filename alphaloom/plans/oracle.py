@@ -172,6 +172,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "keyed": (("lines",), "SELECT *, md5(c || '8:' || date || n || o || f || u) AS h FROM lines"),
     "wide_dates": (("days",), "SELECT date AS as_of, ix FROM days WHERE ix >= 24 AND ix % 10 = 4"),
     "wide_targets": (("wide_dates", "panel"), "SELECT as_of, ix, ticker FROM wide_dates JOIN panel ON date = as_of AND tradable"),
+    "psize": (("panel",), f"SELECT date, ticker, (ln(cap) - avg(ln(cap)) {_DAY}) / stddev_pop(ln(cap)) {_DAY} AS x FROM panel"),
+    "active": (
+        ("book", "psize"),
+        "SELECT date, portfolio, 'INDUSTRY:' || industry AS factor, 'INDUSTRY' AS family, sum(tw) - sum(bw) AS a FROM book GROUP BY ALL UNION ALL SELECT date, portfolio, 'SIZE', 'STYLE', sum((tw - bw) * x) FROM book JOIN psize USING (date, ticker) GROUP BY date, portfolio",
+    ),
+    "resolved": (
+        ("active",),
+        "SELECT date, factor, lower, upper, level FROM (SELECT *, row_number() OVER (PARTITION BY f.date, f.factor ORDER BY rank DESC) AS k FROM (SELECT DISTINCT date, factor, family FROM active) f JOIN (VALUES ('INDUSTRY', NULL, NULL, -0.2, 0.2, true, 'family', 0), ('INDUSTRY', NULL, '19980101', -0.3, 0.3, true, 'family on a date', 1), "
+        "('INDUSTRY', 'INDUSTRY:R1', NULL, -0.05, 0.1, true, 'factor', 2), ('INDUSTRY', 'INDUSTRY:R2', '19980101', -0.02, 0.02, true, 'factor on a date', 3), ('INDUSTRY', 'INDUSTRY:R3', '19980401', NULL, NULL, false, 'factor on a date', 3), ('STYLE', 'SIZE', NULL, -0.05, 0.25, true, 'factor', 2)) "
+        "v(fam, fac, dat, lower, upper, enabled, level, rank) ON v.fam = f.family AND (v.fac IS NULL OR v.fac = f.factor) AND (v.dat IS NULL OR v.dat = f.date)) WHERE k = 1 AND enabled",
+    ),
     "grid": (("panel",), "SELECT date, ticker, coalesce(ret, 0.0) AS r FROM (SELECT * FROM (SELECT DISTINCT date FROM panel), (SELECT DISTINCT ticker FROM panel)) LEFT JOIN panel USING (date, ticker)"),
     "rebal": (("bench", "panel"), "SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)) WHERE ix % 3 = 0 AND date < (SELECT max(date) FROM panel)"),
     "scored": (("uniform", "bench", "rebal"), "SELECT * FROM uniform JOIN bench USING (date, ticker) JOIN rebal USING (date)"),
@@ -382,6 +393,18 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         ("book",),
         f"SELECT date, portfolio, factor, {_r('p', name='portfolio_exposure')}, {_r('b', name='benchmark_exposure')}, {_r('p - b', name='active_exposure')}, {_r('p - b + 0.2', name='lower_slack')}, {_r('0.2 - (p - b)', name='upper_slack')}, p - b + 0.2 >= -1e-6 AND 0.2 - (p - b) >= -1e-6 AS passed FROM (SELECT date, portfolio, 'INDUSTRY:' || industry AS factor, sum(tw) AS p, sum(bw) AS b FROM book GROUP BY ALL)",
     ),
+    "resolved_ranges": (("resolved",), f"SELECT date, factor, {_r('lower::DOUBLE', name='lower')}, {_r('upper::DOUBLE', name='upper')}, level FROM resolved"),
+    "range_report": (
+        ("resolved", "active"),
+        f"SELECT date, portfolio, name AS \"constraint\", {_r('value')}, {_r('bound')}, {_r('excess')}, CASE WHEN excess > 1e-6 THEN 'violated' WHEN abs(excess) <= 1e-6 THEN 'binding' ELSE 'slack' END AS status FROM (SELECT h.date, portfolio, 'active_exposure_range:' || r.factor || ':' || unnest(['lower', 'upper']) AS name, coalesce(a, 0.0) AS value, "
+        "unnest([lower, upper]::DOUBLE[]) AS bound, unnest([lower - coalesce(a, 0.0), coalesce(a, 0.0) - upper]::DOUBLE[]) AS excess FROM (SELECT DISTINCT date, portfolio FROM active) h JOIN resolved r USING (date) LEFT JOIN active x USING (date, portfolio, factor))",
+    ),
+    "covariance_diagnostics": (
+        ("awin", "fr"),
+        f"SELECT as_of AS matrix, 2 AS names, {_r('low', name='min_eigenvalue_before')}, {_r('high', name='max_eigenvalue_before')}, {_r('greatest(low, 0.036)', name='min_eigenvalue_after')}, {_r('sqrt(greatest(0.036 - low, 0) ** 2 + greatest(0.036 - high, 0) ** 2)', name='repair_frobenius')}, 0.0::DOUBLE AS max_asymmetry, low < 0.036 AS was_repaired FROM ("
+        "SELECT as_of, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS low, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS high FROM (SELECT as_of, sum(v) FILTER (fa = 'MARKET' AND fb = 'MARKET') AS a, sum(v) FILTER (fa = 'SIZE' AND fb = 'SIZE') AS d, sum(v) FILTER (fa = 'MARKET' AND fb = 'SIZE') AS b FROM ("
+        "SELECT as_of, a.factor AS fa, b.factor AS fb, (sum(w * a.f * b.f) / sum(w) - sum(w * a.f) * sum(w * b.f) / sum(w) ** 2) / (1 - sum(w * w) / sum(w) ** 2) * 12 * CASE WHEN a.factor = b.factor THEN 1.0 ELSE 0.9 END AS v FROM (SELECT *, 0.5 ** (age / 12.0) AS w FROM awin) JOIN fr a USING (date) JOIN fr b USING (date) GROUP BY as_of, a.factor, b.factor) GROUP BY as_of))",
+    ),
     "rolling_checks": (("bench",), "SELECT date, portfolio, 5 AS n_limits, 0 AS n_violated FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)), (SELECT unnest(['reversed', 'signal']) AS portfolio) WHERE ix % 3 = 0"),
     "constraint_report": (
         ("book",),

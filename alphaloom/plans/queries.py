@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import normal_date, normal_ticker, truth
-from alphaloom.operators import adapters, asof, backtest, calendar, constraints, digest, gate, industry, optimize, risk, risk_cache, rolling, signal
+from alphaloom.operators import adapters, asof, backtest, calendar, constraints, covariance, digest, gate, industry, optimize, ranges, risk, risk_cache, rolling, signal
 from alphaloom.sources import panel as source
 from alphaloom.sources import publish
 
@@ -389,6 +389,45 @@ def industry_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, "portfolio_exposure", "benchmark_exposure", "active_exposure", "lower_slack", "upper_slack").drop("binding")
 
 
+#: Limits of the range queries: industries have a default, one of its own and a wider one in a month; SIZE is held near a target.
+RANGES = (
+    ("INDUSTRY", None, None, -0.2, 0.2, None, None, True), ("INDUSTRY", None, "19980101", -0.3, 0.3, None, None, True), ("INDUSTRY", "INDUSTRY:R1", None, -0.05, 0.1, None, None, True),
+    ("INDUSTRY", "INDUSTRY:R2", "19980101", None, None, 0.0, 0.02, True), ("INDUSTRY", "INDUSTRY:R3", "19980401", None, None, None, None, False), ("STYLE", "SIZE", None, None, None, 0.1, 0.15, True),
+)
+
+
+def _ranged(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active exposures to industries and SIZE on the dates of the book, and the ranges resolved for them."""
+    book = _weights(p)
+    sized = p.select("date", "ticker", F.lit("SIZE").alias("factor"), ((F.log("cap") - F.avg(F.log("cap")).over(signal.day())) / F.stddev_pop(F.log("cap")).over(signal.day())).alias("exposure"))
+    members = p.select("date", "ticker", F.concat(F.lit("INDUSTRY:"), "industry").alias("factor"), F.lit(1.0).alias("exposure"))
+    sums = constraints.exposure_sums(book, members.union(sized))
+    family = F.when(F.col("factor") == "SIZE", "STYLE").otherwise("INDUSTRY")
+    limits = p.sparkSession.createDataFrame(list(RANGES), ranges.LIMITS)
+    return sums, ranges.resolve_ranges(sums.select("date", "factor", family.alias("family")).distinct(), limits)
+
+
+def resolved_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_ranged(source.market_panel(spark, sf_dir))[1], "lower", "upper")
+
+
+def range_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of every resolved range, as lines of the constraint report."""
+    sums, found = _ranged(source.market_panel(spark, sf_dir))
+    return _round(ranges.range_lines(sums, found), "value", "bound", "excess")
+
+
+#: A floor that some months' factor covariances do not reach.
+DIAGNOSED = covariance.MatrixRules(annualized=True, eigenvalue_floor=0.036)
+
+
+def covariance_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetry, eigenvalue range and repair of each as-of date's factor covariance."""
+    found = _as_of_model(source.market_panel(spark, sf_dir)).factor_cov.toDF("matrix", "row_name", "col_name", "covariance")
+    out = covariance.diagnostics(covariance.checked(found, DIAGNOSED), DIAGNOSED.eigenvalue_floor)
+    return _round(out, "min_eigenvalue_before", "max_eigenvalue_before", "min_eigenvalue_after", "repair_frobenius", "max_asymmetry")
+
+
 def _problems(p: DataFrame) -> DataFrame:
     """The optimiser's names on rebalance dates: a market loading of 1, specific variance of the last two years' returns, SIZE as the ranged exposure."""
     b = source.benchmark_of(p)
@@ -482,7 +521,7 @@ QUERIES: tuple[Query, ...] = (
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
-    changed_dates, risk_cache_states, frozen_signal_gate, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
+    changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )
