@@ -22,7 +22,7 @@ from alphaloom.operators.industry import industry_asof
 
 @dataclass(frozen=True)
 class AsOfModel:
-    """Long tables of the model, each with ``as_of``: ``exposures``, ``factor_cov``, ``specific`` and ``periods``."""
+    """Long tables of the model, each with ``as_of``: ``exposures``, ``factor_cov``, ``specific`` and ``periods`` (with the sizes of the regressed dates)."""
 
     exposures: DataFrame
     factor_cov: DataFrame
@@ -139,7 +139,11 @@ def estimate(returns: DataFrame, caps: DataFrame, targets: DataFrame, settings:
         window, listed = complete_windows(windows(as_of, days, sums, settings), sums.select("date", "code"))
         window = window.join(factor_returns.select("date").distinct(), "date", "left_semi")
         window = window.withColumn("age", F.row_number().over(Window.partitionBy("as_of").orderBy("age")) - 1).persist()
-    periods = as_of.join(window.groupBy("as_of").agg(F.count("*").alias("periods"), F.min("date").alias("first"), F.max("date").alias("last")), "as_of", "left").na.fill(0, ["periods"])
+    sizes = rows.groupBy("date").agg(F.count("*").alias("n"))
+    spans = window.join(sizes, "date").groupBy("as_of").agg(
+        F.count("*").alias("periods"), F.min("date").alias("first"), F.max("date").alias("last"), F.min("n").alias("names_min"), F.median("n").alias("names_median"), F.max("n").alias("names_max")
+    )
+    periods = as_of.join(spans, "as_of", "left").na.fill(0, ["periods"])
     _refuse(periods.where(F.col("periods") < settings.minimum_periods).select("as_of", "periods"), f"fewer than {settings.minimum_periods} regressed dates")
 
     last = last_dates(as_of, days).select("as_of", F.col("date").alias("exposure_date"))
@@ -164,6 +168,19 @@ def estimate(returns: DataFrame, caps: DataFrame, targets: DataFrame, settings:
     return AsOfModel(x, factor_covariance(factor_returns, window, settings), filled, periods)
 
 
+def diagnostics(model: AsOfModel) -> DataFrame:
+    """One row an as-of date, what a manifest of the model says: window, names regressed, factors, targets, and specific variances.
+
+    Each of the model's tables is combined to one row a date before they meet.
+    """
+    own = F.col("specific_var")
+    specific = model.specific.groupBy("as_of").agg(
+        F.count("*").alias("targets"), F.count_if("imputed").alias("imputed"), F.avg(F.col("imputed").cast("int")).alias("imputed_share"), F.min(own).alias("specific_min"), F.median(own).alias("specific_median"), F.max(own).alias("specific_max")
+    )
+    factors = model.factor_cov.where("factor_a = factor_b").groupBy("as_of").agg(F.count("*").alias("factors"), F.sum(F.sqrt("covariance")).alias("factor_volatility"))
+    return model.periods.join(factors, "as_of", "left").join(specific, "as_of", "left")
+
+
 def _refuse(bad: DataFrame, what: str) -> None:
     if found := bad.orderBy(*bad.columns[:2]).limit(10).collect():
         raise RiskError(f"{what}: {[tuple(r) for r in found]}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from alphaloom.functions.expressions import average_rank, clipped, inverse_normal_sql
+from alphaloom.errors import InputError
+from alphaloom.functions.expressions import average_rank, clipped, finite, inverse_normal_sql
 
 
 def day() -> WindowSpec:
@@ -50,6 +51,28 @@ def calibrate(signal: DataFrame, transform: str = "uniform", power: float = 1.0,
     return scored.withColumn("signal_score", score).select("date", "ticker", F.col("prediction").alias("raw_prediction"), "signal_score", (F.col("signal_score") * scale).alias("expected_return"))
 
 
+def given_returns(signal: DataFrame, higher_is_better: bool = True) -> DataFrame:
+    """``date, ticker, raw_prediction, signal_score, expected_return`` of predictions that are expected returns already: oriented, neither clipped nor ranked.
+
+    The score is the date's standard score of the expected return. A date whose
+    predictions do not differ tells nothing apart and stops the job, as does one that is missing or not finite.
+    """
+    oriented = finite("prediction") * (1.0 if higher_is_better else -1.0)
+    scored = signal.select("date", "ticker", F.col("prediction").alias("raw_prediction"), oriented.alias("expected_return"))
+    deviation = F.stddev_pop("expected_return").over(day())
+    stop = lambda what: F.raise_error(F.concat(F.lit(what), F.lit(" on "), "date")).cast("double")
+    value = F.when(F.col("expected_return").isNull(), stop("a prediction is missing or not finite")).when(~(deviation > 1e-12), stop("no cross-sectional variation")).otherwise((F.col("expected_return") - F.avg("expected_return").over(day())) / deviation)
+    return scored.withColumn("signal_score", value).select("date", "ticker", "raw_prediction", "signal_score", "expected_return")
+
+
+def require_variation(scored: DataFrame) -> DataFrame:
+    """``scored`` if every date has scores; calibration leaves them null on a date without variation."""
+    flat = [r.date for r in scored.groupBy("date").agg(F.count("signal_score").alias("n")).where("n = 0").select("date").orderBy("date").limit(10).collect()]
+    if flat:
+        raise InputError(f"signal has no cross-sectional variation on {flat}")
+    return scored
+
+
 def summarize(table: DataFrame, value: str) -> DataFrame:
     """Count, minimum, maximum, mean, population deviation and median of ``value`` by date."""
     return table.groupBy("date").agg(

@@ -240,6 +240,7 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         ("ranks",),
         f"SELECT date, ticker, prediction AS raw_prediction, {_r(f'c / stddev_pop(c) {_DAY}', name='signal_score')}, {_r(f'c / stddev_pop(c) {_DAY} * 0.05', name='expected_return')} FROM (SELECT *, x - avg(x) {_DAY} AS c FROM (SELECT *, {inverse_normal_sql('pos')} AS x FROM (SELECT *, (rk - 0.5) / n AS pos FROM ranks)))",
     ),
+    "calibrate_expected_return": (("panel",), f"SELECT date, ticker, prediction AS raw_prediction, {_r(f'(-prediction - avg(-prediction) {_DAY}) / stddev_pop(-prediction) {_DAY}', name='signal_score')}, {_r('-prediction', name='expected_return')} FROM panel"),
     "mad_winsorize": (("rets",), f"SELECT date, ticker, {_r('w', name='winsorized')}, w <> ret AS changed FROM (SELECT *, {_clip('ret', 'med', 'mad', 5.0)} AS w FROM {_mad('rets', 'ret')})"),
     "signal_summary": (
         ("uniform",),
@@ -405,6 +406,13 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT as_of, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS low, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS high FROM (SELECT as_of, sum(v) FILTER (fa = 'MARKET' AND fb = 'MARKET') AS a, sum(v) FILTER (fa = 'SIZE' AND fb = 'SIZE') AS d, sum(v) FILTER (fa = 'MARKET' AND fb = 'SIZE') AS b FROM ("
         "SELECT as_of, a.factor AS fa, b.factor AS fb, (sum(w * a.f * b.f) / sum(w) - sum(w * a.f) * sum(w * b.f) / sum(w) ** 2) / (1 - sum(w * w) / sum(w) ** 2) * 12 * CASE WHEN a.factor = b.factor THEN 1.0 ELSE 0.9 END AS v FROM (SELECT *, 0.5 ** (age / 12.0) AS w FROM awin) JOIN fr a USING (date) JOIN fr b USING (date) GROUP BY as_of, a.factor, b.factor) GROUP BY as_of))",
     ),
+    "risk_asof_diagnostics": (
+        ("iwin", "ireg", "ifr", "atarget", "ispec", "iplaced"),
+        f"SELECT * FROM (SELECT as_of, count(*) AS periods, min(date) AS first, max(date) AS last, min(n) AS names_min, {_r('median(n)', name='names_median')}, max(n) AS names_max FROM iwin JOIN (SELECT date, count(*) AS n FROM ireg GROUP BY date) USING (date) GROUP BY as_of) "
+        f"JOIN (SELECT as_of, count(*) AS factors, {_r('sum(sqrt(v))', name='factor_volatility')} FROM (SELECT as_of, factor, (sum(w * f * f) / sum(w) - (sum(w * f) / sum(w)) ** 2) / (1 - sum(w * w) / sum(w) ** 2) * 12 AS v FROM (SELECT *, 0.5 ** (age / 12.0) AS w FROM iwin) JOIN ifr USING (date) GROUP BY as_of, factor) GROUP BY as_of) USING (as_of) "
+        f"JOIN (SELECT as_of, count(*) AS targets, count(*) FILTER (own IS NULL) AS imputed, {_r('avg((own IS NULL)::INT)', name='imputed_share')}, {_r('min(d)', name='specific_min')}, {_r('median(d)', name='specific_median')}, {_r('max(d)', name='specific_max')} FROM (SELECT as_of, ticker, s.v AS own, greatest(coalesce(s.v, i.im, g.gm), 1e-6) AS d "
+        "FROM atarget JOIN iplaced USING (as_of, ticker) LEFT JOIN ispec s USING (as_of, ticker) LEFT JOIN (SELECT as_of, code, median(v) AS im FROM ispec JOIN iplaced USING (as_of, ticker) GROUP BY as_of, code) i USING (as_of, code) LEFT JOIN (SELECT as_of, median(v) AS gm FROM ispec GROUP BY as_of) g USING (as_of)) GROUP BY as_of) USING (as_of)",
+    ),
     "rolling_checks": (("bench",), "SELECT date, portfolio, 5 AS n_limits, 0 AS n_violated FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)), (SELECT unnest(['reversed', 'signal']) AS portfolio) WHERE ix % 3 = 0"),
     "constraint_report": (
         ("book",),

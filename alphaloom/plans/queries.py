@@ -49,6 +49,11 @@ def calibrate_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(signal.calibrate(_signal(source.market_panel(spark, sf_dir)), "normal_score"), "signal_score", "expected_return")
 
 
+def calibrate_expected_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal taken as an expected return, low ones better."""
+    return _round(signal.given_returns(_signal(source.market_panel(spark, sf_dir)), higher_is_better=False), "signal_score", "expected_return")
+
+
 def mad_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rets = source.returns_of(source.market_panel(spark, sf_dir)).withColumnRenamed("return", "prediction")
     return _round(signal.winsorize(rets, 5.0).drop("prediction"), "winsorized")
@@ -253,7 +258,13 @@ def risk_asof_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_asof_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_of_model(source.market_panel(spark, sf_dir)).periods
+    return _as_of_model(source.market_panel(spark, sf_dir)).periods.select("as_of", "periods", "first", "last")
+
+
+def risk_asof_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest of each as-of date's industry model says."""
+    found = asof.diagnostics(_industry_model(source.market_panel(spark, sf_dir)))
+    return _round(found, "names_median", "imputed_share", "specific_min", "specific_median", "specific_max", "factor_volatility")
 
 
 #: A fifth of the specific variances may be imputed; names that end in 3 move to an industry of their own in March 1997, so that windows hold dates that cannot tell its return.
@@ -517,11 +528,11 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    calibrate_uniform, calibrate_power, calibrate_normal, mad_winsorize, signal_summary, top_candidates, rebalance_calendar, signal_quality, benchmark_renormalize, benchmark_excluded,
+    calibrate_uniform, calibrate_power, calibrate_normal, calibrate_expected_return, mad_winsorize, signal_summary, top_candidates, rebalance_calendar, signal_quality, benchmark_renormalize, benchmark_excluded,
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
-    changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
+    changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_diagnostics, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )

@@ -90,6 +90,7 @@ def load_signal(table: DataFrame) -> DataFrame:
 def load_weights(table: DataFrame, value: str, universe: DataFrame | None = None) -> DataFrame:
     """``date, ticker, value``; with a ``universe`` (``date, ticker``), exactly its names, absent ones at 0."""
     clean = require_finite(table.select(normal_date("date").alias("date"), normal_ticker("ticker").alias("ticker"), finite(value).alias(value)), [value], value)
+    require_keys(clean, ["date", "ticker"], value)
     require_unique(clean, ["date", "ticker"], value)
     return clean if universe is None else universe.join(clean, ["date", "ticker"], "left").na.fill(0.0, [value])
 
@@ -107,6 +108,7 @@ def load_tradability(table: DataFrame, universe: DataFrame) -> DataFrame:
     clean = table.select(normal_ticker("ticker").alias("ticker"), truth("tradable").alias("tradable"))
     if not clean.where("tradable is null").isEmpty():
         raise InputError("tradability: values that are no booleans")
+    require_unique(clean, ["ticker"], "tradability")
     require_covered(universe, clean, ["ticker"], "tradability")
     return universe.select("ticker").distinct().join(clean, "ticker")
 
@@ -117,6 +119,7 @@ def load_exposures(table: DataFrame, universe: DataFrame, styles: list[str] | No
     require_columns(table, names, "exposures")
     key = "ticker" if "ticker" in table.columns else "__index_level_0__"
     clean = table.select(normal_ticker(key).alias("ticker"), *[finite(c).alias(c) for c in names])
+    require_unique(clean, ["ticker"], "exposures")
     require_covered(universe, clean, ["ticker"], "exposures")
     kept = clean.join(universe.select("ticker").distinct(), "ticker", "left_semi")
     return require_finite(kept, names, "exposures").unpivot("ticker", names, "factor", "exposure")
@@ -125,4 +128,5 @@ def load_exposures(table: DataFrame, universe: DataFrame, styles: list[str] | No
 def load_asset_returns(table: DataFrame) -> DataFrame:
     """``date, ticker, return``: unique keys, finite, at least -1."""
     clean = table.select(normal_date("date").alias("date"), normal_ticker("ticker").alias("ticker"), finite("return").alias("return"))
+    require_keys(clean, ["date", "ticker"], "asset returns")
     return require_unique(require_finite(clean, ["return"], "asset returns", -1.0), ["date", "ticker"], "asset returns")

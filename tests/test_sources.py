@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from alphaloom.errors import InputError
-from alphaloom.operators import backtest, industry
+from alphaloom.operators import backtest, industry, signal
 from alphaloom.sources import tables
 
 KEYED = "date string, ticker string, "
@@ -69,3 +69,29 @@ def test_missing_returns_and_total_loss_stop_the_backtest(spark):
         backtest.backtest(targets, spark.createDataFrame(rows, KEYED + "return double"), 0.0).collect()
     with pytest.raises(PySparkException, match="no return for A"):
         backtest.backtest(targets, spark.createDataFrame([r for r in rows if r[1] == "B" or r[0] == "20230102"], KEYED + "return double"), 0.0).collect()
+
+
+def test_keys_are_complete_and_unique(spark):
+    universe = spark.createDataFrame([("20230102", "A"), ("20230102", "B")], "date string, ticker string")
+    with pytest.raises(InputError, match="missing or malformed.*date"):
+        tables.load_weights(spark.createDataFrame([("2023-13-41", "A", 1.0)], "date string, ticker string, w double"), "w")
+    with pytest.raises(InputError, match="missing or malformed.*ticker"):
+        tables.load_asset_returns(spark.createDataFrame([("20230102", None, 0.1)], "date string, ticker string, return double"))
+    with pytest.raises(InputError, match="tradability: repeated keys .*'A'"):
+        tables.load_tradability(spark.createDataFrame([("A", "true"), ("A", "false"), ("B", "true")], "ticker string, tradable string"), universe)
+    with pytest.raises(InputError, match="exposures: repeated keys .*'B'"):
+        tables.load_exposures(spark.createDataFrame([("A", 1.0), ("B", 2.0), ("B", 3.0)], "ticker string, SIZE double"), universe)
+
+
+def test_expected_returns_are_taken_as_they_are(spark):
+    table = spark.createDataFrame([("d1", t, float(v)) for t, v in zip("ABC", (0.01, 0.03, -0.01), strict=True)], "date string, ticker string, prediction double")
+    got = {r.ticker: (round(r.signal_score, 6), r.expected_return) for r in signal.given_returns(table).collect()}
+    assert got == {"A": (0.0, 0.01), "B": (1.224745, 0.03), "C": (-1.224745, -0.01)}
+    assert {r.ticker: r.expected_return for r in signal.given_returns(table, higher_is_better=False).collect()}["B"] == -0.03
+    with pytest.raises(Exception, match="no cross-sectional variation on d1"):
+        signal.given_returns(table.withColumn("prediction", table.prediction * 0)).collect()
+    with pytest.raises(Exception, match="missing or not finite on d1"):
+        signal.given_returns(table.union(spark.createDataFrame([("d1", "D", float("nan"))], table.schema))).collect()
+    with pytest.raises(InputError, match="no cross-sectional variation"):
+        signal.require_variation(signal.calibrate(table.withColumn("prediction", table.prediction * 0)))
+    assert signal.require_variation(signal.calibrate(table)).count() == 3
