@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from alphaloom.functions.expressions import inverse_normal_sql
 
 _DAY = "OVER (PARTITION BY date)"
@@ -229,6 +231,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+_SWEPT = ("targets", "spans", "held", "drift", "gross", "moved", "daily")
+
+
+def _swept(text: str) -> str:
+    """A backtest's table for the sweep's portfolios, which differ in cost too."""
+    text = re.sub(rf"\b(?<!\.)({'|'.join(_SWEPT)})\b(?! AS )", r"v\1", text)
+    return text.replace("* 0.001", "* (CASE WHEN g.portfolio = 'costly' THEN 0.005 WHEN g.portfolio = 'benchmark' THEN 0.0 ELSE 0.001 END)")
+
+
+CTES |= {f"v{n}": (tuple(f"v{x}" if x in _SWEPT else x for x in CTES[n][0]), _swept(CTES[n][1])) for n in _SWEPT[1:]}
+CTES["vtargets"] = (
+    ("scored", "bench", "rebal"),
+    "SELECT date, ticker, name AS portfolio, 1.0 / n AS target_weight FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY signal_score DESC, ticker) AS place FROM scored) JOIN (VALUES ('base', 10), ('small', 5), ('skewed', 10), ('costly', 10)) v(name, n) ON place <= n "
+    "UNION ALL SELECT date, ticker, 'benchmark', benchmark_weight FROM bench JOIN rebal USING (date)",
+)
+
 #: name: (needs, final select)
 FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     "calibrate_uniform": (("uniform",), f"SELECT date, ticker, raw_prediction, {_r('signal_score')}, {_r('signal_score * 0.05', name='expected_return')} FROM uniform"),
@@ -413,6 +431,13 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         f"JOIN (SELECT as_of, count(*) AS targets, count(*) FILTER (own IS NULL) AS imputed, {_r('avg((own IS NULL)::INT)', name='imputed_share')}, {_r('min(d)', name='specific_min')}, {_r('median(d)', name='specific_median')}, {_r('max(d)', name='specific_max')} FROM (SELECT as_of, ticker, s.v AS own, greatest(coalesce(s.v, i.im, g.gm), 1e-6) AS d "
         "FROM atarget JOIN iplaced USING (as_of, ticker) LEFT JOIN ispec s USING (as_of, ticker) LEFT JOIN (SELECT as_of, code, median(v) AS im FROM ispec JOIN iplaced USING (as_of, ticker) GROUP BY as_of, code) i USING (as_of, code) LEFT JOIN (SELECT as_of, median(v) AS gm FROM ispec GROUP BY as_of) g USING (as_of)) GROUP BY as_of) USING (as_of)",
     ),
+    "sweep_summary": (
+        ("vdaily", "scored"),
+        "SELECT variant, CASE WHEN variant = 'wide' THEN 'failed' ELSE 'success' END AS status, CASE WHEN variant = 'wide' THEN 'fewer than 1000000 candidates on ' || (SELECT count(DISTINCT date) FROM scored) || ' dates' END AS error, reused_from, observations, "
+        + ", ".join(_r(x, 5, n) for x, n in (("nav", "ending_nav"), ("nav ** (12.0 / observations) - 1", "annualized_return"), ("turned", "total_turnover"), ("cost", "total_cost"), ("nav / bench_nav", "active_ending_nav"), ("low", "maximum_drawdown")))
+        + " FROM (VALUES ('base', NULL, 'base'), ('small', NULL, 'small'), ('skewed', NULL, 'skewed'), ('costly', NULL, 'costly'), ('wide', NULL, 'wide'), ('again', 'base', 'base')) v(variant, reused_from, portfolio) "
+        "LEFT JOIN (SELECT portfolio, count(*) AS observations, arg_max(nav, date) AS nav, sum(turnover) AS turned, sum(transaction_cost) AS cost, min(drawdown) AS low FROM vdaily GROUP BY portfolio) USING (portfolio), (SELECT arg_max(nav, date) AS bench_nav FROM vdaily WHERE portfolio = 'benchmark')",
+    ),
     "rolling_checks": (("bench",), "SELECT date, portfolio, 5 AS n_limits, 0 AS n_violated FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM bench)), (SELECT unnest(['reversed', 'signal']) AS portfolio) WHERE ix % 3 = 0"),
     "constraint_report": (
         ("book",),

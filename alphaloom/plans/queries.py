@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expressions import normal_date, normal_ticker, truth
-from alphaloom.operators import adapters, asof, backtest, calendar, constraints, covariance, digest, gate, industry, optimize, ranges, risk, risk_cache, rolling, signal
+from alphaloom.operators import adapters, asof, backtest, calendar, constraints, covariance, digest, gate, industry, optimize, ranges, risk, risk_cache, rolling, signal, sweep
 from alphaloom.sources import panel as source
 from alphaloom.sources import publish
 
@@ -439,6 +439,23 @@ def covariance_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, "min_eigenvalue_before", "max_eigenvalue_before", "min_eigenvalue_after", "repair_frobenius", "max_asymmetry")
 
 
+#: ``wide`` asks for more names than there are and fails on purpose; ``again`` is the base under another name.
+VARIANTS = (
+    ("base", {}), ("small", {"baseline.top_n": 5}), ("skewed", {"signal.transform": "power", "signal.power": 2.0}), ("costly", {"backtest.cost_bps": 50.0}), ("wide", {"baseline.top_n": 1_000_000}), ("again", {"baseline.top_n": 10}),
+)
+
+
+def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six variants of calibration, baseline and cost, held every third month."""
+    p = source.market_panel(spark, sf_dir)
+    b = source.benchmark_of(p)
+    last = F.broadcast(p.agg(F.max("date").alias("last")))
+    dates = F.broadcast(calendar.rebalance_dates(b, EVERY).crossJoin(last).where("date < last").select("date"))
+    out = sweep.sweep(_signal(p), b.join(dates, "date"), b, source.dense_returns(p), sweep.resolve_variants(list(VARIANTS)), 12)
+    kept = out.select("variant", "status", "error", "reused_from", "observations", "ending_nav", "annualized_return", "total_turnover", "total_cost", "active_ending_nav", "maximum_drawdown")
+    return _round(kept, "ending_nav", "annualized_return", "total_turnover", "total_cost", "active_ending_nav", "maximum_drawdown", digits=5)
+
+
 def _problems(p: DataFrame) -> DataFrame:
     """The optimiser's names on rebalance dates: a market loading of 1, specific variance of the last two years' returns, SIZE as the ranged exposure."""
     b = source.benchmark_of(p)
@@ -532,7 +549,7 @@ QUERIES: tuple[Query, ...] = (
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
     factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
-    changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_diagnostics, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
+    changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_diagnostics, sweep_summary, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )
