@@ -454,6 +454,7 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "normalize_keys": ((), "SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d') AS date, CAST(l_suppkey AS VARCHAR) AS ticker, l_linestatus <> 'F' AS open_line FROM lineitem"),
 }
+FINALS["asset_covariance_blocks"] = FINALS["asset_covariance"]
 _LOCAL = {
     "frozen_signal_gate": (
         "chosen AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT DISTINCT date FROM panel WHERE date BETWEEN '19960101' AND '20011231')) WHERE ix % 3 = 0), "

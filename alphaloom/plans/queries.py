@@ -220,6 +220,11 @@ def asset_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(risk.asset_covariance(x, f, d), "covariance")
 
 
+def asset_covariance_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matrix as ``asset_covariance``, from pairs of blocks of about 16 names."""
+    return _round(covariance.mirrored(covariance.asset_blocks(*_last_model(source.market_panel(spark, sf_dir)), block_names=16)), "covariance")
+
+
 def portfolio_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source.market_panel(spark, sf_dir)
     x, f, d = _last_model(p)
@@ -547,7 +552,7 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     calibrate_uniform, calibrate_power, calibrate_normal, calibrate_expected_return, mad_winsorize, signal_summary, top_candidates, rebalance_calendar, signal_quality, benchmark_renormalize, benchmark_excluded,
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
-    factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, portfolio_risk,
+    factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, asset_covariance_blocks, portfolio_risk,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
     changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_diagnostics, sweep_summary, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
     equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,

@@ -80,6 +80,23 @@ def test_diagnostics_and_repair_equal_numpy(spark):
     assert np.allclose(frame.to_numpy(), fixed)
 
 
+@pytest.mark.parametrize("block_names", [2, 100])
+def test_blocks_make_the_whole_matrix(spark, block_names):
+    rng = np.random.default_rng(1)
+    names, factors = [f"T{i}" for i in range(9)], ["M", "S"]
+    x, f, d = rng.normal(size=(9, 2)), np.array([[0.04, 0.01], [0.01, 0.02]]), rng.uniform(0.1, 0.2, 9)
+    x[3, 1] = 0
+    exposure = spark.createDataFrame([(n, k, float(x[i, j])) for i, n in enumerate(names) for j, k in enumerate(factors) if x[i, j]], "ticker string, factor string, exposure double")
+    factor_cov = spark.createDataFrame([(a, b, float(f[i, j])) for i, a in enumerate(factors) for j, b in enumerate(factors)], "factor_a string, factor_b string, covariance double")
+    cells = covariance.asset_blocks(exposure, factor_cov, spark.createDataFrame(list(zip(names, map(float, d), strict=True)), "ticker string, specific_var double"), block_names)
+    assert cells.count() == 45
+    want = x @ f @ x.T + np.diag(d)
+    both = covariance.mirrored(cells).toPandas().pivot(index="row_ticker", columns="col_ticker", values="covariance")
+    assert np.allclose(both.to_numpy(), want) and both.shape == (9, 9)
+    out = covariance.wide(cells, ["T8", "T0"])
+    assert out.columns == ["ticker", "T8", "T0"] and {r.ticker: (r.T8, r.T0) for r in out.collect()} == {n: (pytest.approx(want[i, 8]), pytest.approx(want[i, 0])) for i, n in ((8, "T8"), (0, "T0"))}
+
+
 def test_wanted_names_may_come_in_any_order(spark):
     names = spark.createDataFrame([("m", "n2"), ("m", "n0")], "matrix string, name string")
     got = covariance.checked(_cells(spark, ("m", np.arange(9).reshape(3, 3) + np.arange(9).reshape(3, 3).T)), covariance.MatrixRules(), names)
