@@ -12,11 +12,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +30,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MEMO_ENTRIES = 600_000
 MAX_TOKENS = 1024
 _IRREGULAR = None
+#: Marks that are a pre-token of their own after a run of letters.
+_POINTS = frozenset(".,;:!?)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,7 +63,11 @@ class Merger:
         self.letters = {b: c for c, b in alphabet.items()}
 
     def ids(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
+        if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
+            spelt = piece.replace(" ", self.letters[32])
+        else:
+            spelt = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(spelt)]
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -117,7 +123,8 @@ class Encoder(dict):
         i = self.vocabulary.whole.get(word)
         if i is not None:
             return i.to_bytes(4, "little")
-        return np.array(self.merger.ids(word), dtype="<u4").tobytes()
+        ids = self.merger.ids(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self._pre_token, self.pattern.findall(text)))
@@ -127,6 +134,10 @@ class Encoder(dict):
             self.clear()
         if not stretch or stretch[0].isspace() or stretch[-1].isspace():
             found = _IRREGULAR
+        elif stretch.isalpha():  # one pre-token, as the pattern has it
+            found = self._pre_token(" " + stretch)
+        elif stretch[-1] in _POINTS and stretch[:-1].isalpha():
+            found = self._pre_token(" " + stretch[:-1]) + self._pre_token(stretch[-1])
         else:
             found = self._by_pattern(" " + stretch)
         if len(stretch) <= 100:
