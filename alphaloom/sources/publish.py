@@ -34,6 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """``table`` as a checkpoint in the shared folder: worked out once, with no plan behind it, and there when an executor is lost."""
+    context = table.sparkSession.sparkContext
+    folder = shared_folder(table.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return table.checkpoint()
+
+
 def _place(spark: SparkSession, path: str):
     """File system and path objects of ``path``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
