@@ -170,8 +170,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     without any). ``labels`` adds what templates cover; ``score`` is the largest
     covered share of any template (1 for a base phrase, 0 without a match), and
     ``spans`` lists (label, first word, end word, share) of all occurrences.
-    Null and empty texts have no words and no labels; repeated rows are scanned
-    one by one; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have no words and no labels; very long texts are scanned
+    whole; of templates that tie all labels count; repeated rows are scanned one
+    by one; an empty table gives an empty result; other columns are ignored.
 
     Only matching k-grams and one closing row per text are shuffled, by row.
     """

@@ -170,8 +170,9 @@ def pack(docs: DataFrame, tokenizer_path: str, eos_id: int, max_len: int = MAX_L
     sequence_id, offset`` and, if asked for, ``ids`` (little-endian unsigned
     32-bit). A document is its ids and ``eos_id``; a longer one is cut into
     pieces of ``max_len``, the first of which may be shorter. Null and empty
-    texts are one piece of one token; repeated rows are packed one by one; an
-    empty table gives an empty result; other columns are ignored.
+    texts are one piece of one token; repeated rows are packed one by one, and
+    pieces of equal length fill a sequence's places in the order of their tasks;
+    an empty table gives an empty result; other columns are ignored.
 
     The driver sees the histogram (``max_len`` rows) and makes the plan, whose
     size depends on ``max_len`` alone. Pieces are written once, numbered within

@@ -161,8 +161,8 @@ def train_ranker(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
 def score_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """``doc_id, score`` of every row; null and empty texts are scored by their (zero) features.
 
-    A narrow map over whole texts; repeated rows are scored one by one, an empty
-    table gives an empty result, other columns are ignored.
+    A narrow map over whole texts of any length; repeated rows are scored one by
+    one and equal texts get equal scores, an empty table gives an empty result, other columns are ignored.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,9 +186,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD)
     """``doc_id, categories (map of name to probability), score, toxic`` of every whole text.
 
     ``score`` is the last link's probability and ``toxic`` whether it reaches the
-    threshold. Null and empty texts have no terms. A narrow map: repeated rows
-    are scored one by one, an empty table gives an empty result, other columns
-    are ignored.
+    threshold (a tie with it counts as toxic). Null and empty texts have no
+    terms; very long texts are scored whole. A narrow map: repeated rows are
+    scored one by one, an empty table gives an empty result, other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
