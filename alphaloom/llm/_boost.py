@@ -38,7 +38,7 @@ class Boosted:
 def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, leaf: int = 10) -> Boosted:
     """Newton boosting; splits maximise the second-order gain over quantile cuts."""
     cuts = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
-    binned = np.column_stack([np.searchsorted(c, column, "left") for c, column in zip(cuts, x.T, strict=True)])
+    binned = [np.searchsorted(c, column, "left") for c, column in zip(cuts, x.T, strict=True)]
     rate_of = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     prior = float(np.log(rate_of / (1 - rate_of)))
     margin = np.full(len(y), prior)
@@ -58,11 +58,12 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, r
             if node >= 2**depth - 1 or len(rows) < 2 * leaf:
                 continue
             best = (1e-6, -1, 0)
+            own_g, own_h = g[rows], h[rows]
             for j, c in enumerate(cuts):
-                n = len(c) + 1
-                gl = np.cumsum(np.bincount(binned[rows, j], g[rows], n))[:-1]
-                hl = np.cumsum(np.bincount(binned[rows, j], h[rows], n))[:-1]
-                nl = np.cumsum(np.bincount(binned[rows, j], minlength=n))[:-1]
+                n, at = len(c) + 1, binned[j][rows]
+                gl = np.cumsum(np.bincount(at, own_g, n))[:-1]
+                hl = np.cumsum(np.bincount(at, own_h, n))[:-1]
+                nl = np.cumsum(np.bincount(at, minlength=n))[:-1]
                 gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
                 gain[(nl < leaf) | (len(rows) - nl < leaf)] = 0
                 if len(gain) and gain.max() > best[0]:
@@ -71,7 +72,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, r
             if j < 0:
                 continue
             feature[node], cut[node] = j, cuts[j][b]
-            left = binned[rows, j] <= b
+            left = binned[j][rows] <= b
             members[2 * node + 1], members[2 * node + 2] = rows[left], rows[~left]
         tree = Boosted(0.0, feature[None], cut[None], value[None])
         margin = margin + tree.margin(x)

@@ -342,3 +342,26 @@ def test_a_covering_span_beats_one_that_it_covers():
     object.__setattr__(redactor, "trees", type("Sure", (), {"probability": staticmethod(lambda x: 1 - x[:, 1] / 1e6)}))
     text = 'password = "aB3$' + "c4" * 40 + '"'
     assert [text[a:b] for k, a, b in redactor.spans(text)[1] if k == "secret"] == ["aB3$" + "c4" * 40]
+
+
+def test_threshold_equals_brute_force():
+    """The least level from which on no level falls below the precision asked for, by trying all of them."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        p = np.round(rng.random(int(rng.integers(1, 60))), 1)
+        good = (rng.random(len(p)) < p).astype(float)
+        levels = sorted(set(p.tolist()))
+        share = {t: good[p >= t].mean() for t in levels}
+        fine = [t for t in levels if all(share[u] >= pii.PRECISION for u in levels if u >= t)]
+        want = min(fine) if fine else max(share, key=lambda t: (share[t], -t))
+        assert pii._threshold(p, good) == max(pii.LEAST_THRESHOLD, want)
+    assert pii._threshold(np.zeros(0), np.zeros(0)) == pii.LEAST_THRESHOLD
+
+
+def test_thresholds_are_calibrated_on_unseen_forms(spark, small):
+    """Trees that have seen neither an example's form nor its document set the thresholds; these leave their floor and keep precision."""
+    redactor = pii.train_redactor(spark.read.parquet(f"{small}/documents.parquet"))
+    assert [r.kind for r in redactor.reliability] == list(pii.KINDS)
+    assert sum(t > pii.LEAST_THRESHOLD for t in redactor.thresholds) >= 3
+    for r in redactor.reliability:
+        assert r.examples > 300 and r.precision >= pii.PRECISION and r.recall > 0.5 and r.calibration_error < 0.35, r
