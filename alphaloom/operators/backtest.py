@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alphaloom.errors import InputError
+from alphaloom.functions.expressions import finite
 from alphaloom.operators.calendar import calendar
+from alphaloom.operators.guards import require_finite, require_keys, require_unique
 
 
 def schedule(targets: DataFrame, days: DataFrame) -> DataFrame:
@@ -90,13 +93,44 @@ def backtest(targets: DataFrame, returns: DataFrame, cost_bps: float, initial: D
     return valued.select("date", "portfolio", "gross_return", "transaction_cost", "net_return", "turnover", "nav", (F.col("nav") / peak - 1).alias("drawdown"))
 
 
-def relative_to_benchmark(daily: DataFrame, benchmark: str = "benchmark") -> DataFrame:
-    """``daily`` with ``benchmark_net_return, active_return, active_nav, active_drawdown`` (null where the benchmark has no row)."""
+def _active(joined: DataFrame) -> DataFrame:
+    """Active measures of rows that hold ``benchmark_net_return`` and the benchmark's ``_nav``."""
+    run = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valued = joined.withColumn("active_return", F.col("net_return") - F.col("benchmark_net_return")).withColumn("active_nav", F.col("nav") / F.col("_nav"))
+    return valued.withColumn("active_drawdown", F.col("active_nav") / F.max("active_nav").over(run) - 1).drop("_nav")
+
+
+def relative_to_benchmark(daily: DataFrame, benchmark: str = "benchmark", required: bool = False) -> DataFrame:
+    """``daily`` with ``benchmark_net_return, active_return, active_nav, active_drawdown`` (null where the benchmark has no row).
+
+    A date with two rows of the benchmark stops the job, and so does one without any if it is ``required``.
+    """
     day = Window.partitionBy("date")
-    of_benchmark = lambda c: F.max(F.when(F.col("portfolio") == benchmark, F.col(c))).over(day)
+    own = F.when(F.col("portfolio") == benchmark, F.col("net_return"))
+    found = F.count(own).over(day)
+    wrong = F.raise_error(F.concat(F.lit(f"{benchmark}: "), found.cast("string"), F.lit(" rows on "), "date")).cast("double")
+    once = F.when((found > 1) | (F.lit(required) & (found == 0)), wrong).otherwise(F.max(own).over(day))
+    nav = F.max(F.when(F.col("portfolio") == benchmark, F.col("nav"))).over(day)
+    return _active(daily.withColumn("benchmark_net_return", once).withColumn("_nav", nav))
+
+
+def relative_to_series(daily: DataFrame, series: DataFrame) -> DataFrame:
+    """``daily`` against an index from elsewhere (``date, benchmark_net_return``): the columns of ``relative_to_benchmark``.
+
+    The index starts at 1 where the backtest does: its value is the product of
+    its returns on the backtest's dates. Repeated dates, returns that are not finite
+    or at most -1 are refused; a date of the backtest that the index lacks stops
+    the job. One row a date is broadcast, a calendar's worth.
+    """
+    clean = series.select("date", finite("benchmark_net_return").alias("benchmark_net_return"))
+    require_unique(require_keys(clean, ["date"], "benchmark series"), ["date"], "benchmark series")
+    require_finite(clean, ["benchmark_net_return"], "benchmark series")
+    if not clean.where("benchmark_net_return <= -1").isEmpty():
+        raise InputError("benchmark series: a return of -1 or less")
     run = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = daily.withColumn("benchmark_net_return", of_benchmark("net_return")).withColumn("_nav", of_benchmark("nav")).withColumn("active_return", F.col("net_return") - F.col("benchmark_net_return")).withColumn("active_nav", F.col("nav") / F.col("_nav"))
-    return joined.withColumn("active_drawdown", F.col("active_nav") / F.max("active_nav").over(run) - 1).drop("_nav")
+    missing = F.raise_error(F.concat(F.lit("benchmark series: nothing for "), "date")).cast("double")
+    joined = daily.join(F.broadcast(clean), "date", "left").withColumn("benchmark_net_return", F.coalesce("benchmark_net_return", F.when(F.lit(True), missing)))
+    return _active(joined.withColumn("_nav", F.product(1 + F.col("benchmark_net_return")).over(run)))
 
 
 def summarize(relative: DataFrame, periods: int = 252) -> DataFrame:

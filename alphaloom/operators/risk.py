@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from alphaloom.errors import RiskError
 from alphaloom.functions.expressions import clipped
 from alphaloom.operators.calendar import calendar
+from alphaloom.operators.guards import require_covered, require_finite
 from alphaloom.operators.signal import day, with_mad
 
 
@@ -355,3 +356,24 @@ def portfolio_variance(weights: DataFrame, exposure: DataFrame, factor_cov: Data
     own = weights.join(specific.select("ticker", "specific_var"), "ticker").groupBy("portfolio").agg(F.sum(F.col("specific_var") * F.pow("weight", 2)).alias("specific_variance"))
     total = F.greatest(F.col("factor_variance") + F.col("specific_variance"), F.lit(0.0))
     return common.join(own, "portfolio").select("portfolio", "factor_variance", "specific_variance", total.alias("variance"), F.sqrt(total).alias("volatility"))
+
+
+def portfolio_metrics(book: DataFrame, exposure: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> DataFrame:
+    """``portfolio, expected_return, active_expected_return, variance, volatility, tracking_variance, tracking_error`` of each portfolio.
+
+    ``book`` has ``portfolio, ticker, target_weight, benchmark_weight,
+    expected_return``. Risk is factored, for weights and active weights in one
+    pass; no asset covariance is formed. A name of non-zero weight or active weight
+    that the model lacks, or without an expected return, is refused.
+    """
+    moved = book.where("target_weight <> 0 or benchmark_weight <> 0")
+    require_covered(moved, specific.join(exposure.select("ticker"), "ticker", "left_semi"), ["ticker"], "risk model")
+    require_finite(moved, ["target_weight", "benchmark_weight", "expected_return"], "portfolio")
+    checked = moved.select("portfolio", "ticker", "target_weight", (F.col("target_weight") - F.col("benchmark_weight")).alias("active"), "expected_return")
+    expected = checked.groupBy("portfolio").agg(F.sum(F.col("target_weight") * F.col("expected_return")).alias("expected_return"), F.sum(F.col("active") * F.col("expected_return")).alias("active_expected_return"))
+    sides = F.explode(F.array(F.struct(F.lit("held").alias("side"), F.col("target_weight").alias("weight")), F.struct(F.lit("active").alias("side"), F.col("active").alias("weight"))))
+    both = checked.select("portfolio", "ticker", sides.alias("s")).where("s.weight <> 0").select(F.struct("portfolio", "s.side").alias("portfolio"), "ticker", "s.weight")
+    risks = portfolio_variance(both, exposure, factor_cov, specific).groupBy(F.col("portfolio.portfolio").alias("portfolio"))
+    of = lambda side: F.coalesce(F.max(F.when(F.col("portfolio.side") == side, F.col("variance"))), F.lit(0.0))
+    measured = expected.join(risks.agg(of("held").alias("variance"), of("active").alias("tracking_variance")), "portfolio", "left").na.fill(0.0, ["variance", "tracking_variance"])
+    return measured.select("portfolio", "expected_return", "active_expected_return", "variance", F.sqrt("variance").alias("volatility"), "tracking_variance", F.sqrt("tracking_variance").alias("tracking_error"))

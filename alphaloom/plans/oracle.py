@@ -327,6 +327,14 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         ("lastx", "lastd", "fcov"),
         f"SELECT a.ticker AS row_ticker, b.ticker AS col_ticker, {_r('mm + (a.size + b.size) * ms + a.size * b.size * ss + CASE WHEN a.ticker = b.ticker THEN d ELSE 0 END', name='covariance')} FROM lastx a, lastx b, (SELECT sum(covariance) FILTER (factor_a = 'MARKET' AND factor_b = 'MARKET') AS mm, sum(covariance) FILTER (factor_a = 'MARKET' AND factor_b = 'SIZE') AS ms, sum(covariance) FILTER (factor_a = 'SIZE' AND factor_b = 'SIZE') AS ss FROM fcov) JOIN lastd ON lastd.ticker = a.ticker",
     ),
+    "portfolio_metrics": (
+        ("lastx", "lastd", "fcov", "resp", "bench", "uniform"),
+        f"SELECT portfolio, {_r('mu', name='expected_return')}, {_r('amu', name='active_expected_return')}, {_r('v', name='variance')}, {_r('sqrt(v)', name='volatility')}, {_r('t', name='tracking_variance')}, {_r('sqrt(t)', name='tracking_error')} FROM (SELECT portfolio, sum(w * mu) AS mu, sum((w - b) * mu) AS amu, "
+        + ", ".join(f"greatest(sum({w}) ** 2 * any_value(mm) + 2 * sum({w}) * sum({w} * size) * any_value(ms) + sum({w} * size) ** 2 * any_value(ss) + sum(d * {w} ** 2), 0) AS {n}" for w, n in (("w", "v"), ("(w - b)", "t")))
+        + " FROM (SELECT ticker, size, b / sum(b) OVER () AS b, mu, unnest(['equal', 'large']) AS portfolio, unnest([1.0 / count(*) OVER (), greatest(size, 0) / sum(greatest(size, 0)) OVER ()]) AS w FROM (SELECT x.ticker, x.size, n.benchmark_weight AS b, 0.05 * u.signal_score AS mu "
+        "FROM lastx x JOIN bench n ON n.ticker = x.ticker AND n.date = (SELECT max(date) FROM resp) JOIN uniform u ON u.ticker = x.ticker AND u.date = n.date)) JOIN lastd USING (ticker), "
+        "(SELECT sum(covariance) FILTER (factor_a = 'MARKET' AND factor_b = 'MARKET') AS mm, sum(covariance) FILTER (factor_a = 'MARKET' AND factor_b = 'SIZE') AS ms, sum(covariance) FILTER (factor_a = 'SIZE' AND factor_b = 'SIZE') AS ss FROM fcov) GROUP BY portfolio)",
+    ),
     "portfolio_risk": (
         ("lastx", "lastd", "fcov"),
         f"SELECT portfolio, {_r('fv', name='factor_variance')}, {_r('sv', name='specific_variance')}, {_r('fv + sv', name='variance')}, {_r('sqrt(fv + sv)', name='volatility')} FROM (SELECT portfolio, sum(w) ** 2 * any_value(mm) + 2 * sum(w) * sum(w * size) * any_value(ms) + sum(w * size) ** 2 * any_value(ss) AS fv, sum(d * w * w) AS sv FROM ("
@@ -387,6 +395,12 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     "equal_weight_baseline": (("uniform",), f"SELECT date, ticker, {_r('1.0 / least(10, n)', 8, 'target_weight')} FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY signal_score DESC, ticker) AS place, count(*) {_DAY} AS n FROM uniform) WHERE place <= 10"),
     "backtest_daily": (("daily",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('gross_return', 'transaction_cost', 'net_return', 'turnover', 'nav', 'drawdown'))} FROM daily"),
     "benchmark_relative": (("relative",), f"SELECT date, portfolio, {', '.join(_r(c) for c in ('benchmark_net_return', 'active_return', 'active_nav', 'active_drawdown'))} FROM relative"),
+    "index_relative": (
+        ("daily", "panel"),
+        f"SELECT date, portfolio, {', '.join(_r(c) for c in ('benchmark_net_return', 'active_return', 'active_nav'))}, {_r('active_nav / max(active_nav) OVER (PARTITION BY portfolio ORDER BY date) - 1', name='active_drawdown')} FROM ("
+        "SELECT d.date, d.portfolio, i.r AS benchmark_net_return, d.net_return - i.r AS active_return, d.nav / product(1 + i.r) OVER (PARTITION BY d.portfolio ORDER BY d.date) AS active_nav "
+        "FROM daily d JOIN (SELECT date, coalesce(avg(ret) FILTER (tradable), 0) AS r FROM panel GROUP BY date) i ON i.date = d.date)",
+    ),
     "performance_summary": (
         ("relative",),
         "SELECT portfolio, count(*) AS observations, min(date) AS date_start, max(date) AS date_end, "

@@ -237,6 +237,20 @@ def portfolio_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(risk.portfolio_variance(equal.union(large), x, f, d), "factor_variance", "specific_variance", "variance", "volatility")
 
 
+def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected return, volatility and tracking error of two portfolios on the last regression date, against capitalisation shares."""
+    p = source.market_panel(spark, sf_dir)
+    x, f, d = map(publish.settled, _last_model(p))
+    names = x.where("factor = 'SIZE'").select("date", "ticker", F.greatest("exposure", F.lit(0.0)).alias("e"))
+    expected = signal.calibrate(_signal(p)).select("date", "ticker", "expected_return")
+    known = names.join(source.benchmark_of(p), ["date", "ticker"]).join(expected, ["date", "ticker"])
+    all_names = Window.partitionBy("date")
+    share = lambda c: F.col(c) / F.sum(c).over(all_names)
+    weighed = known.select("ticker", share("benchmark_weight").alias("benchmark_weight"), "expected_return", (1.0 / F.count("*").over(all_names)).alias("equal"), share("e").alias("large"))
+    book = publish.settled(weighed.unpivot(["ticker", "benchmark_weight", "expected_return"], ["equal", "large"], "portfolio", "target_weight"))
+    return _round(risk.portfolio_metrics(book, x, f, d), "expected_return", "active_expected_return", "variance", "volatility", "tracking_variance", "tracking_error")
+
+
 #: As-of dates: every twentieth month after the first twenty-four; tradable names of the month are the targets.
 AS_OF_FIRST, AS_OF_EVERY = 24, 20
 AS_OF = risk.RiskSettings(**{**SIZE_ONLY.__dict__, "lookback": 24, "max_imputed": 1.0})
@@ -374,6 +388,19 @@ def benchmark_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(relative.select("date", "portfolio", "benchmark_net_return", "active_return", "active_nav", "active_drawdown"), "benchmark_net_return", "active_return", "active_nav", "active_drawdown")
 
 
+def _index(p: DataFrame) -> DataFrame:
+    """An index that no portfolio holds: each month's mean return of the names that are tradable in it, 0 in a month without one."""
+    tradable = F.when(F.col("tradable"), F.col("ret"))
+    return p.groupBy("date").agg(F.coalesce(F.avg(tradable), F.lit(0.0)).alias("benchmark_net_return"))
+
+
+def index_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolios against an external index series instead of a portfolio of the backtest."""
+    p = source.market_panel(spark, sf_dir)
+    relative = backtest.relative_to_series(_daily(p), _index(p))
+    return _round(relative.select("date", "portfolio", "benchmark_net_return", "active_return", "active_nav", "active_drawdown"), "benchmark_net_return", "active_return", "active_nav", "active_drawdown")
+
+
 def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backtest.summarize(backtest.relative_to_benchmark(_daily(source.market_panel(spark, sf_dir))), 12)
     return _round(out, *[c for c, t in out.dtypes if t == "double"], digits=5)
@@ -552,10 +579,10 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     calibrate_uniform, calibrate_power, calibrate_normal, calibrate_expected_return, mad_winsorize, signal_summary, top_candidates, rebalance_calendar, signal_quality, benchmark_renormalize, benchmark_excluded,
     optimizer_universe, coverage_by_date, store_returns, terminal_returns, existing_experiment, industry_asof, industry_overlap, size_exposure, nlsize_exposure, return_styles, standardized_beta,
-    factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, asset_covariance_blocks, portfolio_risk,
+    factor_returns_market_size, factor_returns_wls, factor_returns_industry, ewma_factor_covariance, covariance_repair, specific_variance, specific_impute, asset_covariance, asset_covariance_blocks, portfolio_risk, portfolio_metrics,
     risk_asof_exposures, risk_asof_covariance, risk_asof_specific, risk_asof_periods,
     changed_dates, risk_cache_states, frozen_signal_gate, resolved_ranges, range_report, covariance_diagnostics, risk_asof_diagnostics, sweep_summary, risk_asof_industry_exposures, risk_asof_industry_covariance, risk_asof_industry_specific,
-    equal_weight_baseline, backtest_daily, benchmark_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
+    equal_weight_baseline, backtest_daily, benchmark_relative, index_relative, performance_summary, drifted_weights, constraint_checks, industry_exposures, optimized_targets, normalize_keys,
     rolling_targets, rolling_checks, constraint_report, single_date_problem,
 )
 

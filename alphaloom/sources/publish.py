@@ -54,6 +54,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, at = _place(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
 def is_empty(spark: SparkSession, path: str) -> bool:
     """No such folder, or nothing in it; a file in its place is an error."""
     fs, at = _place(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alphaloom.errors import InputError
 from alphaloom.functions.expressions import finite, normal_date, normal_ticker, truth
 from alphaloom.operators.guards import require_columns, require_covered, require_finite, require_keys, require_rows, require_unique
+from alphaloom.sources.publish import exists, is_file
 
 _KEYS = {"ticker", "symbol", "stock_symbol", "date", "l1_code", "industry", "sector"}
 
@@ -67,6 +68,38 @@ def unpivot_matrix(wide: DataFrame, key: str = "ticker") -> DataFrame:
     return typed.unpivot("row_ticker", [F.col(f"`{c}`") for c in names], "col_ticker", "covariance")
 
 
+def covariance_for(matrix: DataFrame, universe: DataFrame) -> DataFrame:
+    """The rows of a long covariance whose two names are in ``universe`` (``ticker``); a name or pair of it that the matrix lacks is an error."""
+    names = universe.select("ticker").distinct()
+    require_covered(names, matrix.where("row_ticker = col_ticker").select(F.col("row_ticker").alias("ticker")), ["ticker"], "covariance")
+    kept = matrix.join(names.toDF("row_ticker"), "row_ticker", "left_semi").join(names.toDF("col_ticker"), "col_ticker", "left_semi")
+    n, pairs = names.count(), kept.count()
+    if pairs != n * n:
+        raise InputError(f"covariance: {pairs} pairs for {n} names")
+    return kept.select(*matrix.columns)
+
+
+#: File names in external layouts of one folder or file a date (fixed values).
+COVARIANCE_NAMES = ("asset_cov", "covariance")
+EXPOSURE_NAMES = ("exposures", "style_exposures")
+
+
+def dated_path(spark: SparkSession, root: str, date: str, names: tuple[str, ...], optional: bool = False) -> str | None:
+    """Where a date's table lies: ``root`` itself if it is a file, else the first there is of ``date=D/<name>.parquet`` and ``D.parquet``.
+
+    Looked up through Hadoop's FileSystem, so any of its stores will do; without one it is an error, or null if ``optional``.
+    """
+    if is_file(spark, root):
+        return root
+    tried = [*(f"{root}/date={date}/{name}.parquet" for name in names), f"{root}/{date}.parquet"]
+    for path in tried:
+        if exists(spark, path):
+            return path
+    if optional:
+        return None
+    raise InputError(f"nothing for {date}; looked for {tried}")
+
+
 def select_date(table: DataFrame, date: str, label: str, optional: bool = False) -> DataFrame:
     """Rows of one date; a table without dates counts for every date if ``optional``."""
     if "date" not in table.columns:
@@ -87,12 +120,30 @@ def load_signal(table: DataFrame) -> DataFrame:
     return require_unique(clean, ["date", "ticker"], "signal")
 
 
-def load_weights(table: DataFrame, value: str, universe: DataFrame | None = None) -> DataFrame:
-    """``date, ticker, value``; with a ``universe`` (``date, ticker``), exactly its names, absent ones at 0."""
+def load_candidates(table: DataFrame) -> DataFrame:
+    """``date, ticker`` of candidates or risk-model targets: at least one, no key malformed or repeated; other columns are left out."""
+    require_columns(table, ["date", "ticker"], "candidates")
+    clean = table.select(normal_date("date").alias("date"), normal_ticker("ticker").alias("ticker"))
+    require_keys(require_rows(clean, "candidates"), ["date", "ticker"], "candidates")
+    return require_unique(clean, ["date", "ticker"], "candidates")
+
+
+def initial_weights(first: str, benchmark: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """``ticker, weight`` held before the first rebalance date: those of ``initial`` (``current_weight``) on it, or the benchmark's."""
+    column, table, label = ("benchmark_weight", benchmark, "benchmark") if initial is None else ("current_weight", initial, "initial weights")
+    return load_weights(select_date(table, first, label), column).select("ticker", F.col(column).alias("weight"))
+
+
+def load_weights(table: DataFrame, value: str, universe: DataFrame | None = None, complete: bool = False) -> DataFrame:
+    """``date, ticker, value``; with a ``universe`` (``date, ticker``), exactly its names, absent ones at 0 or, if it must be ``complete``, refused."""
     clean = require_finite(table.select(normal_date("date").alias("date"), normal_ticker("ticker").alias("ticker"), finite(value).alias(value)), [value], value)
     require_keys(clean, ["date", "ticker"], value)
     require_unique(clean, ["date", "ticker"], value)
-    return clean if universe is None else universe.join(clean, ["date", "ticker"], "left").na.fill(0.0, [value])
+    if universe is None:
+        return clean
+    if complete:
+        require_covered(universe, clean, ["date", "ticker"], value)
+    return universe.select("date", "ticker").join(clean, ["date", "ticker"], "left").na.fill(0.0, [value])
 
 
 def load_labels(table: DataFrame, column: str, universe: DataFrame) -> DataFrame:
