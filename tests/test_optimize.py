@@ -68,3 +68,23 @@ def test_query_keeps_every_limit(spark, small):
     active = "target_weight - benchmark_weight"
     rows = weights.groupBy("date").agg(F.expr(f"sqrt(0.002 * power(sum({active}), 2) + sum(specific_var * power({active}, 2)))").alias("te"), F.expr(f"sum(({active}) * exposures[0])").alias("size"), F.expr(f"sum(({active}) * score)").alias("gain")).collect()
     assert all(r.te <= 0.05 + 1e-6 and abs(r.size) <= 0.2 + 1e-6 and r.gain >= -1e-6 for r in rows) and max(r.gain for r in rows) > 0
+
+
+def test_many_names_in_factored_form():
+    n, draw = 20_000, np.random.default_rng(3)
+    benchmark, score, size = draw.uniform(0.5, 1.5, n), draw.normal(size=n), draw.normal(size=(n, 1))
+    benchmark /= benchmark.sum()
+    risk = optimize.Covariance.factored(draw.uniform(0.02, 0.2, n), np.ones((n, 1)), np.full((n, 1), 0.002))
+    w = solve(score, benchmark, benchmark, np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), risk, size, Limits(1.0, 0.12, tracking_error=0.05, turnover=0.3, ranges=((-0.2, 0.2),)))
+    active = w - benchmark
+    assert abs(w.sum() - 1) < 1e-6 and w.min() > -1e-6 and np.abs(active).sum() / 2 <= 0.3 + 1e-6 and abs(size[:, 0] @ active) <= 0.2 + 1e-6
+    assert np.sqrt(active @ risk.times(active)) <= 0.05 + 1e-6 and score @ active > 0.5
+
+
+def test_factored_and_dense_covariance_agree():
+    draw = np.random.default_rng(4)
+    x, f, d = draw.normal(size=(30, 3)), np.diag([0.01, 0.002, 0.004]), draw.uniform(0.02, 0.1, 30)
+    dense = x @ f @ x.T + np.diag(d)
+    limits = Limits(0.4, 0.3, tracking_error=0.1, turnover=0.4, cost=0.001, ranges=((-0.5, 0.5),))
+    both = [solve(x[:, 0] - x[:, 1], np.full(30, 1 / 30), np.full(30, 1 / 30), np.zeros(30, dtype=bool), np.zeros(30, dtype=bool), c, x[:, 2:], limits) for c in (dense, optimize.Covariance.factored(d, x, x @ f))]
+    assert np.allclose(*both, atol=1e-6)
