@@ -3,11 +3,13 @@
 A rebalance starts from what the last one has drifted to, so a variant's dates
 follow each other; variants do not depend on each other. Universe, policies,
 growth between dates and risk are tables for all dates at once, and only the
-solves of one variant run in turn, in one grouped map.
+solves run date by date, each in a grouped map by variant.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,7 @@ from alphaloom.operators import optimize
 from alphaloom.operators.calendar import calendar
 from alphaloom.operators.guards import require_covered, require_unique
 from alphaloom.operators.signal import optimizer_universe
+from alphaloom.sources.publish import shared_folder
 
 TOLERANCE = 1e-8
 
@@ -78,6 +81,9 @@ def growth_between(returns: DataFrame, dates: DataFrame) -> DataFrame:
     return grown.join(F.broadcast(spans), "stop").where("n = days").select(F.col("stop").alias("date"), "ticker", "growth")
 
 
+TARGETS = "date string, variant string, ticker string, current_weight double, target_weight double"
+
+
 def rolling_targets(names: DataFrame, limits: optimize.Limits, initial: DataFrame | None = None) -> DataFrame:
     """``date, variant, ticker, current_weight, target_weight`` along each variant's dates.
 
@@ -89,51 +95,66 @@ def rolling_targets(names: DataFrame, limits: optimize.Limits, initial: DataFram
     (``variant, ticker, weight``) is held before the first date; without it
     nothing is. The job stops, naming variant and date, at a holding without a row or growth, a
     name without a prediction that is not a frozen holding, and a date without a
-    solution. One task holds one variant: its dates times the names of a date.
+    solution. Dates are run one after the other when this is called, from files
+    in the shared folder: a task holds one variant's names of one date.
     """
     spark = names.sparkSession
     start = initial if initial is not None else spark.createDataFrame([], "variant string, ticker string, weight double")
     columns = ["date", "variant", "ticker", "score", "benchmark_weight", "tradable", "is_candidate", "specific_var", "loadings", "half_loadings", "exposures", "growth"]
-
-    def path(key: tuple[str], frame: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    folder = f"{shared_folder(spark)}/path-{uuid.uuid4().hex}"
+    wanted, held = f"{folder}/names", f"{folder}/held"
+    given = names.select(columns)
+    given.repartition("date", "variant").write.partitionBy("date").parquet(wanted)
+    start.select("variant", "ticker", "weight").write.parquet(held)
+    given, start = spark.read.schema(given.schema).parquet(wanted), spark.read.parquet(held)
+
+    def step(key: tuple[str], rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        date = rows["date"].iloc[0]
+        where, rows = f"{key[0]}, {date}", rows.sort_values("ticker").set_index("ticker")
+        if not rows.index.is_unique:
+            raise SolverError(f"{where}: repeated names")
         current = pd.Series(held["weight"].to_numpy(float), index=held["ticker"]) if len(held) else None
-        out = []
-        for number, (date, rows) in enumerate(frame.sort_values(["date", "ticker"]).groupby("date")):
-            where, rows = f"{key[0]}, {date}", rows.set_index("ticker")
-            if not rows.index.is_unique:
-                raise SolverError(f"{where}: repeated names")
-            if current is not None:
-                grown = rows["growth"].reindex(current.index) if number else pd.Series(1.0, index=current.index)
-                if grown.isna().any() or not current.index.isin(rows.index).all():
-                    lost = current.index[(grown.isna() | ~current.index.isin(rows.index)).to_numpy()]
-                    raise SolverError(f"{where}: nothing known of the held {lost[0]}")
-                current = current * grown
-                if not current.sum() > 0:
-                    raise SolverError(f"{where}: nothing is left")
-                current = current / current.sum()
-            holding = np.zeros(len(rows)) if current is None else current.reindex(rows.index).fillna(0.0).to_numpy()
-            inside = rows["is_candidate"].to_numpy(bool) | (rows["benchmark_weight"].to_numpy(float) > TOLERANCE) | (holding > TOLERANCE)
-            rows, holding = rows[inside], holding[inside]
-            frozen, score = ~rows["tradable"].to_numpy(bool), rows["score"].to_numpy(float)
-            absent = np.isnan(score)
-            if (wrong := absent & ~(frozen & (holding > TOLERANCE))).any():
-                raise SolverError(f"{where}: no prediction for {rows.index[wrong][0]}")
-            if current is None and frozen.any():
-                raise SolverError(f"{where}: {rows.index[frozen][0]} cannot trade and nothing is held")
-            matrix = lambda c: np.array(rows[c].tolist(), dtype=float).reshape(len(rows), -1)  # noqa: B023, E731
-            common = matrix("half_loadings") @ matrix("loadings").T
-            covariance = (common + common.T) / 2 + np.diag(rows["specific_var"].to_numpy(float))
-            try:
-                w = optimize.solve(np.where(absent, 0.0, score), rows["benchmark_weight"].to_numpy(float), None if current is None else holding, frozen, rows["is_candidate"].to_numpy(bool), covariance, matrix("exposures"), limits)
-            except SolverError as error:
-                raise SolverError(f"{where}: {error}") from error
-            out.append(pd.DataFrame({"date": date, "variant": key[0], "ticker": rows.index, "current_weight": np.nan if current is None else holding, "target_weight": w}))
-            current = pd.Series(w, index=rows.index)
-            current = current[current > TOLERANCE]
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["date", "variant", "ticker", "current_weight", "target_weight"])
-
-    grouped = names.select(columns).groupBy("variant").cogroup(start.select("variant", "ticker", "weight").groupBy("variant"))
-    return grouped.applyInPandas(path, "date string, variant string, ticker string, current_weight double, target_weight double")
+        if current is not None:
+            grown = rows["growth"].reindex(current.index) if held["drifts"].iloc[0] else pd.Series(1.0, index=current.index)
+            lost = current.index[(grown.isna() | ~current.index.isin(rows.index)).to_numpy()]
+            if len(lost):
+                raise SolverError(f"{where}: nothing known of the held {lost[0]}")
+            current = current * grown
+            if not current.sum() > 0:
+                raise SolverError(f"{where}: nothing is left")
+            current = current / current.sum()
+        holding = np.zeros(len(rows)) if current is None else current.reindex(rows.index).fillna(0.0).to_numpy()
+        inside = rows["is_candidate"].to_numpy(bool) | (rows["benchmark_weight"].to_numpy(float) > TOLERANCE) | (holding > TOLERANCE)
+        rows, holding = rows[inside], holding[inside]
+        frozen, score = ~rows["tradable"].to_numpy(bool), rows["score"].to_numpy(float)
+        absent = np.isnan(score)
+        if (wrong := absent & ~(frozen & (holding > TOLERANCE))).any():
+            raise SolverError(f"{where}: no prediction for {rows.index[wrong][0]}")
+        if current is None and frozen.any():
+            raise SolverError(f"{where}: {rows.index[frozen][0]} cannot trade and nothing is held")
+        matrix = lambda c: np.array(rows[c].tolist(), dtype=float).reshape(len(rows), -1)
+        risk = optimize.Covariance.factored(rows["specific_var"].to_numpy(float), matrix("loadings"), matrix("half_loadings"))
+        try:
+            w = optimize.solve(np.where(absent, 0.0, score), rows["benchmark_weight"].to_numpy(float), None if current is None else holding, frozen, rows["is_candidate"].to_numpy(bool), risk, matrix("exposures"), limits)
+        except SolverError as error:
+            raise SolverError(f"{where}: {error}") from error
+        return pd.DataFrame({"date": date, "variant": key[0], "ticker": rows.index, "current_weight": np.nan if current is None else holding, "target_weight": w})
+
+    last: dict[str, str] = {}
+    dates: dict[str, list[str]] = {}
+    for r in given.select("date", "variant").distinct().collect():  # dates times variants
+        dates.setdefault(r.date, []).append(r.variant)
+    written = lambda date: f"{folder}/targets/date={date}"
+    for date in sorted(dates):
+        today = dates[date]
+        holding = start.where(F.col("variant").isin([v for v in today if v not in last])).withColumn("drifts", F.lit(False))
+        for before in sorted({last[v] for v in today if v in last}):
+            found = spark.read.schema(TARGETS).parquet(written(before)).where(F.col("variant").isin([v for v in today if last.get(v) == before]) & (F.col("target_weight") > TOLERANCE))
+            holding = holding.union(found.select("variant", "ticker", F.col("target_weight").alias("weight"), F.lit(True)))
+        solved = given.where(F.col("date") == date).groupBy("variant").cogroup(holding.groupBy("variant")).applyInPandas(step, TARGETS)
+        solved.write.parquet(written(date))
+        last |= dict.fromkeys(today, date)
+    return spark.read.schema(TARGETS).parquet(*map(written, sorted(dates))) if dates else spark.createDataFrame([], TARGETS)
 
 
 def tracking_error(weights: DataFrame, names: DataFrame) -> DataFrame:

@@ -82,3 +82,16 @@ def test_report_lines(spark):
     }
     free = {r["constraint"]: r.status for r in rolling.constraint_report(book.withColumn("current_weight", F.lit(None).cast("double")), limits).collect()}
     assert free["max_weight"] == "violated" and "max_turnover" not in free and "tradability_freeze" not in free
+
+
+def test_path_of_many_names_and_of_variants_that_skip_a_date(spark):
+    n, dates = 3000, ("20230104", "20230105", "20230106")
+    grid = spark.createDataFrame([(d, v) for d in dates for v in ("a", "b") if (d, v) != ("20230105", "b")], "date string, variant string").crossJoin(spark.range(n))
+    names = grid.select(
+        "date", "variant", F.format_string("T%05d", "id").alias("ticker"), F.sin(F.col("id") * 1.0).alias("score"), F.lit(1.0 / n).alias("benchmark_weight"), F.lit(True).alias("tradable"), F.lit(True).alias("is_candidate"), F.lit(0.04).alias("specific_var"),
+        F.array(F.lit(1.0)).alias("loadings"), F.array(F.lit(0.002)).alias("half_loadings"), F.array(F.cos(F.col("id") * 3.0)).alias("exposures"), F.lit(1.0).alias("growth"),
+    )
+    limits = optimize.Limits(max_weight=0.5, max_active=0.2, tracking_error=0.02, turnover=0.2, ranges=((-0.3, 0.3),))
+    got = rolling.rolling_targets(names, limits)
+    moved = got.groupBy("variant", "date").agg(F.sum("target_weight").alias("total"), F.sum(F.abs(F.col("target_weight") - F.col("current_weight"))).alias("moved")).collect()
+    assert len(moved) == 5 and all(abs(r.total - 1) < 1e-6 and (r.moved is None) == (r.date == dates[0]) and (r.moved is None or r.moved <= 0.4 + 1e-6) for r in moved)
