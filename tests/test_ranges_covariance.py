@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from alphaloom.errors import ConfigError, RiskError
-from alphaloom.operators import covariance, ranges
+from alphaloom.operators import covariance, ranges, risk
 
 FACTORS = [(d, f, "STYLE" if f == "SIZE" else "INDUSTRY") for d in ("d1", "d2") for f in ("A", "B", "SIZE")]
 
@@ -117,3 +117,19 @@ def test_matrices_that_are_refused(spark):
         covariance.checked(_cells(spark, ("m", [[1, float("nan")], [0, 1]])), rules)
     with pytest.raises(RiskError, match="asymmetry beyond"):
         covariance.checked(_cells(spark, ("m", [[1, 0.1], [0.2, 1]])), rules)
+
+
+def test_small_blocks_of_many_names_make_few_copies(spark):
+    draw = np.random.default_rng(5)
+    x, f = draw.normal(size=(300, 2)), np.array([[0.04, 0.01], [0.01, 0.02]])
+    names, factors = [f"T{i:03d}" for i in range(300)], ["M", "S"]
+    exposure = spark.createDataFrame([(n, k, float(x[i, j])) for i, n in enumerate(names) for j, k in enumerate(factors)], "ticker string, factor string, exposure double")
+    factor_cov = spark.createDataFrame([(a, b, float(f[i, j])) for i, a in enumerate(factors) for j, b in enumerate(factors)], "factor_a string, factor_b string, covariance double")
+    specific = spark.createDataFrame([(n, 0.1) for n in names], "ticker string, specific_var double")
+    dealt, blocks, _ = covariance._dealt(exposure, factor_cov, specific, 1)
+    assert blocks == covariance.MOST_BLOCKS and dealt.select("block").distinct().count() > blocks // 2
+    want = x @ f @ x.T + 0.1 * np.eye(300)
+    got = risk.asset_covariance(exposure, factor_cov, specific).toPandas().pivot(index="row_ticker", columns="col_ticker", values="covariance")
+    assert got.shape == (300, 300) and np.allclose(got.to_numpy(), want)
+    half = covariance.asset_blocks(exposure, factor_cov, specific, 1).toPandas()
+    assert len({frozenset(p) for p in zip(half["row_ticker"], half["col_ticker"], strict=True)}) == len(half) == 300 * 301 // 2 and np.isclose(half["covariance"].sum(), np.triu(want).sum())
