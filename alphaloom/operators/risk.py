@@ -24,6 +24,10 @@ from alphaloom.operators.guards import require_covered, require_finite
 from alphaloom.operators.signal import day, with_mad
 
 
+#: Names that one task of ``return_styles`` holds, about.
+SLICE_NAMES = 4096
+
+
 @dataclass(frozen=True)
 class RiskSettings:
     """Parameters of the risk model; the defaults are for daily data."""
@@ -105,49 +109,75 @@ def nlsize_exposure(sized: DataFrame, settings: RiskSettings) -> DataFrame:
     return standardize_style(moments.withColumn("_res", dy - slope * dx), "_res", "NLSIZE", settings.size_mad).drop("_mx", "_my", "_res")
 
 
-def return_styles(sections: DataFrame, returns: DataFrame, settings: RiskSettings) -> DataFrame:
+def return_styles(sections: DataFrame, returns: DataFrame, settings: RiskSettings, slice_names: int = SLICE_NAMES) -> DataFrame:
     """``date, ticker, beta, resvol, momentum`` (raw, null where a name has too few days) over trailing return-panel dates.
 
     The market is the equal-weight mean of the names selected on the date, so
     dates are taken in blocks as long as the lookback, so that a return is copied
-    twice at most. A block is one task: a matrix of two lookbacks of days by the
-    names, and all moments as products with it. Dates without the minimum of
+    twice at most, and names in slices of about ``slice_names``. A slice of a block is
+    one task: a matrix of two lookbacks of days by the slice's names, and all
+    moments as products with it. A first pass sums the market over slices, a
+    second has it as a row a date and day. Dates without the minimum of
     earlier rows are left out. Residual volatility follows from the moments of
     return and market without a second pass.
     """
     span = settings.style_lookback
+    slices = max(1, -(-(returns.agg(F.approx_count_distinct("ticker")).first()[0] or 0) // slice_names))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)).cast("int").alias("slice")
     days = calendar(returns).select("date", "ix")
     keyed = sections.join(F.broadcast(days.select(F.col("date").alias("exposure_date"), F.col("ix").cast("long").alias("k"))), "exposure_date")
-    keyed = keyed.where(F.col("k") + 1 >= settings.style_minimum).select("date", "ticker", "k", F.expr(f"k div {span}").alias("block"))
-    numbered = returns.join(F.broadcast(days), "date").select(F.col("ticker").alias("name"), F.col("ix").cast("long").alias("ix"), F.col("return").cast("double").alias("r"))
+    keyed = keyed.where(F.col("k") + 1 >= settings.style_minimum).select("date", "ticker", "k", F.expr(f"k div {span}").alias("block"), part("ticker"))
+    numbered = returns.join(F.broadcast(days), "date").select(F.col("ticker").alias("name"), F.col("ix").cast("long").alias("ix"), F.col("return").cast("double").alias("r"), part("ticker"))
     spread = numbered.withColumn("block", F.explode(F.sequence(F.expr(f"ix div {span}"), F.expr(f"(ix + {span - 1}) div {span}"))))
 
-    def styles(key: tuple[pa.Scalar], members: pa.Table, history: pa.Table) -> pa.Table:
-        return _block_styles(key[0].as_py() * span - (span - 1), members, history, settings)
-
-    return keyed.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(styles, "date string, ticker string, beta double, resvol double, momentum double")
-
-
-def _block_styles(start: int, members: pa.Table, history: pa.Table, settings: RiskSettings) -> pa.Table:
-    """``return_styles`` of one block of dates whose history begins at ordinal ``start``; the market of a date is the mean of its own members."""
-    names = np.intersect1d(members.column("ticker").to_numpy(), history.column("name").to_numpy())
-    history = history.filter(pc.is_in(history.column("name"), pa.array(names, pa.string())))
-    members = members.filter(pc.is_in(members.column("ticker"), pa.array(names, pa.string())))
-    dates, first, day = np.unique(members.column("date").to_numpy(), return_index=True, return_inverse=True)
-    last = members.column("k").to_numpy()[first] - start
-    name, at = np.searchsorted(names, members.column("ticker").to_numpy()), np.searchsorted(names, history.column("name").to_numpy())
-    when = history.column("ix").to_numpy() - start
-    raw, seen = np.zeros((2 * settings.style_lookback - 1, len(names))), np.zeros((2 * settings.style_lookback - 1, len(names)))
-    raw[when, at], seen[when, at] = history.column("r").to_numpy(), 1.0
+    def sums(key: tuple[pa.Scalar, pa.Scalar], members: pa.Table, history: pa.Table) -> pa.Table:
+        s = _Slice(key[0].as_py() * span - (span - 1), members, history, settings)
+        count, total = (s.inside @ s.seen.T) * s.window, (s.inside @ s.raw.T) * s.window
+        at, time = np.nonzero(count)
+        return pa.table([pa.array(np.full(len(at), key[0].as_py())), pa.array(s.dates[at], pa.string()), pa.array(time + s.start), pa.array(count[at, time]), pa.array(total[at, time])], ["block", "date", "ix", "n", "total"])
+
+    def styles(key: tuple[pa.Scalar, pa.Scalar], members: pa.Table, history: pa.Table) -> pa.Table:
+        return _slice_styles(key[0].as_py() * span - (span - 1), members, history, settings)
+
+    grouped = keyed.groupBy("block", "slice")
+    market = grouped.cogroup(spread.groupBy("block", "slice")).applyInArrow(sums, "block long, date string, ix long, n double, total double")
+    means = market.groupBy("block", "date", "ix").agg((F.sum("total") / F.sum("n")).alias("r"))
+    to_all = means.select(F.lit(None).cast("string").alias("name"), "ix", "r", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "block", "date")
+    history = spread.select("name", "ix", "r", "slice", "block", F.lit(None).cast("string").alias("date")).union(to_all)
+    return grouped.cogroup(history.groupBy("block", "slice")).applyInArrow(styles, "date string, ticker string, beta double, resvol double, momentum double")
+
+
+class _Slice:
+    """Matrices of one block of dates and slice of names, whose history begins at ordinal ``start``: days by names, and dates by names or days."""
+
+    def __init__(self, start: int, members: pa.Table, history: pa.Table, settings: RiskSettings) -> None:
+        names = np.intersect1d(members.column("ticker").to_numpy(), history.column("name").to_numpy())
+        history = history.filter(pc.is_in(history.column("name"), pa.array(names, pa.string())))
+        self.members = members = members.filter(pc.is_in(members.column("ticker"), pa.array(names, pa.string())))
+        self.start = start
+        self.dates, first, self.day = np.unique(members.column("date").to_numpy(), return_index=True, return_inverse=True)
+        self.last = members.column("k").to_numpy()[first] - start
+        self.name, at = np.searchsorted(names, members.column("ticker").to_numpy()), np.searchsorted(names, history.column("name").to_numpy())
+        when = history.column("ix").to_numpy() - start
+        self.raw, self.seen = np.zeros((2 * settings.style_lookback - 1, len(names))), np.zeros((2 * settings.style_lookback - 1, len(names)))
+        self.raw[when, at], self.seen[when, at] = history.column("r").to_numpy(), 1.0
+        self.inside = np.zeros((len(self.dates), len(names)))
+        self.inside[self.day, self.name] = 1.0
+        self.time = np.arange(len(self.raw))
+        self.window = ((self.time <= self.last[:, None]) & (self.time > self.last[:, None] - settings.style_lookback)).astype(float)
+
+
+def _slice_styles(start: int, members: pa.Table, history: pa.Table, settings: RiskSettings) -> pa.Table:
+    """``return_styles`` of one slice; rows of ``history`` without a name are the market by date and day."""
+    means = history.filter(pc.is_null(history.column("name")))
+    s = _Slice(start, members, history.filter(pc.is_valid(history.column("name"))), settings)
+    members, day, name, raw, seen, window, time, last = s.members, s.day, s.name, s.raw, s.seen, s.window, s.time, s.last
     r = (raw - raw.sum(axis=0) / seen.sum(axis=0)) * seen
-    inside = np.zeros((len(dates), len(names)))
-    inside[day, name] = 1.0
-    time = np.arange(len(raw))
-    window = ((time <= last[:, None]) & (time > last[:, None] - settings.style_lookback)).astype(float)
-
-    count = (inside @ seen.T) * window
-    market = np.divide((inside @ raw.T) * window, count, out=np.zeros_like(count), where=count > 0)
-    c = (market - market.sum(axis=1, keepdims=True) / np.maximum((count > 0).sum(axis=1, keepdims=True), 1)) * (count > 0)
+    means = means.filter(pc.is_in(means.column("date"), pa.array(s.dates, pa.string())))
+    at, when = np.searchsorted(s.dates, means.column("date").to_numpy()), means.column("ix").to_numpy() - start
+    market, held = np.zeros(window.shape), np.zeros(window.shape)
+    market[at, when], held[at, when] = means.column("r").to_numpy(), 1.0
+    c = (market - market.sum(axis=1, keepdims=True) / np.maximum(held.sum(axis=1, keepdims=True), 1)) * held
     usable = seen * (raw > -1)
     recent = window * (time <= last[:, None] - settings.momentum_skip)
     pick = lambda product: product[day, name]

@@ -110,3 +110,12 @@ def test_too_many_imputed_names_are_an_error(spark):
 @pytest.mark.parametrize("name", ["specific_impute", "portfolio_risk"])
 def test_imputing_queries_equal_their_sql(spark, small, name):
     test_query_equals_its_sql(spark, small, name)
+
+
+def test_return_styles_do_not_depend_on_the_slices_of_names(spark, small):
+    p = queries.source.market_panel(spark, small)
+    sections, returns = queries._sections(p), queries.source.returns_of(p)
+    whole, sliced = ({(r.date, r.ticker): (r.beta, r.resvol, r.momentum) for r in risk.return_styles(sections, returns, queries.MONTHLY, names).collect()} for names in (10_000, 3))
+    assert whole and set(whole) == set(sliced)
+    for key, values in whole.items():
+        assert all((a is None and b is None) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for a, b in zip(values, sliced[key], strict=True))
