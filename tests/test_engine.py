@@ -119,3 +119,9 @@ def test_return_styles_do_not_depend_on_the_slices_of_names(spark, small):
     assert whole and set(whole) == set(sliced)
     for key, values in whole.items():
         assert all((a is None and b is None) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for a, b in zip(values, sliced[key], strict=True))
+
+
+def test_panel_sums_lines_by_numbers(spark, small):
+    plan = queries.source.market_panel(spark, small)._jdf.queryExecution().analyzed().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert sums and not any("date_format" in line or "lpad" in line for line in sums)
