@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.errors import RiskError
 from alphaloom.operators import risk
-from alphaloom.operators.calendar import calendar
+from alphaloom.operators.calendar import common_calendar
 from alphaloom.operators.industry import industry_asof
 from alphaloom.sources.publish import settled
 
@@ -87,7 +87,7 @@ def specific_variance(residual: DataFrame, window: DataFrame, settings: risk.Ris
     """``as_of, ticker, specific_var, observations`` of names with enough residuals in the window."""
     w = F.pow(F.lit(0.5), F.col("age") / settings.specific_halflife)
     aged = window.select("as_of", "date", w.alias("w"))
-    raw = aged.join(residual.where("residual is not null"), "date").groupBy("as_of", "ticker").agg((F.sum(F.col("w") * F.pow("residual", 2)) / F.sum("w") * settings.periods).alias("v"), F.count("*").alias("observations"))
+    raw = residual.where("residual is not null").join(F.broadcast(aged), "date").groupBy("as_of", "ticker").agg((F.sum(F.col("w") * F.pow("residual", 2)) / F.sum("w") * settings.periods).alias("v"), F.count("*").alias("observations"))
     kept = raw.where(F.col("observations") >= settings.minimum_specific).withColumn("v", F.greatest("v", F.lit(settings.specific_floor)))
     middle = F.median("v").over(Window.partitionBy("as_of"))
     s = settings.specific_shrinkage
@@ -123,25 +123,24 @@ def estimate(returns: DataFrame, caps: DataFrame, targets: DataFrame, settings:
     ``max_imputed``. An as-of date before all history is a date without
     regressions. ``targets`` may repeat rows; an empty table gives an empty model.
     """
-    # Kept plans nest: with industries they grow long enough that describing them takes longer than running them.
-    keep = DataFrame.persist if history is None else settled
-    targets = targets.select("as_of", "ticker").distinct()
+    # Kept plans nest and grow long enough that describing them takes longer than running them, so tables are settled.
+    targets = settled(targets.select("as_of", "ticker").distinct())
     as_of = targets.select("as_of").distinct()
-    days = keep(calendar(returns.select("date").intersect(caps.select("date"))).select("date", F.col("ix").cast("int").alias("k")))
+    days = settled(common_calendar(returns, caps).select("date", F.col("ix").cast("int").alias("k")))
     dated = None if history is None else industry_asof(caps.select("date", "ticker").distinct(), history)
     sections = risk.cross_sections(returns, caps, settings, dated)
-    rows = keep(risk.response(risk.exposures(sections, returns, settings), settings))
+    rows = settled(risk.response(risk.exposures(sections, returns, settings), settings))
     market, listed = history is None, None
     if market:
         size_only = settings.styles == ("SIZE",)
-        factor_returns = (risk.factor_returns_closed(rows) if size_only else risk.factor_returns_wls(rows, settings.styles)).persist()
-        window = windows(as_of, days, factor_returns, settings).persist()
+        factor_returns = settled(risk.factor_returns_closed(rows) if size_only else risk.factor_returns_wls(rows, settings.styles))
+        window = settled(windows(as_of, days, factor_returns, settings))
     else:
-        sums = keep(risk.regression_sums(rows, settings.styles, "industry"))
-        factor_returns = keep(risk.factor_returns_normal(sums, settings.styles).drop("n_codes"))
+        sums = settled(risk.regression_sums(rows, settings.styles, "industry"))
+        factor_returns = settled(risk.factor_returns_normal(sums, settings.styles).drop("n_codes"))
         window, listed = complete_windows(windows(as_of, days, sums, settings), sums.select("date", "code"))
         window = window.join(factor_returns.select("date").distinct(), "date", "left_semi")
-        window = keep(window.withColumn("age", F.row_number().over(Window.partitionBy("as_of").orderBy("age")) - 1))
+        window = settled(window.withColumn("age", F.row_number().over(Window.partitionBy("as_of").orderBy("age")) - 1))
     sizes = rows.groupBy("date").agg(F.count("*").alias("n"))
     spans = window.join(sizes, "date").groupBy("as_of").agg(
         F.count("*").alias("periods"), F.min("date").alias("first"), F.max("date").alias("last"), F.min("n").alias("names_min"), F.median("n").alias("names_median"), F.max("n").alias("names_max")
@@ -150,22 +149,24 @@ def estimate(returns: DataFrame, caps: DataFrame, targets: DataFrame, settings:
     _refuse(periods.where(F.col("periods") < settings.minimum_periods).select("as_of", "periods"), f"fewer than {settings.minimum_periods} regressed dates")
 
     last = last_dates(as_of, days).select("as_of", F.col("date").alias("exposure_date"))
-    valued = targets.join(F.broadcast(last), "as_of").join(caps.select(F.col("date").alias("exposure_date"), "ticker", "cap"), ["exposure_date", "ticker"], "left")
+    asked = F.broadcast(last.select("exposure_date").distinct())
+    held = caps.select(F.col("date").alias("exposure_date"), "ticker", "cap").join(asked, "exposure_date", "left_semi")
+    valued = settled(targets.join(F.broadcast(last), "as_of").join(held, ["exposure_date", "ticker"], "left"))
     _refuse(valued.where("cap is null or not cap > 0 or cap = double('Infinity')").select("as_of", "ticker"), "targets without capitalisation")
     if not market:
-        placed = keep(industry_asof(targets.select(F.col("as_of").alias("date"), "ticker"), history).withColumnRenamed("date", "as_of"))
+        placed = settled(industry_asof(targets.select(F.col("as_of").alias("date"), "ticker"), history).withColumnRenamed("date", "as_of"))
         _refuse(targets.join(placed, ["as_of", "ticker"], "left_anti"), "targets without industry")
         unseen = placed.select("as_of", F.concat(F.lit("INDUSTRY:"), "industry").alias("code")).distinct().join(listed, ["as_of", "code"], "left_anti")
         _refuse(unseen, "industries of targets that the window has not seen")
         valued = valued.join(placed, ["as_of", "ticker"])
-    styled = keep(risk.exposures(valued.drop("date").withColumnRenamed("as_of", "date"), returns, settings))
+    styled = settled(risk.exposures(valued.drop("date").withColumnRenamed("as_of", "date"), returns, settings))
     _refuse(targets.join(styled.select(F.col("date").alias("as_of"), "ticker"), ["as_of", "ticker"], "left_anti"), "targets without usable styles")
     x = risk.long_exposures(styled, settings.styles, market, not market).withColumnRenamed("date", "as_of")
 
-    own = specific_variance(risk.residuals(rows, factor_returns, settings.styles, market, not market), window, settings)
+    own = settled(specific_variance(risk.residuals(rows, factor_returns, settings.styles, market, not market), window, settings))
     if not market:
         members = industry_asof(own.select(F.col("as_of").alias("date"), "ticker").union(targets).distinct(), history).withColumnRenamed("date", "as_of")
-    filled = keep(impute(targets, own, members, settings))
+    filled = settled(impute(targets, own, members, settings))
     share = filled.groupBy("as_of").agg(F.avg(F.col("imputed").cast("int")).alias("share")).where(F.col("share") > settings.max_imputed)
     _refuse(share, f"more than {settings.max_imputed:.2%} of specific variances are imputed")
     return AsOfModel(x, factor_covariance(factor_returns, window, settings), filled, periods)
