@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm._spark import checkpoint, text_column
@@ -146,17 +146,6 @@ def _ties(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.withColumn("linked", _similar(F.col("hub_size"), F.col("size"), F.size("delta"), percent))
 
 
-def _weight_class(weight: Column, step: Column) -> Column:
-    """Classes of a weight: linear up to 32 steps, beyond that sixteen to every doubling."""
-    x = weight / step
-    return F.when(x <= 32, F.floor(x)).otherwise(32 + F.floor(16 * F.log2(x / 32))).cast("long")
-
-
-def _least_weight(of_class: Column, step: Column) -> Column:
-    """A lower bound of the weights in a class."""
-    return F.when(of_class <= 32, of_class * step).otherwise(F.floor(32 * F.pow(F.lit(2.0), (of_class - 32) / 16) * step * (1 - 1e-9)) - 1)
-
-
 def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links between members of one hub that join up components which the hub's own links leave apart.
 
@@ -169,10 +158,11 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
 
     * If w(u) + w(v) <= 0 they are similar whatever they share. Both are then
       similar to the hub's member of least weight, and are linked to that.
-    * Otherwise both hold one element among the rarest |du| - shared + 1 and
-      |dv| - shared + 1 of their differences (prefix filter). As the count
-      to share depends on the partner, each set is entered once for each class of
-      partners' weights that holds another component, with as many elements as that class asks for.
+    * Otherwise take the first element, rarest first, that both hold: each has, from
+      it on, as many elements as they must share, or more (prefix filter). The count
+      depends on the partner, so a set is entered once under each element, with
+      how many it has left from there on; a pair is held against that when it
+      meets. Elements too late for the lightest set of another component are left out.
 
     Tables of one row a hub are written before they meet a hub's members, so
     that joins on a large hub can be split or broadcast at run time. Elements of one set only meet nothing and are left out, but take their place
@@ -195,40 +185,32 @@ def _links_by_delta(ties: DataFrame, named: DataFrame, percent: int) -> DataFram
     turned = checkpoint(turned)
     apart = members.join(turned, "a", "left").withColumn("turned", F.coalesce("turned", none))
     apart = apart.withColumn("delta", F.concat(F.array_except("delta", "turned"), F.array_except("turned", "delta")))
-    apart = apart.withColumn("weight", F.size("delta") * total - F.col("size") * gap).withColumn("step", F.greatest(F.lit(2), F.col("hub_size") / 32).cast("long") * total)
-    apart = checkpoint(apart.select("a", "b", "c", "size", "delta", "weight", "step", _weight_class(F.col("weight"), F.col("step")).alias("of")), members, turned)
+    apart = apart.withColumn("weight", F.size("delta").cast("long") * total - F.col("size") * gap)
+    apart = checkpoint(apart.select("a", "b", "c", "size", "delta", "weight"), members, turned)
 
-    by_class = apart.groupBy("a", "of").agg(F.min(F.struct("weight", "b", "c")).alias("least"), F.min("c").alias("low"), F.max("c").alias("high"))
-    least = checkpoint(by_class.groupBy("a").agg(F.min("least").alias("least"), F.collect_list(F.struct("of", "low", "high")).alias("classes")))
+    by_component = apart.groupBy("a", "c").agg(F.min(F.struct("weight", "b", "c")).alias("least"))
+    first = by_component.groupBy("a").agg(F.min("least").alias("least"))
+    others = by_component.join(first.select("a", F.col("least.c").alias("c1")), "a").where("c <> c1").groupBy("a").agg(F.min("least.weight").alias("next"))
+    least = checkpoint(first.join(others, "a"))
     certain = apart.join(least, "a").where("weight + least.weight <= 0 and c <> least.c").select(F.col("least.b").alias("a"), "b")
 
     elements = apart.select("a", "b", F.explode("delta").alias("e"))
     shared = often.select("a", "e", F.when(F.expr("2 * times > n"), F.col("n") - F.col("times")).otherwise(F.col("times")).alias("times")).where("times > 1")
     ordered = elements.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
 
-    def joins_up(other: Column) -> Column:
-        return (other["low"] != other["high"]) | (other["low"] != F.col("c"))
-
-    def asked(other: Column) -> Column:
-        other = other["of"]
-        share = F.greatest(F.lit(1), F.ceil((F.col("weight") + _least_weight(other, F.col("step"))) / (2 * total)))
-        return F.struct(other.alias("class"), (F.size("shared") - share + 1).cast("int").alias("take"))
-
+    lightest = F.when(F.col("c") == F.col("least.c"), F.col("next")).otherwise(F.col("least.weight"))
+    share = F.greatest(F.lit(1), F.ceil((F.col("weight") + lightest) / (2 * total)))
     entered = (
-        apart.join(least.select("a", "classes"), "a")
-        .select("a", "b", "c", "weight", "step", "of", "classes")
-        .join(ordered, ["a", "b"])
-        .select("a", "b", "c", "of", "shared", F.explode(F.filter(F.transform(F.filter("classes", joins_up), asked), lambda x: x["take"] > 0)).alias("x"))
-        .select("a", F.least("of", "x.class").alias("lower"), F.greatest("of", "x.class").alias("upper"), "of", "b", "c", F.explode(F.slice("shared", F.lit(1), F.col("x.take"))).alias("e"))
-        .withColumn("e", F.col("e.e"))
-    )
+        apart.select("a", "b", "c", "weight").join(least, "a").join(ordered, ["a", "b"])
+        .select("a", "b", "c", "weight", F.size("shared").alias("n"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - share + 1).cast("int"))).alias("before", "x"))
+        .select("a", F.col("x.e").alias("e"), "b", "c", "weight", (F.col("n") - F.col("before")).alias("left"))
+    )
     entered = entered_all = checkpoint(entered)
-    by = ["a", "lower", "upper", "e"]
-    live = entered.groupBy(by).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("of").alias("o1"), F.max("of").alias("o2"))
-    entered = entered.join(live.where("c1 <> c2 and (lower = upper or o1 <> o2)").select(by), by)
-    u = entered.where("of = lower").withColumnsRenamed({"b": "u", "c": "cu"}).drop("of")
-    v = entered.where("of = upper").withColumnsRenamed({"b": "v", "c": "cv"}).drop("of")
-    met = u.join(v, by).where("cu <> cv and (lower <> upper or u < v)").select("a", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    by = ["a", "e"]
+    live = entered.groupBy(by).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(by)
+    entered = entered.join(live, by)
+    u, v = (entered.select(*by, F.col("b").alias(x), F.col("c").alias(f"c{x}"), F.col("weight").alias(f"w{x}"), F.col("left").alias(f"left_{x}")) for x in "uv")
+    met = u.join(v, by).where(f"u < v and cu <> cv and wu + wv > 0 and wu + wv <= {2 * total} * least(left_u, left_v)").select("a", "u", "v")
     met = met.groupBy("u", "v").agg(F.min("a").alias("a"))
     own = apart.select("a", "b", "size", "delta")
     sized = met.join(own.toDF("a", "u", "su", "du"), ["a", "u"]).join(own.toDF("a", "v", "sv", "dv"), ["a", "v"])

@@ -105,6 +105,26 @@ def test_links_by_delta_equal_all_pairs(spark):
     assert _roots(links, sets) == _roots(similar, sets)
 
 
+def test_members_are_entered_once_an_element(spark, monkeypatch):
+    """Entries of a large group of near copies grow with its members' differences, not with the weights of their partners."""
+    kept, whole = [], neardup.checkpoint
+
+    def watched(table, *spent):
+        found = whole(table, *spent)
+        if {"b", "e"} <= set(table.columns):
+            kept.append((found.count(), found.select("a", "b", "e").distinct().count()))
+        return found
+
+    monkeypatch.setattr(neardup, "checkpoint", watched)
+    rng = np.random.default_rng(8)
+    base = np.arange(200)
+    sets = [set(base.tolist()) ^ set(rng.choice(base, int(rng.integers(10, 30)), replace=False).tolist()) ^ set(rng.integers(1000, 1100, int(rng.integers(1, 30))).tolist()) for _ in range(150)]
+    ties = spark.createDataFrame([(0, i + 1, 200, len(s), sorted(s ^ set(base.tolist()))) for i, s in enumerate(sets)], "a long, b long, hub_size int, size int, delta array<long>")
+    neardup._links_by_delta(ties, spark.createDataFrame([], "node long, component long"), 80)
+    [(entries, distinct)] = kept
+    assert 0 < entries == distinct <= sum(len(s ^ set(base.tolist())) for s in sets)
+
+
 def _roots(links, nodes):
     name = {i: i for i in nodes}
     for _ in nodes:
