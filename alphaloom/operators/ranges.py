@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.errors import ConfigError
+from alphaloom.sources.publish import settled
 
 LIMITS = "family string, factor string, date string, lower double, upper double, target double, tolerance double, enabled boolean"
 #: Keys of a limit that must be given, from the least specific to the most.
@@ -31,6 +32,7 @@ def resolve_ranges(factors: DataFrame, limits: DataFrame) -> DataFrame:
     """
     enabled, given = F.coalesce("enabled", F.lit(True)), F.coalesce(F.col("lower"), F.col("target") - F.col("tolerance"))
     clean = limits.select("family", "factor", "date", enabled.alias("enabled"), given.alias("lower"), F.coalesce(F.col("upper"), F.col("target") + F.col("tolerance")).alias("upper"))
+    clean, factors = settled(clean), settled(factors.select("family", "date", "factor"))  # each refusal below reads both
     keys = ["family", "factor", "date"]
     _refuse(clean.groupBy(*keys).count().where("count > 1").select(*keys), "two limits of one key")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

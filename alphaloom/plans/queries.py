@@ -364,21 +364,29 @@ def equal_weight_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(signal.equal_weight_baseline(signal.calibrate(_signal(source.market_panel(spark, sf_dir))), TOP_N), "target_weight", digits=8)
 
 
-def targets_of(p: DataFrame) -> DataFrame:
-    """``date, ticker, portfolio, target_weight`` on every third month with a successor: best names in equal parts, a score tilt, the benchmark."""
-    b = source.benchmark_of(p)
+def on_rebalances(p: DataFrame) -> DataFrame:
+    """Rows of the panel on every third month that has weights of the benchmark and a successor.
+
+    Scores, weights and exposures of a date come from its own rows, so the other months are left out before anything is sorted.
+    """
     last = F.broadcast(p.agg(F.max("date").alias("last")))
-    dates = F.broadcast(calendar.rebalance_dates(b, EVERY).crossJoin(last).where("date < last").select("date"))
-    scored = signal.calibrate(_signal(p)).join(b, ["date", "ticker"]).join(dates, "date")
+    dates = calendar.rebalance_dates(p.where("prev_cap is not null"), EVERY).crossJoin(last).where("date < last").select("date")
+    return p.join(F.broadcast(publish.settled(dates)), "date", "left_semi")
+
+
+def targets_of(held: DataFrame) -> DataFrame:
+    """``date, ticker, portfolio, target_weight`` on the dates of ``on_rebalances``: best names in equal parts, a score tilt, the benchmark."""
+    b = source.benchmark_of(held)
+    scored = signal.calibrate(_signal(held)).join(b, ["date", "ticker"])
     equal = signal.equal_weight_baseline(scored, TOP_N).select("date", "ticker", F.lit("equal_weight_signal").alias("portfolio"), "target_weight")
     positive = scored.where("signal_score > 0")
     tilt = positive.select("date", "ticker", F.lit("tilt").alias("portfolio"), (F.col("signal_score") / F.sum("signal_score").over(signal.day())).alias("target_weight"))
-    bench = b.join(dates, "date").select("date", "ticker", F.lit("benchmark").alias("portfolio"), F.col("benchmark_weight").alias("target_weight"))
+    bench = b.select("date", "ticker", F.lit("benchmark").alias("portfolio"), F.col("benchmark_weight").alias("target_weight"))
     return equal.union(tilt).union(bench).persist()
 
 
 def _daily(p: DataFrame) -> DataFrame:
-    return backtest.backtest(targets_of(p), source.dense_returns(p), COST_BPS)
+    return backtest.backtest(targets_of(on_rebalances(p)), source.dense_returns(p), COST_BPS)
 
 
 def backtest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,25 +418,26 @@ def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drifted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = source.market_panel(spark, sf_dir)
-    held = backtest.holdings(targets_of(p).where("portfolio = 'equal_weight_signal'"), source.dense_returns(p))
+    held = backtest.holdings(targets_of(on_rebalances(p)).where("portfolio = 'equal_weight_signal'"), source.dense_returns(p))
     return _round(backtest.drifted_weights(held).select("date", "ticker", "weight"), "weight")
 
 
-def _weights(p: DataFrame) -> DataFrame:
-    t = targets_of(p).where("portfolio <> 'benchmark'")
-    held = t.select("date", "portfolio").distinct().join(source.benchmark_of(p), "date")
-    candidates = _candidates(p).select("date", "ticker", F.lit(True).alias("c"))
-    joined = held.join(t, ["date", "portfolio", "ticker"], "left").join(p.select("date", "ticker", "tradable"), ["date", "ticker"]).join(candidates, ["date", "ticker"], "left")
+def _weights(held: DataFrame) -> DataFrame:
+    t = targets_of(held).where("portfolio <> 'benchmark'")
+    books = F.broadcast(t.select("date", "portfolio").distinct())  # one row a date and portfolio
+    candidates = F.broadcast(_candidates(held).select("date", "ticker", F.lit(True).alias("c")))  # at most TOP_N rows a date
+    names = source.benchmark_of(held).join(held.select("date", "ticker", "tradable"), ["date", "ticker"]).join(candidates, ["date", "ticker"], "left")
+    joined = names.join(books, "date").join(t, ["date", "portfolio", "ticker"], "left")
     return joined.select("date", "portfolio", "ticker", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), "benchmark_weight", "tradable", F.coalesce("c", F.lit(False)).alias("is_candidate"))
 
 
 def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = constraints.weight_checks(_weights(source.market_panel(spark, sf_dir)), 0.15, 0.12)
+    out = constraints.weight_checks(_weights(on_rebalances(source.market_panel(spark, sf_dir))), 0.15, 0.12)
     return _round(out, *[c for c, t in out.dtypes if t == "double"])
 
 
 def industry_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = source.market_panel(spark, sf_dir)
+    p = on_rebalances(source.market_panel(spark, sf_dir))
     members = p.select("date", "ticker", F.concat(F.lit("INDUSTRY:"), "industry").alias("factor"), F.lit(1.0).alias("exposure"))
     out = constraints.range_checks(constraints.exposure_sums(_weights(p), members), -0.2, 0.2)
     return _round(out, "portfolio_exposure", "benchmark_exposure", "active_exposure", "lower_slack", "upper_slack").drop("binding")
@@ -443,10 +452,11 @@ RANGES = (
 
 def _ranged(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Active exposures to industries and SIZE on the dates of the book, and the ranges resolved for them."""
+    p = on_rebalances(p)
     book = _weights(p)
     sized = p.select("date", "ticker", F.lit("SIZE").alias("factor"), ((F.log("cap") - F.avg(F.log("cap")).over(signal.day())) / F.stddev_pop(F.log("cap")).over(signal.day())).alias("exposure"))
     members = p.select("date", "ticker", F.concat(F.lit("INDUSTRY:"), "industry").alias("factor"), F.lit(1.0).alias("exposure"))
-    sums = constraints.exposure_sums(book, members.union(sized))
+    sums = publish.settled(constraints.exposure_sums(book, members.union(sized)))  # a row a date, portfolio and factor; read by every refusal
     family = F.when(F.col("factor") == "SIZE", "STYLE").otherwise("INDUSTRY")
     limits = p.sparkSession.createDataFrame(list(RANGES), ranges.LIMITS)
     return sums, ranges.resolve_ranges(sums.select("date", "factor", family.alias("family")).distinct(), limits)
@@ -559,7 +569,7 @@ def rolling_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every limit of the baselines, line by line, as if the benchmark were held before."""
     limits = optimize.Limits(max_weight=0.15, max_active=0.12, tracking_error=1.0, turnover=0.8, candidate_floor=0.5)
-    book = _weights(source.market_panel(spark, sf_dir)).withColumn("current_weight", F.col("benchmark_weight"))
+    book = _weights(on_rebalances(source.market_panel(spark, sf_dir))).withColumn("current_weight", F.col("benchmark_weight"))
     return _round(rolling.constraint_report(book, limits), "value", "bound", "excess")
 
 

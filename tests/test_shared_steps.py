@@ -2,8 +2,9 @@
 
 import pytest
 
-from alphaloom.operators import risk
+from alphaloom.operators import ranges, risk
 from alphaloom.operators.calendar import common_calendar
+from alphaloom.plans import queries
 from alphaloom.sources.publish import settled
 
 ROWS = [("d1", "a", 0.5, "X", 1.0), ("d1", "b", 1.0, "Y", 2.0), ("d1", "c", None, "Z", 3.0), ("d2", "a", 2.0, "X", 4.0)]
@@ -46,3 +47,21 @@ def test_settled_tables_are_read_by_column(spark):
     kept = settled(spark.range(10).selectExpr("id", "id * 2 as twice"))
     assert sorted(r.twice for r in kept.select("twice").collect()) == list(range(0, 20, 2))
     assert "ReadSchema: struct<twice:bigint>" in _plan(kept.select("twice"))
+
+
+def test_ranges_are_resolved_from_one_pass_over_the_factors(spark):
+    rows = [(d, f, "STYLE") for d in ("d1", "d2") for f in ("A", "B", "C")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    factors = spark.createDataFrame(rows, "date string, factor string, family string").mapInArrow(counted, "date string, factor string, family string")
+    found = ranges.resolve_ranges(factors, spark.createDataFrame([("STYLE", None, None, -1.0, 1.0, None, None, True)], ranges.LIMITS))
+    assert found.count() == 6 and seen.value == 6
+
+
+def test_range_lines_do_not_work_the_book_out_again(spark, small):
+    assert "lineitem" not in _plan(queries.range_report(spark, small))
