@@ -13,36 +13,32 @@ from alphaloom.errors import InputError
 from alphaloom.functions.expressions import finite
 from alphaloom.operators.calendar import calendar
 from alphaloom.operators.guards import require_finite, require_keys, require_unique
+from alphaloom.sources.publish import settled
 
 
-def schedule(targets: DataFrame, days: DataFrame) -> DataFrame:
-    """``portfolio, ticker, target_weight, start, stop``: a target counts from the next date on, until the portfolio's next one does."""
-    effective = targets.join(F.broadcast(days.select("date", "next_date")), "date").select("portfolio", "ticker", "target_weight", F.col("next_date").alias("start"))
-    starts = effective.select("portfolio", "start").distinct()
-    ends = starts.withColumn("stop", F.lead("start").over(Window.partitionBy("portfolio").orderBy("start")))
-    return effective.join(F.broadcast(ends), ["portfolio", "start"])
+def target_spans(targets: DataFrame, days: DataFrame) -> DataFrame:
+    """``portfolio, date, start, stop, _from, _to`` of each date on which a portfolio has targets: they count from the next date (``start``) to before ``stop``.
 
-
-def _each_day(spans: DataFrame, days: DataFrame) -> DataFrame:
-    """``spans`` once for each ``date`` from ``start`` to before ``stop`` (or the calendar's end), by an equality join on a date's ordinal."""
-    order = F.broadcast(days.select("date", "ix"))
+    ``stop`` is where the portfolio's next targets start counting, null for its last; ``_from`` and ``_to`` are the
+    ordinals of the first and the last day. One row a portfolio and target date, settled, as all steps read it.
+    """
     ends = days.agg(F.max("ix").alias("_end"))
-    numbered = (
-        spans.join(F.broadcast(days.select(F.col("date").alias("start"), F.col("ix").alias("_from"))), "start")
-        .join(F.broadcast(days.select(F.col("date").alias("stop"), (F.col("ix") - 1).alias("_to"))), "stop", "left")
-        .crossJoin(F.broadcast(ends))
-    )
-    return numbered.withColumn("ix", F.explode(F.sequence("_from", F.coalesce("_to", "_end")))).join(order, "ix").drop("ix", "_from", "_to", "_end")
+    starts = targets.select("portfolio", "date").distinct().join(F.broadcast(days.select("date", F.col("next_date").alias("start"), (F.col("ix") + 1).alias("_from"))), "date").where("start is not null")
+    order = Window.partitionBy("portfolio").orderBy("start")
+    return settled(starts.crossJoin(F.broadcast(ends)).select("portfolio", "date", "start", F.lead("start").over(order).alias("stop"), "_from", F.coalesce(F.lead("_from").over(order) - 1, "_end").alias("_to")))
 
 
-def holdings(targets: DataFrame, returns: DataFrame) -> DataFrame:
+def holdings(targets: DataFrame, returns: DataFrame, days: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
     """``portfolio, start, date, ticker, weight, return, value``: weight before and value after each day's return, per unit at ``start``.
 
-    A held name without a return on a date stops the job.
+    A held name without a return on a date stops the job. ``days`` and ``spans``
+    are the returns' calendar and ``target_spans``, if they are there already.
     """
-    days = calendar(returns)
-    spans = schedule(targets, days).where("target_weight <> 0")
-    dated = _each_day(spans, days)
+    days = settled(calendar(returns)) if days is None else days
+    spans = target_spans(targets, days) if spans is None else spans
+    each = spans.select("portfolio", "date", "start", F.explode(F.sequence("_from", "_to")).alias("ix")).join(F.broadcast(days.select("ix", F.col("date").alias("day"))), "ix").drop("ix")
+    # one row a portfolio and day, so its table is broadcast; the held names are shuffled once for their returns and once for their running product
+    dated = targets.where("target_weight <> 0").select("portfolio", "date", "ticker", "target_weight").join(F.broadcast(each), ["portfolio", "date"]).drop("date").withColumnRenamed("day", "date")
     held = dated.join(returns, ["date", "ticker"], "left")
     run = Window.partitionBy("portfolio", "start", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     checked = F.coalesce("return", F.when(F.lit(True), F.raise_error(F.concat(F.lit("no return for "), "ticker", F.lit(" on "), "date"))))
@@ -57,19 +53,22 @@ def drifted_weights(held: DataFrame) -> DataFrame:
     return held.select("portfolio", "start", "date", "ticker", (F.col("value") / total).alias("weight"))
 
 
-def turnover(targets: DataFrame, held: DataFrame, days: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+def turnover(targets: DataFrame, held: DataFrame, spans: DataFrame, totals: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """``portfolio, date, turnover``: half the absolute change from drifted to target weights on each effective date.
 
     The first target of a portfolio is compared with ``initial`` (``portfolio,
-    ticker, weight``), or costs nothing without it.
+    ticker, weight``), or costs nothing without it. ``spans`` are ``target_spans``,
+    ``totals`` (``portfolio, date, value``) what each portfolio is worth a day: only the days before effective dates are read of ``held``.
     """
-    new = schedule(targets, days).select("portfolio", F.col("start").alias("date"), "ticker", "target_weight")
-    steps = new.select("portfolio", "date").distinct().join(F.broadcast(days.select("date", "prev_date")), "date")
-    old = drifted_weights(held).select("portfolio", F.col("date").alias("prev_date"), "ticker", "weight").join(steps, ["portfolio", "prev_date"]).select("portfolio", "date", "ticker", "weight")
-    first = steps.groupBy("portfolio").agg(F.min("date").alias("date"))
+    steps = spans.select("portfolio", F.col("date").alias("prev_date"), F.col("start").alias("date"))
+    new = targets.select("portfolio", F.col("date").alias("prev_date"), "ticker", "target_weight").join(F.broadcast(steps), ["portfolio", "prev_date"]).drop("prev_date")
+    drifted = steps.join(totals.select("portfolio", F.col("date").alias("prev_date"), F.col("value").alias("_total")), ["portfolio", "prev_date"])
+    old = held.select("portfolio", F.col("date").alias("prev_date"), "ticker", "value").join(F.broadcast(drifted), ["portfolio", "prev_date"]).select("portfolio", "date", "ticker", (F.col("value") / F.col("_total")).alias("weight"))
+    known = drifted.select("portfolio", "date")
     if initial is not None:
-        old = old.unionByName(initial.join(first, "portfolio").select("portfolio", "date", "ticker", "weight"))
-    known = old.select("portfolio", "date").distinct()
+        first = F.broadcast(steps.groupBy("portfolio").agg(F.min("date").alias("date")))
+        begun = initial.join(first, "portfolio").select("portfolio", "date", "ticker", "weight")
+        old, known = old.unionByName(begun), known.union(begun.select("portfolio", "date")).distinct()
     change = new.join(old, ["portfolio", "date", "ticker"], "full_outer").groupBy("portfolio", "date").agg((F.sum(F.abs(F.coalesce("target_weight", F.lit(0.0)) - F.coalesce("weight", F.lit(0.0)))) / 2).alias("turnover"))
     return change.join(known.withColumn("known", F.lit(True)), ["portfolio", "date"], "left").select("portfolio", "date", F.when(F.col("known"), F.col("turnover")).otherwise(0.0).alias("turnover"))
 
@@ -78,15 +77,19 @@ def backtest(targets: DataFrame, returns: DataFrame, cost_bps: float, initial: D
     """``date, portfolio, gross_return, transaction_cost, net_return, turnover, nav, drawdown`` for each day from the first effective date on.
 
     Cost falls on effective dates and does not reduce the drifted weights;
-    drawdown is measured from a peak that starts at 1.
+    drawdown is measured from a peak that starts at 1. The calendar, the target
+    dates, each day's sums and the turnover (a row a portfolio and day at most) are
+    settled, so the names are held once and what follows reads no names.
     """
-    days = calendar(returns)
-    held = holdings(targets, returns).persist()
+    days = settled(calendar(returns))
+    spans = target_spans(targets, days)
+    held = holdings(targets, returns, days, spans).persist()
     total = F.sum("value")
     lost = F.raise_error(F.concat(F.lit("nothing is left of "), "portfolio", F.lit(" on "), "date")).cast("double")
-    gross = held.groupBy("portfolio", "start", "date").agg(F.when(total > 0, total / F.sum("weight") - 1).otherwise(F.when(F.lit(True), lost)).alias("gross_return"))
-    moved = turnover(targets, held, days, initial)
-    daily = gross.join(moved, ["portfolio", "date"], "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0))).withColumn("transaction_cost", F.col("turnover") * (cost_bps / 10000))
+    gross = settled(held.groupBy("portfolio", "start", "date").agg(total.alias("value"), F.when(total > 0, total / F.sum("weight") - 1).otherwise(F.when(F.lit(True), lost)).alias("gross_return")))
+    moved = settled(turnover(targets, held, spans, gross, initial))
+    held.unpersist()
+    daily = gross.drop("value").join(F.broadcast(moved), ["portfolio", "date"], "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0))).withColumn("transaction_cost", F.col("turnover") * (cost_bps / 10000))
     run = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     valued = daily.withColumn("net_return", F.col("gross_return") - F.col("transaction_cost")).withColumn("nav", F.product(1 + F.col("net_return")).over(run))
     peak = F.greatest(F.lit(1.0), F.max("nav").over(run))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from alphaloom.operators import ranges, risk
+from alphaloom.operators import backtest, ranges, risk
 from alphaloom.operators.calendar import common_calendar
 from alphaloom.plans import queries
 from alphaloom.sources.publish import settled
@@ -65,3 +65,22 @@ def test_ranges_are_resolved_from_one_pass_over_the_factors(spark):
 
 def test_range_lines_do_not_work_the_book_out_again(spark, small):
     assert "lineitem" not in _plan(queries.range_report(spark, small))
+
+
+def test_names_are_held_once_and_what_follows_reads_none(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    days = [f"2023010{d}" for d in range(2, 8)]
+    returns = spark.createDataFrame([(d, t, 0.01 * i) for d in days for i, t in enumerate("AB")], "date string, ticker string, return double")
+    rows = [("20230102", "A", "p", 1.0), ("20230104", "B", "p", 1.0), ("20230104", "A", "p", 0.0), ("20230103", "B", "q", 1.0)]
+    targets = spark.createDataFrame(rows, "date string, ticker string, portfolio string, target_weight double")
+    daily = backtest.backtest(targets, returns.mapInArrow(counted, returns.schema), 100.0)
+    got = {(r.portfolio, r.date): (r.gross_return, r.turnover) for r in daily.collect()}
+    assert set(got) == {("p", d) for d in days[1:]} | {("q", d) for d in days[2:]}
+    assert got["p", "20230104"] == (pytest.approx(0.0), 0.0) and got["p", "20230105"] == (pytest.approx(0.01), 1.0) and got["q", "20230104"] == (pytest.approx(0.01), 0.0)
+    assert seen.value <= 2 * len(days) * 2  # the calendar and the holdings
