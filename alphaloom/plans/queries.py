@@ -492,10 +492,9 @@ VARIANTS = (
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six variants of calibration, baseline and cost, held every third month."""
     p = source.market_panel(spark, sf_dir)
-    b = source.benchmark_of(p)
-    last = F.broadcast(p.agg(F.max("date").alias("last")))
-    dates = F.broadcast(calendar.rebalance_dates(b, EVERY).crossJoin(last).where("date < last").select("date"))
-    out = sweep.sweep(_signal(p), b.join(dates, "date"), b, source.dense_returns(p), sweep.resolve_variants(list(VARIANTS)), 12)
+    held = on_rebalances(p)
+    b = source.benchmark_of(held)
+    out = sweep.sweep(_signal(held), b, b, source.dense_returns(p), sweep.resolve_variants(list(VARIANTS)), 12)
     kept = out.select("variant", "status", "error", "reused_from", "observations", "ending_nav", "annualized_return", "total_turnover", "total_cost", "active_ending_nav", "maximum_drawdown")
     return _round(kept, "ending_nav", "annualized_return", "total_turnover", "total_cost", "active_ending_nav", "maximum_drawdown", digits=5)
 

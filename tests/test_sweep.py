@@ -52,3 +52,17 @@ def test_flat_signals_fail_their_variant_only(spark):
     flat = signals.selectExpr("date", "ticker", "case when date = '20230104' then 1.0 else prediction end as prediction")
     got = sweep.sweep(flat, eligible, bench, returns, sweep.resolve_variants([("two", {"baseline.top_n": 2})])).first()
     assert (got.status, got.error, got.observations) == ("failed", "no cross-sectional variation on 1 dates", None)
+
+
+def test_variants_share_the_scores_of_equal_predictions(spark):
+    values = [0.5, 0.5, -1.0, 3.0, 3.0, 3.0, 40.0, None, 0.25, -0.75]
+    rows = [(d, f"T{i}", v) for d in ("20230102", "20230103") for i, v in enumerate(values[: 10 if d == "20230102" else 7])]
+    signals = spark.createDataFrame(rows, "date string, ticker string, prediction double")
+    made = {"base": {}, "small": {"baseline.top_n": 2}, "dear": {"backtest.cost_bps": 50.0}, "skewed": {"signal.transform": "power", "signal.power": 2.0}, "bell": {"signal.transform": "normal_score", "signal.higher_is_better": False}}
+    variants = sweep.resolve_variants(list(made.items()))
+    got = {(r.key, r.date, r.prediction): r.score for r in sweep.calibrated(signals, variants).collect()}
+    assert len(got) == 3 * (7 + 4)  # three signal settings, distinct predictions of two dates
+    for v in variants:
+        s = v.config["signal"]
+        for r in signal.calibrate(signals, s["transform"], s["power"], s["winsorize_mad"], higher_is_better=s["higher_is_better"]).collect():
+            assert got[sweep._signal_key(v), r.date, r.raw_prediction] == pytest.approx(r.signal_score, rel=1e-9)
