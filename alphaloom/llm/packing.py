@@ -145,8 +145,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, eos_id: int, max_len: int =
         numbers = [0] * (max_len + 1)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text")), strict=True):
+                ids += end
                 n = len(ids) // 4
                 start, piece = 0, 0
                 stop = n % max_len or max_len

@@ -9,6 +9,7 @@ list, and what they merge to is remembered in bounded memory.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
@@ -17,7 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,19 @@ from alphaloom.llm._spark import text_column
 
 #: Fixed value: the byte-level pre-token pattern of this vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
+#: Bytes of text whose pre-tokens are looked up together.
+CHUNK_BYTES = 8 << 20
 MAX_TOKENS = 1024
 _IRREGULAR = None
 #: Marks that are a pre-token of their own after a run of letters.
 _POINTS = frozenset(".,;:!?)")
+#: Kinds of a text's bytes. Bytes of characters beyond ASCII count as letters until the pre-token is read.
+_SPACE, _WHITE, _LETTER, _DIGIT, _MARK, _ODD = range(6)
+_KINDS = np.full(256, _ODD, np.uint8)
+_KINDS[33:127], _KINDS[128:] = _MARK, _LETTER
+for _kind, _members in ((_SPACE, b" "), (_WHITE, b"\t\n\v\f\r"), (_DIGIT, b"0123456789"), (_LETTER, bytes([*range(65, 91), *range(97, 123)]))):
+    _KINDS[list(_members)] = _kind
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,13 +71,13 @@ class Merger:
         if missing := set(alphabet) - set(ids):
             raise ValueError(f"the vocabulary lacks {len(missing)} bytes")
         self.model = BPE(vocab=ids, merges=merges)
-        self.letters = {b: c for c, b in alphabet.items()}
+        self.letters = "".join(sorted(alphabet, key=alphabet.__getitem__))
 
     def ids(self, piece: str) -> list[int]:
         if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
             spelt = piece.replace(" ", self.letters[32])
         else:
-            spelt = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            spelt = codecs.charmap_decode(piece.encode("utf-8"), "strict", self.letters)[0]
         return [t.id for t in self.model.tokenize(spelt)]
 
 
@@ -103,6 +114,37 @@ def prove_whole_tokens(ids: dict[str, int], merges: list[tuple[str, str]]) -> di
     return proven
 
 
+def split_pre_tokens(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of texts begin that stand one after another in ``data`` (UTF-8), from ``starts`` on.
+
+    This is ``PRE_TOKEN`` by the kinds of neighbouring bytes. It holds for texts
+    without control characters whose characters beyond ASCII are letters.
+    """
+    n = len(data)
+    kinds = _KINDS[data]
+    white = kinds <= _WHITE
+    first = np.zeros(n + 2, bool)
+    first[starts] = first[n:] = True
+    begins = first[:n].copy()
+    before_other = ~white[1:] & ~first[1:n]  # the last of a run of white space, which goes with what follows or stands alone
+    edges = np.where(white[1:], ~white[:-1] | np.append(before_other[1:], False), (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE))
+    begins[1:] |= edges
+    at = np.flatnonzero(begins & (data == ord("'")))
+    padded = np.append(data, np.zeros(2, np.uint8))
+    one, two = padded[at + 1], padded[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & ~first[at + 1]
+    long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~first[at + 1] & ~first[at + 2]
+    begins[at[short | long] + 1] = False
+    ends = np.concatenate([at[short] + 2, at[long] + 3])
+    begins[ends[ends < n]] = True
+    return np.flatnonzero(begins)
+
+
+def told_by_kinds(word: str) -> bool:
+    """Whether a text that has this between two begins of ``split_pre_tokens`` is split there as ``PRE_TOKEN`` has it."""
+    return _KINDS[ord(word[-1])] != _ODD if word.isascii() else word.removeprefix(" ").isalpha()
+
+
 class Encoder(dict):
     """Ids of whole texts, as little-endian unsigned 32-bit integers in a byte string.
 
@@ -110,6 +152,11 @@ class Encoder(dict):
     surrounds them, so this dict remembers the ids of each such stretch (with its
     leading space). A stretch that starts or ends in white space could join a
     longer run; a text that holds one is split by the full pattern instead.
+
+    ``encode_all`` splits many texts at once and looks each distinct pre-token up
+    once; only texts with special strings, control characters or characters
+    beyond ASCII that are no letters go through ``encode``. Of the pre-tokens it
+    remembers, those that were not asked for lately are forgotten.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -118,14 +165,17 @@ class Encoder(dict):
         self.merger = Merger(vocabulary.ids, vocabulary.merges)
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.whole = {word.encode(): i.to_bytes(4, "little") for word, i in vocabulary.whole.items() if told_by_kinds(word)}
+        self.recent, self.older = dict(self.whole), {}
 
-    def _pre_token(self, word: str) -> bytes:
-        i = self.vocabulary.whole.get(word)
-        if i is not None:
-            return i.to_bytes(4, "little")
+    def _merged(self, word: str) -> bytes:
         ids = self.merger.ids(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _pre_token(self, word: str) -> bytes:
+        i = self.vocabulary.whole.get(word)
+        return self._merged(word) if i is None else i.to_bytes(4, "little")
+
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self._pre_token, self.pattern.findall(text)))
 
@@ -159,6 +209,47 @@ class Encoder(dict):
             return b"".join(self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self._ordinary(p) for i, p in enumerate(pieces) if p)
         return self._ordinary(text)
 
+    def _new(self, key: bytes) -> bytes:
+        """Ids of a pre-token that is not among the recent ones; none if its bytes' kinds do not tell how its text is split."""
+        found = self.older.get(key)
+        if found is None:
+            word = key.decode()
+            found = self._merged(word) if told_by_kinds(word) else b""
+        if len(self.recent) >= MEMO_ENTRIES:
+            self.recent, self.older = dict(self.whole), self.recent
+        if len(key) <= 100:
+            self.recent[key] = found
+        return found
+
+    def _encode_chunk(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[0] == offsets[-1]:
+            return [b""] * len(texts)
+        data, bounds = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        begins = split_pre_tokens(data, bounds[:-1])
+        split = [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(begins), split).dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        known = map(self.recent.get, keys)
+        ids = pa.array([self._new(k) if found is None else found for k, found in zip(keys, known, strict=True)], pa.large_binary()).take(words.indices)
+        ends, packed = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
+        places = np.searchsorted(begins, bounds)
+        single = np.zeros(len(texts), bool)
+        single[np.searchsorted(places, np.flatnonzero(ends[1:] == ends[:-1]), "right") - 1] = True
+        for special in self.vocabulary.special:
+            single |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        cuts = ends[places].tolist()
+        return [self.encode(texts[i].as_py()) if alone else bytes(packed[cuts[i] : cuts[i + 1]]) for i, alone in enumerate(single.tolist())]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of every text of an array without nulls, in order."""
+        chunk = pc.binary_length(texts).to_numpy().astype(np.int64).cumsum() // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            yield from self._encode_chunk(texts.slice(start, stop - start))
+
 
 _ENCODER: list[Encoder] = []
 
@@ -184,7 +275,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary.value)
         for batch in batches:
-            n = pa.array([len(encoder.encode(t.as_py())) // 4 for t in batch.column("text")], pa.int64())
+            n = pa.array([len(ids) // 4 for ids in encoder.encode_all(batch.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     sized = text_column(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))

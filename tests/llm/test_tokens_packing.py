@@ -2,11 +2,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from alphaloom.llm import packing
+from alphaloom.llm import packing, tokens
 from alphaloom.llm.queries import BYTE_BPE, op2_best_fit_packing, op4_token_counts
 from alphaloom.llm.tokens import Encoder, byte_alphabet, load_vocabulary, prove_whole_tokens, token_counts
 from tests.llm.common import awkward, empty, texts_of
@@ -30,6 +31,34 @@ def test_encoder_equals_library(library):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_texts_encoded_together_equal_library(library, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 60_000)
+    encoder = Encoder(load_vocabulary(BYTE_BPE))
+    rng = np.random.default_rng(2)
+    atoms = [*TRICKY, "'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "''", "s", "re", "word", "Straße", "\n", "\r\n", "\t", "23", "٣", ".,", "_", "\x7f", "\x85", "\u00a0", "”"]
+    texts = ["".join(atoms[i] for i in rng.integers(0, len(atoms), rng.integers(0, 8))) for _ in range(3000)]
+    found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(pa.array(["left out", *texts], kind).slice(1))]
+    assert found == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.recent) <= 60_000 and len(encoder.older) <= 60_000
+    assert list(encoder.encode_all(pa.array([], kind))) == [] and list(encoder.encode_all(pa.array(["", ""], kind))) == [b"", b""]
+
+
+def test_a_word_is_merged_once_whatever_stands_beside_it(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 60_000)
+    encoder = Encoder(load_vocabulary(BYTE_BPE))
+    merged, ids = [], encoder.merger.ids
+    encoder.merger.ids = lambda piece: merged.append(piece) or ids(piece)
+    texts = ["ok " + word + mark for word in ("zzyxqwv", "qqkxzéw") for mark in ("", ",", ".\nThe", "***", ";\nof", "\n")]
+    assert list(encoder.encode_all(pa.array(texts))) and sorted(merged) == [" qqkxzéw", " zzyxqwv"]
+    list(encoder.encode_all(pa.array([" ".join(f"zz{i}" for i in range(5)) + " " + " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}zx" for i in range(15_000))])))
+    assert encoder.older and len(encoder.recent) <= 60_000
+    merged.clear()
+    list(encoder.encode_all(pa.array(texts)))  # what the older half holds is not merged again
+    assert not merged
+
+
 def test_only_what_the_merges_reach_is_proven():
     ids = {c: i for i, c in enumerate(byte_alphabet())}
     for entry in ("ab", "cd", "abcd", "bc", "xyz", "yz", "xy"):
