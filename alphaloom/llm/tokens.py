@@ -13,6 +13,7 @@ import codecs
 import hashlib
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,8 @@ _KINDS = np.full(256, _ODD, np.uint8)
 _KINDS[33:127], _KINDS[128:] = _MARK, _LETTER
 for _kind, _members in ((_SPACE, b" "), (_WHITE, b"\t\n\v\f\r"), (_DIGIT, b"0123456789"), (_LETTER, bytes([*range(65, 91), *range(97, 123)]))):
     _KINDS[list(_members)] = _kind
+#: Marks only: those of ASCII, and dashes, quotes, dots and bullets from U+2010 to U+2027 (bytes E2 80 90 to E2 80 A7).
+_MARKS = re.compile(r"[!-/:-@\[-`{-~\u2010-\u2027]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -118,10 +121,14 @@ def split_pre_tokens(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where the pre-tokens of texts begin that stand one after another in ``data`` (UTF-8), from ``starts`` on.
 
     This is ``PRE_TOKEN`` by the kinds of neighbouring bytes. It holds for texts
-    without control characters whose characters beyond ASCII are letters.
+    without control characters whose characters beyond ASCII are letters or
+    among ``_MARKS``.
     """
     n = len(data)
     kinds = _KINDS[data]
+    marks = np.flatnonzero(data == 0xE2)
+    marks = marks[(data[marks + 1] == 0x80) & (data[marks + 2] >= 0x90) & (data[marks + 2] <= 0xA7)]
+    kinds[marks[:, None] + np.arange(3)] = _MARK
     white = kinds <= _WHITE
     first = np.zeros(n + 2, bool)
     first[starts] = first[n:] = True
@@ -142,7 +149,10 @@ def split_pre_tokens(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def told_by_kinds(word: str) -> bool:
     """Whether a text that has this between two begins of ``split_pre_tokens`` is split there as ``PRE_TOKEN`` has it."""
-    return _KINDS[ord(word[-1])] != _ODD if word.isascii() else word.removeprefix(" ").isalpha()
+    if word.isascii():
+        return _KINDS[ord(word[-1])] != _ODD
+    word = word.removeprefix(" ")
+    return word.isalpha() or _MARKS.fullmatch(word) is not None
 
 
 class Encoder(dict):
@@ -155,8 +165,8 @@ class Encoder(dict):
 
     ``encode_all`` splits many texts at once and looks each distinct pre-token up
     once; only texts with special strings, control characters or characters
-    beyond ASCII that are no letters go through ``encode``. Of the pre-tokens it
-    remembers, those that were not asked for lately are forgotten.
+    beyond ASCII that are neither letters nor common marks go through ``encode``.
+    Of the pre-tokens it remembers, those not asked for lately are forgotten.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -210,11 +220,10 @@ class Encoder(dict):
         return self._ordinary(text)
 
     def _new(self, key: bytes) -> bytes:
-        """Ids of a pre-token that is not among the recent ones; none if its bytes' kinds do not tell how its text is split."""
+        """Ids of a pre-token that is not among the recent ones."""
         found = self.older.get(key)
         if found is None:
-            word = key.decode()
-            found = self._merged(word) if told_by_kinds(word) else b""
+            found = self._merged(key.decode())
         if len(self.recent) >= MEMO_ENTRIES:
             self.recent, self.older = dict(self.whole), self.recent
         if len(key) <= 100:
@@ -232,14 +241,18 @@ class Encoder(dict):
         split = [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]
         words = pa.Array.from_buffers(pa.large_binary(), len(begins), split).dictionary_encode()
         keys = words.dictionary.to_pylist()
-        known = map(self.recent.get, keys)
-        ids = pa.array([self._new(k) if found is None else found for k, found in zip(keys, known, strict=True)], pa.large_binary()).take(words.indices)
-        ends, packed = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
-        places = np.searchsorted(begins, bounds)
+        known = list(map(self.recent.get, keys))
+        lost = np.array([found is None and not told_by_kinds(k.decode()) for k, found in zip(keys, known, strict=True)])
+        at, places = words.indices.to_numpy(), np.searchsorted(begins, bounds)
         single = np.zeros(len(texts), bool)
-        single[np.searchsorted(places, np.flatnonzero(ends[1:] == ends[:-1]), "right") - 1] = True
+        single[np.searchsorted(places, np.flatnonzero(lost[at]), "right") - 1] = True
         for special in self.vocabulary.special:
             single |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        asked = np.zeros(len(keys), bool)
+        asked[at[np.repeat(~single, np.diff(places))]] = True
+        found = [b"" if not wanted else self._new(k) if ids is None else ids for k, ids, wanted in zip(keys, known, asked.tolist(), strict=True)]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        ends, packed = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
         cuts = ends[places].tolist()
         return [self.encode(texts[i].as_py()) if alone else bytes(packed[cuts[i] : cuts[i + 1]]) for i, alone in enumerate(single.tolist())]
 

@@ -37,7 +37,7 @@ def test_texts_encoded_together_equal_library(library, kind, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_ENTRIES", 60_000)
     encoder = Encoder(load_vocabulary(BYTE_BPE))
     rng = np.random.default_rng(2)
-    atoms = [*TRICKY, "'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "''", "s", "re", "word", "Straße", "\n", "\r\n", "\t", "23", "٣", ".,", "_", "\x7f", "\x85", "\u00a0", "”"]
+    atoms = [*TRICKY, "'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "''", "s", "re", "word", "Straße", "\n", "\r\n", "\t", "23", "٣", ".,", "_", "\x7f", "\x85", "\u00a0", "”", "’", "‐", "‧", "…", "\u2028", "\u200b", "ℓ", "⅓"]
     texts = ["".join(atoms[i] for i in rng.integers(0, len(atoms), rng.integers(0, 8))) for _ in range(3000)]
     found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(pa.array(["left out", *texts], kind).slice(1))]
     assert found == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
@@ -59,6 +59,18 @@ def test_a_word_is_merged_once_whatever_stands_beside_it(monkeypatch):
     assert not merged
 
 
+def test_only_texts_that_bytes_do_not_tell_are_encoded_one_by_one(library, monkeypatch):
+    encoder = Encoder(load_vocabulary(BYTE_BPE))
+    alone, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda text: alone.append(text) or encode(text))
+    merged, ids = [], encoder.merger.ids
+    monkeypatch.setattr(encoder.merger, "ids", lambda piece: merged.append(piece) or ids(piece))
+    texts = ["“Don’t” – it's …", "a\u00a0b", "x\x01y", "Straße, 日本。", "<|endoftext|>", "it’s\r\n\r\n•  1", "zzyxqwv ½ zzyxqwv"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(pa.array(texts))]
+    assert found == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert alone == [texts[i] for i in (1, 2, 3, 4, 6)] and merged.count(" zzyxqwv") == 1
+
+
 def test_only_what_the_merges_reach_is_proven():
     ids = {c: i for i, c in enumerate(byte_alphabet())}
     for entry in ("ab", "cd", "abcd", "bc", "xyz", "yz", "xy"):
