@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from alphaloom.errors import ConfigError, RiskError
 from alphaloom.operators import covariance, ranges, risk
@@ -133,3 +134,25 @@ def test_small_blocks_of_many_names_make_few_copies(spark):
     assert got.shape == (300, 300) and np.allclose(got.to_numpy(), want)
     half = covariance.asset_blocks(exposure, factor_cov, specific, 1).toPandas()
     assert len({frozenset(p) for p in zip(half["row_ticker"], half["col_ticker"], strict=True)}) == len(half) == 300 * 301 // 2 and np.isclose(half["covariance"].sum(), np.triu(want).sum())
+
+
+def test_a_written_matrix_is_small(spark, tmp_path):
+    """Cells lie in the order of exposures, tile by tile: files hold runs, not a code a cell."""
+    n = 1001
+    names = spark.range(n).select(F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("ticker"), ((F.col("id") * 37 % 60) / 64.0).alias("s"), F.lit(0.1).alias("specific_var"))
+    exposure = names.select("ticker", F.lit("M").alias("factor"), F.lit(1.0).alias("exposure")).union(names.select("ticker", F.lit("S"), "s"))
+    factor_cov = spark.createDataFrame([("M", "M", 0.04), ("M", "S", 0.01), ("S", "M", 0.01), ("S", "S", 0.02)], "factor_a string, factor_b string, covariance double")
+    for kind, cells in (("all", covariance.asset_cells(exposure, factor_cov, names, 143)), ("half", covariance.asset_blocks(exposure, factor_cov, names, 143))):
+        cells.write.parquet(str(tmp_path / kind))
+        assert spark.read.parquet(str(tmp_path / kind)).distinct().count() == (n * n if kind == "all" else n * (n + 1) // 2)
+    assert sum(f.stat().st_size for f in (tmp_path / "all").glob("*.parquet")) < n * n / 2  # bytes; 1.9 a cell in the order of hashes
+    dealt, blocks, _ = covariance._dealt(exposure, factor_cov, names, 143)
+    got = dealt.orderBy("place").toPandas()
+    assert blocks == 7 and list(got["place"]) == list(range(n)) and got["x_1"].is_monotonic_increasing
+    assert (got["block"] == got["place"] // 144).all()
+
+
+def test_no_names_make_an_empty_matrix(spark):
+    none = spark.createDataFrame([], "ticker string, factor string, exposure double, specific_var double")
+    factor_cov = spark.createDataFrame([("M", "M", 0.04)], "factor_a string, factor_b string, covariance double")
+    assert covariance.asset_cells(none, factor_cov, none).count() == covariance.asset_blocks(none, factor_cov, none).count() == 0
