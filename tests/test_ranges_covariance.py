@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.errors import ConfigError, RiskError
 from alphaloom.operators import covariance, ranges, risk
+from alphaloom.plans import queries
 
 FACTORS = [(d, f, "STYLE" if f == "SIZE" else "INDUSTRY") for d in ("d1", "d2") for f in ("A", "B", "SIZE")]
 
@@ -156,3 +157,13 @@ def test_no_names_make_an_empty_matrix(spark):
     none = spark.createDataFrame([], "ticker string, factor string, exposure double, specific_var double")
     factor_cov = spark.createDataFrame([("M", "M", 0.04)], "factor_a string, factor_b string, covariance double")
     assert covariance.asset_cells(none, factor_cov, none).count() == covariance.asset_blocks(none, factor_cov, none).count() == 0
+
+
+def test_cells_are_rounded_as_decimals(spark):
+    """The quick way takes no value that decimal rounding settles otherwise: ties, their neighbours, large and missing values."""
+    rng = np.random.default_rng(2)
+    values = [0.0, -0.0, 0.0000005, -0.0000005, 1.0000005, 2.4999995, 1e5 + 0.1234565, -3e-7, 1e300, -1e300, 2.0**40, 1234567.8912345, float("nan"), float("inf"), float("-inf"), None]
+    values += [float(v) for v in rng.normal(size=3000)] + [float(k + 0.5) / 1e6 for k in range(1000)] + [float(np.nextafter((k + 0.5) / 1e6, k % 2)) for k in range(1000)]
+    cells = spark.createDataFrame([(v,) for v in values], "covariance double")
+    same = queries._rounded_cells(cells.withColumn("want", queries.rounded("covariance"))).where(F.col("covariance").eqNullSafe(F.col("want")))
+    assert same.count() == len(values)
