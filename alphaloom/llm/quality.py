@@ -1,9 +1,13 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-Training pairs prefer a document labelled good over one labelled bad; logistic
-loss on the difference of their features gives a linear score. The score's
+Every pair of a document labelled good and one labelled bad prefers the good one;
+logistic loss on the difference of their features gives a linear score. The score's
 quantile at the share of bad training documents is the threshold, and scores are
 mapped to (0, 1) so that it lies at ``THRESHOLD``.
+
+Pairs are never listed. A pair's loss depends on two scores only, so sums over all
+pairs come from how many rows of either label lie at each place of the score, and
+a Newton step is two passes over the labelled rows' features.
 """
 
 from __future__ import annotations
@@ -13,14 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.llm._spark import text_column
+from alphaloom.llm._spark import checkpoint, text_column
 from alphaloom.llm._words import SPACES, Chunk, chunks, split_words
 
-#: Bounds of what is gathered for training, in rows and pairs.
-TRAINING_ROWS, TRAINING_PAIRS = 12_000, 40_000
+#: Pairs that are drawn where rows are held in memory (``fit_bradley_terry``); ``train_ranker`` takes all.
+TRAINING_PAIRS = 40_000
+#: Up to so many labels are sent to all executors.
+BROADCAST_LABELS = 1_000_000
+#: Distance of the places at which the sums over partners are held, for the gradient (cubic between them) and for the curvature (linear).
+FINE, COARSE = 1 / 16, 1 / 2
+NEWTON_STEPS = 25
 THRESHOLD = 0.7
 RIDGE = 1e-3
 
@@ -104,18 +113,22 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 3], axis=1)
 
 
+def _undecided(width: int) -> Ranker:
+    return Ranker(np.zeros(width), np.ones(width), np.zeros(2 * width), 0.0, 1.0)
+
+
 def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = TRAINING_PAIRS, seed: int = 5) -> Ranker:
-    """Fit on features and 0/1 labels. With one label only, or no rows, every text scores ``THRESHOLD``."""
+    """Fit on features and 0/1 labels in memory, on drawn pairs. With one label only, or no rows, every text scores ``THRESHOLD``."""
     width = x.shape[1]
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Ranker(np.zeros(width), np.ones(width), np.zeros(2 * width), 0.0, 1.0)
+        return _undecided(width)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = expand((x - mean) / scale)
     rng = np.random.default_rng(seed)
     difference = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     w = np.zeros(z.shape[1])
-    for _ in range(25):
+    for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(np.clip(difference @ w, -30, 30)))
         gradient = -(difference * p[:, None]).mean(axis=0) + RIDGE * w
         curvature = (difference * (p * (1 - p))[:, None]).T @ difference / pairs + RIDGE * np.eye(len(w))
@@ -142,20 +155,149 @@ def _featured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, quality int, x array<double>")
 
 
-def train_ranker(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Ranker:
-    """Fit on at most ``rows`` labelled rows of ``docs``, those with the smallest hash of their id.
+def _cubic(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four places around each score, and their weights in Lagrange's interpolation."""
+    first = np.floor(score / FINE)
+    t = score / FINE - first
+    weights = np.stack([-t * (t - 1) * (t - 2) / 6, (t + 1) * (t - 1) * (t - 2) / 2, -(t + 1) * t * (t - 2) / 2, (t + 1) * t * (t - 1) / 6], axis=1)
+    return first.astype(np.int64)[:, None] + np.arange(-1, 3), weights
+
+
+def _linear(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.floor(score / COARSE)
+    t = score / COARSE - first
+    return first.astype(np.int64)[:, None] + np.arange(2), np.stack([1 - t, t], axis=1)
+
+
+def _logistic(d: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(d, -40, 40)))
+
+
+def _over_partners(mass: np.ndarray, step: float, slope: bool) -> tuple[np.ndarray, np.ndarray]:
+    """At each place the sums over all partners (``mass`` a place) of the logistic function of (partner - place) and of (place - partner), or of its ``slope``.
+
+    Beyond a distance of 40 the function is 0 or 1, so its difference from a step is all that is folded.
+    """
+    reach = int(40 / step)
+    d = np.arange(-reach, reach + 1) * step
+    p = _logistic(d)
+    if slope:
+        found = np.convolve(mass, p * (1 - p))[reach : reach + len(mass)]
+        return found, found
+    below = np.convolve(mass, p - (d >= 0))[reach : reach + len(mass)] + np.cumsum(mass)
+    return mass.sum() - below, below
+
+
+def _summed(rows: DataFrame, emit) -> tuple[np.ndarray, np.ndarray]:
+    """``key`` and summed ``value`` of what ``emit(z, quality)`` makes of each batch's features ``x`` and labels; sums are combined in Spark."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                key, value = emit(x, batch.column("quality").to_numpy().astype(np.int64))
+                keys, at = np.unique(key, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, value, len(keys)))], ["key", "value"])
+
+    found = rows.select("x", "quality").mapInArrow(parts, "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+    return found.column("key").to_numpy(), found.column("value").to_numpy()
+
+
+def _newton_step(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, pairs: float) -> np.ndarray:
+    """The Newton step of the mean loss over all pairs at ``w``: gradient exact up to the interpolation (1e-7), curvature up to 2 %."""
+    k, far = len(w), 1 << 40
+
+    def places(x: np.ndarray, quality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = expand((x - mean) / scale) @ w
+        both = []
+        for kind, (at, weights) in enumerate((_cubic(score), _linear(score))):
+            both.append(((2 * kind + quality[:, None]) * 2 * far + far + at, weights))
+        return np.concatenate([a.ravel() for a, _ in both]), np.concatenate([v.ravel() for _, v in both])
+
+    key, value = _summed(rows, places)
+    sort, at = key // (2 * far), key % (2 * far) - far
+    first, mass = {}, {}
+    for kind in (0, 1):
+        own = sort // 2 == kind
+        first[kind], size = int(at[own].min()), int(at[own].max() - at[own].min()) + 1
+        for y in (0, 1):
+            of = sort == 2 * kind + y
+            mass[kind, y] = np.bincount(at[of] - first[kind], value[of], size)
+    # of a good row: how surely bad ones beat it; of a bad one: how surely it beats good ones
+    losses = [_over_partners(mass[0, 1], FINE, False)[1], _over_partners(mass[0, 0], FINE, False)[0]]
+    slopes = [_over_partners(mass[1, 1], COARSE, True)[0], _over_partners(mass[1, 0], COARSE, True)[0]]
+    lines = len(mass[1, 0])
+
+    def sums(x: np.ndarray, quality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = expand((x - mean) / scale)
+        score = z @ w
+        (fine, cubic), (coarse, linear) = _cubic(score), _linear(score)
+        gradient, curvature, lean = np.zeros(k), np.zeros((k, k)), np.zeros((2, lines, k))
+        for y in (0, 1):
+            of = quality == y
+            gradient += (losses[y][fine[of] - first[0]] * cubic[of]).sum(axis=1) @ z[of] * (1 - 2 * y)
+            curvature += (z[of] * (slopes[y][coarse[of] - first[1]] * linear[of]).sum(axis=1)[:, None]).T @ z[of]
+            for side in (0, 1):
+                np.add.at(lean[y], coarse[of, side] - first[1], z[of] * linear[of, side, None])
+        value = np.concatenate([gradient, curvature.ravel(), lean.ravel()])
+        return np.arange(len(value)), value
+
+    key, value = _summed(rows, sums)
+    value = value[np.argsort(key)] / pairs
+    gradient, curvature, lean = value[:k] + RIDGE * w, value[k : k + k * k].reshape(k, k), value[k + k * k :].reshape(2, lines, k)
+    meeting = np.stack([_over_partners(column, COARSE, True)[0] for column in lean[1].T], axis=1)
+    cross = lean[0].T @ meeting * pairs
+    return np.linalg.solve(curvature - cross - cross.T + RIDGE * np.eye(k), gradient)
+
+
+def _at_shares(scores: DataFrame, count: int, shares: list[float], *spent: DataFrame) -> list[float]:
+    """Quantiles of ``raw`` (linear between neighbours) from its rows' places in order; ``scores`` has ``raw`` and a unique ``doc_id``. ``spent`` are tables that only ``scores`` still needs."""
+    ranged = checkpoint(scores.repartitionByRange("raw", "doc_id").select("*", F.spark_partition_id().alias("part")), *spent)
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row a part
+    parts = F.broadcast(ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before")))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("raw", "doc_id"))
+    ranks = [share * (count - 1) for share in shares]
+    wanted = sorted({int(r) for r in ranks} | {min(int(r) + 1, count - 1) for r in ranks})
+    placed = ranged.withColumn("own", own).join(parts, "part").select("raw", (F.col("before") + F.col("own") - 1).alias("place"))
+    at = {r.place: r.raw for r in placed.where(F.col("place").isin(wanted)).collect()}
+    return [at[int(r)] + (at[min(int(r) + 1, count - 1)] - at[int(r)]) * (r - int(r)) for r in ranks]
+
+
+def train_ranker(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """Fit on all labelled rows of ``docs`` and all pairs of a good and a bad one.
 
     ``labels`` has ``doc_id`` and ``quality``; rows with a null in either, or
     with another value than 0 or 1, are left out, and an id labelled twice
     counts once (with the smaller label). Of an id that stands for several texts
-    the one with the smallest features counts, so ``rows`` bounds what the driver gets.
+    the one with the smallest features counts. The driver gets sums by place of the
+    score and by pair of features, never rows. Weights are kept to six decimals,
+    so that the order in which sums are combined does not show.
     """
-    clean = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = text_column(docs).join(F.broadcast(chosen), "doc_id")
-    found = _featured(sample.select("doc_id", "text", "quality")).groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
-    x = np.array([r.x for r in found]).reshape(len(found), -1) if found else np.zeros((0, len(_CLASSES) + 14))
-    return fit_bradley_terry(x, np.array([r.quality for r in found]))
+    clean = checkpoint(labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")))
+    sample = text_column(docs).join(F.broadcast(clean) if clean.count() <= BROADCAST_LABELS else clean, "doc_id")
+    rows = checkpoint(_featured(sample.select("doc_id", "text", "quality")).groupBy("doc_id", "quality").agg(F.min("x").alias("x")), clean)
+    width = len(_CLASSES) + 14
+    counted = [F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))]
+    n, good, *moments = rows.agg(*counted, *(f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(width))).first()
+    if good in (0, n):
+        return _undecided(width)
+    mean, scale = np.round(moments[:width], 9), np.round(moments[width:], 9) + 1e-6
+    w = np.zeros(2 * width)
+    for _ in range(NEWTON_STEPS):
+        step = _newton_step(rows, mean, scale, w, float(good) * (n - good))
+        w = w - step
+        if np.abs(step).max() < 1e-4:
+            break
+    fitted = Ranker(mean, scale, np.round(w, 6), 0.0, 1.0)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fitted.raw(x))], ["doc_id", "raw"])
+
+    scores = rows.select("doc_id", "x").mapInArrow(score, "doc_id long, raw double")
+    threshold, high, low = _at_shares(scores, n, [(n - good) / n, 0.95, 0.05], rows)
+    return Ranker(mean, scale, fitted.weights, threshold, (high - low) / 8 + 1e-9)
 
 
 def score_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:

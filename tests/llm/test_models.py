@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from alphaloom.llm import audio, chat, quality, toxicity
+from alphaloom.llm._words import chunks
 from alphaloom.llm.queries import op5_quality_classifier, op6_audio_fingerprints
 from tests.llm.common import awkward, empty, texts_of
 from tests.llm.test_neardup import brute_force
@@ -60,6 +62,36 @@ def test_ranker_minimises_the_pairwise_loss():
     assert ((got.score(x) >= quality.THRESHOLD) == (got.raw(x) >= got.threshold)).all()
 
 
+def test_ranker_learns_from_all_pairs(spark):
+    """The loss over every pair of a good and a bad text, written out, has no slope at the weights; the threshold is a quantile of all scores."""
+    rng = np.random.default_rng(4)
+    words = ["the", "of", "Market", "price,", "7", "x!!", "and", "a.", "||", "\n", "QUITE"]
+    texts = [" ".join(rng.choice(words, rng.integers(3, 60), p=rng.dirichlet(np.ones(len(words))))) for _ in range(70)]
+    label = [int(t.count("the") + t.count("and") + rng.integers(0, 3) > t.count("x!!") + t.count("7") + 1) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = quality.train_ranker(docs, spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int"))
+    x, y = np.concatenate([quality.features(c) for c in chunks(pa.array(texts))]), np.array(label)
+    assert 10 < y.sum() < 60 and np.allclose(got.mean, x.mean(axis=0)) and np.allclose(got.scale, x.std(axis=0) + 1e-6)
+    z = quality.expand((x - got.mean) / got.scale)
+    slope, pairs = quality.RIDGE * got.weights, y.sum() * (1 - y).sum()
+    for i in np.flatnonzero(y == 1):
+        for j in np.flatnonzero(y == 0):
+            slope = slope - (z[i] - z[j]) / (1 + np.exp((z[i] - z[j]) @ got.weights)) / pairs
+    assert np.abs(slope).max() < 1e-5
+    assert got.threshold == pytest.approx(np.quantile(got.raw(x), (1 - y).mean()), abs=1e-9)
+    assert got.spread == pytest.approx((np.quantile(got.raw(x), 0.95) - np.quantile(got.raw(x), 0.05)) / 8, abs=1e-6)
+
+
+def test_ranker_learns_from_all_rows(spark):
+    """The only bad rows are the last 100 of 13,000 in the order of hashes."""
+    ids = spark.range(13_000).withColumnRenamed("id", "doc_id")
+    late = ids.orderBy(F.xxhash64("doc_id").desc()).limit(100).withColumn("late", F.lit(True))
+    docs = ids.join(late, "doc_id", "left").select("doc_id", F.when(F.col("late"), "!! 7 ## | 7 ##").otherwise(F.concat(F.lit("plain words in row "), "doc_id")).alias("text"), F.col("late").isNull().cast("int").alias("quality"))
+    got = quality.train_ranker(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    kept = quality.keep_good(docs, got).groupBy("quality").count().collect()
+    assert [tuple(r) for r in kept] == [(1, 12_900)]
+
+
 def _plain_logistic(x, y):
     """Newton's method, row by row."""
     w = np.zeros(x.shape[1] + 1)
