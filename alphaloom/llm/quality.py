@@ -29,6 +29,8 @@ TRAINING_PAIRS = 40_000
 BROADCAST_LABELS = 1_000_000
 #: Distance of the places at which the sums over partners are held, for the gradient (cubic between them) and for the curvature (linear).
 FINE, COARSE = 1 / 16, 1 / 2
+#: Places whose sums go in one row, and tasks of a pass over the features (240 bytes a labelled row).
+PAGE, TRAINING_TASKS = 64, 16
 NEWTON_STEPS = 25
 THRESHOLD = 0.7
 RIDGE = 1e-3
@@ -188,47 +190,57 @@ def _over_partners(mass: np.ndarray, step: float, slope: bool) -> tuple[np.ndarr
     return mass.sum() - below, below
 
 
-def _summed(rows: DataFrame, emit) -> tuple[np.ndarray, np.ndarray]:
-    """``key`` and summed ``value`` of what ``emit(z, quality)`` makes of each batch's features ``x`` and labels; sums are combined in Spark."""
+def _summed(rows: DataFrame, width: int, emit) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sums, ``width`` a key, of what ``emit(x, quality)`` makes of each batch's features and labels; a task adds up its batches, Spark the tasks."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                key, value = emit(x, batch.column("quality").to_numpy().astype(np.int64))
-                keys, at = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, value, len(keys)))], ["key", "value"])
+                for key, value in emit(x, batch.column("quality").to_numpy().astype(np.int64)):
+                    found[key] = found[key] + value if key in found else value
+        if found:
+            flat = np.concatenate(list(found.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * width, flat)], ["key", "value"])
 
-    found = rows.select("x", "quality").mapInArrow(parts, "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
-    return found.column("key").to_numpy(), found.column("value").to_numpy()
+    tasks = rows.select("x", "quality").coalesce(TRAINING_TASKS).mapInArrow(parts, "key long, value array<double>")
+    sums = tasks.groupBy("key").agg(*(F.sum(F.col("value")[i]).alias(f"v_{i}") for i in range(width))).toArrow().sort_by("key")
+    return sums.column("key").to_numpy(), np.column_stack([sums.column(f"v_{i}").to_numpy() for i in range(width)])
 
 
 def _newton_step(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, pairs: float) -> np.ndarray:
     """The Newton step of the mean loss over all pairs at ``w``: gradient exact up to the interpolation (1e-7), curvature up to 2 %."""
-    k, far = len(w), 1 << 40
+    k = len(w)
 
-    def places(x: np.ndarray, quality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(x: np.ndarray, quality: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         score = expand((x - mean) / scale) @ w
-        both = []
         for kind, (at, weights) in enumerate((_cubic(score), _linear(score))):
-            both.append(((2 * kind + quality[:, None]) * 2 * far + far + at, weights))
-        return np.concatenate([a.ravel() for a, _ in both]), np.concatenate([v.ravel() for _, v in both])
-
-    key, value = _summed(rows, places)
-    sort, at = key // (2 * far), key % (2 * far) - far
+            page = at // PAGE
+            for y in (0, 1):
+                of = quality == y
+                for own in np.unique(page[of]):
+                    here = of[:, None] & (page == own)
+                    yield int(own) * 4 + 2 * kind + y, np.bincount(at[here] - own * PAGE, weights[here], PAGE)
+
+    key, value = _summed(rows, PAGE, places)
+    page, sort = key // 4, key % 4
     first, mass = {}, {}
     for kind in (0, 1):
         own = sort // 2 == kind
-        first[kind], size = int(at[own].min()), int(at[own].max() - at[own].min()) + 1
+        low, high = int(page[own].min()), int(page[own].max())
+        first[kind] = low * PAGE
         for y in (0, 1):
             of = sort == 2 * kind + y
-            mass[kind, y] = np.bincount(at[of] - first[kind], value[of], size)
+            held = np.zeros((high - low + 1, PAGE))
+            held[page[of] - low] = value[of]
+            mass[kind, y] = held.ravel()
     # of a good row: how surely bad ones beat it; of a bad one: how surely it beats good ones
     losses = [_over_partners(mass[0, 1], FINE, False)[1], _over_partners(mass[0, 0], FINE, False)[0]]
     slopes = [_over_partners(mass[1, 1], COARSE, True)[0], _over_partners(mass[1, 0], COARSE, True)[0]]
     lines = len(mass[1, 0])
 
-    def sums(x: np.ndarray, quality: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums(x: np.ndarray, quality: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         z = expand((x - mean) / scale)
         score = z @ w
         (fine, cubic), (coarse, linear) = _cubic(score), _linear(score)
@@ -239,12 +251,10 @@ def _newton_step(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.nda
             curvature += (z[of] * (slopes[y][coarse[of] - first[1]] * linear[of]).sum(axis=1)[:, None]).T @ z[of]
             for side in (0, 1):
                 np.add.at(lean[y], coarse[of, side] - first[1], z[of] * linear[of, side, None])
-        value = np.concatenate([gradient, curvature.ravel(), lean.ravel()])
-        return np.arange(len(value)), value
+        return enumerate(np.concatenate([gradient[None], curvature, lean.reshape(2 * lines, k)]))
 
-    key, value = _summed(rows, sums)
-    value = value[np.argsort(key)] / pairs
-    gradient, curvature, lean = value[:k] + RIDGE * w, value[k : k + k * k].reshape(k, k), value[k + k * k :].reshape(2, lines, k)
+    value = _summed(rows, k, sums)[1] / pairs
+    gradient, curvature, lean = value[0] + RIDGE * w, value[1 : k + 1], value[k + 1 :].reshape(2, lines, k)
     meeting = np.stack([_over_partners(column, COARSE, True)[0] for column in lean[1].T], axis=1)
     cross = lean[0].T @ meeting * pairs
     return np.linalg.solve(curvature - cross - cross.T + RIDGE * np.eye(k), gradient)
